@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm import bpe, media, mixing
+from binloom.llm import bpe, classlm, media, mixing, quality, toxicity
 from binloom.session import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learned from the labels of ids that aren't held out."""
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), classlm.remainder(F.col("doc_id"), 4) == 2
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from each document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -38,5 +45,21 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op5_mixing": op5_mixing, "op7_media": op7_media}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from the labels of ids that aren't held out."""
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), classlm.remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every whole text under the class model, and its unigram base."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = classlm.remainder(F.col("doc_id"), 7) == 2
+    model, counts = classlm.fit(docs.filter(~held_out))
+    scored = classlm.score(docs, model, counts)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op5_mixing": op5_mixing, "op7_media": op7_media, "op4_quality": op4_quality, "op8_toxicity": op8_toxicity, "op10_class_lm": op10_class_lm}
 ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE}
