@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm import bpe, classlm, media, mixing, quality, toxicity
+from binloom.llm import bpe, classlm, media, minhash, mixing, quality, toxicity
 from binloom.session import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -35,6 +35,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of whole texts: 4-word shingles, similarity of 0.8 or more."""
+    docs = table(spark, sf_dir, "documents")
+    found = minhash.groups(docs.select(F.col("doc_id").alias("id"), "text"), minhash.Banding(words=4))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text stored as telephony audio and read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), media.payload(F.col("text")).alias("payload"))
@@ -61,5 +68,5 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op5_mixing": op5_mixing, "op7_media": op7_media, "op4_quality": op4_quality, "op8_toxicity": op8_toxicity, "op10_class_lm": op10_class_lm}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_media": op7_media, "op4_quality": op4_quality, "op8_toxicity": op8_toxicity, "op10_class_lm": op10_class_lm}
 ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE}
