@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm import bpe, classlm, media, minhash, mixing, quality, toxicity
+from binloom.llm import bpe, classlm, media, minhash, mixing, quality, runindex, toxicity
 from binloom.session import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -59,6 +59,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole text that strings of 400 bytes cover which stand elsewhere too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runindex.remove_repeats(docs)
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every whole text under the class model, and its unigram base."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -68,5 +75,5 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_media": op7_media, "op4_quality": op4_quality, "op8_toxicity": op8_toxicity, "op10_class_lm": op10_class_lm}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_media": op7_media, "op4_quality": op4_quality, "op8_toxicity": op8_toxicity, "op9_run_index": op9_run_index, "op10_class_lm": op10_class_lm}
 ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE}
