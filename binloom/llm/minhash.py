@@ -177,9 +177,10 @@ def groups(items: DataFrame, banding: Banding, owner: str = "query") -> DataFram
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * banding.percent  # noqa: E731  # what the sizes allow
     classes = written(sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "keys")).alias("x")).select("s1", "s2", "n", "x.id", "x.keys"), owner)
     rows = classes.select(F.explode("keys").alias("key"), "id", "n")
-    buckets = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("members")).filter("members > 1").select("key", F.col("first.id").alias("center"), F.col("first.n").alias("center_n"))
-    members = written(rows.join(buckets, "key"), owner)
-    tested = written(members.filter(F.col("id") != F.col("center")).filter(near(F.col("n"), F.col("center_n"))).select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), owner)
+    shared = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    members = written(rows.join(shared, "key"), owner)
+    firsts = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first")).select("key", F.col("first.id").alias("center"), F.col("first.n").alias("center_n"))
+    tested = written(members.join(firsts, "key").filter(F.col("id") != F.col("center")).filter(near(F.col("n"), F.col("center_n"))).select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), owner)
     links = written(linked(tested, items, banding, owner), owner)
     found = components(links, owner)
 

@@ -8,12 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm import bpe, classlm, media, minhash, mixing, quality, runindex, toxicity
+from binloom.llm import bpe, classlm, graphann, media, minhash, mixing, paragraphs, quality, runindex, toxicity
 from binloom.session import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of every whole text that other documents, or the same one, hold already."""
+    found = paragraphs.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_paragraphs"), F.size("removed").cast("long").alias("n_removed"), "removed", "kept_in", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and the text decoded from them, as digests."""
     path, pattern = public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
@@ -22,6 +30,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors to each whose id is divisible by 20."""
+    return graphann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text, learned from the labels of ids that aren't held out."""
     docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), classlm.remainder(F.col("doc_id"), 4) == 2
@@ -75,5 +88,5 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_media": op7_media, "op4_quality": op4_quality, "op8_toxicity": op8_toxicity, "op9_run_index": op9_run_index, "op10_class_lm": op10_class_lm}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_paragraphs": op1_paragraphs, "op2_bpe": op2_bpe, "op3_graph_ann": op3_graph_ann, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_media": op7_media, "op4_quality": op4_quality, "op8_toxicity": op8_toxicity, "op9_run_index": op9_run_index, "op10_class_lm": op10_class_lm}
 ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE}
