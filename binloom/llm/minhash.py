@@ -171,11 +171,12 @@ def linked(pairs: DataFrame, items: DataFrame, banding: Banding, owner: str) ->
 def groups(items: DataFrame, banding: Banding, owner: str = "query") -> DataFrame:
     """id, n (shingles in the set) and component (the least id reachable by links) for each row of (id, text).
 
-    Null or blank texts have an empty set and are linked with nothing. Rows of one id are one node.
+    Null or blank texts have an empty set and are linked with nothing. Rows of one id are one node; a null id is linked with nothing and
+    has a null component.
     """
     sets = written(described(items, banding), owner)
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * banding.percent  # noqa: E731  # what the sizes allow
-    classes = written(sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "keys")).alias("x")).select("s1", "s2", "n", "x.id", "x.keys"), owner)
+    classes = written(sets.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "keys")).alias("x")).select("s1", "s2", "n", "x.id", "x.keys"), owner)
     rows = classes.select(F.explode("keys").alias("key"), "id", "n")
     shared = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     members = written(rows.join(shared, "key"), owner)
@@ -198,4 +199,4 @@ def groups(items: DataFrame, banding: Banding, owner: str = "query") -> DataFram
 
     named = classes.select("s1", "s2", "n", "id").join(found, F.col("id") == F.col("node"), "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("n").alias("tn"), F.coalesce("component", "id").alias("component"))
     out = sets.join(named, (sets["s1"] == named["t1"]) & (sets["s2"] == named["t2"]) & (sets["n"] == named["tn"]), "left")
-    return out.select("id", "n", F.coalesce("component", "id").alias("component"))
+    return out.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))

@@ -39,14 +39,14 @@ def size_class(size: Column) -> Column:
 
 
 def levels(sizes: DataFrame, source: str, weights: Sequence[float], share: float, most: float) -> DataFrame:
-    """The target of each source, from (source, source_size): a row for each source.
+    """The target of each source, from (source, source_size): a row for each source; one named "null" comes last.
 
     Targets are weight times a common level, or most times the source's size where that is
     less: the level at which they sum to share times all sizes. Sources sorted by the level
     at which they reach their limit are full up to the first whose own level is enough.
     """
     everything = Window.partitionBy()
-    ranked = sizes.withColumn("_rank", F.row_number().over(Window.orderBy(F.col(source).asc_nulls_last())) - 1)
+    ranked = sizes.withColumn("_rank", F.row_number().over(Window.orderBy(F.col(source) == "null", source)) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
     full = ranked.withColumn("_weight", weight).withColumn("_limit", F.col("source_size") * F.lit(float(most)))
     order = Window.orderBy(F.col("_limit") / F.col("_weight"), "_rank")
@@ -59,10 +59,15 @@ def levels(sizes: DataFrame, source: str, weights: Sequence[float], share: float
     return found.withColumn("target", target).select(source, "_rank", "source_size", "target")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies (how often the mix has the document)."""
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, carry: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target and copies (how often the mix has the document).
+
+    With carry, a struct column "row" holds all columns of the documents as well.
+    """
+    named = F.when(F.col(source).isNull(), F.lit("null")).otherwise(F.concat(F.lit("s:"), F.col(source).cast("string")))
     mark = F.expr(f"(pmod(coalesce(_id, -1), {MODULUS}) * {MULTIPLY} + {ADD}) % {MODULUS}")
-    sized = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), word_count(F.col(text)).alias("size"))
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry
+    sized = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_raw"), named.alias("_source"), word_count(F.col(text)).alias("size"), *carried)
     sized = sized.withColumn("_class", size_class(F.col("size"))).withColumn("_mark", mark)
     sized = sized.withColumn("_bucket", (F.col("_mark") / (MODULUS // BUCKETS)).cast("int"))
     buckets = sized.groupBy("_source", "_class", "_bucket").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
@@ -71,20 +76,23 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     upto = Window.partitionBy("_source").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("_source", "_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = classes.select("_source", "_class", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))
-    targets = levels(sizes.withColumnRenamed("_source", "_s"), "_s", weights, share, most)
-    starts = starts.join(targets, starts["_source"].eqNullSafe(targets["_s"])).drop("_s")
+    starts = starts.join(levels(sizes, "_source", weights, share, most), "_source")
     within = buckets.select("_source", "_class", "_bucket", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_skip"))
-    within = within.withColumnsRenamed({"_source": "_s", "_class": "_c"})
-    placed = starts.join(within, starts["_source"].eqNullSafe(within["_s"]) & (starts["_class"] == within["_c"])).drop("_s", "_c")
-    placed = placed.withColumnsRenamed({"_source": "_s", "_class": "_c", "_bucket": "_b"})
-    rows = sized.join(placed, sized["_source"].eqNullSafe(placed["_s"]) & (sized["_class"] == placed["_c"]) & (sized["_bucket"] == placed["_b"]))
-    place = F.col("_start") + F.col("_skip") + F.row_number().over(Window.partitionBy("_s", "_c", "_b").orderBy("_mark", F.col("_id").asc_nulls_first()))
-    offset = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_source"), F.lit("")), F.col("_rank").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    rows = sized.join(within.join(starts, ["_source", "_class"]), ["_source", "_class", "_bucket"])
+    place = F.col("_start") + F.col("_skip") + F.row_number().over(Window.partitionBy("_source", "_class", "_bucket").orderBy("_mark", F.col("_id").asc_nulls_first()))
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_raw").cast("string"), F.lit("")), F.col("_rank").cast("string")).cast("binary"))
+    offset = F.conv(F.substring(drawn, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor(F.col("_place") * F.col("_step") + F.col("_offset")) - F.floor((F.col("_place") - 1) * F.col("_step") + F.col("_offset"))
     rows = rows.withColumn("_place", place).withColumn("_step", step).withColumn("_offset", offset)
     copies = F.least(F.greatest(crossed, F.lit(0)), F.ceil("_step")).cast("long")
-    return rows.select(F.col("_id").alias(doc_id), F.col("_source").alias(source), "size", "source_size", "target", copies.alias("copies"))
+    return rows.select(F.col("_id").alias(doc_id), F.col("_raw").alias(source), "size", "source_size", "target", copies.alias("copies"), *["row"] * carry)
+
+
+def emitted(docs: DataFrame, **options: object) -> DataFrame:
+    """The documents of the mix, each as often as the mix has it."""
+    mixed = mix(docs, carry=True, **options).filter("copies > 0")
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
 
 
 ORACLE = f"""

@@ -8,7 +8,7 @@ BANDING has two rows a band: random paragraphs share almost no shingles, so sele
 bands aren't needed, and of pairs at the least similarity one in 28,000 shares no bucket.
 
 Null texts have no paragraphs and stay null, an empty text is one empty paragraph. Rows of
-one id are one document: what is removed is removed from each.
+one id are one document: what is removed is removed from each. Rows without id are left alone.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ BANDING = minhash.Banding(words=5, percent=80, bands=10, rows=2, least_words=LEA
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", banding: minhash.Banding = BANDING, owner: str = "query") -> DataFrame:
     """(doc_id, number) of each paragraph, n (its shingles) and component: the (doc_id, number) of its group's first."""
-    items = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("number", "text"))
+    items = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("number", "text"))
     items = items.filter(F.length("text") >= 2 * banding.least_words - 1).select(F.struct("doc_id", "number").alias("id"), "text")
     return minhash.groups(items, banding, owner)
 

@@ -52,7 +52,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of whole texts: 4-word shingles, similarity of 0.8 or more."""
     docs = table(spark, sf_dir, "documents")
     found = minhash.groups(docs.select(F.col("doc_id").alias("id"), "text"), minhash.Banding(words=4))
-    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:

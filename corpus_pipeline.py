@@ -1,3 +1,74 @@
-STAGES = []
+"""From raw documents to token ids: five stages, each written as Parquet and read by the next."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from binloom.llm import bpe, classlm, minhash, mixing, runindex, toxicity
+from binloom.llm.queries import TOKENIZER
+from binloom.session import delete_written, ship, table, written
+
+
+def _owner(spark: SparkSession) -> str:
+    """Intermediate tables of the stage before are no longer read once this one begins."""
+    owner = f"pipeline-{spark.sparkContext.applicationId}"
+    delete_written(spark, owner)
+    return owner
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model scores below 0.5; a null text counts as clean."""
+    _owner(spark)
+    held_out = classlm.remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.score(docs, model, to="_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of 5-word shingles at 0.8; of equal rows one; texts without words all."""
+    found = minhash.groups(docs.select(F.col("doc_id").alias("id"), "text"), minhash.Banding(), _owner(spark))
+    gone = found.filter("id <> component").select(F.col("id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"])
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without what strings of 400 bytes cover that stand elsewhere; characters cut in half go too."""
+    found = runindex.remove_repeats(docs, owner=_owner(spark))
+    left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
+    found = found.withColumn("text", F.when(F.size("spans") > 0, left).otherwise(F.col("text")))
+    found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mix, each as often as it takes them."""
+    _owner(spark)
+    return mixing.emitted(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The number and digest of each document's ids, the digest of the text decoded from them, and whether that is the text."""
+    _owner(spark)
+    path, pattern = public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
+    back = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern), path, pattern)
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return back.select(
+        "doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == text).alias("same")
+    )
+
+
+STAGES = [("toxicity", drop_toxic), ("near-dedup", drop_near_duplicates), ("suffix-array dedup", remove_repeats), ("mixing", mix_sources), ("bpe", tokenize)]
+
+#: SQL can't express classifiers, MinHash groups or tokenizers; the tests hold run() against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
