@@ -1,10 +1,403 @@
-"""Queries of the binning engine on the driver's tables, with the same results in DuckDB's SQL."""
+"""The engine's operators on the driver's tables, with the same results in DuckDB's SQL.
+
+There are no sequences or hits among those tables, so others stand for them: line items of
+an order for the hits of a scaffold's genes, nations for genera, part types for marker
+families, documents for scaffolds, embeddings for spectra, user events for the rows that
+describe a gene.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from binloom.functions import arrays, names, sequences
+from binloom.functions.sequences import Kmers
+from binloom.operators import assign, cluster, compare, kmercount, labelspread, matrix, neighbours, relational, report
+from binloom.plans import binning
+from binloom.schema import NOT_ASSIGNED
+from binloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Callable], Callable]:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Genus assignment: hits of scaffolds, sums, best genus, filter.
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, suppliers, nations = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation"))
+    rows = lines.select("l_orderkey", "l_suppkey", "l_extendedprice").join(suppliers.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    return rows.select(F.col("l_orderkey").alias("scaffold"), F.col("n_name").alias("genus"), F.col("l_extendedprice").alias("bits"))
+
+
+HITS = """with h as (select l_orderkey scaffold, n_name genus, l_extendedprice bits from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey),
+ t as (select scaffold, genus, sum(bits) bits from h group by scaffold, genus),
+ b as (select scaffold, genus, bits from (select *, row_number() over (partition by scaffold order by bits desc, genus) rn from t) where rn = 1)
+"""
+
+
+@query(HITS + "select scaffold, genus, round(bits, 2) bits from (select *, count(*) over (partition by genus) n from b) where bits > 30 and n >= 2")
+def genus_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign.assign_genus(hits(spark, sf_dir), 30, 2).withColumn("bits", F.round("bits", 2))
+
+
+@query(HITS + "select scaffold, genus, round(bits, 2) bits from t")
+def bits_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign.score_sums(hits(spark, sf_dir)).withColumn("bits", F.round("bits", 2))
+
+
+@query(HITS + "select scaffold, genus, round(bits, 2) bits from b")
+def genus_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign.best_group(assign.score_sums(hits(spark, sf_dir))).withColumn("bits", F.round("bits", 2))
+
+
+@query(HITS + "select scaffold, genus, round(bits, 2) bits from (select *, count(*) over (partition by genus) n from b) where bits > 90000 and n >= 590")
+def assign_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds that reject scaffolds by either rule."""
+    return assign.assign_genus(hits(spark, sf_dir), 90000, 590).withColumn("bits", F.round("bits", 2))
+
+
+@query(HITS + ", c as (select genus, count(*) n from b group by genus) select genus, n, count(*) over () genera from c")
+def genus_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign.genus_counts(assign.best_group(assign.score_sums(hits(spark, sf_dir))))
+
+
+# Joins, updates and sets.
+
+
+@query("select l_orderkey, l_partkey, l_linenumber from lineitem where l_partkey in (select p_partkey from part where p_type in ('PROMO', 'SMALL'))")
+def marker_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    markers = table(spark, sf_dir, "part").filter(F.col("p_type").isin("PROMO", "SMALL")).select(F.col("p_partkey").alias("l_partkey"))
+    return relational.of_markers(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), markers, "l_partkey").select("l_orderkey", "l_partkey", "l_linenumber")
+
+
+@query("select doc_id, source from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
+def unassigned_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.unassigned(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("select c_custkey, c_name, coverage from customer left join (select o_custkey, max_by(o_totalprice, o_orderkey) coverage from orders where o_orderstatus = 'F' and o_totalprice > 200000 group by 1) on o_custkey = c_custkey")
+def coverage_left_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' and o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("coverage"), "o_orderkey")
+    return relational.updated(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), values, "c_custkey", "coverage", "o_orderkey")
+
+
+@query("select o_orderkey, o_orderpriority, l_partkey from orders join (select l_orderkey, min(l_partkey) l_partkey from lineitem group by 1 having count(*) = 1) on l_orderkey = o_orderkey")
+def exactly_one_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    return relational.exactly_one(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), lines, "o_orderkey")
+
+
+@query("select d.doc_id, lang, coalesce(quality, -1) quality from documents d left join labels l on l.doc_id = d.doc_id")
+def label_default_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.with_label(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id", "quality")
+
+
+@query("""with v as (select p_brand, n_name genus, sum(l_extendedprice) bits from part join lineitem on l_partkey = p_partkey join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey where l_shipdate < timestamp '1993-01-01' and p_type = 'PROMO' group by 1, 2),
+ b as (select p_brand, genus from (select *, row_number() over (partition by p_brand order by bits desc, genus) rn from v) where rn = 1)
+ select p_partkey scaffold, part.p_brand as cluster, coalesce(genus, 'not assigned') genus from part left join b on b.p_brand = part.p_brand""")
+def cluster_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    found = lines.filter("l_shipdate < timestamp '1993-01-01'").join(parts.filter("p_type = 'PROMO'").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    suppliers = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    found = found.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").alias("scaffold"), F.col("n_name").alias("genus"), F.col("l_extendedprice").alias("bits"))
+    return assign.cluster_votes(parts.select(F.col("p_partkey").alias("scaffold"), F.col("p_brand").alias("cluster")), found)
+
+
+@query("select c_custkey, case when c_acctbal > 5000 then c_mktsegment else 'not assigned' end genus from customer")
+def prob_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", assign.relabelled(F.col("c_mktsegment"), F.col("c_acctbal"), 5000).alias("genus"))
+
+
+@query("select n_regionkey, genus, n from (select *, row_number() over (partition by n_regionkey order by n desc, genus) rn from (select n_regionkey, string_split(p_name, ' ')[1] genus, count(*) n from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey group by 1, 2)) where rn = 1")
+def majority_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    return assign.majority(rows, "n_regionkey", F.col("p_name"))
+
+
+@query("select l_orderkey, min_by(string_split(p_name, ' ')[1], {'a': l_linenumber, 'b': l_partkey}) genus from lineitem join part on p_partkey = l_partkey group by 1")
+def best_hit_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.groupBy("l_orderkey").agg(names.genus(F.min(F.struct("l_linenumber", "l_partkey", "p_name"))["p_name"]).alias("genus"))
+
+
+@query("""with d as (select n_nationkey, 'gi|1| x [' || n_name || ' ' || r_name || ' str. 1] y [' || r_name || ' ' || n_name || ']' title from nation join region on r_regionkey = n_regionkey)
+ select n_nationkey, list_transform(regexp_extract_all(title, '\\[.+?\\]'), lambda b: lower(array_to_string(string_split(trim(b, '[]'), ' ')[1:2], ' '))) organisms from d""")
+def organism_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    title = F.concat(F.lit("gi|1| x ["), "n_name", F.lit(" "), "r_name", F.lit(" str. 1] y ["), "r_name", F.lit(" "), "n_name", F.lit("]"))
+    return rows.select("n_nationkey", names.organisms(title).alias("organisms"))
+
+
+KEYWORDS = ["red widget", "widget", "hot", "small gear"]
+
+
+@query("""select p_partkey, p_name, case when list_has_all(w, ['red', 'widget']) then 0 when list_has_all(w, ['widget']) then 1 when list_has_all(w, ['hot']) then 2 when list_has_all(w, ['small', 'gear']) then 3 else -1 end as match,
+ case when list_has_all(w, ['red', 'widget']) then 'K0' when list_has_all(w, ['widget']) then 'K1' when list_has_all(w, ['hot']) then 'K2' when list_has_all(w, ['small', 'gear']) then 'K3' else '' end as match_id
+ from (select p_partkey, p_name, string_split(lower(p_name), ' ') w from part)""")
+def keyword_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = relational.first_match(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("p_name"), KEYWORDS, [f"K{i}" for i in range(len(KEYWORDS))])
+    return found.withColumns({"match": F.coalesce("match", F.lit(-1)), "match_id": F.coalesce("match_id", F.lit(""))})
+
+
+@query("select item_id, list_filter(string_split(text, ' '), lambda w: w not in ('the', 'for', 'of')) words from benchmark")
+def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", names.meaningful(F.split("text", " ")).alias("words"))
+
+
+@query("select c_custkey, c_acctbal from customer order by c_acctbal, c_custkey limit 50")
+def topn_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").orderBy(F.col("c_acctbal").asc(), "c_custkey").limit(50)
+
+
+@query("select distinct source, lang from documents")
+def distinct_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("source", "lang").distinct()
+
+
+@query("select c_acctbal as balance, c_name as name, c_nationkey as nation from customer union all select s_acctbal, s_name, s_nationkey from supplier")
+def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    return relational.united([a, b])
+
+
+@query("select n_nationkey as k from nation where n_nationkey not in (select c_nationkey from customer where c_acctbal < -900) union all select c_nationkey from (select distinct c_nationkey from customer where c_acctbal < -900) where c_nationkey not in (select n_nationkey from nation)")
+def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
+    return relational.differing(a, table(spark, sf_dir, "customer").filter("c_acctbal < -900").select(F.col("c_nationkey").alias("k")).distinct())
+
+
+@query("select count(*) n from lineitem")
+def table_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"))
+
+
+@query("select c_custkey, c_nationkey, case when c_nationkey = 3 and c_mktsegment = 'BUILDING' then 'OTHER' else c_mktsegment end c_mktsegment from customer")
+def update_when(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.set_where(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), {"c_mktsegment": "OTHER"}, {"c_nationkey": 3, "c_mktsegment": "BUILDING"})
+
+
+@query("select p_partkey, sqrt(p_retailprice) p_retailprice from part")
+def column_sqrt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.square_root(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice")
+
+
+@query("select user_id, coalesce(arg_max(value, event_id) filter (where event_type = 'purchase'), -1) purchase, coalesce(arg_max(value, event_id) filter (where event_type = 'click'), -1) click, coalesce(arg_max(props, event_id) filter (where event_type = 'error'), 'NULL_ST') error from events group by 1")
+def gene_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = lambda column, kind: F.max_by(F.when(F.col("event_type") == kind, F.col(column)), F.when(F.col("event_type") == kind, F.col("event_id")))
+    rows = table(spark, sf_dir, "events").groupBy("user_id")
+    return rows.agg(F.coalesce(last("value", "purchase"), F.lit(-1.0)).alias("purchase"), F.coalesce(last("value", "click"), F.lit(-1.0)).alias("click"), F.coalesce(last("props", "error"), F.lit("NULL_ST")).alias("error"))
+
+
+@query("""with h as (select l_orderkey, l_partkey, l_extendedprice, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) rn from lineitem)
+ select l_orderkey, string_agg(cast(l_partkey as varchar), '###' order by rn) titles, cast(count(*) as int) n, round(sum(l_extendedprice), 2) bits from h where rn <= 5 group by 1""")
+def hitlist_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five hits as text, and what is read back from it."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice"))).alias("h"))
+    made = F.transform("h", lambda x: F.struct(x["l_partkey"].cast("string").alias("title"), F.lit(0.0).alias("evalue"), x["l_extendedprice"].alias("score"), x["l_extendedprice"].alias("bits")))
+    rows = rows.withColumn("hits", arrays.first_hits(made))
+    rows = rows.select("l_orderkey", *[arrays.encode_hits(F.col("hits"), f).alias(f) for f in ("title", "evalue", "score", "bits")])
+    back = rows.withColumn("back", arrays.decode_hits(*[F.col(c) for c in ("title", "evalue", "score", "bits")]))
+    return back.select("l_orderkey", F.col("title").alias("titles"), F.size("back").alias("n"), F.round(F.aggregate("back", F.lit(0.0), lambda a, x: a + x["bits"]), 2).alias("bits"))
+
+
+# Sequences and k-mers.
+
+PAIRS = """with c as (select doc_id, string_split(translate(text, 'acgt', 'ACGT'), '') a from documents), p as (select doc_id, unnest(a) x, generate_subscripts(a, 1) i from c),
+ w as (select doc_id, x || lead(x) over (partition by doc_id order by i) kmer from p), k as (select doc_id, kmer, count(*) n from w where regexp_full_match(kmer, '[ACGT]{2}') group by 1, 2)
+"""
+
+
+@query("select doc_id, case when len(text) > 0 then (len(text) - len(replace(replace(text, 'G', ''), 'C', ''))) / len(text) end gc from documents")
+def gc_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", sequences.gc_fraction(F.col("text")).alias("gc"))
+
+
+@query(PAIRS + "select doc_id, kmer, n from k")
+def kmer_count_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmercount.histogram(table(spark, sf_dir, "documents"), "doc_id", "text", Kmers(2))
+
+
+@query(PAIRS + "select doc_id, kmer, n, round(n / sum(n) over (partition by doc_id), 9) freq from k")
+def kmer_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = kmercount.histogram(table(spark, sf_dir, "documents"), "doc_id", "text", Kmers(2))
+    return kmercount.frequencies(counts, "doc_id").withColumn("freq", F.round("freq", 9))
+
+
+@query(PAIRS + """, l as (select unnest(['A', 'C', 'G', 'T']) x), a as (select u.x || v.x kmer from l u, l v), t as (select doc_id, sum(n) s from k group by 1)
+ select t.doc_id, list(round(coalesce(n, 0) / s, 9) order by a.kmer) spectrum from t cross join a left join k on k.doc_id = t.doc_id and k.kmer = a.kmer group by 1""")
+def kmer_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense spectra in one pass over the texts."""
+    rows = kmercount.spectra(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", Kmers(2), strict=False).filter("spectrum is not null")
+    return rows.select("doc_id", F.transform("spectrum", lambda x: F.round(x, 9)).alias("spectrum"))
+
+
+@query(PAIRS + "select doc_id, least(kmer, reverse(kmer)) kmer, cast(sum(n) as bigint) n from k group by 1, 2")
+def kmer_unique_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmercount.folded_histogram(table(spark, sf_dir, "documents"), "doc_id", "text", Kmers(2))
+
+
+@query("with l as (select unnest(['A', 'C', 'G', 'T']) x, unnest([0, 1, 2, 3]) i) select a.x || b.x || c.x kmer, cast(a.i * 16 + b.i * 4 + c.i as bigint) rank, a.x <= c.x first from l a, l b, l c")
+def kmer_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = Kmers(3)
+    return kmercount.ranked(kmercount.all_kmers(spark, by).drop("rank"), "kmer", by).select("kmer", "rank", (F.col("kmer") <= F.reverse("kmer")).alias("first"))
+
+
+@query("select p_brand genus, cast(len(string_agg(p_name, '' order by p_partkey)) as int) length, md5(string_agg(p_name, '' order by p_partkey)) digest from part group by 1")
+def genus_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kmercount.concatenated(table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_name")
+    return rows.select(F.col("p_brand").alias("genus"), F.length("p_name").alias("length"), F.md5(F.col("p_name").cast("binary")).alias("digest"))
+
+
+# Spectra against references: each embedding against the mean of every label.
+
+CENTERS = """with v as (select vec_id, label, unnest(embedding)::double x, generate_subscripts(embedding, 1) i from embeddings), c as (select label, i, avg(x) m from v group by 1, 2),
+ d as (select vec_id, c.label genus, sum(abs(x - m)) l1, sum((x - m) * (x - m)) l2 from v join c on c.i = v.i group by 1, 2),
+ r as (select *, row_number() over (partition by vec_id order by l1, genus) rn, lead(l1) over (partition by vec_id order by l1, genus) l1_next from d), f as (select vec_id, genus, l1 as distance, l1_next as second from r where rn = 1)
+"""
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("spectrum"))
+
+
+def centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = vectors(spark, sf_dir).select("label", F.posexplode("spectrum").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    return places.groupBy(F.col("label").alias("genus")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("spectrum"))
+
+
+def to_centers(spark: SparkSession, sf_dir: str, measure: Callable = arrays.l1) -> DataFrame:
+    return compare.distances(vectors(spark, sf_dir), centers(spark, sf_dir), "vec_id", "spectrum", "genus", measure=measure)
+
+
+@query(CENTERS + "select vec_id, genus, round(l1, 6) distance from d")
+def l1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_centers(spark, sf_dir).withColumn("distance", F.round("distance", 6))
+
+
+@query(CENTERS + "select vec_id, genus, round(l2, 6) distance from d")
+def l2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_centers(spark, sf_dir, arrays.l2).withColumn("distance", F.round("distance", 6))
+
+
+@query(CENTERS + "select vec_id, genus, round(distance, 6) distance, round(second, 6) as second from f")
+def nearest_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compare.nearest_two(to_centers(spark, sf_dir), "vec_id", "genus")
+    return found.select("vec_id", "genus", F.round("distance", 6).alias("distance"), F.round("second", 6).alias("second"))
+
+
+@query(CENTERS + "select vec_id, case when distance <= 6.2 and distance / second <= 0.97 then cast(genus as varchar) else 'not assigned' end genus, case when distance <= 6.2 and distance / second <= 0.97 then round(distance, 6) else -1.0 end distance from f")
+def kmer_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compare.nearest_two(to_centers(spark, sf_dir), "vec_id", "genus").withColumn("genus", F.col("genus").cast("string"))
+    return compare.selected(found, "genus", 6.2, 0.97).withColumn("distance", F.round("distance", 6))
+
+
+# Design matrices, neighbours, label spreading.
+
+
+@query("select p_partkey, list_value(round((p_size - avg(p_size) over ()) / stddev_pop(p_size) over (), 6), round((p_retailprice - avg(p_retailprice) over ()) / stddev_pop(p_retailprice) over (), 6), 0.0) features from part")
+def zscore_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), "p_retailprice", F.lit(7.0)).alias("features"))
+    return matrix.scaled(rows, "p_partkey", "features").withColumn("features", F.transform("features", lambda x: F.round(x, 6)))
+
+
+@query("select p_partkey, round(ln(p_retailprice) / ln(max(p_retailprice) over ()), 9) coverage from part")
+def log_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = matrix.largest_log(table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("coverage")), "coverage")
+    return rows.withColumn("coverage", F.round("coverage", 9))
+
+
+KNN = """with n as (select a.vec_id src, b.vec_id dst, list_distance(a.embedding::double[], b.embedding::double[]) distance from embeddings a, embeddings b),
+ k as (select *, cast(row_number() over (partition by src order by distance, dst) as int) rank from n qualify rank <= 7)
+"""
+
+
+@query(KNN + "select src, dst, rank, round(distance, 6) distance from k")
+def knn7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 7).withColumn("distance", F.round("distance", 6))
+
+
+@query(KNN + """, u as (select src, dst from k where src <> dst union all select dst, src from k where src <> dst), e as (select src, dst, count(*) / 2 w from u group by 1, 2), g as (select src, sum(w) d from e group by 1),
+ s as (select e.src, e.dst, w / sqrt(a.d * b.d) w from e join g a on a.src = e.src join g b on b.src = e.dst), y as (select vec_id node, label from embeddings where vec_id % 5 = 0),
+ m as (select dst node, label, 0.5 * sum(w) weight from s join y on y.node = s.src group by 1, 2 union all select node, label, 0.5 from y)
+ select node, label, round(sum(weight), 6) weight from m group by 1, 2""")
+def label_spread_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    edges = labelspread.graph(neighbours.nearest(rows, "vec_id", "embedding", 7))
+    start = labelspread.seeds(rows.filter("vec_id % 5 = 0"), "vec_id", "label")
+    return labelspread.step(edges, start, start, 0.5).withColumn("weight", F.round("weight", 6))
+
+
+@query("""with p as (select doc_id scaffold, n_chars x, len(text) y, lang from documents)
+ select scaffold, x, y, round(x * 8e-6 * 10000.0 * 64.0 / max(x) over (), 9) size, case when lang = 'en' then 'not assigned' else lang end as label,
+ case lang when 'en' then 'gainsboro' when 'de' then 'blue' when 'es' then 'green' when 'fr' then 'orange' end color from p""")
+def plot_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scaffolds = docs.select(F.col("doc_id").alias("scaffold"), F.col("n_chars").alias("coverage"), F.length("text").cast("long").alias("GC"), F.col("n_chars").alias("length"))
+    labels = docs.select(F.col("doc_id").alias("scaffold"), F.when(F.col("lang") == "en", NOT_ASSIGNED).otherwise(F.col("lang")).alias("label"))
+    return report.plot_points(scaffolds, labels).withColumn("size", F.round("size", 9))
+
+
+# Iterative operators, which SQL can't express.
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("scaffold"), F.col("embedding").cast("array<double>").alias("features"), "label")
+
+
+@query()
+def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.kmeans(features(spark, sf_dir), 10, starts=3)
+
+
+@query()
+def gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.gaussian_mixture(features(spark, sf_dir), 3, rounds=5)
+
+
+@query()
+def dirichlet_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.dirichlet_mixture(features(spark, sf_dir), 10, rounds=10)
+
+
+@query()
+def complete_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of each label by themselves."""
+    return cluster.complete_linkage(features(spark, sf_dir), 1.2, group="label")
+
+
+@query()
+def label_spread_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features(spark, sf_dir)
+    return labelspread.propagate(rows, rows.filter("scaffold % 5 = 0"), alpha=0.8, rounds=10)
+
+
+@query()
+def kmer_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a label against the joined texts of each language's labelled ones, by 3-mers."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("scaffold"), F.col("text").alias("sequence"), F.col("lang").alias("genus"))
+    assigned = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("scaffold")).distinct(), "scaffold", "left_semi").select("scaffold", "genus")
+    return compare.compare_once(assigned, docs, Kmers(3))
+
+
+@query()
+def binning_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("scaffold"), F.col("embedding").cast("array<double>").alias("spectrum"), (F.col("vec_id") % 90 + 10).cast("double").alias("coverage"))
+    return binning.run_binning(rows, rows.filter("scaffold % 10 = 0").select("scaffold"), binning.Binning(threshold=8.0, probability=0.3, rounds=2, alpha=0.9))
+
+
