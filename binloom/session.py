@@ -20,8 +20,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Arrow batches between the JVM and Python hold rows of whole documents, so they are bounded by bytes as well.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(8 << 20))}
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, unless their import path already leads to it."""
+    """Give executors this package, unless their import path already leads to it, and bound Arrow batches where the session has its defaults."""
+    for name, (default, ours) in BATCHES.items():
+        if default is None and not spark.sparkContext.getConf().contains(name) or spark.conf.get(name, default) == default:
+            spark.conf.set(name, ours)
     home = str(PACKAGE.parent)
     reach = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if home in reach or getattr(spark.sparkContext, "_binloom_sent", False):
