@@ -7,11 +7,12 @@ soon as the largest kept value is below the round, so large sets need one round
 small ones many. Groups of rows of the signature are the bands' keys.
 
 Texts with equal sets are one class. In each bucket of a band, classes are compared with
-the bucket's least one; links are checked on the full sets and joined to components. In
-the buckets whose classes then still lie in several components, all pairs across
-components are compared as well, so every pair that shares a bucket and could still
-matter has been checked, and a large group of copies costs about one comparison a member
-and bucket.
+the one that shares buckets with most others; links are checked on the full sets and
+joined to components. Buckets whose classes then still lie in several components are
+checked as a whole, in blocks: the sizes of all intersections of a block come from one
+matrix product, and only pairs that join components leave the task. So every pair that
+shares a bucket and could still matter has been checked, a large group of copies costs
+about one comparison a member and bucket, and pairs are never listed.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from binloom.session import written
 
 #: Elements whose permutations are held at once.
 HELD = 1 << 16
+#: Rows of a block of buckets that are checked as a whole; members of a bucket above which intersections come from a matrix product; its columns.
+BLOCK, FEW, COLUMNS = 1024, 32, 4096
 
 
 @dataclass(frozen=True)
@@ -148,11 +151,9 @@ def described(items: DataFrame, banding: Banding) -> DataFrame:
     return items.select("id", "text").mapInArrow(run, schema)
 
 
-def linked(pairs: DataFrame, items: DataFrame, banding: Banding, owner: str) -> DataFrame:
+def linked(pairs: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = written(items.select("id", "text").join(needed, "id").dropDuplicates(["id"]), owner)
-    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,37 +166,126 @@ def linked(pairs: DataFrame, items: DataFrame, banding: Banding, owner: str) ->
                     good.append(100 * both >= banding.percent * (len(x) + len(y) - both) and len(x) > 0)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(good))
 
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, T.StructType([T.StructField("a", items.schema["id"].dataType), T.StructField("b", items.schema["id"].dataType)]))
+    kind = texts.schema["id"].dataType
+    return rows.select("a", "b", "ta", "tb").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections."""
+    n = len(sets)
+    token, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    place = np.full(len(token), -1, dtype=np.int64)
+    place[shared] = np.arange(len(shared))
+    row, column = np.repeat(np.arange(n), [len(s) for s in sets]), place[back]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((n, n), dtype=np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        has = np.zeros((n, min(COLUMNS, len(shared) - at)), dtype=np.float32)
+        has[row[a:b], column[a:b] - at] = 1
+        out += has @ has.T
+    return out
+
+
+def bridges(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs that are similar enough and join the groups of a bucket: as many as there are groups to join, not all."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    parent = {int(g): int(g) for g in group}
+
+    def find(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    if n > FEW:
+        both = intersections(sets)
+        near = (100 * both >= percent * (size[:, None] + size[None] - both)) & (group[:, None] != group[None])
+        pairs = zip(*(x.tolist() for x in np.nonzero(np.triu(near))), strict=True)
+    else:
+        pairs = ((i, j) for i in range(n) for j in range(i + 1, n) if group[i] != group[j] and 100 * min(size[i], size[j]) >= percent * max(size[i], size[j]))
+    out = []
+    for i, j in pairs:
+        a, b = find(int(group[i])), find(int(group[j]))
+        if a == b:
+            continue
+        if n <= FEW:
+            k = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * k < percent * (size[i] + size[j] - k):
+                continue
+        parent[max(a, b)] = min(a, b)
+        out.append((i, j))
+    return out
+
+
+def bucket_links(left: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
+    """Links (a, b) between components of the same bucket, from (key, id, component); enough of them to join what is linked."""
+    counted = left.join(left.groupBy("key").agg(F.count("*").alias("m")), "key")
+    bins = max(1, -(-left.count() // BLOCK))
+    blocks = F.when(F.col("m") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("m") / BLOCK)).cast("int")
+    dealt = counted.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    alone = F.col("blocks") == 1  # whole buckets share bins; a block of a larger one meets each block of it
+    dealt = dealt.select("key", "id", "component", F.when(alone, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("key")).alias("g"), F.when(alone, -1).otherwise(F.least("own", "other")).alias("lo"), F.when(alone, -1).otherwise(F.greatest("own", "other")).alias("hi"))
+    rows = dealt.join(texts.hint("merge"), "id")
+    kind = texts.schema["id"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+
+    def hashable(column: pa.ChunkedArray) -> list:
+        return [tuple(v.values()) if isinstance(v, dict) else v for v in column.to_pylist()]
+
+    def run(table: pa.Table) -> pa.Table:
+        key, ids, components_ = table["key"].to_numpy(), hashable(table["id"]), hashable(table["component"])
+        doc: dict[object, int] = {}
+        where = np.array([doc.setdefault(v, len(doc)) for v in ids])
+        _, first = np.unique(where, return_index=True)
+        sets: list[np.ndarray] = []
+        for batch in table.select(["text"]).take(pa.array(first)).combine_chunks().to_batches():
+            for _, data, offsets in textbytes.chunks(batch, "text", 1 << 20):
+                sets += shingle_sets(data, offsets, banding)
+        number: dict[object, int] = {}
+        group = np.array([number.setdefault(v, len(number)) for v in components_])
+        found: set[tuple[int, int]] = set()
+        order = np.argsort(key, kind="stable")
+        for rows_ in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            if len(np.unique(group[rows_])) > 1:
+                found.update((int(first[where[rows_[i]]]), int(first[where[rows_[j]]])) for i, j in bridges([sets[d] for d in where[rows_]], group[rows_], banding.percent))
+        a, b = (pa.array([p[k] for p in sorted(found)], type=pa.int64()) for k in (0, 1))
+        id_ = table["id"].combine_chunks()
+        return pa.Table.from_arrays([id_.take(a), id_.take(b)], names=["a", "b"])
+
+    return rows.select("g", "lo", "hi", "key", "id", "component", "text").groupBy("g", "lo", "hi").applyInArrow(run, schema)
 
 
 def groups(items: DataFrame, banding: Banding, owner: str = "query") -> DataFrame:
     """id, n (shingles in the set) and component (the least id reachable by links) for each row of (id, text).
 
-    Null or blank texts have an empty set and are linked with nothing. Rows of one id are one node; a null id is linked with nothing and
-    has a null component.
+    Null or blank texts have an empty set and are linked with nothing. Rows of one id are
+    one node; should their texts differ, the least is compared. Rows without id are linked
+    with nothing and have no component.
     """
     sets = written(described(items, banding), owner)
-    near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * banding.percent  # noqa: E731  # what the sizes allow
     classes = written(sets.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "keys")).alias("x")).select("s1", "s2", "n", "x.id", "x.keys"), owner)
     rows = classes.select(F.explode("keys").alias("key"), "id", "n")
-    shared = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    shared = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     members = written(rows.join(shared, "key"), owner)
-    firsts = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first")).select("key", F.col("first.id").alias("center"), F.col("first.n").alias("center_n"))
-    tested = written(members.join(firsts, "key").filter(F.col("id") != F.col("center")).filter(near(F.col("n"), F.col("center_n"))).select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), owner)
-    links = written(linked(tested, items, banding, owner), owner)
+    weight = members.groupBy("id").agg(F.sum("m").alias("w"))
+    centers = members.join(weight, "id").groupBy("key").agg(F.min(F.struct(-F.col("w"), "id", "n")).alias("x")).select("key", F.col("x.id").alias("center"), F.col("x.n").alias("center_n"))
+    near = F.least("n", "center_n") * 100 >= F.greatest("n", "center_n") * banding.percent  # what the sizes allow
+    tested = members.join(centers, "key").filter((F.col("id") != F.col("center")) & near).select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")).distinct()
+    texts = written(items.select("id", "text").join(weight.select("id").hint("merge"), "id").groupBy("id").agg(F.min("text").alias("text")), owner)
+    links = written(linked(tested, texts, banding), owner)
     found = components(links, owner)
 
-    placed = members.join(found, members["id"] == found["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    placed = members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     left = written(placed.join(mixed, "key"), owner)
-    a, b = left.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), left.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = a.join(b, (a["key"] == b["k"]) & (F.col("ca") < F.col("cb")) & near(F.col("na"), F.col("nb")))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    across = written(across, owner)
-    if not across.isEmpty():
-        more = written(linked(across, items, banding, owner), owner)
-        if not more.isEmpty():
-            found = components(links.unionByName(more), owner)
+    more = written(bucket_links(left, texts, banding), owner)
+    if not more.isEmpty():
+        found = components(links.unionByName(more), owner)
 
     named = classes.select("s1", "s2", "n", "id").join(found, F.col("id") == F.col("node"), "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("n").alias("tn"), F.coalesce("component", "id").alias("component"))
     out = sets.join(named, (sets["s1"] == named["t1"]) & (sets["s2"] == named["t2"]) & (sets["n"] == named["tn"]), "left")
