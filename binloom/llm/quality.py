@@ -139,7 +139,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
         m = sent.value
         for batch in batches:
             for part, data, offsets in textbytes.chunks(batch, text, POOLED_BYTES):
-                got = m.network.predict(pooled(m.vectors, data, offsets))
+                got = m.network.predict(pooled(m.vectors, data, offsets)).round(10)  # the same in every batch
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + [pa.array(got)], names=schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -13,6 +13,7 @@ from binloom.session import delete_written, ship, table, written
 
 def _owner(spark: SparkSession) -> str:
     """Intermediate tables of the stage before are no longer read once this one begins."""
+    ship(spark)
     owner = f"pipeline-{spark.sparkContext.applicationId}"
     delete_written(spark, owner)
     return owner
