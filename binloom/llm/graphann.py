@@ -127,15 +127,15 @@ def build(vectors: np.ndarray, seed: int = 7) -> Graph:
     x = np.ascontiguousarray(vectors[order], dtype=np.float32)
     edges = np.full((n, DEGREE), -1, dtype=np.int32)
     graph = Graph(x, edges, np.arange(min(n, 16)))
-    first = min(n, BATCH)
-    for at in range(0, first, 128):
-        own = np.arange(at, min(first, at + 128))
-        near = np.argsort(-(x[own] @ x[:first].T), axis=1, kind="stable")[:, : 2 * BUILD_BEAM]
-        edges[own] = pruned(x, own, near.astype(np.int32), DEGREE)
-    size = first
+    size = 0
     while size < n:
         own = np.arange(size, min(n, size + BATCH))
-        kept = np.concatenate([pruned(x, part, beam_search(graph, size, x[part], BUILD_BEAM)[0], DEGREE) for part in np.array_split(own, max(1, len(own) // 256))])
+        parts = np.array_split(own, max(1, len(own) // 128))
+        if size:
+            near = [beam_search(graph, size, x[part], BUILD_BEAM)[0] for part in parts]
+        else:  # the first batch is compared with itself
+            near = [np.argsort(-(x[part] @ x[own].T), axis=1, kind="stable")[:, : 2 * BUILD_BEAM].astype(np.int32) for part in parts]
+        kept = np.concatenate([pruned(x, part, found, DEGREE) for part, found in zip(parts, near, strict=True)])
         edges[own] = kept
         # edges back, all new ones of a node at once
         source, target = np.repeat(own, DEGREE), kept.ravel()
