@@ -48,6 +48,9 @@ class Database:
     def count(self, name: str) -> int:
         return self.table(name).count()
 
+    def show(self, name: str, rows: int = 20) -> None:
+        self.table(name).show(rows, truncate=False)
+
     # reading
     def table(self, name: str, fields: list[str] | None = None, order_by: str | None = None) -> DataFrame:
         if self._fs.exists(self._Path(self._at(name))):

@@ -41,12 +41,31 @@ def distances(queries: DataFrame, references: DataFrame, query: str, vector: str
 
 
 def nearest_two(found: DataFrame, query: str, name: str) -> DataFrame:
-    """query, the nearest name with its distance, and the distance of the second; equal distances by name."""
+    """query, the nearest name with its distance, and the distance of the second, from rows of distances; equal distances by name."""
     first = found.groupBy(query).agg(F.min(F.struct("distance", name)).alias("_first"))
     others = found.join(first, query).filter(F.struct("distance", name) != F.col("_first")).groupBy(query).agg(F.min("distance").alias("second"))
     return first.join(others, query, "left").select(query, F.col(f"_first.{name}").alias(name), F.col("_first.distance").alias("distance"), "second")
 
 
+def nearest(queries: DataFrame, references: DataFrame, query: str, vector: str, name: str, measure: object = l1) -> DataFrame:
+    """query, the nearest reference with its distance, and the distance of the second.
+
+    References that may be sent to all tasks become one row, so that each query is compared
+    with all of them where it is read, without a shuffle; beyond that they are dealt out in blocks.
+    """
+    known = references.filter(F.col(vector).isNotNull()).select(name, F.col(vector).alias("_reference"))
+    count, wide = known.agg(F.count("*"), F.max(F.size("_reference"))).first()
+    if count == 0:
+        raise ValueError("there are no references")
+    if count * (8 * (wide or 0) + 64) > SENT_BYTES:
+        return nearest_two(distances(queries, references.filter(F.col(vector).isNotNull()), query, vector, name, measure=measure), query, name)
+    packed = known.agg(F.collect_list(F.struct(name, "_reference")).alias("_all"))
+    far = F.transform("_all", lambda r: F.struct(measure(F.col(vector), r["_reference"]).alias("distance"), r[name].alias(name)))
+    rows = queries.select(query, vector).join(F.broadcast(packed)).select(query, far.alias("_far")).withColumn("_first", F.array_min("_far"))
+    second = F.array_min(F.transform(F.filter("_far", lambda x: x != F.col("_first")), lambda x: x["distance"]))
+    return rows.select(query, F.col(f"_first.{name}").alias(name), F.col("_first.distance").alias("distance"), second.alias("second"))
+
+
 def selected(nearest: DataFrame, name: str, largest: float, ratio: float) -> DataFrame:
     """Nearest names that are near enough, and nearer than the second by the ratio; else NOT_ASSIGNED at -1.
 
@@ -63,8 +82,8 @@ def compare(queries: DataFrame, references: DataFrame, by: Kmers, distance: floa
     known = spectra(references, "sequence", by)
     if known.select("genus").limit(2).count() < 2:
         raise ValueError("two references are needed")
-    found = distances(spectra(queries, "sequence", by, strict=False).select("scaffold", "spectrum"), known, "scaffold", "spectrum", "genus")
-    return selected(nearest_two(found, "scaffold", "genus"), "genus", absolute_threshold(by, distance) if largest is None else largest, ratio)
+    found = nearest(spectra(queries, "sequence", by, strict=False).select("scaffold", "spectrum"), known, "scaffold", "spectrum", "genus")
+    return selected(found, "genus", absolute_threshold(by, distance) if largest is None else largest, ratio)
 
 
 def compare_once(assigned: DataFrame, scaffolds: DataFrame, by: Kmers, distance: float = 0.003, ratio: float = 0.8, largest: float | None = None) -> DataFrame:

@@ -1,7 +1,8 @@
 """Label spreading on the graph of nearest neighbours.
 
 With S = D^-1/2 W D^-1/2 over the symmetrised graph, F moves to alpha S F + (1 - alpha) Y
-until it changes by less than a tolerance or a number of rounds is over (Zhou et al. 2004).
+until it changes by less than a tolerance or a number of rounds is over (Zhou et al. 2004);
+the change is looked at every LOOK rounds.
 F is a table (node, label, weight) of non-zero weights; a round is one join and one sum.
 """
 
@@ -14,7 +15,7 @@ from binloom.operators.neighbours import nearest
 from binloom.schema import NO_INDEX
 from binloom.session import written
 
-NEIGHBOURS, ROUNDS, TOLERANCE = 7, 30, 1e-3
+NEIGHBOURS, ROUNDS, TOLERANCE, LOOK = 7, 30, 1e-3, 5
 
 
 def graph(neighbours: DataFrame) -> DataFrame:
@@ -42,8 +43,11 @@ def spread(edges: DataFrame, start: DataFrame, alpha: float = 1.0, rounds: int =
     """node, label, weight after the last round, weights of a node divided by their sum."""
     edges, start = written(edges), written(start)
     weights = start
-    for _ in range(rounds):
+    for k in range(1, rounds + 1):
         new = written(step(edges, weights, start, alpha).filter("weight > 0"))
+        if k % LOOK:
+            weights = new
+            continue
         old = weights.select("node", "label", F.col("weight").alias("before"))
         change = new.join(old, ["node", "label"], "full").agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))))).first()[0]
         weights = new

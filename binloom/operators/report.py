@@ -52,3 +52,8 @@ def square_root(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn(column, F.sqrt(column))
 
 
+
+
+def axis(points: DataFrame, linear: bool = False) -> dict[str, object]:
+    """Scale and ends of the x axis: logarithmic from 1 to the largest x, or linear from 1 to 200."""
+    return {"scale": "linear", "from": 1.0, "to": 200.0} if linear else {"scale": "log", "from": 1.0, "to": points.agg(F.max("x")).first()[0]}

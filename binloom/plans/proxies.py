@@ -297,13 +297,13 @@ def l2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CENTERS + "select vec_id, genus, round(distance, 6) distance, round(second, 6) as second from f")
 def nearest_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = compare.nearest_two(to_centers(spark, sf_dir), "vec_id", "genus")
+    found = compare.nearest(vectors(spark, sf_dir), centers(spark, sf_dir), "vec_id", "spectrum", "genus")
     return found.select("vec_id", "genus", F.round("distance", 6).alias("distance"), F.round("second", 6).alias("second"))
 
 
 @query(CENTERS + "select vec_id, case when distance <= 6.2 and distance / second <= 0.97 then cast(genus as varchar) else 'not assigned' end genus, case when distance <= 6.2 and distance / second <= 0.97 then round(distance, 6) else -1.0 end distance from f")
 def kmer_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = compare.nearest_two(to_centers(spark, sf_dir), "vec_id", "genus").withColumn("genus", F.col("genus").cast("string"))
+    found = compare.nearest(vectors(spark, sf_dir), centers(spark, sf_dir), "vec_id", "spectrum", "genus").withColumn("genus", F.col("genus").cast("string"))
     return compare.selected(found, "genus", 6.2, 0.97).withColumn("distance", F.round("distance", 6))
 
 

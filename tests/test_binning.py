@@ -59,9 +59,12 @@ def test_references_in_blocks_give_the_same(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, [float(i % 7), float(i)]) for i in range(40)], "id long, v array<double>")
     refs = spark.createDataFrame([(f"r{i}", [float(i), 0.0]) for i in range(9)], "name string, v array<double>")
     a = {tuple(r) for r in compare.distances(vectors, refs, "id", "v", "name").collect()}
+    near = {tuple(r) for r in compare.nearest(vectors, refs, "id", "v", "name").collect()}
+    assert near == {tuple(r) for r in compare.nearest_two(compare.distances(vectors, refs, "id", "v", "name"), "id", "name").collect()}
     monkeypatch.setattr(compare, "SENT_BYTES", 1)
     monkeypatch.setattr(compare, "BLOCK_ROWS", 4)
     assert {tuple(r) for r in compare.distances(vectors, refs, "id", "v", "name").collect()} == a and len(a) == 360
+    assert {tuple(r) for r in compare.nearest(vectors, refs, "id", "v", "name").collect()} == near
 
 
 def test_scaling(spark):
