@@ -290,3 +290,21 @@ def groups(items: DataFrame, banding: Banding, owner: str = "query") -> DataFram
     named = classes.select("s1", "s2", "n", "id").join(found, F.col("id") == F.col("node"), "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("n").alias("tn"), F.coalesce("component", "id").alias("component"))
     out = sets.join(named, (sets["s1"] == named["t1"]) & (sets["s2"] == named["t2"]) & (sets["n"] == named["tn"]), "left")
     return out.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+
+
+#: Groups of documents by 4-word shingles in DuckDB's SQL: all pairs that share a shingle.
+ORACLE = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as a
+  from documents),
+sets as (
+  select doc_id, case when len(a) >= 4 then list_distinct(list_transform(range(1, len(a) - 2), lambda i: array_to_string(a[i:i + 3], ' '))) when len(a) > 0 then [array_to_string(a, ' ')] else [] end as g
+  from words),
+grams as (select doc_id, unnest(g) as g from sets),
+pairs as (select x.doc_id as a, y.doc_id as b, count(*) as k from grams x join grams y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+links as (select a, b from pairs join sets s on s.doc_id = a join sets t on t.doc_id = b where 100 * k >= 80 * (len(s.g) + len(t.g) - k)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(doc_id, other) as (select doc_id, doc_id from sets union select r.doc_id, e.b from reach r join both_ways e on e.a = r.other),
+found as (select doc_id, min(other) as component_id from reach group by doc_id)
+select s.doc_id, cast(len(g) as bigint) as n_shingles, component_id, s.doc_id = component_id as kept from sets s join found f on f.doc_id = s.doc_id
+"""

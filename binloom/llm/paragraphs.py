@@ -38,3 +38,25 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", banding:
     rows = rows.withColumn("removed", F.coalesce("removed", none)).withColumn("kept_in", F.coalesce("kept_in", F.array().cast(rows.schema["kept_in"].dataType)))
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("removed", i)), "\n")
     return rows.withColumn("kept_text", F.when(F.size("removed") == 0, F.col(text)).otherwise(kept))
+
+
+#: The same in DuckDB's SQL: all pairs of paragraphs that share a shingle.
+ORACLE = r"""
+with recursive docs as (select doc_id, string_split(text, chr(10)) as p from documents),
+paras as (select doc_id, unnest(range(len(p))) as number, unnest(p) as text from docs),
+words as (
+  select doc_id * 1000000 + number as id,
+         list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as a
+  from paras),
+sets as (select id, list_distinct(list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' '))) as g from words where len(a) >= 5),
+grams as (select id, unnest(g) as g from sets),
+pairs as (select x.id as a, y.id as b, count(*) as k from grams x join grams y on x.g = y.g and x.id < y.id group by 1, 2),
+links as (select a, b from pairs join sets s on s.id = a join sets t on t.id = b where 100 * k >= 80 * (len(s.g) + len(t.g) - k)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(id, other) as (select a, a from both_ways union select r.id, e.b from reach r join both_ways e on e.a = r.other),
+gone as (select id, min(other) as first from reach group by id having min(other) < id),
+by_doc as (select id // 1000000 as doc_id, list(cast(id % 1000000 as int) order by id) as removed, list(distinct first // 1000000 order by first // 1000000) as kept_in from gone group by 1)
+select d.doc_id, cast(coalesce(len(p), 0) as bigint) as n_paragraphs, cast(coalesce(len(removed), 0) as bigint) as n_removed, coalesce(removed, []) as removed, coalesce(kept_in, []) as kept_in,
+       sha256(coalesce(array_to_string(list_filter(p, lambda x, i: not list_contains(coalesce(removed, []), cast(i - 1 as int))), chr(10)), '')) as kept_sha256
+from docs d left join by_doc b on b.doc_id = d.doc_id
+"""
