@@ -58,7 +58,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only where it is unset, as in tests on one machine, a temporary one is made.
     """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_binloom_folder", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or getattr(context, "_binloom_folder", None)
     if not folder:
         folder = context._binloom_folder = Path(tempfile.mkdtemp(prefix="binloom-shared-")).as_uri()
         context.setCheckpointDir(folder)
