@@ -333,13 +333,13 @@ def knn7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(KNN + """, u as (select src, dst from k where src <> dst union all select dst, src from k where src <> dst), e as (select src, dst, count(*) / 2 w from u group by 1, 2), g as (select src, sum(w) d from e group by 1),
- s as (select e.src, e.dst, w / sqrt(a.d * b.d) w from e join g a on a.src = e.src join g b on b.src = e.dst), y as (select vec_id node, label from embeddings where vec_id % 5 = 0),
+ s as (select e.src, e.dst, w / sqrt(a.d * b.d) w from e join g a on a.src = e.src join g b on b.src = e.dst), y as (select vec_id node, label from embeddings where label < 5),
  m as (select dst node, label, 0.5 * sum(w) weight from s join y on y.node = s.src group by 1, 2 union all select node, label, 0.5 from y)
  select node, label, round(sum(weight), 6) weight from m group by 1, 2""")
 def label_spread_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     edges = labelspread.graph(neighbours.nearest(rows, "vec_id", "embedding", 7))
-    start = labelspread.seeds(rows.filter("vec_id % 5 = 0"), "vec_id", "label")
+    start = labelspread.seeds(rows.filter("label < 5"), "vec_id", "label")
     return labelspread.step(edges, start, start, 0.5).withColumn("weight", F.round("weight", 6))
 
 
@@ -384,7 +384,7 @@ def complete_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def label_spread_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir)
-    return labelspread.propagate(rows, rows.filter("scaffold % 5 = 0"), alpha=0.8, rounds=10)
+    return labelspread.propagate(rows, rows.filter("label < 5"), alpha=0.8, rounds=10)
 
 
 @query()
@@ -397,7 +397,7 @@ def kmer_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def binning_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("scaffold"), F.col("embedding").cast("array<double>").alias("spectrum"), (F.col("vec_id") % 90 + 10).cast("double").alias("coverage"))
-    return binning.run_binning(rows, rows.filter("scaffold % 10 = 0").select("scaffold"), binning.Binning(threshold=8.0, probability=0.3, rounds=2, alpha=0.9))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("scaffold"), F.col("embedding").cast("array<double>").alias("spectrum"), (F.col("label") + 10).cast("double").alias("coverage"), "label")
+    return binning.run_binning(rows.drop("label"), rows.filter("label < 2").select("scaffold"), binning.Binning(threshold=8.0, probability=0.3, rounds=2, alpha=0.9))
 
 
