@@ -41,7 +41,7 @@ NEVER, NOTHING = np.int32(2**31 - 1), np.int32(-1)
 BUCKETS = (4, 8, 16, 32, 64, 128)
 LONGEST = BUCKETS[-1]
 #: Cells of one matrix, and distinct units that a worker remembers.
-CELLS, REMEMBERED = 1 << 20, 400_000
+CELLS, REMEMBERED = 1 << 18, 250_000
 
 
 class Vocabulary:
@@ -217,7 +217,7 @@ def _mapped(df: DataFrame, column: str, to: str, kind: str, tokenizer: str, patt
                 columns = [part.column(f.name) for f in kept] + [pa.array(made, type=pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(*[f"`{f.name}`" for f in kept] if column != to else "*").mapInArrow(run, schema)
+    return df.select(*[f"`{f.name}`" for f in kept] if column != to else "*").mapInArrow(textbytes.trimmed(run), schema)
 
 
 def encode(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:

@@ -136,7 +136,7 @@ def store(rows: DataFrame, column: str, to: str = "media") -> DataFrame:
                 made = [None if v is None else wav(names[zlib.crc32(v) % 3], v) for v in part.column(column).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + [pa.array(made, type=pa.binary())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(textbytes.trimmed(run), schema)
 
 
 def read(rows: DataFrame, media: str = "media", with_pcm: bool = False) -> DataFrame:
@@ -168,4 +168,4 @@ def read(rows: DataFrame, media: str = "media", with_pcm: bool = False) -> DataF
                 columns = [pa.array([x[k] for x in found], type=kind) for k, kind in enumerate((pa.binary(), pa.string(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + columns[: len(new)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(textbytes.trimmed(run), schema)

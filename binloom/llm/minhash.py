@@ -148,7 +148,7 @@ def described(items: DataFrame, banding: Banding) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(keys[n > 0].ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), lists], names=schema.names)
 
-    return items.select("id", "text").mapInArrow(run, schema)
+    return items.select("id", "text").mapInArrow(textbytes.trimmed(run), schema)
 
 
 def linked(pairs: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
@@ -167,7 +167,7 @@ def linked(pairs: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(good))
 
     kind = texts.schema["id"].dataType
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return rows.select("a", "b", "ta", "tb").mapInArrow(textbytes.trimmed(run), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -257,7 +257,7 @@ def bucket_links(left: DataFrame, texts: DataFrame, banding: Banding) -> DataFra
         id_ = table["id"].combine_chunks()
         return pa.Table.from_arrays([id_.take(a), id_.take(b)], names=["a", "b"])
 
-    return rows.select("g", "lo", "hi", "key", "id", "component", "text").groupBy("g", "lo", "hi").applyInArrow(run, schema)
+    return rows.select("g", "lo", "hi", "key", "id", "component", "text").groupBy("g", "lo", "hi").applyInArrow(textbytes.trimmed_group(run), schema)
 
 
 def groups(items: DataFrame, banding: Banding, owner: str = "query") -> DataFrame:

@@ -73,7 +73,7 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32))] + [pa.array(rows[used, k].astype(np.float32)) for k in range(DIMENSIONS)], names=["bucket", *(f"d{k}" for k in range(DIMENSIONS))])
 
     schema = T.StructType([T.StructField("bucket", T.IntegerType())] + [T.StructField(f"d{k}", T.FloatType()) for k in range(DIMENSIONS)])
-    rows = docs.select(text).mapInArrow(run, schema).groupBy("bucket").agg(*[F.sum(f"d{k}").alias(f"d{k}") for k in range(DIMENSIONS)]).toArrow()
+    rows = docs.select(text).mapInArrow(textbytes.trimmed(run), schema).groupBy("bucket").agg(*[F.sum(f"d{k}").alias(f"d{k}") for k in range(DIMENSIONS)]).toArrow()
     out = np.zeros((BUCKETS, DIMENSIONS))
     if rows.num_rows:
         out[rows["bucket"].to_numpy()] = np.stack([rows[f"d{k}"].to_numpy() for k in range(DIMENSIONS)], axis=1)
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 x = pooled(sent.value, data, offsets).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), type=pa.list_(pa.float32())), part.column("_label"), part.column("_fold")], names=["x", "y", "fold"])
 
-    rows = learning.joined(docs, learning.sample(labels, doc_id, label, bound), doc_id, text).mapInArrow(run, "x array<float>, y int, fold int").toArrow()
+    rows = learning.joined(docs, learning.sample(labels, doc_id, label, bound), doc_id, text).mapInArrow(textbytes.trimmed(run), "x array<float>, y int, fold int").toArrow()
     x = np.array(rows["x"].to_pylist(), dtype=np.float64).reshape(-1, FEATURES)
     y = rows["y"].to_numpy()
     order = np.lexsort((*x.T[:4], y))  # so that the fit doesn't depend on the order in which tasks end
@@ -142,4 +142,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
                 got = m.network.predict(pooled(m.vectors, data, offsets)).round(10)  # the same in every batch
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + [pa.array(got)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(textbytes.trimmed(run), schema)

@@ -38,7 +38,7 @@ from binloom.session import written
 
 WINDOW, GRAM = 400, 32
 #: Bytes of the contexts of a shard, about; contexts of one anchor that a shard takes at most.
-SHARD_BYTES, GROUP = 1 << 20, 8192
+SHARD_BYTES, GROUP = 1 << 18, 8192
 
 
 def window_minima(x: np.ndarray, w: int) -> np.ndarray:
@@ -105,29 +105,30 @@ class RunIndex:
         for k in range(1, depth):
             key = key << bits
             key[: n - k] |= symbols[k:] + 1 if n > k else 0
-        tied = np.argsort(key, kind="stable")
-        sorted_key, base = key[tied], np.zeros(n, dtype=np.int64)
-        rank = np.zeros(n + 1, dtype=np.int64)
+        tied = np.argsort(key, kind="stable").astype(np.int32)
+        sorted_key, base = key[tied], np.zeros(n, dtype=np.int32)
+        del key
+        rank = np.zeros(n + 1, dtype=np.int32)
         rank[n] = -1
         while True:
             new = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
-            place = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
+            place = np.flatnonzero(new).astype(np.int32)
+            group = np.cumsum(new, dtype=np.int32) - 1
             old = np.r_[True, base[1:] != base[:-1]]  # base: rank of the group that was split
-            old_start = np.flatnonzero(old)[np.cumsum(old) - 1]
+            old_start = np.flatnonzero(old).astype(np.int32)[np.cumsum(old, dtype=np.int32) - 1]
             rank[tied] = base + place[group] - old_start
             size = np.diff(np.r_[place, len(tied)])
             more = size[group] > 1
             tied = tied[more]
             if not len(tied):
                 break
-            pair = rank[tied] * (n + 1) + rank[np.minimum(tied + depth, n)] + 1
+            pair = rank[tied].astype(np.int64) * (n + 1) + rank[np.minimum(tied + depth, n)] + 1
             order = np.argsort(pair, kind="stable")
             tied, sorted_key = tied[order], pair[order]
             base = rank[tied]
             depth *= 2
-        out = np.empty(n, dtype=np.int64)
-        out[rank[:n]] = np.arange(n)
+        out = np.empty(n, dtype=np.int32)
+        out[rank[:n]] = np.arange(n, dtype=np.int32)
         return out
 
     def matching_statistics(self, least: int = 1) -> np.ndarray:
@@ -136,7 +137,7 @@ class RunIndex:
         A match inside a run goes back to a longer one at a run's end, so shorter ones can be left out there.
         """
         n = len(self.symbols)
-        left, right = self.last[:-1], self.first[1:]  # neighbours in suffix order, in different runs
+        left, right = self.last[:-1].astype(np.int64), self.first[1:].astype(np.int64)  # neighbours in suffix order, in different runs
         values = textbytes.mix(self.symbols.astype(np.uint64))
         h = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(values * textbytes.powers(n), out=h[1:])
@@ -154,10 +155,11 @@ class RunIndex:
             same = (h[x + t] - h[x]) * down[x] == (h[y + t] - h[y]) * down[y]
             common[fits[same]] = t[same]
             step >>= 1
-        reach = np.zeros((2, n), dtype=np.int64)
+        del h, values
+        reach = np.zeros((2, n), dtype=np.int32)
         reach[0, right] = common + right
         reach[1, left] = common + left
-        return (np.maximum.accumulate(reach, axis=1) - np.arange(n)).max(axis=0)
+        return np.maximum.accumulate(reach, axis=1).max(axis=0) - np.arange(n, dtype=np.int32)
 
     def long_matches(self, window: int) -> list[list[int]]:
         """For each text, starts and ends of what windows with a match elsewhere cover."""
@@ -181,12 +183,12 @@ def runs(keyed: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in textbytes.chunks(batch, "_text", 1 << 21):
+            for part, data, offsets in textbytes.chunks(batch, "_text", 1 << 18):
                 anchor, ctx, doc, start, length, times, reach = anchored_runs(data, offsets, window, gram)
                 at = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ctx.view(np.int64)), part.column("_id").take(at), part.column("_h").take(at), *(pa.array(x.astype(np.int32)) for x in (start, length, times, reach))], names=schema.names)
 
-    return keyed.mapInArrow(run, schema)
+    return keyed.mapInArrow(textbytes.trimmed(run), schema)
 
 
 def contexts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -206,7 +208,7 @@ def contexts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
                 found = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("ctx"), flat.field("several"), flat.field("contexts"), pa.array(found, type=pa.binary())], names=["anchor", "ctx", "several", "contexts", "bytes"])
 
-    return rows.mapInArrow(run, "anchor long, ctx long, several boolean, contexts long, bytes binary")
+    return rows.mapInArrow(textbytes.trimmed(run), "anchor long, ctx long, several boolean, contexts long, bytes binary")
 
 
 def indexed_matches(found: DataFrame, window: int, shard_bytes: int, owner: str) -> DataFrame:
@@ -221,7 +223,7 @@ def indexed_matches(found: DataFrame, window: int, shard_bytes: int, owner: str)
         return pa.table([table["anchor"], table["ctx"], pa.array(spans, type=pa.list_(pa.int32()))], names=["anchor", "ctx", "spans"]).filter(pa.array(once))
 
     rows = found.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartition(int(min(shards, 1 << 16)), "shard")
-    return rows.groupBy("shard").applyInArrow(run, "anchor long, ctx long, spans array<int>")
+    return rows.groupBy("shard").applyInArrow(textbytes.trimmed_group(run), "anchor long, ctx long, spans array<int>")
 
 
 def counted_matches(found: DataFrame, window: int) -> DataFrame:
@@ -238,7 +240,7 @@ def counted_matches(found: DataFrame, window: int) -> DataFrame:
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column("anchor").take(take), part.column("ctx").take(take), part.column("several").take(take), pa.array(at.astype(np.int32)), pa.array(textbytes.span_hash(h, start, start + window).view(np.int64))], names=["anchor", "ctx", "several", "at", "window"])
 
-    rows = found.mapInArrow(run, "anchor long, ctx long, several boolean, at int, window long")
+    rows = found.mapInArrow(textbytes.trimmed(run), "anchor long, ctx long, several boolean, at int, window long")
     again = rows.groupBy("window").agg(F.count("*").alias("n"), F.max("several").alias("any")).filter("n > 1 or any").select("window")
     return rows.filter("not several").join(again, "window").groupBy("anchor", "ctx").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + window))).alias("spans"))
 
@@ -290,4 +292,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 kept_bytes = pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], type=pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in fields] + [pa.array(np.diff(offsets)), lists, kept_bytes], names=schema.names)
 
-    return rows.select(*[F.col(f"`{f.name}`") for f in fields], "_marks").mapInArrow(run, schema)
+    return rows.select(*[F.col(f"`{f.name}`") for f in fields], "_marks").mapInArrow(textbytes.trimmed(run), schema)

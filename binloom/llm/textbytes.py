@@ -8,7 +8,8 @@ so that every span's hash is a difference of two prefix sums.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111E
 BASE = 0xD1342543DE82EF95
 
 #: Text bytes that one chunk holds at most (a longer document is a chunk of its own).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -117,3 +118,35 @@ def gram_hash(word: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         total = total + word[k : len(word) - n + 1 + k] * by[k]
     return mix(total)
+
+
+def release() -> None:
+    """Hand freed memory back to the system: a worker that waits for its next task keeps none of the last one's arrays."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that releases memory at the end of its task."""
+
+    def inner(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
+def trimmed_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for applyInArrow, after each group."""
+
+    def inner(table: pa.Table) -> pa.Table:
+        out = run(table)
+        release()
+        return out
+
+    return inner
