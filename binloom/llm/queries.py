@@ -89,4 +89,4 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_paragraphs": op1_paragraphs, "op2_bpe": op2_bpe, "op3_graph_ann": op3_graph_ann, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_media": op7_media, "op4_quality": op4_quality, "op8_toxicity": op8_toxicity, "op9_run_index": op9_run_index, "op10_class_lm": op10_class_lm}
-ORACLE_SQL: dict[str, str] = {"op1_paragraphs": paragraphs.ORACLE, "op5_mixing": mixing.ORACLE, "op6_minhash": minhash.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_paragraphs": paragraphs.ORACLE, "op5_mixing": mixing.ORACLE, "op6_minhash": minhash.ORACLE, "op9_run_index": runindex.ORACLE}

@@ -293,3 +293,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in fields] + [pa.array(np.diff(offsets)), lists, kept_bytes], names=schema.names)
 
     return rows.select(*[F.col(f"`{f.name}`") for f in fields], "_marks").mapInArrow(textbytes.trimmed(run), schema)
+
+
+#: The same digests in DuckDB's SQL: every window's hash is counted.
+ORACLE = """
+with docs as (select doc_id, encode(coalesce(text, '')) as t from documents),
+starts as (select doc_id, t, unnest(range(octet_length(t) - 399)) as i from docs where octet_length(t) >= 400),
+windows as (select doc_id, i, hash(t[i + 1:i + 400]) as w from starts),
+again as (select doc_id, i from windows where w in (select w from windows group by w having count(*) > 1)),
+marked as (select *, case when i <= lag(i) over (partition by doc_id order by i) + 400 then 0 else 1 end as fresh from again),
+numbered as (select *, sum(fresh) over (partition by doc_id order by i) as span from marked),
+spans as (select doc_id, min(i) as a, max(i) + 400 as b from numbered group by doc_id, span),
+pieces as (
+  select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as f, a as e from spans
+  union all select s.doc_id, max(b), max(octet_length(t)) from spans s join docs d on d.doc_id = s.doc_id group by 1),
+kept as (select p.doc_id, list_reduce(list(t[f + 1:e] order by f), lambda x, y: x || y) as k from pieces p join docs d on d.doc_id = p.doc_id group by 1),
+sums as (select doc_id, sum(b - a) as removed, count(*) as n from spans group by 1)
+select d.doc_id, cast(octet_length(t) as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(n, 0) as bigint) as n_spans, sha256(coalesce(k, t)) as kept_sha256
+from docs d left join kept k on k.doc_id = d.doc_id left join sums s on s.doc_id = d.doc_id
+"""
