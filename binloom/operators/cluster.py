@@ -6,13 +6,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from binloom.operators.components import components
 from binloom.session import written
 
-#: Rows that a group of complete linkage may have; its memory grows with their square.
-LINKED = 8192
+#: Rows that complete linkage takes at once; its memory grows with their square. Rows of a block of a larger group.
+LINKED, BLOCK = 8192, 2048
 STARTS = 10
 
 
@@ -143,20 +144,108 @@ def linkage_clusters(x: np.ndarray, threshold: float) -> np.ndarray:
     return np.argsort(np.argsort(first))[label] + 1
 
 
-def complete_linkage(df: DataFrame, threshold: float, key: str = "scaffold", features: str = "features", group: str | None = None, limit: int = LINKED) -> DataFrame:
+def close_links(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the threshold that join all rows which such pairs join: fewer pairs than rows."""
+    n = len(x)
+    size = (x**2).sum(axis=1)
+    slack = 1e-9 * (1.0 + 2 * size.max(initial=0.0) + threshold**2)  # of rounding; a pair too many joins parts, which does no harm
+    near = np.empty((n, n), dtype=bool)
+    for at in range(0, n, 512):
+        near[at : at + 512] = size[at : at + 512, None] + size[None] - 2 * x[at : at + 512] @ x.T <= threshold**2 + slack
+    open_, a, b = np.ones(n, dtype=bool), [], []
+    for first in range(n):
+        if not open_[first]:
+            continue
+        open_[first], stack = False, [first]
+        while stack:
+            i = stack.pop()
+            new = np.flatnonzero(near[i] & open_)
+            open_[new] = False
+            a += [i] * len(new)
+            b += new.tolist()
+            stack += new.tolist()
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+
+
+def _linked_parts(rows: DataFrame, by: list[str], key: str, threshold: float, linked: int) -> DataFrame:
+    """Complete linkage of groups of any size, given as (group, key, _x, _row, _n: the group's rows), by components of the pairs within the threshold.
+
+    No merge below the cut leaves a component. Blocks of a group meet each other, so that every pair is looked at.
+    """
+    kind = {c: rows.schema[c].dataType.simpleString() for c in [*by, key]}
+    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+    dealt = rows.withColumn("_own", F.pmod(F.xxhash64("_row"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select(*by, "_row", "_x", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"))
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = close_links(np.array(frame["_x"].tolist(), dtype=np.float64), threshold)
+        row = frame["_row"].to_numpy()
+        return pd.DataFrame({"a": row[a], "b": row[b]})
+
+    found = components(written(dealt.groupBy(*by, "_lo", "_hi").applyInPandas(links, "a long, b long")))
+    placed = rows.join(found, F.col("_row") == F.col("node"), "left").withColumn("_part", F.coalesce("component", "_row"))
+    bins = max(1, -(-rows.count() // BLOCK))
+    placed = placed.select(*by, key, "_x", "_row", "_part", F.pmod(F.xxhash64("_part"), F.lit(bins)).alias("_bin"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        head = np.empty(len(frame), dtype=np.int64)
+        frame = frame.sort_values([key, "_row"]).reset_index(drop=True)
+        for own in frame.groupby("_part").indices.values():
+            if len(own) > linked:
+                raise ValueError(f"{len(own)} rows joined by pairs within the threshold are over the limit of {linked} of complete linkage")
+            label = linkage_clusters(np.array(frame["_x"].iloc[own].tolist(), dtype=np.float64), threshold)
+            _, first = np.unique(label, return_index=True)
+            head[own] = frame["_row"].to_numpy()[own[first[label - 1]]]
+        frame["_head"] = head
+        return frame[[*by, key, "_row", "_head"]]
+
+    clusters = written(placed.groupBy("_bin").applyInPandas(run, ", ".join(f"`{c}` {kind[c]}" for c in [*by, key]) + ", _row long, _head long"))
+    # clusters are numbered in order of their first rows: places in a sorted table, counted from the group's first
+    heads = clusters.filter("_row = _head").orderBy(*by, F.col(key).asc_nulls_last(), "_row").select(*by, F.col("_head").alias("_first"), F.monotonically_increasing_id().alias("_at"))
+    heads = written(heads).withColumn("_slice", F.shiftright("_at", 33))
+    before = F.sum("n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    slices = heads.groupBy("_slice").agg(F.count("*").alias("n")).select("_slice", F.coalesce(before, F.lit(0)).alias("_before"))
+    heads = written(heads.join(F.broadcast(slices), "_slice").withColumn("_place", F.col("_at") - F.shiftleft("_slice", 33) + F.col("_before")))
+    least = heads.groupBy(*by).agg(F.min("_place").alias("_least"))
+    same = F.lit(True)
+    for c in by:
+        least = least.withColumnRenamed(c, f"_g_{c}")
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    named = heads.join(F.broadcast(least), same).select("_first", (F.col("_place") - F.col("_least") + 1).alias("cluster"))
+    return clusters.join(named, F.col("_head") == F.col("_first")).select(*by, key, "cluster")
+
+
+def complete_linkage(df: DataFrame, threshold: float, key: str = "scaffold", features: str = "features", group: str | None = None, limit: int | None = None, linked: int = LINKED) -> DataFrame:
     """key, the group if there is one, and cluster (from 1): clusters whose rows all lie within the threshold of each other.
 
-    A group is clustered as a whole, which needs memory for all pairs; one of more than limit rows raises.
+    A group of up to linked rows is clustered as a whole, a larger one by components of its
+    pairs within the threshold, which gives the same clusters. Only a single component of more than
+    linked rows raises: it needs memory for all its pairs. With a limit, groups are always
+    clustered as a whole, and one of more rows raises.
     """
     by = [group] if group else []
     rows = df.select(*by, key, F.col(features).cast("array<double>").alias("_x"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > limit:
+        if limit is not None and len(frame) > limit:
             raise ValueError(f"a group of {len(frame)} rows is over the limit of {limit} of complete linkage")
         frame = frame.sort_values(key).reset_index(drop=True)
         frame["cluster"] = linkage_clusters(np.array(frame["_x"].tolist(), dtype=np.float64), threshold)
         return frame[[*by, key, "cluster"]]
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*by, key]) + ", cluster long"
-    return rows.groupBy(*by).applyInPandas(run, schema)
+    if limit is not None:
+        return rows.groupBy(*by).applyInPandas(run, schema)
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()))
+    sizes = rows.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.count("*").alias("_n"))
+    large = written(sizes.filter(F.col("_n") > linked))
+    if large.isEmpty():
+        return rows.drop("_row").groupBy(*by).applyInPandas(run, schema)
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    parts = _linked_parts(written(rows.join(F.broadcast(large), same).select(*by, key, "_x", "_row", "_n")), by, key, threshold, linked)
+    if not by:
+        return parts
+    whole = rows.join(F.broadcast(large), same, "left_anti").drop("_row").groupBy(*by).applyInPandas(run, schema)
+    return whole.unionByName(parts)

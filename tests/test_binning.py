@@ -1,10 +1,12 @@
 """Assignment, comparison, matrices, clustering and label spreading."""
 
 import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from binloom.functions.sequences import Kmers
 from binloom.operators import assign, cluster, compare, external, labelspread, matrix, neighbours, relational, report
@@ -102,6 +104,23 @@ def test_complete_linkage(spark):
         cluster.complete_linkage(df, 1.0, limit=2).collect()
 
 
+def test_complete_linkage_of_large_groups(spark, monkeypatch):
+    # one group of more rows than complete linkage takes at once
+    n = cluster.LINKED + 808
+    pairs = spark.range(n).select(F.col("id").alias("scaffold"), F.array(F.floor(F.col("id") / 2) * 10.0 + F.col("id") % 2 * 0.5).alias("features"))
+    assert {(r.scaffold, r.cluster) for r in cluster.complete_linkage(pairs, 1.0).collect()} == {(i, i // 2 + 1) for i in range(n)}
+    # by components as by whole groups, the group without a label and equal rows included
+    monkeypatch.setattr(cluster, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    rows = [(f"s{i:03}", rng.integers(0, 2, size=2).tolist() if i % 9 == 0 else rng.normal(scale=5, size=2).tolist(), [1, 2, None][i % 5 % 3]) for i in range(300)]
+    df = spark.createDataFrame([(k, [float(v) for v in x], g) for k, x, g in rows], "scaffold string, features array<double>, label long")
+    for group in (None, "label"):
+        whole, parts = (Counter(tuple(r) for r in cluster.complete_linkage(df, 0.4, group=group, linked=k).collect()) for k in (8192, 80))
+        assert whole == parts and len({r[-1] for r in whole}) > 20
+    with pytest.raises(PySparkException, match="over the limit"):
+        cluster.complete_linkage(df, 0.4, linked=2).collect()
+
+
 def blobs(spark, n=30, apart=10.0):
     rng = np.random.default_rng(1)
     rows = [(f"s{i:03}", (rng.normal(size=2) + apart * (i % 3)).tolist(), i % 3) for i in range(3 * n)]
