@@ -2,12 +2,15 @@
 
 A disguised token (digits or symbols inside a word, letters said many times over, letters
 spaced out one by one) is a lattice: each character stands for itself, for the letters it
-may replace, or for nothing. Viterbi's algorithm finds the likeliest letters under a
-character bigram model of all documents, with a channel cost for each change.
+may replace, for a word's edge where it is a separator, or for nothing. Viterbi's algorithm
+finds the likeliest letters and edges under a character bigram model of all documents, with
+a channel cost for each change. Tokens and runs of spaced letters may have any length.
 
 Plain words and restored ones are then looked up, whole and by their first bytes, among
-features that toxic training texts have and others lack. What a text's strongest features
-say goes through a logistic regression.
+features that toxic training texts have and others lack. Between letters that separators
+part, the likeliest edges may be wrong, so words from any separator to any other are looked
+up as well, and those that say most without overlap are taken. What a text's strongest
+features say goes through a logistic regression.
 
 The character model counts all documents; the features and the regression come from a
 sample of at most BOUND labelled documents. Nulls and empty texts hold no features and get
@@ -37,12 +40,18 @@ SYMBOLS, OTHER = 28, 27
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c"}
 #: Log costs of the channel: a letter for a digit or symbol, a dropped one of those, a dropped separator, a dropped repetition of three or more, of two, another dropped letter.
 REPLACED, DROPPED, SEPARATOR, REPEATED, DOUBLED, LOST = -1.0, -5.0, -0.5, -0.5, -5.0, -30.0
-#: Tokens longer than this many characters are no words and are left alone.
-LONGEST = 40
+#: Letters up to which the parts of a token are joined to look for words between any of its separators; single parts may be longer.
+JOINED = 40
+#: Characters of the tokens that are restored at once, and tokens of fewer that are remembered.
+CELLS, SHORT = 1 << 15, 256
+#: Characters that count as one of three when they stand more often in a row, spaced out or not.
+SAID_OVER = re.compile(r"([^0-9@$!|+(<])\1{3,}|(?<!\S)([^\s0-9@$!|+(<])(?: \2){3,}(?!\S)")
 DISGUISED = re.compile(r"(?i)[a-z\x80-\U0010ffff][0-9@$!|+(<*_.\-'~^#]+[a-z\x80-\U0010ffff]|(?:^|[^a-z])[0-9@$!|+(<][a-z]{2}|([a-z])\1\1|[a-z]{2}[0-9@$]+$")
 #: The same as a filter on bytes: three equal letters, or a letter beside a digit or symbol.
 LETTER = np.zeros(256, dtype=bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+SPACED = LETTER & (np.arange(256) < 128)
+SPACED[[ord(c) for c in STANDS_FOR]] = True
 CODE = np.zeros(256, dtype=np.int64)
 CODE[97:123] = np.arange(1, 27)
 CODE[65:91] = np.arange(1, 27)
@@ -72,32 +81,46 @@ def letter_bigrams(docs: DataFrame, text: str) -> np.ndarray:
     return np.log(table / table.sum(axis=1, keepdims=True))
 
 
-def restore(tokens: list[str], bigrams: np.ndarray) -> list[str]:
-    """The likeliest letters of each token; all tokens together, a character of each in every step."""
+#: Rows of the lattice's costs of taking a character for a symbol: symbols, a separator, the space of spaced letters, the end of shorter tokens, STANDS_FOR.
+SPLIT, GAP, PAST = SYMBOLS, SYMBOLS + 1, SYMBOLS + 2
+KIND = {c: SYMBOLS + 3 + i for i, c in enumerate(STANDS_FOR)}
+EMIT = np.full((SYMBOLS + 3 + len(KIND), SYMBOLS), -np.inf)
+EMIT[np.arange(1, SYMBOLS), np.arange(1, SYMBOLS)] = 0.0
+EMIT[SPLIT, 0], EMIT[GAP, 0] = SEPARATOR, 0.0
+for _c, _letters in STANDS_FOR.items():
+    EMIT[KIND[_c], [ord(x) - 96 for x in _letters]] = REPLACED
+
+
+def decoded(tokens: list[str], bigrams: np.ndarray) -> list[str]:
+    """The likeliest letters of each token, with a space for a word's edge and NUL for a dropped separator; all tokens together, a character of each in every step."""
     if not tokens:
         return []
-    width = max(map(len, tokens))
-    n = len(tokens)
-    emit = np.full((n, width, SYMBOLS), -np.inf)  # cost of taking a character for a symbol
-    skip = np.zeros((n, width))  # cost of dropping it
-    plain = [t.lower() for t in tokens]
+    plain = [SAID_OVER.sub(lambda m: 3 * m[1] if m[1] else " ".join(3 * m[2]), t.lower()) for t in tokens]
+    width, n = max(map(len, plain)), len(plain)
+    kind = np.full((n, width), PAST, dtype=np.int16)
+    skip = np.zeros((n, width))  # cost of dropping a character
     for i, t in enumerate(plain):
+        solid = t.replace(" ", "")
+        at = 0  # in solid
         for k, c in enumerate(t):
+            if c == " ":
+                kind[i, k] = GAP
+                continue
             if "a" <= c <= "z" or ord(c) > 127:
-                emit[i, k, ord(c) - 96 if c <= "z" else OTHER] = 0.0
-                again = k > 0 and t[k - 1] == c
-                skip[i, k] = (REPEATED if t[k + 1 : k + 2] == c or t[max(0, k - 2) : k] == 2 * c else DOUBLED) if again else LOST
+                kind[i, k] = ord(c) - 96 if c <= "z" else OTHER
+                again = at > 0 and solid[at - 1] == c
+                skip[i, k] = (REPEATED if solid[at + 1 : at + 2] == c or solid[max(0, at - 2) : at] == 2 * c else DOUBLED) if again else LOST
             else:
-                for x in STANDS_FOR.get(c, ""):
-                    emit[i, k, ord(x) - 96] = REPLACED
-                skip[i, k] = DROPPED if c in STANDS_FOR else SEPARATOR
+                kind[i, k] = KIND.get(c, SPLIT)
+                skip[i, k] = SEPARATOR if c not in STANDS_FOR else DROPPED if len(solid) == len(t) else LOST  # spaced out, it is meant as a letter
+            at += 1
     best = np.full((n, SYMBOLS), -np.inf)
     best[:, 0] = 0.0
     came = np.zeros((n, width, SYMBOLS), dtype=np.int8)  # the symbol before, -1: the character was dropped
     for k in range(width):
         through = best[:, :, None] + bigrams[None]
         source = through.argmax(axis=1)
-        taken = np.take_along_axis(through, source[:, None], axis=1)[:, 0] + emit[:, k]
+        taken = np.take_along_axis(through, source[:, None], axis=1)[:, 0] + EMIT[kind[:, k]]
         left = best + skip[:, k, None]
         came[:, k] = np.where(taken > left, source, -1)
         best = np.maximum(taken, left)
@@ -105,14 +128,21 @@ def restore(tokens: list[str], bigrams: np.ndarray) -> list[str]:
     out = []
     for i, t in enumerate(plain):
         state, letters = int(last[i]), []
-        for k in range(width - 1, -1, -1):
+        for k in range(len(t) - 1, -1, -1):
             if (before := int(came[i, k, state])) >= 0:
-                letters.append(t[k] if state == OTHER else chr(96 + state))
+                letters.append(" " if state == 0 else t[k] if state == OTHER else chr(96 + state))
                 state = before
+            elif kind[i, k] in (SPLIT, GAP):
+                letters.append("\0")
         out.append("".join(reversed(letters)))
     return out
 
 
+def restore(tokens: list[str], bigrams: np.ndarray) -> list[str]:
+    """The likeliest letters of each token, with a space at word edges inside it."""
+    return [" ".join(t.replace("\0", "").split()) for t in decoded(tokens, bigrams)]
+
+
 def lowered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of some byte strings, A-Z in lower case."""
     return textbytes.LOWER[np.frombuffer(b"".join(texts), dtype=np.uint8)], np.cumsum([0, *map(len, texts)])
@@ -146,27 +176,27 @@ def disguised(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndar
     spot[:-1] |= letter[1:] & ~letter[:-1] & ~textbytes.SPACE[data[:-1]]
     spot[1:] |= letter[:-1] & (data[1:] >= 48) & (data[1:] < 58)
     marks = np.r_[0, np.cumsum(spot)]
-    odd = np.flatnonzero((marks[ends] > marks[starts]) & (ends - starts <= 4 * LONGEST))
-    single = (ends - starts == 1) & letter[starts] & (data[starts] < 128)
+    odd = np.flatnonzero(marks[ends] > marks[starts])
+    single = (ends - starts == 1) & SPACED[data[starts]]
     found: dict[tuple[int, str], None] = {}
     raw = data.tobytes()
     for i in odd.tolist():
         t = raw[starts[i] : ends[i]].decode(errors="replace")
-        if len(t) <= LONGEST and DISGUISED.search(t):
+        if DISGUISED.search(t):
             found[int(doc[i]), t] = None
-    # letters spaced out one by one: at least three tokens of one letter in a row
+    # letters spaced out one by one: at least three tokens of one letter, or what may stand for one, in a row
     row = np.flatnonzero(single[:-2] & single[1:-1] & single[2:] & (doc[:-2] == doc[2:])) if len(single) > 2 else np.zeros(0, dtype=np.int64)
     if len(row):
         cuts = np.flatnonzero(np.diff(row) > 1) + 1
         for part in np.split(row, cuts):
-            t = "".join(chr(data[starts[i]]) for i in range(part[0], part[-1] + 3))
-            for at in range(0, len(t), LONGEST):
-                found[int(doc[part[0]]), t[at : at + LONGEST]] = None
+            t = " ".join(chr(data[starts[i]]) for i in range(part[0], part[-1] + 3))
+            if any(c.isalpha() for c in t):
+                found[int(doc[part[0]]), t] = None
     return [t for _, t in found], np.array([d for d, _ in found], dtype=np.int64)
 
 
 class Restorer:
-    """Restores tokens and remembers them, up to a fixed number."""
+    """Restores tokens, as decoded() does, and remembers short ones, up to a fixed number."""
 
     def __init__(self, bigrams: np.ndarray) -> None:
         self.bigrams, self.known = bigrams, {}
@@ -174,19 +204,73 @@ class Restorer:
     def __call__(self, tokens: list[str]) -> list[str]:
         if len(self.known) > 200_000:
             self.known.clear()
-        new = sorted({t for t in tokens if t not in self.known}, key=len)
-        for at in range(0, len(new), 512):
-            some = new[at : at + 512]
-            self.known.update(zip(some, restore(some, self.bigrams), strict=True))
-        return [self.known[t] for t in tokens]
-
-
-def document_words(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of the distinct words of a chunk (a column each), and word and document of each occurrence, restored words included."""
+        new = sorted({t for t in tokens if t not in self.known}, key=lambda t: (len(t), t))
+        long, at = {}, 0
+        while at < len(new):
+            to = at + 1
+            while to < min(len(new), at + 512) and (to + 1 - at) * len(new[to]) <= CELLS:
+                to += 1
+            for t, said in zip(new[at:to], decoded(new[at:to], self.bigrams), strict=True):
+                (self.known if len(t) <= SHORT else long)[t] = said
+            at = to
+        return [self.known[t] if t in self.known else long[t] for t in tokens]
+
+
+def parted(said: list[str], keys: np.ndarray, values: np.ndarray) -> list[list[str]]:
+    """The words of each restored token: the likeliest, unless words from one separator to another say more."""
+    usual = [t.replace("\0", "").split() for t in said]
+    if not len(keys):
+        return usual
+    several = [i for i, t in enumerate(said) if "\0" in t or " " in t]
+    parts = {i: [p for p in re.split("[ \0]+", said[i]) if p] for i in several}
+    stretches: dict[int, list[tuple[int, int, str]]] = {}
+    for i, own in parts.items():
+        stretches[i] = []
+        for a in range(len(own)):
+            word, b = own[a], a + 1
+            stretches[i].append((a, b, word))
+            while b < len(own) and len(word) + len(own[b]) <= JOINED:
+                word, b = word + own[b], b + 1
+                stretches[i].append((a, b, word))
+    distinct = sorted({w for x in stretches.values() for _, _, w in x} | {w for i in several for w in usual[i]})
+    if not distinct:
+        return usual
+    data, edges = lowered([w.encode() for w in distinct])
+    worth = dict(zip(distinct, look_up(keys, values, word_features(data, edges[:-1], edges[1:])).max(axis=0).tolist(), strict=True))
+    for i in several:
+        good = [(a, b, w) for a, b, w in stretches[i] if worth[w] > 0]
+        if not good:
+            continue
+        ending: dict[int, list[tuple[int, str]]] = {}
+        for a, b, w in good:
+            ending.setdefault(b, []).append((a, w))
+        most, how = [0.0], [None]
+        for b in range(1, len(parts[i]) + 1):
+            most.append(most[-1])
+            how.append(None)
+            for a, w in ending.get(b, []):
+                if most[a] + worth[w] > most[b]:
+                    most[b], how[b] = most[a] + worth[w], (a, w)
+        if most[-1] > sum(worth[w] for w in usual[i]) + 1e-9:
+            b, words = len(parts[i]), []
+            while b:
+                b, word = how[b] or (b - 1, "")
+                words.append(word)
+            usual[i] = [w for w in reversed(words) if w]
+    return usual
+
+
+def document_words(data: np.ndarray, offsets: np.ndarray, restorer: Restorer, keys: np.ndarray | None = None, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the distinct words of a chunk (a column each), and word and document of each occurrence, restored words included.
+
+    With the features' values, restored tokens are parted by them where they hold several words.
+    """
     plain, at = compact(data, offsets)
     starts, ends, doc = textbytes.words(plain, at)
     tokens, token_doc = disguised(data, offsets)
-    said = [t.encode() for t in restorer(tokens)]
+    none = np.zeros(0, dtype=np.uint64)
+    words = parted(restorer(tokens), none if keys is None else keys, none if values is None else values)
+    said, token_doc = [w.encode() for own in words for w in own], np.repeat(token_doc, [len(own) for own in words])
     more, edges = lowered(said)
     both = np.concatenate([plain, more])
     starts, ends = np.r_[starts, edges[:-1] + len(plain)].astype(np.int64), np.r_[ends, edges[1:] + len(plain)].astype(np.int64)
@@ -219,7 +303,7 @@ def look_up(keys: np.ndarray, values: np.ndarray, features: np.ndarray) -> np.nd
 
 def numbers(data: np.ndarray, offsets: np.ndarray, restorer: Restorer, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     """A row of NUMBERS for each document: its strongest word, strong words, their sum, and both by length."""
-    features, word, doc = document_words(data, offsets, restorer)
+    features, word, doc = document_words(data, offsets, restorer, keys, values)
     n = len(offsets) - 1
     out = np.zeros((n, NUMBERS))
     if not len(doc):

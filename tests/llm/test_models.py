@@ -171,6 +171,34 @@ def test_classifiers_on_held_out_rows(spark):
     assert toxicity.score(odd.limit(0), tox).count() == quality.score(odd.limit(0), good).count() == 0
 
 
+def test_disguises_of_any_length(spark):
+    docs, labels = labelled(spark)
+    tox = toxicity.fit(docs, labels)
+    texts = {
+        "on er such a s t u p i d th": True,
+        "y o u w o r t h l e s s s t u p i d an er": True,
+        "s t u p i d w o r t h l e s s": True,
+        "er a i y s t u p i d o a an": True,
+        "on er 5 7 u p 1 d th": True,
+        "on er th stup" + "i" * 60 + "d an": True,
+        "on er " + ".".join(["therin", "anones"] * 5) + ".stupid.an": True,
+        "an " + "e r o n " * 12 + "s t u p i d": True,
+        "an er 1 2 3 4 5 on th": False,
+        "on a e i o an er": False,
+        "an " + "e r o n " * 12 + "th in": False,
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.text: r.score >= 0.5 for r in toxicity.score(rows, tox).collect()}
+    assert got == texts
+    # words edges where the letters ask for them
+    flat = np.full((toxicity.SYMBOLS, toxicity.SYMBOLS), np.log(1e-4))
+    for w in ["a", "stupid", "loser"]:
+        code = [0, *(ord(c) - 96 for c in w), 0]
+        for x, y in zip(code, code[1:], strict=False):
+            flat[x, y] = np.log(0.5)
+    assert toxicity.restore(["a s t u p i d", "l 0 s e r s t u p i d", "s t u u u u u p i d"], flat) == ["a stupid", "loser stupid", "stupid"]
+
+
 def test_classifiers_without_labels(spark):
     docs, labels = labelled(spark, 20)
     none = labels.limit(0)
