@@ -121,6 +121,40 @@ def test_class_model_against_counts(spark, monkeypatch, frequent):
     assert np.allclose((10**model.follows).sum(axis=1), 1)
 
 
+@pytest.mark.parametrize("frequent", [1 << 18, 700])
+def test_words_of_one_ending_get_classes_of_their_own(spark, monkeypatch, frequent):
+    # words that end alike, of two kinds that stand in different places, and more of them than types
+    monkeypatch.setattr(classlm, "FREQUENT", frequent)
+    rng = random.Random(9)
+    left, right = ([f"{p}{i}xyz" for i in range(600)] for p in ("l", "r"))
+    heads, tails = (["one", "the", "such"], ["was", "ran", "sat"])
+    lines = [" ".join(x for _ in range(12) for x in (rng.choice(heads), rng.choice(left), rng.choice(tails), rng.choice(right))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    model, counts = classlm.fit(df)
+    assert model.clustered > 0.95
+    rare = {r.hash: r.own_class for r in counts.filter("own_class is not null").collect()}
+    known = {int(h): int(c) for h, c in zip(model.lookup.hashes.view(np.int64), model.of_word, strict=True) if c >= 0} | rare
+
+    def classes(words):
+        data, offsets = toxicity.lowered([w.encode() for w in words])
+        word, _, _ = classlm.tokens(data, offsets)
+        return Counter(known[int(h)] for h in word.view(np.int64) if int(h) in known)
+
+    a, b = classes(left), classes(right)
+    assert sum(a.values()) + sum(b.values()) > 1100 and bool(rare) == (frequent == 700)
+    assert sum(n for c, n in a.items() if n > b[c]) > 0.9 * sum(a.values()) and sum(n for c, n in b.items() if n > a[c]) > 0.9 * sum(b.values())
+    # the score of a text is that of its words in their classes, whether they are joined or looked up
+    plain = {}
+    for r in classlm.score(df.limit(30), model, counts).collect():
+        data, offsets = toxicity.lowered([lines[r.doc_id].encode()])
+        word, shape, _ = classlm.tokens(data, offsets)
+        of = [known.get(int(h), int(model.classes[1 + classlm.OWN + s])) for h, s in zip(word.view(np.int64), shape, strict=True)]
+        n = Counter(w for t in lines for w in t.split())
+        want = sum(model.follows[x, y] for x, y in zip([0, *of], [*of, 0], strict=True)) + sum(math.log10(n[w]) + model.seen[c] for w, c in zip(lines[r.doc_id].split(), of, strict=True)) + math.log10(model.ends) + model.seen[0]
+        plain[r.doc_id] = (round(r.score, 6), round(want, 6))
+    assert all(x == y for x, y in plain.values())
+
+
 def test_class_model_without_training(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     model, counts = classlm.fit(df.limit(0))
