@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binloom.session import written
+from binloom.session import discard, written
 
 
 def components(edges: DataFrame, owner: str = "query") -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, owner: str = "query") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(low, F.col("u") == F.col("k")).select("u", "v", "m")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        stars = written(small.distinct(), owner)
+        last, stars = stars, written(small.distinct(), owner)
+        discard(last)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

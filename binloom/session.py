@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -55,28 +58,58 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the cluster's spark.checkpoint.dir.
 
-    Only where it is unset, as in tests on one machine, a temporary one is made.
+    Only where it is unset on one machine, as in tests, a temporary one is made; on a cluster
+    that would be a folder which executors don't share, so it is an error there.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or getattr(context, "_binloom_folder", None)
     if not folder:
-        folder = context._binloom_folder = Path(tempfile.mkdtemp(prefix="binloom-shared-")).as_uri()
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="binloom-shared-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        folder = context._binloom_folder = Path(path).as_uri()
         context.setCheckpointDir(folder)
     return folder
 
 
 def written(df: DataFrame, owner: str = "query") -> DataFrame:
-    """The same rows, written once as Parquet in the shared folder and read again: cuts the lineage."""
+    """The same rows, written once as Parquet in the shared folder and read again: cuts the lineage.
+
+    discard() and delete_written() remove such tables; what is left goes with the application.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/binloom-{owner}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    path = f"{shared_folder(spark)}/binloom-{context.applicationId}-{owner}-{uuid.uuid4().hex}"
+    if not getattr(context, "_binloom_leaving", False):
+        context._binloom_leaving = True
+        atexit.register(_leave, spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_binloom_path"] = path
+    return out
 
 
-def delete_written(spark: SparkSession, owner: str) -> None:
-    """Remove the tables that written() made for this owner."""
-    jvm, folder = spark.sparkContext._jvm, shared_folder(spark)
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/binloom-{owner}-*")
+def _delete(spark: SparkSession, pattern: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for status in files.globStatus(path) or []:
         files.delete(status.getPath(), True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of written() that nothing reads any more."""
+    for df in tables:
+        if path := df.__dict__.pop("_binloom_path", None):
+            _delete(df.sparkSession, path)
+
+
+def delete_written(spark: SparkSession, owner: str) -> None:
+    """Remove all tables that written() made for this owner in this application."""
+    _delete(spark, f"{shared_folder(spark)}/binloom-{spark.sparkContext.applicationId}-{owner}-*")
+
+
+def _leave(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # not stopped yet
+        with contextlib.suppress(Exception):
+            delete_written(spark, "*")

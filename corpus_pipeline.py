@@ -1,57 +1,83 @@
-"""From raw documents to token ids: five stages, each written as Parquet and read by the next."""
+"""From raw documents to token ids: five stages, each written as Parquet and read by the next.
+
+Every stage takes rows with the columns doc_id, text, lang, source and n_chars; columns
+besides them are kept, whatever their names, up to the last stage. Null and empty texts,
+repeated rows, rows that share an id, ids that are null and empty tables are all rows like
+others; what a stage makes of them is in its docstring.
+"""
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom.llm import bpe, classlm, minhash, mixing, runindex, toxicity
 from binloom.llm.queries import TOKENIZER
-from binloom.session import delete_written, ship, table, written
+from binloom.session import delete_written, discard, ship, table, written
 
 
-def _owner(spark: SparkSession) -> str:
-    """Intermediate tables of the stage before are no longer read once this one begins."""
+def _owner(spark: SparkSession, sf_dir: str) -> str:
+    """Intermediate tables of the stage before, over the same folder, are no longer read once this one begins."""
     ship(spark)
-    owner = f"pipeline-{spark.sparkContext.applicationId}"
+    owner = f"pipeline-{zlib.crc32(sf_dir.encode()):08x}"
     delete_written(spark, owner)
     return owner
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    taken = {c.lower() for c in docs.columns}
+    return next(x for k in range(len(taken) + 1) if (x := f"{name}{k}") not in taken)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model scores below 0.5; a null text counts as clean."""
-    _owner(spark)
+    """Documents that the toxicity model scores below 0.5; null and empty texts are scored like texts without words, equal texts alike."""
+    _owner(spark, sf_dir)
     held_out = classlm.remainder(F.col("doc_id"), 5) == 0
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
-    return toxicity.score(docs, model, to="_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
+    score = _fresh(docs, "toxicity")
+    return toxicity.score(docs, model, to=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of 5-word shingles at 0.8; of equal rows one; texts without words all."""
-    found = minhash.groups(docs.select(F.col("doc_id").alias("id"), "text"), minhash.Banding(), _owner(spark))
-    gone = found.filter("id <> component").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"])
+    """The document with the least id of each group of 5-word shingles at 0.8.
+
+    Rows that share an id are grouped and dropped one by one, by their texts; of rows equal in
+    id and text one stays. Texts without words and rows without id are in no group and stay.
+    """
+    found = minhash.groups(docs.select(F.col("doc_id").alias("id"), "text"), minhash.Banding(), _owner(spark, sf_dir))
+    gone = found.filter("id <> component").select("id", "th").distinct()
+    named = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = named.join(gone, (named["doc_id"] == gone["id"]) & (F.xxhash64(named["text"]) == gone["th"]), "left_anti")
+    return left.dropDuplicates(["doc_id", "text"])
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without what strings of 400 bytes cover that stand elsewhere; characters cut in half go too."""
-    found = runindex.remove_repeats(docs, owner=_owner(spark))
+    """All documents, without what strings of 400 bytes cover that stand elsewhere; characters cut in half go too.
+
+    Null and short texts stay as they are. Rows equal in id and text are repeats of each other
+    and both lose what they share; a document of which nothing is left stays as an empty text.
+    """
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = runindex.remove_repeats(rows, owner=_owner(spark, sf_dir))
     left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    found = found.withColumn("text", F.when(F.size("spans") > 0, left).otherwise(F.col("text")))
-    found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    changed = F.size("spans") > 0
+    new = {"text": F.when(changed, left).otherwise(F.col("text")), "n_chars": F.when(changed, F.length(left).cast("long")).otherwise(F.col("row.n_chars"))}
+    return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix, each as often as it takes them."""
-    _owner(spark)
+    """Documents of the mix, each as often as it takes them: a null source is one of its own, texts without words count nothing, repeated rows are taken one by one."""
+    _owner(spark, sf_dir)
     return mixing.emitted(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The number and digest of each document's ids, the digest of the text decoded from them, and whether that is the text."""
-    _owner(spark)
+    """The number and digest of each document's ids, the digest of the text decoded from them, and whether that is the text. A null text has no ids."""
+    _owner(spark, sf_dir)
     path, pattern = public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
     back = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern), path, pattern)
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -71,5 +97,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+        before, docs = docs, written(stage(spark, docs, sf_dir), "stage")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
