@@ -45,15 +45,12 @@ CELLS, REMEMBERED = 1 << 18, 250_000
 
 
 class Vocabulary:
-    """Token bytes by id, and the rank of each pair that merges in a hash table."""
+    """Ids of tokens by their bytes, and the rank of each pair that merges in a hash table."""
 
     def __init__(self, ranks: bytes, pattern: str) -> None:
         """ranks: the content of a rank file, a line for each token: its bytes in base64, and its rank."""
         by_bytes = {base64.b64decode(t): int(r) for t, r in (line.split() for line in ranks.splitlines() if line)}
         self.by_bytes, self.pattern = by_bytes, regex.compile(pattern)
-        self.tokens = [b""] * (max(by_bytes.values()) + 1)
-        for token, rank in by_bytes.items():
-            self.tokens[rank] = token
         self.byte_ids = np.array([by_bytes[bytes([b])] for b in range(256)], dtype=np.int32)
         pairs = {}
         for token, rank in by_bytes.items():
@@ -186,11 +183,19 @@ class Encoder:
         known.update((u, b"".join(map(ids.__getitem__, found))) for u, found in zip(new, matches, strict=True))
         return [b"".join(map(known.__getitem__, units)) for units in split]
 
-    def decode(self, ids: bytes | None) -> bytes:
-        return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids or b"", dtype="<u4").tolist()))
+
+def token_bytes(ranks: bytes) -> list[bytes]:
+    """The bytes of each id, all that decoding needs."""
+    by_rank = {int(r): base64.b64decode(t) for t, r in (line.split() for line in ranks.splitlines() if line)}
+    return [by_rank.get(i, b"") for i in range(max(by_rank) + 1)]
+
+
+def decoded(ids: bytes | None, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids or b"", dtype="<u4").tolist()))
 
 
 _loaded: dict[tuple[int, str], Encoder] = {}
+textbytes.CACHES.append(_loaded)
 
 
 def loaded(ranks: bytes, pattern: str) -> Encoder:
@@ -209,11 +214,11 @@ def _mapped(df: DataFrame, column: str, to: str, kind: str, tokenizer: str, patt
     schema = T.StructType([*kept, T.StructField(to, T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = loaded(ranks.value, pattern)
+        encoder, tokens = (loaded(ranks.value, pattern), []) if kind == "encode" else (None, token_bytes(ranks.value))
         for batch in batches:
             for part, _, _ in textbytes.chunks(batch, column):
                 values = part.column(column).to_pylist()
-                made = encoder.encode(values) if kind == "encode" else [encoder.decode(v) for v in values]
+                made = encoder.encode(values) if encoder else [decoded(v, tokens) for v in values]
                 columns = [part.column(f.name) for f in kept] + [pa.array(made, type=pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 

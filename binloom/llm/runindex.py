@@ -19,8 +19,17 @@ Anchors with more than GROUP contexts (the edges of a passage that very many doc
 share) are not indexed in one shard: their windows are counted by hash, which spreads
 them evenly over all tasks. Anchors, contexts and windows are told apart by 64-bit hashes.
 
+The same statistics tell of matches of SHORT bytes or more, down from WINDOW. They are
+reported, never removed, and not all: those whose two places have an anchor in common,
+which strings of 320 bytes in different surroundings have about four times in five.
+Contexts that follow each other overlap by less than WINDOW; so that the same bytes are
+not a match of SHORT with themselves, suffixes are compared only if their places differ
+(of suffixes that share a long match and stand side by side at different places, one at
+least is of each place).
+
 Null and empty texts hold no bytes. Texts below WINDOW bytes have no repeats. Rows that
-agree in id and text are places of their own that hold the same spans.
+agree in id and text are places of their own that hold the same spans. An empty table
+gives no rows. Columns of any name are kept, but for those of the results.
 """
 
 from __future__ import annotations
@@ -34,11 +43,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from binloom.llm import textbytes
-from binloom.session import written
+from binloom.session import discard, written
 
-WINDOW, GRAM = 400, 32
-#: Bytes of the contexts of a shard, about; contexts of one anchor that a shard takes at most.
-SHARD_BYTES, GROUP = 1 << 18, 8192
+WINDOW, SHORT, GRAM = 400, 256, 32
+#: Bytes of the contexts of a shard, about; contexts of one anchor that a shard takes at most (its arrays take some 100 bytes for each byte of text).
+SHARD_BYTES, GROUP = 1 << 18, 2048
+#: Shards of a task, one after the other.
+SHARDS = 4
 
 
 def window_minima(x: np.ndarray, w: int) -> np.ndarray:
@@ -58,10 +69,11 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, window: int, gram: int)
     if len(data) < window:
         return none
     h = textbytes.prefix_hash(data)
-    at = np.arange(len(data) - gram + 1)
-    hashes = textbytes.span_hash(h, at, at + gram)
     low = np.uint64(32)
-    place = window_minima((hashes >> low << low) | at.astype(np.uint64), window - gram + 1) & np.uint64(2**32 - 1)  # the first of the least
+    hashes = textbytes.quick_hash(data, gram) >> low << low
+    hashes |= np.arange(len(hashes), dtype=np.uint64)
+    place = window_minima(hashes, window - gram + 1) & np.uint64(2**32 - 1)  # the first of the least
+    del hashes
     inside = np.zeros(len(data) - window + 1, dtype=bool)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         if b - a >= window:
@@ -73,7 +85,7 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, window: int, gram: int)
     new = np.r_[True, place[1:] != place[:-1]]
     first = np.flatnonzero(new)
     start, end = p[first], p[np.r_[first[1:] - 1, len(p) - 1]] + window
-    anchor, ctx, doc = hashes[place[first]], textbytes.span_hash(h, start, end), np.searchsorted(offsets, start, "right") - 1
+    anchor, ctx, doc = textbytes.span_hash(h, place[first], place[first] + gram), textbytes.span_hash(h, start, end), np.searchsorted(offsets, start, "right") - 1
     row = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (ctx[1:] != ctx[:-1]) | (doc[1:] != doc[:-1])])
     last = np.r_[row[1:], len(start)] - 1
     return anchor[row], ctx[row], doc[row], start[row] - offsets[doc[row]], end[row] - start[row], last - row + 1, end[last] - start[row]
@@ -105,7 +117,7 @@ class RunIndex:
         for k in range(1, depth):
             key = key << bits
             key[: n - k] |= symbols[k:] + 1 if n > k else 0
-        tied = np.argsort(key, kind="stable").astype(np.int32)
+        tied = np.argsort(key).astype(np.int32)
         sorted_key, base = key[tied], np.zeros(n, dtype=np.int32)
         del key
         rank = np.zeros(n + 1, dtype=np.int32)
@@ -123,7 +135,7 @@ class RunIndex:
             if not len(tied):
                 break
             pair = rank[tied].astype(np.int64) * (n + 1) + rank[np.minimum(tied + depth, n)] + 1
-            order = np.argsort(pair, kind="stable")
+            order = np.argsort(pair)
             tied, sorted_key = tied[order], pair[order]
             base = rank[tied]
             depth *= 2
@@ -131,39 +143,46 @@ class RunIndex:
         out[rank[:n]] = np.arange(n, dtype=np.int32)
         return out
 
-    def matching_statistics(self, least: int = 1) -> np.ndarray:
+    def matching_statistics(self, least: int = 1, places: np.ndarray | None = None) -> np.ndarray:
         """For each symbol the longest match of what follows with what follows any other, if it is of length least or more.
 
         A match inside a run goes back to a longer one at a run's end, so shorter ones can be left out there.
+        With the texts' places, neighbours at one place are no match; then the longest at any suffix of a place is that place's.
         """
         n = len(self.symbols)
         left, right = self.last[:-1].astype(np.int64), self.first[1:].astype(np.int64)  # neighbours in suffix order, in different runs
-        values = textbytes.mix(self.symbols.astype(np.uint64))
-        h = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(values * textbytes.powers(n), out=h[1:])
-        down = textbytes.powers(n + 1, "down")
+        h = textbytes.prefix_sums(self.symbols, lambda part, k: textbytes.residues(textbytes.mix(part.astype(np.uint64) + np.uint64(k * textbytes.GOLDEN % 2**64)) >> np.uint64(1)))
+
+        def same(x: np.ndarray, y: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+            return textbytes.span_residues(h, x, x + length) == textbytes.span_residues(h, y, y + length)
+
         fits = np.flatnonzero((left + least <= n) & (right + least <= n))
-        x, y = left[fits], right[fits]
-        fits = fits[(h[x + least] - h[x]) * down[x] == (h[y + least] - h[y]) * down[y]]
+        if places is not None:
+            at = np.repeat(places - self.starts.astype(np.uint64), self.lengths + 1) + np.arange(n, dtype=np.uint64)
+            fits = fits[at[left[fits]] != at[right[fits]]]
+        fits = fits[same(left[fits], right[fits], least)]
         left, right = left[fits], right[fits]
         common, most = np.full(len(left), least, dtype=np.int64), int(self.lengths.max(initial=0)) + 1
         step = 1 << max(0, most.bit_length() - 1)
         while step:
             to = common + step
             fits = np.flatnonzero((left + to <= n) & (right + to <= n))
-            x, y, t = left[fits], right[fits], to[fits]
-            same = (h[x + t] - h[x]) * down[x] == (h[y + t] - h[y]) * down[y]
-            common[fits[same]] = t[same]
+            fits = fits[same(left[fits], right[fits], to[fits])]
+            common[fits] = to[fits]
             step >>= 1
-        del h, values
+        del h
         reach = np.zeros((2, n), dtype=np.int32)
         reach[0, right] = common + right
         reach[1, left] = common + left
         return np.maximum.accumulate(reach, axis=1).max(axis=0) - np.arange(n, dtype=np.int32)
 
-    def long_matches(self, window: int) -> list[list[int]]:
-        """For each text, starts and ends of what windows with a match elsewhere cover."""
-        hit = self.matching_statistics(window) >= window
+    def long_matches(self, *windows: int, places: np.ndarray | None = None) -> list[list[list[int]]]:
+        """For each length and each text, starts and ends of what windows of this length with a match elsewhere cover."""
+        found = self.matching_statistics(min(windows), places)
+        return [self._covered(found, w) for w in windows]
+
+    def _covered(self, found: np.ndarray, window: int) -> list[list[int]]:
+        hit = found >= window
         room = np.zeros(len(hit), dtype=bool)
         for a, length in zip(self.starts.tolist(), self.lengths.tolist(), strict=True):
             room[a : a + max(0, length - window + 1)] = True
@@ -192,9 +211,9 @@ def runs(keyed: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def contexts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """anchor, ctx, several, contexts (of the anchor) and the bytes of each wanted context."""
+    """anchor, ctx, several, contexts (of the anchor), place (of a document's byte) and the bytes of each wanted context."""
     by_doc = wanted.groupBy("_id", "_h").agg(F.collect_list(F.struct("anchor", "ctx", "several", "contexts", "start", "length")).alias("parts")).withColumnsRenamed({"_id": "_i", "_h": "_g"})
-    rows = keyed.dropDuplicates(["_id", "_h"]).join(by_doc, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_h").eqNullSafe(F.col("_g"))).select("_text", "parts")
+    rows = keyed.dropDuplicates(["_id", "_h"]).join(by_doc, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_h").eqNullSafe(F.col("_g"))).select("_text", "parts", F.xxhash64("_id", "_h").alias("own"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,28 +225,30 @@ def contexts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
                 end = start + flat.field("length").to_numpy()
                 raw = data.tobytes()
                 found = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("ctx"), flat.field("several"), flat.field("contexts"), pa.array(found, type=pa.binary())], names=["anchor", "ctx", "several", "contexts", "bytes"])
+                place = part.column("own").to_numpy()[doc] + flat.field("start").to_numpy()
+                yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("ctx"), flat.field("several"), flat.field("contexts"), pa.array(place), pa.array(found, type=pa.binary())], names=["anchor", "ctx", "several", "contexts", "place", "bytes"])
 
-    return rows.mapInArrow(textbytes.trimmed(run), "anchor long, ctx long, several boolean, contexts long, bytes binary")
+    return rows.mapInArrow(textbytes.trimmed(run), "anchor long, ctx long, several boolean, contexts long, place long, bytes binary")
 
 
-def indexed_matches(found: DataFrame, window: int, shard_bytes: int, owner: str) -> DataFrame:
-    """anchor, ctx and spans within the context, for contexts that stand once and hold repeats."""
+def indexed_matches(found: DataFrame, window: int, short: int, shard_bytes: int, owner: str) -> DataFrame:
+    """anchor, ctx, spans and short_spans within the context, for contexts that stand once and hold repeats."""
     total = found.agg(F.sum(F.length("bytes"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("anchor", "ascending"), ("ctx", "ascending")])
-        spans = RunIndex(table["bytes"].to_pylist()).long_matches(window)
-        once = [not s and bool(x) for s, x in zip(table["several"].to_pylist(), spans, strict=True)]
-        return pa.table([table["anchor"], table["ctx"], pa.array(spans, type=pa.list_(pa.int32()))], names=["anchor", "ctx", "spans"]).filter(pa.array(once))
+        long_, short_ = RunIndex(table["bytes"].to_pylist()).long_matches(window, short, places=table["place"].to_numpy().view(np.uint64))
+        once = [not s and bool(x) for s, x in zip(table["several"].to_pylist(), short_, strict=True)]
+        lists = pa.list_(pa.int32())
+        return pa.table([table["anchor"], table["ctx"], pa.array(long_, type=lists), pa.array(short_, type=lists)], names=["anchor", "ctx", "spans", "short_spans"]).filter(pa.array(once))
 
-    rows = found.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartition(int(min(shards, 1 << 16)), "shard")
-    return rows.groupBy("shard").applyInArrow(textbytes.trimmed_group(run), "anchor long, ctx long, spans array<int>")
+    rows = found.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartition(int(min(-(-shards // SHARDS), 1 << 16)), "shard")
+    return rows.groupBy("shard").applyInArrow(textbytes.trimmed_group(run), "anchor long, ctx long, spans array<int>, short_spans array<int>")
 
 
 def counted_matches(found: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with very many contexts: each window is counted by its hash."""
+    """anchor, ctx and spans for anchors with very many contexts: each window is counted by its hash."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,61 +259,79 @@ def counted_matches(found: DataFrame, window: int) -> DataFrame:
                 at = np.arange(len(row)) - np.repeat(np.cumsum(room) - room, room)
                 start = offsets[row] + at
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("anchor").take(take), part.column("ctx").take(take), part.column("several").take(take), pa.array(at.astype(np.int32)), pa.array(textbytes.span_hash(h, start, start + window).view(np.int64))], names=["anchor", "ctx", "several", "at", "window"])
+                yield pa.RecordBatch.from_arrays([part.column("anchor").take(take), part.column("ctx").take(take), part.column("several").take(take), pa.array(at.astype(np.int32)), pa.array(part.column("place").to_numpy()[row] + at), pa.array(textbytes.span_hash(h, start, start + window).view(np.int64))], names=["anchor", "ctx", "several", "at", "place", "window"])
 
-    rows = found.mapInArrow(textbytes.trimmed(run), "anchor long, ctx long, several boolean, at int, window long")
-    again = rows.groupBy("window").agg(F.count("*").alias("n"), F.max("several").alias("any")).filter("n > 1 or any").select("window")
+    rows = found.mapInArrow(textbytes.trimmed(run), "anchor long, ctx long, several boolean, at int, place long, window long")
+    again = rows.groupBy("window").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.max("several").alias("any")).filter("lo <> hi or any").select("window")
     return rows.filter("not several").join(again, "window").groupBy("anchor", "ctx").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + window))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, group: int = GROUP, owner: str = "query") -> DataFrame:
-    """The rows with n_bytes, spans (maximal removed byte ranges) and kept (the other bytes) as more columns.
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, short: int = SHORT, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, group: int = GROUP, owner: str = "query") -> DataFrame:
+    """The rows with n_bytes, spans (maximal removed byte ranges), kept (the other bytes) and shared (maximal ranges of matches seen of at least short bytes) as more columns.
 
     Columns of those names are replaced.
     """
-    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    keyed = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(data).alias("_h"), data.alias("_text"))
+    short = min(short, window)
+    data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    keyed = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(data).alias("_h"), data.alias("_text"))
     every = written(runs(keyed, window, gram), owner)
     pairs = every.groupBy("anchor", "ctx").agg(F.sum("times").alias("n"), F.min(F.struct("_id", "_h", "start", "length")).alias("x"))
     pairs = written(pairs, owner)
     anchors = pairs.groupBy("anchor").agg(F.sum("n").alias("places"), F.count("*").alias("contexts")).filter("places > 1")
     kept = written(pairs.join(anchors, "anchor").select("anchor", "ctx", (F.col("n") > 1).alias("several"), "contexts", "x.*"), owner)
+    discard(pairs)
     found = written(contexts(keyed, kept.filter("contexts > 1")), owner)
-    marks = indexed_matches(found.filter(F.col("contexts") <= group), window, shard_bytes, owner)
-    marks = marks.unionByName(counted_matches(found.filter(F.col("contexts") > group), window))
-    marks = marks.unionByName(kept.filter("several").select("anchor", "ctx", F.lit(None).cast("array<int>").alias("spans")))
+    none = F.lit(None).cast("array<int>")
+    marks = indexed_matches(found.filter(F.col("contexts") <= group), window, short, shard_bytes, owner)
+    crowded = found.filter(F.col("contexts") > group)
+    marks = marks.unionByName(counted_matches(crowded, window).withColumn("short_spans", F.col("spans")))
+    if short < window:
+        marks = marks.unionByName(counted_matches(crowded, short).select("anchor", "ctx", F.array().cast("array<int>").alias("spans"), F.col("spans").alias("short_spans")))
+    marks = marks.unionByName(kept.filter("several").select("anchor", "ctx", none.alias("spans"), none.alias("short_spans")))
     marks = written(marks, owner)
-    spans = every.join(marks, ["anchor", "ctx"]).groupBy("_id", "_h").agg(F.collect_set(F.struct("start", F.coalesce("spans", F.array(F.lit(0), F.col("reach"))).alias("spans"))).alias("_marks")).withColumnsRenamed({"_id": "_i", "_h": "_g"})
-    new = [T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())]
-    fields = [f for f in docs.schema.fields if f.name not in {n.name for n in new}]
-    schema = T.StructType([*fields, *new])
-    rows = docs.select(*[F.col(f"`{f.name}`") for f in fields]).withColumn("_h", F.xxhash64(data))
-    rows = rows.join(spans, F.col(f"`{doc_id}`").eqNullSafe(F.col("_i")) & F.col("_h").eqNullSafe(F.col("_g")), "left").drop("_i", "_g", "_h")
+    discard(kept, found)
+    whole = F.array(F.lit(0), F.col("reach"))
+    marked = F.struct("start", F.coalesce("spans", whole).alias("spans"), F.coalesce("short_spans", whole).alias("short_spans"))
+    spans = every.join(marks, ["anchor", "ctx"]).groupBy("_id", "_h").agg(F.collect_set(marked).alias("marks"))
+
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    new = [T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType()), T.StructField("shared", span)]
+    fields = [f for f in docs.schema.fields if f.name.lower() not in {n.name for n in new}]
+    carried = [F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)]  # names of our own, whatever the table's are
+    rows = docs.select(*carried, F.col(f"`{doc_id}`").alias("own_id"), data.alias("data"))
+    rows = rows.join(spans, F.col("own_id").eqNullSafe(F.col("_id")) & (F.xxhash64("data") == F.col("_h")), "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in textbytes.chunks(batch, text):
-                turn = np.zeros(len(data) + part.num_rows + 1, dtype=np.int32)  # a place for each document's end
-                base = offsets[:-1] + np.arange(part.num_rows)
-                for b, marks in zip(base.tolist(), part.column("_marks").to_pylist(), strict=True):
-                    for m in marks or []:
-                        at = np.array(m["spans"]) + (b + m["start"])
-                        np.add.at(turn, at[0::2], 1)
-                        np.add.at(turn, at[1::2], -1)
-                gone = np.cumsum(turn[:-1]) > 0
-                edge = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
-                from_, to = edge[0::2], edge[1::2]
-                doc = np.searchsorted(base, from_, "right") - 1
+            for part, data, offsets in textbytes.chunks(batch, "data", 1 << 19):
+                base = offsets[:-1] + np.arange(part.num_rows)  # a place for each document's end
+                marks = part.column("marks").to_pylist()
+                gone, gone_spans = marked_spans(marks, "spans", base, len(data) + part.num_rows)
+                _, shared = marked_spans(marks, "short_spans", base, len(data) + part.num_rows)
                 inside = np.ones(len(gone), dtype=bool)
                 inside[base + np.diff(offsets)] = False
                 left = ~gone[inside]
                 raw = data[left].tobytes()
                 ends = np.r_[0, np.cumsum(left)][offsets]
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(from_ - base[doc]), pa.array(to - base[doc])], names=["start", "end"]))
                 kept_bytes = pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in fields] + [pa.array(np.diff(offsets)), lists, kept_bytes], names=schema.names)
-
-    return rows.select(*[F.col(f"`{f.name}`") for f in fields], "_marks").mapInArrow(textbytes.trimmed(run), schema)
+                yield pa.RecordBatch.from_arrays([part.column(f"c{i}") for i in range(len(fields))] + [pa.array(np.diff(offsets)), gone_spans, kept_bytes, shared], names=[f.name for f in fields + new])
+
+    return rows.select(*[f"c{i}" for i in range(len(fields))], "data", "marks").mapInArrow(textbytes.trimmed(run), T.StructType([*fields, *new]))
+
+
+def marked_spans(marks: list, name: str, base: np.ndarray, size: int) -> tuple[np.ndarray, pa.ListArray]:
+    """A flag for each of size places, and for each document, beginning at base, the maximal runs of flagged ones."""
+    turn = np.zeros(size + 1, dtype=np.int32)
+    for b, own in zip(base.tolist(), marks, strict=True):
+        for m in own or []:
+            at = np.array(m[name], dtype=np.int64) + (b + m["start"])
+            np.add.at(turn, at[0::2], 1)
+            np.add.at(turn, at[1::2], -1)
+    gone = np.cumsum(turn[:-1]) > 0
+    edge = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
+    from_, to = edge[0::2], edge[1::2]
+    doc = np.searchsorted(base, from_, "right") - 1
+    return gone, pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(base) + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(from_ - base[doc]), pa.array(to - base[doc])], names=["start", "end"]))
 
 
 #: The same digests in DuckDB's SQL: every window's hash is counted.

@@ -1,9 +1,12 @@
 """Vectorised handling of text as the bytes of Arrow buffers.
 
 A chunk is (data, offsets): the UTF-8 bytes of a few thousand documents end to end,
-and where each begins. Nulls count as empty. Hashes of byte spans are 64 bits wide:
-sums of a random value for each byte, times a power of an odd constant, modulo 2**64,
-so that every span's hash is a difference of two prefix sums.
+and where each begins. Nulls count as empty. A span's hash comes from the difference of
+two prefix sums of a random value for each byte, times a power of a base. Two such sums
+with different bases, modulo the prime 2**31 - 1, make up the 62 bits that tell spans
+apart; modulo a power of two, sequences like Thue and Morse's collide whatever the base.
+The quick sums, modulo 2**64, only ever choose places (equal spans have equal values);
+nothing is taken as equal because of them.
 """
 
 from __future__ import annotations
@@ -14,10 +17,14 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: The constants of the splitmix64 generator and an odd base for the span hashes.
+#: The constants of the splitmix64 generator, the prime and bases of the span hashes, and the odd base of the quick ones.
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+PRIME, BASES = (1 << 31) - 1, (1_347_683_021, 907_133_923)
 BASE = 0xD1342543DE82EF95
 
+#: Values that are summed at a time, so that they stay in the cache.
+CACHED = 1 << 14
+
 #: Text bytes that one chunk holds at most (a longer document is a chunk of its own).
 CHUNK_BYTES = 1 << 20
 
@@ -44,17 +51,39 @@ def seeded(n: int, seed: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(seed))
 
 
-BYTE_VALUES = seeded(256, 11)
-_powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
+def residues(x: np.ndarray) -> np.ndarray:
+    """Values below 2**63, in place, modulo PRIME."""
+    for _ in range(3):
+        high = x >> np.uint64(31)
+        x &= np.uint64(PRIME)
+        x += high
+    x[x == PRIME] = 0
+    return x
+
+
+BYTE_VALUES = np.stack([residues(seeded(256, seed) >> np.uint64(1)) for seed in (11, 13)])
+QUICK_VALUES = seeded(256, 11)
+_powers: dict[object, np.ndarray] = {}
+
 
+def powers(n: int, which: int, down: bool = False) -> np.ndarray:
+    """The first n powers of a base, or of its inverse, modulo PRIME."""
+    out = _powers.get((which, down), np.ones(1, dtype=np.uint32))
+    if len(out) < n:
+        base = pow(BASES[which], -1, PRIME) if down else BASES[which]
+        while len(out) < max(n, CHUNK_BYTES // 4):
+            out = np.concatenate([out, residues(out * np.uint64(pow(base, len(out), PRIME))).astype(np.uint32)])
+        _powers[which, down] = out
+    return out[:n]
 
-def powers(n: int, which: str = "up") -> np.ndarray:
-    """The first n powers of BASE ("up") or of its inverse ("down"), modulo 2**64."""
-    if len(_powers[which]) < n:
-        full = np.full(max(n, CHUNK_BYTES // 4), BASE if which == "up" else pow(BASE, -1, 1 << 64), dtype=np.uint64)
+
+def quick_powers(n: int, down: bool = False) -> np.ndarray:
+    """The first n powers of BASE, or of its inverse, modulo 2**64."""
+    if len(_powers.get(down, ())) < n:
+        full = np.full(max(n, CHUNK_BYTES // 4), pow(BASE, -1, 1 << 64) if down else BASE, dtype=np.uint64)
         full[0] = 1
-        _powers[which] = np.multiply.accumulate(full)
-    return _powers[which][:n]
+        _powers[down] = np.multiply.accumulate(full)
+    return _powers[down][:n]
 
 
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,16 +126,58 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def prefix_sums(symbols: np.ndarray, values: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """Two rows of prefix sums; values gives each block of symbols their values below PRIME for a row."""
+    n = len(symbols)
+    out = np.zeros((2, n + 1), dtype=np.uint32)
+    for k in (0, 1):
+        by, carry = powers(n, k), 0
+        for at in range(0, n, CACHED):
+            x = values(symbols[at : at + CACHED], k) * by[at : at + CACHED]
+            high = x >> np.uint64(31)
+            x &= np.uint64(PRIME)
+            x += high
+            x[0] += np.uint64(carry)
+            np.cumsum(x, out=x)
+            for _ in (0, 1):
+                np.right_shift(x, np.uint64(31), out=high)
+                x &= np.uint64(PRIME)
+                x += high
+            out[k, at + 1 : at + 1 + len(x)] = x
+            carry = int(x[-1])
+    return out
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """h with h[j] - h[i] the unscaled hash of data[i:j]."""
-    h = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_VALUES[data] * powers(len(data)), out=h[1:])
-    return h
+    """The prefix sums of bytes."""
+    return prefix_sums(data, lambda part, k: BYTE_VALUES[k][part])
+
+
+def span_residues(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """62 bits of each span [start, end), the same for equal spans of one length."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for k in (0, 1):
+        x = h[k][ends].astype(np.uint64)
+        x += np.uint64(2 * PRIME) - h[k][starts]
+        high = x >> np.uint64(31)
+        x &= np.uint64(PRIME)
+        x += high
+        x *= powers(h.shape[1], k, down=True)[starts]
+        out = (out << np.uint64(31)) | residues(x)
+    return out
 
 
 def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans [start, end), the same wherever equal bytes stand."""
-    return mix((h[ends] - h[starts]) * powers(len(h), "down")[starts] + (ends - starts).astype(np.uint64) * np.uint64(GOLDEN))
+    return mix(span_residues(h, starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(GOLDEN))
+
+
+def quick_hash(data: np.ndarray, length: int) -> np.ndarray:
+    """A value for each span of this length, to choose places by: different spans may well share one."""
+    h = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(QUICK_VALUES[data] * quick_powers(len(data)), out=h[1:])
+    n = len(data) - length + 1
+    return mix((h[length:] - h[:n]) * quick_powers(n, down=True) + np.uint64(length))
 
 
 def gram_hash(word: np.ndarray, n: int) -> np.ndarray:
@@ -120,8 +191,14 @@ def gram_hash(word: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
+#: What workers remember from batch to batch, and drop at the end of a task.
+CACHES: list[dict] = [_powers]
+
+
 def release() -> None:
-    """Hand freed memory back to the system: a worker that waits for its next task keeps none of the last one's arrays."""
+    """Hand memory back to the system: a worker that waits for its next task keeps none of the last one's arrays and caches."""
+    for cache in CACHES:
+        cache.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -142,11 +219,12 @@ def trimmed(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
 
 def trimmed_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
-    """The same for applyInArrow, after each group."""
+    """The same for applyInArrow, after each group of some size."""
 
     def inner(table: pa.Table) -> pa.Table:
         out = run(table)
-        release()
+        if table.nbytes > CHUNK_BYTES // 4:
+            release()
         return out
 
     return inner
