@@ -28,12 +28,14 @@ from pyspark.sql import types as T
 
 from binloom.llm import textbytes
 from binloom.llm.components import components
-from binloom.session import written
+from binloom.session import discard, written
 
 #: Elements whose permutations are held at once.
 HELD = 1 << 16
 #: Rows of a block of buckets that are checked as a whole; members of a bucket above which intersections come from a matrix product; its columns.
 BLOCK, FEW, COLUMNS = 1024, 32, 4096
+#: Bytes of text whose sets are held at once.
+CHUNK = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -132,32 +134,40 @@ def band_keys(signature: np.ndarray, banding: Banding) -> np.ndarray:
     return textbytes.mix((part * by).sum(axis=2, dtype=np.uint64) + textbytes.seeded(banding.bands, 43))
 
 
+def set_sums(sets: list[np.ndarray], salt: int) -> np.ndarray:
+    """The sum of each set's salted hashes, which does not depend on their order."""
+    out, n = np.zeros(len(sets), dtype=np.uint64), np.array([len(s) for s in sets], dtype=np.int64)
+    some = np.flatnonzero(n)
+    if len(some):
+        out[some] = np.add.reduceat(textbytes.mix(np.concatenate(sets) ^ np.uint64(salt)), (np.cumsum(n) - n)[some])
+    return out
+
+
 def described(items: DataFrame, banding: Banding) -> DataFrame:
-    """id, n (shingles), two digests of the set, and its bands' keys, from (id, text)."""
-    schema = T.StructType([items.schema["id"], T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """id, th (the text's hash), n (shingles), two digests of the set, and its bands' keys, from (id, th, text)."""
+    schema = T.StructType([items.schema["id"], T.StructField("th", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in textbytes.chunks(batch, "text", 1 << 20):
+            for part, data, offsets in textbytes.chunks(batch, "text", CHUNK):
                 sets = shingle_sets(data, offsets, banding)
                 n = np.array([len(s) for s in sets])
                 keys = band_keys(signatures(sets, banding.bands * banding.rows), banding).view(np.int64)
-                first = np.array([textbytes.mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
-                second = np.array([textbytes.mix(s ^ np.uint64(textbytes.GOLDEN)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
+                first, second = set_sums(sets, 0), set_sums(sets, textbytes.GOLDEN)
                 size = np.where(n > 0, banding.bands, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(keys[n > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(n), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), lists], names=schema.names)
 
-    return items.select("id", "text").mapInArrow(textbytes.trimmed(run), schema)
+    return items.select("id", "th", "text").mapInArrow(textbytes.trimmed(run), schema)
 
 
 def linked(pairs: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    """The pairs (a, b) of nodes whose full sets are similar enough."""
+    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in textbytes.chunks(batch, "ta", 1 << 20):
+            for part, data, offsets in textbytes.chunks(batch, "ta", CHUNK):
                 left = shingle_sets(data, offsets, banding)
                 right = shingle_sets(*textbytes.joined(part.column("tb")), banding)
                 good = []
@@ -166,8 +176,7 @@ def linked(pairs: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
                     good.append(100 * both >= banding.percent * (len(x) + len(y) - both) and len(x) > 0)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(good))
 
-    kind = texts.schema["id"].dataType
-    return rows.select("a", "b", "ta", "tb").mapInArrow(textbytes.trimmed(run), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return rows.select("a", "b", "ta", "tb").mapInArrow(textbytes.trimmed(run), "a long, b long")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -223,73 +232,74 @@ def bridges(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[tup
 
 
 def bucket_links(left: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
-    """Links (a, b) between components of the same bucket, from (key, id, component); enough of them to join what is linked."""
+    """Links (a, b) between components of the same bucket, from (key, node, component); enough of them to join what is linked."""
     counted = left.join(left.groupBy("key").agg(F.count("*").alias("m")), "key")
     bins = max(1, -(-left.count() // BLOCK))
     blocks = F.when(F.col("m") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("m") / BLOCK)).cast("int")
-    dealt = counted.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = counted.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     alone = F.col("blocks") == 1  # whole buckets share bins; a block of a larger one meets each block of it
-    dealt = dealt.select("key", "id", "component", F.when(alone, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("key")).alias("g"), F.when(alone, -1).otherwise(F.least("own", "other")).alias("lo"), F.when(alone, -1).otherwise(F.greatest("own", "other")).alias("hi"))
-    rows = dealt.join(texts.hint("merge"), "id")
-    kind = texts.schema["id"].dataType
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-
-    def hashable(column: pa.ChunkedArray) -> list:
-        return [tuple(v.values()) if isinstance(v, dict) else v for v in column.to_pylist()]
+    dealt = dealt.select("key", "node", "component", F.when(alone, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("key")).alias("g"), F.when(alone, -1).otherwise(F.least("own", "other")).alias("lo"), F.when(alone, -1).otherwise(F.greatest("own", "other")).alias("hi"))
+    rows = dealt.join(texts.hint("merge"), "node")
 
     def run(table: pa.Table) -> pa.Table:
-        key, ids, components_ = table["key"].to_numpy(), hashable(table["id"]), hashable(table["component"])
-        doc: dict[object, int] = {}
-        where = np.array([doc.setdefault(v, len(doc)) for v in ids])
-        _, first = np.unique(where, return_index=True)
+        key, component = table["key"].to_numpy(), table["component"].to_numpy()
+        nodes, first, where = np.unique(table["node"].to_numpy(), return_index=True, return_inverse=True)
         sets: list[np.ndarray] = []
-        for batch in table.select(["text"]).take(pa.array(first)).combine_chunks().to_batches():
-            for _, data, offsets in textbytes.chunks(batch, "text", 1 << 20):
-                sets += shingle_sets(data, offsets, banding)
-        number: dict[object, int] = {}
-        group = np.array([number.setdefault(v, len(number)) for v in components_])
+        for at in range(0, len(first), FEW):
+            sets += shingle_sets(*textbytes.joined(table["text"].take(pa.array(first[at : at + FEW]))), banding)
+        group = np.unique(component, return_inverse=True)[1]
         found: set[tuple[int, int]] = set()
         order = np.argsort(key, kind="stable")
         for rows_ in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
             if len(np.unique(group[rows_])) > 1:
-                found.update((int(first[where[rows_[i]]]), int(first[where[rows_[j]]])) for i, j in bridges([sets[d] for d in where[rows_]], group[rows_], banding.percent))
-        a, b = (pa.array([p[k] for p in sorted(found)], type=pa.int64()) for k in (0, 1))
-        id_ = table["id"].combine_chunks()
-        return pa.Table.from_arrays([id_.take(a), id_.take(b)], names=["a", "b"])
+                found.update((int(where[rows_[i]]), int(where[rows_[j]])) for i, j in bridges([sets[d] for d in where[rows_]], group[rows_], banding.percent))
+        a, b = (nodes[np.array([p[k] for p in sorted(found)], dtype=np.int64)] for k in (0, 1))
+        return pa.table([a, b], names=["a", "b"])
 
-    return rows.select("g", "lo", "hi", "key", "id", "component", "text").groupBy("g", "lo", "hi").applyInArrow(textbytes.trimmed_group(run), schema)
+    return rows.select("g", "lo", "hi", "key", "node", "component", "text").groupBy("g", "lo", "hi").applyInArrow(textbytes.trimmed_group(run), "a long, b long")
 
 
 def groups(items: DataFrame, banding: Banding, owner: str = "query") -> DataFrame:
-    """id, n (shingles in the set) and component (the least id reachable by links) for each row of (id, text).
+    """id, th, n (shingles in the set) and component (the least id reachable by links) for each row of (id, text).
+
+    th is the xxhash64 of the text. Null or blank texts have an empty set and are linked with
+    nothing. Rows are grouped one by one: rows of one id with different texts may lie in
+    different groups. Rows without id are linked with nothing and have no component.
 
-    Null or blank texts have an empty set and are linked with nothing. Rows of one id are
-    one node; should their texts differ, the least is compared. Rows without id are linked
-    with nothing and have no component.
+    Rows of equal sets are one class. A class has a number of 64 bits, its node, by which
+    pairs, links and components go; the ids, of whatever type, come back at the end.
     """
+    items = items.select("id", F.xxhash64("text").alias("th"), "text")
     sets = written(described(items, banding), owner)
-    classes = written(sets.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "keys")).alias("x")).select("s1", "s2", "n", "x.id", "x.keys"), owner)
-    rows = classes.select(F.explode("keys").alias("key"), "id", "n")
+    least = [F.min(F.struct("id", "th", "keys")).alias("x"), F.count("*").alias("rows")]
+    classes = sets.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(*least).select("s1", "s2", "n", "x.id", "x.th", "x.keys", "rows", F.monotonically_increasing_id().alias("node"))
+    classes = written(classes, owner)
+    rows = classes.select(F.explode("keys").alias("key"), "node", "n")
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     members = written(rows.join(shared, "key"), owner)
-    weight = members.groupBy("id").agg(F.sum("m").alias("w"))
-    centers = members.join(weight, "id").groupBy("key").agg(F.min(F.struct(-F.col("w"), "id", "n")).alias("x")).select("key", F.col("x.id").alias("center"), F.col("x.n").alias("center_n"))
+    weight = members.groupBy("node").agg(F.sum("m").alias("w"))
+    centers = members.join(weight, "node").groupBy("key").agg(F.min(F.struct(-F.col("w"), "node", "n")).alias("x")).select("key", F.col("x.node").alias("center"), F.col("x.n").alias("center_n"))
     near = F.least("n", "center_n") * 100 >= F.greatest("n", "center_n") * banding.percent  # what the sizes allow
-    tested = members.join(centers, "key").filter((F.col("id") != F.col("center")) & near).select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")).distinct()
-    texts = written(items.select("id", "text").join(weight.select("id").hint("merge"), "id").groupBy("id").agg(F.min("text").alias("text")), owner)
+    tested = members.join(centers, "key").filter((F.col("node") != F.col("center")) & near).select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
+    firsts = classes.select("id", "th", "node").join(weight.select("node"), "node")
+    texts = written(items.join(firsts.hint("merge"), ["id", "th"]).groupBy("node").agg(F.min("text").alias("text")), owner)
     links = written(linked(tested, texts, banding), owner)
-    found = components(links, owner)
+    found = components(links, owner).withColumnRenamed("node", "member")
 
-    placed = members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = members.join(found, members["node"] == found["member"], "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     left = written(placed.join(mixed, "key"), owner)
     more = written(bucket_links(left, texts, banding), owner)
     if not more.isEmpty():
-        found = components(links.unionByName(more), owner)
+        found = components(links.unionByName(more), owner).withColumnRenamed("node", "member")
 
-    named = classes.select("s1", "s2", "n", "id").join(found, F.col("id") == F.col("node"), "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("n").alias("tn"), F.coalesce("component", "id").alias("component"))
+    joined = classes.select("id", "node").join(found, F.col("node") == F.col("member"))
+    named = joined.join(joined.groupBy("component").agg(F.min("id").alias("first")), "component").select("member", "first")
+    named = classes.select("s1", "s2", "n", "id", "rows", "node").join(named, F.col("node") == F.col("member"), "left").filter("rows > 1 or first is not null")
+    named = written(named.select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("n").alias("tn"), F.coalesce("first", "id").alias("component")), owner)
+    discard(classes, members, texts, links, left, more)
     out = sets.join(named, (sets["s1"] == named["t1"]) & (sets["s2"] == named["t2"]) & (sets["n"] == named["tn"]), "left")
-    return out.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+    return out.select("id", "th", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
 #: Groups of documents by 4-word shingles in DuckDB's SQL: all pairs that share a shingle.
