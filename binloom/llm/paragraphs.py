@@ -1,62 +1,93 @@
 """Substring dedup by paragraphs: MinHash banding, verification, removal by components.
 
-Paragraphs are the lines of a text. Those of LEAST_WORDS words or more are grouped by the
-similarity of their word shingles; of each group the paragraph with the least (id, number)
-stays and the others are removed from their documents. Shorter ones are left alone.
+A paragraph is a piece of a line: it ends after a sentence's mark that a space follows, or
+with the line (CUT). So a passage that is copied into the middle of another text, within a
+line or over several, brings whole paragraphs with it, and where it stands does not matter.
+Paragraphs of LEAST_WORDS words or more, a third of a passage of 50 words, are grouped by
+the similarity of their word shingles; of each group the one with the least (id, number)
+stays and the others are removed from their documents. Shorter ones are left alone: headings,
+greetings and licence lines recur without being copied passages.
 
 BANDING has two rows a band: random paragraphs share almost no shingles, so selective
 bands aren't needed, and of pairs at the least similarity one in 28,000 shares no bucket.
 
-Null texts have no paragraphs and stay null, an empty text is one empty paragraph. Rows of
-one id are one document: what is removed is removed from each. Rows without id are left alone.
+Null texts have no paragraphs and stay null, an empty text is one empty paragraph. Equal
+rows are one document: what is removed is removed from each; rows that share only their id
+are documents of their own. Rows without id are left alone. Columns named as a result's are replaced, others are kept whatever their name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binloom.llm import minhash
 
-LEAST_WORDS = 5
+#: Where one paragraph ends and the next begins.
+CUT = r"(?<=[.!?] |[\n。！？])"
+LEAST_WORDS = 16
 BANDING = minhash.Banding(words=5, percent=80, bands=10, rows=2, least_words=LEAST_WORDS)
 
 
+def cut(text: Column) -> Column:
+    """The paragraphs of a text; joined end to end they are the text again."""
+    return F.split(text, CUT)
+
+
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", banding: minhash.Banding = BANDING, owner: str = "query") -> DataFrame:
-    """(doc_id, number) of each paragraph, n (its shingles) and component: the (doc_id, number) of its group's first."""
-    items = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("number", "text"))
-    items = items.filter(F.length("text") >= 2 * banding.least_words - 1).select(F.struct("doc_id", "number").alias("id"), "text")
+    """id of each paragraph (doc_id, number, and version, the hash of the whole text), n (its shingles) and component: the id of its group's first."""
+    whole = F.col(f"`{text}`")
+    pieces = docs.filter(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(whole).alias("version"), cut(whole).alias("pieces"))
+    items = pieces.select("doc_id", "version", F.posexplode("pieces").alias("number", "text"))
+    spaces = F.length("text") - F.length(F.translate("text", " \t\n\v\f\r", ""))
+    items = items.filter(spaces >= banding.least_words - 1).select(F.struct("doc_id", "number", "version").alias("id"), "text")
     return minhash.groups(items, banding, owner)
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", banding: minhash.Banding = BANDING, owner: str = "query") -> DataFrame:
-    """The rows with removed (numbers of removed paragraphs), kept_in (ids of documents that keep their like) and kept_text as more columns."""
-    gone = grouped(docs, doc_id, text, banding, owner).filter("id <> component")
-    by_doc = gone.groupBy(F.col("id.doc_id").alias("_id")).agg(F.sort_array(F.collect_set("id.number")).alias("removed"), F.sort_array(F.collect_set("component.doc_id")).alias("kept_in"))
-    rows = docs.drop("removed", "kept_in", "kept_text").join(by_doc, F.col(doc_id).eqNullSafe(F.col("_id")), "left").drop("_id")
-    none = F.array().cast("array<int>")
-    rows = rows.withColumn("removed", F.coalesce("removed", none)).withColumn("kept_in", F.coalesce("kept_in", F.array().cast(rows.schema["kept_in"].dataType)))
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("removed", i)), "\n")
-    return rows.withColumn("kept_text", F.when(F.size("removed") == 0, F.col(text)).otherwise(kept))
+    """The rows with four more columns.
+
+    removed: numbers of removed paragraphs; shared: numbers of all paragraphs that have their
+    like elsewhere, those that stay included; kept_in: ids of documents that keep the like of
+    the removed ones; kept_text.
+    """
+    found = grouped(docs, doc_id, text, banding, owner).filter("n > 0").select("id", "component").distinct()
+    several = found.groupBy("component").agg(F.count("*").alias("m")).filter("m > 1").select("component")
+    gone = F.col("id") != F.col("component")
+    lists = [F.sort_array(F.collect_set(x)).alias(name) for x, name in ((F.when(gone, F.col("id.number")), "removed"), (F.col("id.number"), "shared"), (F.when(gone, F.col("component.doc_id")), "kept_in"))]
+    by_doc = found.join(several, "component").groupBy(F.col("id.doc_id").alias("key"), "id.version").agg(*lists)
+    new = ["removed", "shared", "kept_in", "kept_text"]
+    old = [F.col(f"`{c}`").alias(c) for c in docs.columns if c.lower() not in new]
+    rows = docs.select(F.struct(*old).alias("row"))
+    rows = rows.join(by_doc, F.col("row")[doc_id].eqNullSafe(F.col("key")) & (F.xxhash64(F.col("row")[text]) == F.col("version")), "left")
+    listed = {name: F.coalesce(name, F.array().cast(by_doc.schema[name].dataType)) for name in new[:3]}
+    whole = F.col("row")[text]
+    kept = F.array_join(F.filter(cut(whole), lambda _, i: ~F.array_contains(listed["removed"], i)), "")
+    return rows.select("row.*", *[c.alias(name) for name, c in listed.items()], F.when(F.size(listed["removed"]) == 0, whole).otherwise(kept).alias("kept_text"))
 
 
 #: The same in DuckDB's SQL: all pairs of paragraphs that share a shingle.
-ORACLE = r"""
-with recursive docs as (select doc_id, string_split(text, chr(10)) as p from documents),
+ORACLE = rf"""
+with recursive docs as (select doc_id, string_split(regexp_replace(text, '([.!?] |[\n。！？])', '\1' || chr(1), 'g'), chr(1)) as p from documents),
 paras as (select doc_id, unnest(range(len(p))) as number, unnest(p) as text from docs),
 words as (
   select doc_id * 1000000 + number as id,
          list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as a
   from paras),
-sets as (select id, list_distinct(list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' '))) as g from words where len(a) >= 5),
+sizes as (select id, len(a) as w from words),
+sets as (select id, list_distinct(list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' '))) as g from words where len(a) >= {LEAST_WORDS}),
 grams as (select id, unnest(g) as g from sets),
 pairs as (select x.id as a, y.id as b, count(*) as k from grams x join grams y on x.g = y.g and x.id < y.id group by 1, 2),
 links as (select a, b from pairs join sets s on s.id = a join sets t on t.id = b where 100 * k >= 80 * (len(s.g) + len(t.g) - k)),
 both_ways as (select a, b from links union all select b, a from links),
 reach(id, other) as (select a, a from both_ways union select r.id, e.b from reach r join both_ways e on e.a = r.other),
-gone as (select id, min(other) as first from reach group by id having min(other) < id),
-by_doc as (select id // 1000000 as doc_id, list(cast(id % 1000000 as int) order by id) as removed, list(distinct first // 1000000 order by first // 1000000) as kept_in from gone group by 1)
+firsts as (select id, min(other) as first from reach group by id),
+by_doc as (
+  select id // 1000000 as doc_id, coalesce(list(cast(id % 1000000 as int) order by id) filter (first < id), []) as removed,
+         coalesce(list(distinct first // 1000000 order by first // 1000000) filter (first < id), []) as kept_in, count(*) as n_shared, sum(w) as shared_words
+  from firsts join sizes using (id) group by 1)
 select d.doc_id, cast(coalesce(len(p), 0) as bigint) as n_paragraphs, cast(coalesce(len(removed), 0) as bigint) as n_removed, coalesce(removed, []) as removed, coalesce(kept_in, []) as kept_in,
-       sha256(coalesce(array_to_string(list_filter(p, lambda x, i: not list_contains(coalesce(removed, []), cast(i - 1 as int))), chr(10)), '')) as kept_sha256
+       cast(coalesce(n_shared, 0) as bigint) as n_shared, cast(coalesce(shared_words, 0) as bigint) as shared_words,
+       sha256(coalesce(array_to_string(list_filter(p, lambda x, i: not list_contains(coalesce(removed, []), cast(i - 1 as int))), ''), '')) as kept_sha256
 from docs d left join by_doc b on b.doc_id = d.doc_id
 """
