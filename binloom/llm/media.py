@@ -4,11 +4,17 @@ store() keeps bytes as the samples of a telephony WAV file: 8-bit mu-law, 8-bit
 IMA ADPCM, whose unit is the 4-bit code. read() takes the codes back out of the stored
 file, decodes them to 16-bit PCM and resamples that to twice the rate. Mu-law and A-law
 expand by a lookup table; ADPCM is decoded for all blocks of a batch at once, one code of
-every block in each step.
+every block in each step. The resampled PCM is stored in its turn, as a WAV file of
+16-bit samples in the column pcm, out of which pcm_samples() takes them.
+
+Resampling keeps each sample and sets a band-limited one between it and the next: a
+half-band filter of TAPS samples on either side, in whole numbers, so that it gives the
+same bytes everywhere. Before its first and after its last sample a recording stays as it is there.
 
 Nothing is lost: the codes read back are the payload. Null and empty texts become one
-unit of zero bytes, and equal texts equal files. A stored file that isn't one of these
-(null, cut, other tag) gives null for everything read from it.
+unit of zero bytes, and equal texts equal files, repeated rows too. A stored file that
+isn't one of these (null, cut, other tag) gives null for everything read from it. Columns
+named as a result's are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -72,12 +78,33 @@ def adpcm(blocks: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
+#: Samples on either side of a new one that it is made from, and the unit of their weights.
+TAPS, UNITY = 8, 1 << 13
+
+
+def half_band() -> np.ndarray:
+    """The weights of the nearest, next, ... samples on one side: a sinc under a Hann window, rounded so that both sides sum to UNITY."""
+    away = np.arange(TAPS) + 0.5
+    weights = np.sinc(away) * np.cos(np.pi * away / (2 * TAPS)) ** 2
+    out = np.rint(weights / weights.sum() * (UNITY // 2)).astype(np.int32)
+    out[0] += UNITY // 2 - out.sum()
+    return out
+
+
+HALF_BAND = half_band()
+
+
 def resampled(pcm: np.ndarray) -> np.ndarray:
-    """Twice as many samples: each, and the mean of it and the next."""
+    """Twice as many samples: each, and the band-limited one between it and the next."""
     out = np.empty(2 * len(pcm), dtype="<i2")
     out[0::2] = pcm
-    out[1:-1:2] = (pcm[:-1].astype(np.int32) + pcm[1:]) >> 1
-    out[-1:] = pcm[-1:]
+    if len(pcm):
+        n, wide = len(pcm), np.pad(pcm.astype(np.int32), TAPS, mode="edge")
+        total = np.full(n, UNITY // 2, dtype=np.int32)
+        for k, w in enumerate(HALF_BAND.tolist()):
+            total += w * (wide[TAPS - k : TAPS - k + n] + wide[TAPS + 1 + k : TAPS + 1 + k + n])
+        total //= UNITY
+        out[1::2] = np.clip(total, -32768, 32767, out=total)
     return out
 
 
@@ -94,6 +121,12 @@ def wav(name: str, payload: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 20 + len(fmt) + len(body)) + b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(body)) + body
 
 
+def pcm_wav(pcm: bytes) -> bytes:
+    """A WAV file of 16-bit samples at twice the rate."""
+    fmt = struct.pack("<HHIIHH", 1, 1, 2 * RATE, 4 * RATE, 2, 16)
+    return b"RIFF" + struct.pack("<I", 20 + len(fmt) + len(pcm)) + b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(pcm)) + pcm
+
+
 def opened(media: bytes | None) -> tuple[str, np.ndarray] | None:
     """Format and body of a stored file, None if it isn't one."""
     if not media or len(media) < 28 or media[:4] != b"RIFF" or media[8:16] != b"WAVEfmt ":
@@ -126,7 +159,7 @@ def store(rows: DataFrame, column: str, to: str = "media") -> DataFrame:
 
     The format follows the checksum of the bytes. A null stays null.
     """
-    kept = [f for f in rows.schema.fields if f.name != to]
+    kept = [f for f in rows.schema.fields if f.name.lower() != to.lower()]
     schema = T.StructType([*kept, T.StructField(to, T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,14 +173,14 @@ def store(rows: DataFrame, column: str, to: str = "media") -> DataFrame:
 
 
 def read(rows: DataFrame, media: str = "media", with_pcm: bool = False) -> DataFrame:
-    """The rows with what their stored files hold: codes, feature and, if asked for, pcm (16-bit, at twice the rate)."""
+    """The rows with what their stored files hold: codes, feature and, if asked for, pcm, a stored file of the resampled samples."""
     new = [T.StructField("codes", T.BinaryType()), T.StructField("feature", T.StringType())] + [T.StructField("pcm", T.BinaryType())] * with_pcm
-    kept = [f for f in rows.schema.fields if f.name not in {n.name for n in new}]
+    kept = [f for f in rows.schema.fields if f.name.lower() not in {n.name for n in new}]
     schema = T.StructType([*kept, *new])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, _, _ in textbytes.chunks(batch, media, limit=1 << 20):
+            for part, _, _ in textbytes.chunks(batch, media, limit=1 << 18):
                 files = [opened(v) for v in part.column(media).to_pylist()]
                 packed = [f[1].reshape(-1, BLOCK) for f in files if f and f[0] == "adpcm"]
                 samples = adpcm(np.concatenate(packed)) if packed else np.zeros((0, 2 * UNIT), dtype=np.int16)
@@ -164,8 +197,28 @@ def read(rows: DataFrame, media: str = "media", with_pcm: bool = False) -> DataF
                     else:
                         pcm, codes = TABLES[name][body], body.tobytes()
                     double = resampled(pcm)
-                    found.append((codes, features(name, pcm, double), double.tobytes() if with_pcm else None))
+                    found.append((codes, features(name, pcm, double), pcm_wav(double.tobytes()) if with_pcm else None))
                 columns = [pa.array([x[k] for x in found], type=kind) for k, kind in enumerate((pa.binary(), pa.string(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + columns[: len(new)], names=schema.names)
 
     return rows.mapInArrow(textbytes.trimmed(run), schema)
+
+
+#: Bytes before the samples of a stored PCM file.
+PCM_HEAD = 44
+
+
+def pcm_samples(stored: Column) -> Column:
+    """The samples of a stored PCM file, as little-endian bytes; null if it isn't whole."""
+    size = F.conv(F.concat(*[F.hex(F.substring(stored, at, 1)) for at in (44, 43, 42, 41)]), 16, 10).cast("long")  # little-endian
+    whole = (F.substring(stored, 9, 8) == F.lit(b"WAVEfmt ")) & (F.substring(stored, 37, 4) == F.lit(b"data")) & (size == F.length(stored) - PCM_HEAD)
+    return F.when(whole, F.substring(stored, PCM_HEAD + 1, 1 << 30))
+
+
+#: The padded bytes of each text in DuckDB's SQL.
+ORACLE = f"""
+with docs as (select doc_id, encode(coalesce(text, '')) as t from documents),
+sized as (select *, greatest((octet_length(t) + {UNIT - 1}) // {UNIT}, 1) * {UNIT} as size from docs),
+padded as (select doc_id, octet_length(t) as n, t || from_hex(repeat('00', cast(size - octet_length(t) as bigint))) as p from sized)
+select doc_id, cast(n as bigint) as n_bytes, cast(octet_length(p) as bigint) as payload_bytes, sha256(p) as payload_sha256 from padded
+"""
