@@ -11,8 +11,9 @@ give each bucket its start, and rows are numbered inside a bucket only. A source
 hundred classes at most, a class BUCKETS buckets.
 
 Everything here is DataFrame code. Null and blank texts have size 0 and are taken with
-their own class; a null source is a source like the others, sorted last; repeated ids are
-separate rows; an empty table gives no rows.
+their own class; a null source is a source like the others, sorted last; rows of one
+id are separate rows, in the order of their sizes and of their texts' hashes, so that
+only equal rows tie; an empty table gives no rows. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     named = F.when(F.col(source).isNull(), F.lit("null")).otherwise(F.concat(F.lit("s:"), F.col(source).cast("string")))
     mark = F.expr(f"(pmod(coalesce(_id, -1), {MODULUS}) * {MULTIPLY} + {ADD}) % {MODULUS}")
     carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry
-    sized = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_raw"), named.alias("_source"), word_count(F.col(text)).alias("size"), *carried)
+    sized = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_raw"), named.alias("_source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("_text_hash"), *carried)
     sized = sized.withColumn("_class", size_class(F.col("size"))).withColumn("_mark", mark)
     sized = sized.withColumn("_bucket", (F.col("_mark") / (MODULUS // BUCKETS)).cast("int"))
     buckets = sized.groupBy("_source", "_class", "_bucket").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
@@ -79,7 +80,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     starts = starts.join(levels(sizes, "_source", weights, share, most), "_source")
     within = buckets.select("_source", "_class", "_bucket", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_skip"))
     rows = sized.join(within.join(starts, ["_source", "_class"]), ["_source", "_class", "_bucket"])
-    place = F.col("_start") + F.col("_skip") + F.row_number().over(Window.partitionBy("_source", "_class", "_bucket").orderBy("_mark", F.col("_id").asc_nulls_first()))
+    place = F.col("_start") + F.col("_skip") + F.row_number().over(Window.partitionBy("_source", "_class", "_bucket").orderBy("_mark", F.col("_id").asc_nulls_first(), "size", "_text_hash"))
     drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_raw").cast("string"), F.lit("")), F.col("_rank").cast("string")).cast("binary"))
     offset = F.conv(F.substring(drawn, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
