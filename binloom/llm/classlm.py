@@ -17,7 +17,8 @@ their counts by hash. A word of that join is rare in training by construction, a
 of different documents are never gathered in one place.
 
 Null and empty texts have one token, their end. Without training texts all counts are 0.
-Rows with the same id are scored one by one.
+Rows with the same id are scored one by one, and ids may be of any type or null; an empty
+table gives no rows. Only the columns named are read, so that others may have any name.
 """
 
 from __future__ import annotations
@@ -104,15 +105,15 @@ class Lookup:
 
 
 def frequent_words(counts: DataFrame) -> Lookup:
-    """The words of the largest counts: as many whole counts as keep to FREQUENT words."""
-    by_count = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().orderBy(F.desc("n")).collect()
-    least, total = (1 << 16) + 1, 0
-    for n, words in by_count:
+    """The words of the largest counts: as many whole ranges of counts, 64 to a doubling, as keep to FREQUENT words."""
+    ranged = counts.withColumn("range", F.floor(F.log2("n") * 64))
+    least, total = None, 0
+    for r, words in ranged.groupBy("range").count().orderBy(F.desc("range")).collect():  # some thousands at most
         total += words
         if total > FREQUENT:
             break
-        least = n
-    rows = counts.filter(F.col("n") >= least).select("hash", "n").toArrow()
+        least = r
+    rows = ranged.filter(F.col("range") >= least if least is not None else F.lit(False)).select("hash", "n").toArrow()
     hashes, n = rows["hash"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(hashes)
     hashes, n = hashes[order], n[order]
@@ -425,7 +426,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_i
     """doc_id, n_tokens, n_known, base_score and score of each document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     all_ = model.train_tokens + model.distinct + 1
-    schema = "row long, doc_id long, key long, class short, at long, before short, after short, n_tokens long, n_known long, base double, score double"
+    schema = f"row long, doc_id {docs.schema[doc_id].dataType.simpleString()}, key long, class short, at long, before short, after short, n_tokens long, n_known long, base double, score double"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, row0 = sent.value, TaskContext.get().partitionId() << 33
@@ -444,14 +445,14 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_i
                 word_part = np.bincount(d, weights=np.log10(count[here]) + m.seen[classes[here]], minlength=n) + (math.log10(m.ends) + m.seen[END] if m.ends else m.unseen[END])
                 rows = row0 + np.arange(n)
                 row0 += n
-                ids = part.column(doc_id).cast(pa.int64())
+                ids = part.column(doc_id)
                 own = textbytes.mix(rows.astype(np.uint64)).view(np.int64)  # spreads the documents' own rows, which no word's hash should meet
                 rare = np.flatnonzero(~here)
                 at = rare + doc[rare]
                 zero, none, unset = np.zeros(len(rare), dtype=np.int64), np.zeros(len(rare)), np.full(n, -1)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.r_[rows, rows[doc[rare]]]), pa.concat_arrays([ids, pa.nulls(len(rare), pa.int64())]), pa.array(np.r_[own, word[rare].view(np.int64)]),
+                        pa.array(np.r_[rows, rows[doc[rare]]]), pa.concat_arrays([ids, pa.nulls(len(rare), ids.type)]), pa.array(np.r_[own, word[rare].view(np.int64)]),
                         pa.array(np.r_[unset, classes[rare]].astype(np.int16)), pa.array(np.r_[unset, at]), pa.array(np.r_[unset, before[at]].astype(np.int16)), pa.array(np.r_[unset, after[at + 1]].astype(np.int16)),
                         pa.array(np.r_[length, zero].astype(np.int64)), pa.array(np.r_[np.bincount(d, minlength=n) + (m.ends > 0), zero].astype(np.int64)),
                         pa.array(np.r_[base, none]), pa.array(np.r_[path + word_part, none]),
