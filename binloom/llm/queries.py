@@ -15,10 +15,13 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs of every whole text that other documents, or the same one, hold already."""
+    """Paragraphs of every whole text that other documents, or the same one, hold already; shared: those that stay are counted too."""
     found = paragraphs.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    pieces = paragraphs.cut(F.col("text"))
+    words = F.aggregate(F.filter(pieces, lambda _, i: F.array_contains("shared", i)), F.lit(0).cast("long"), lambda a, p: a + mixing.word_count(p))
     return found.select(
-        "doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_paragraphs"), F.size("removed").cast("long").alias("n_removed"), "removed", "kept_in", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+        "doc_id", F.coalesce(F.size(pieces), F.lit(0)).cast("long").alias("n_paragraphs"), F.size("removed").cast("long").alias("n_removed"), "removed", "kept_in",
+        F.size("shared").cast("long").alias("n_shared"), F.when(F.size("shared") > 0, words).otherwise(0).alias("shared_words"), F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
 
 
@@ -56,12 +59,14 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text stored as telephony audio and read back."""
+    """Every whole text stored as telephony audio and read back, and the resampled PCM stored and read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), media.payload(F.col("text")).alias("payload"))
-    back = media.read(media.store(docs, "payload").drop("payload"))
+    back = media.read(media.store(docs, "payload").drop("payload"), with_pcm=True)
+    samples = media.pcm_samples(F.col("pcm"))
     return back.select(
         "doc_id", "n_bytes", F.length("codes").cast("long").alias("payload_bytes"), F.sha2("codes", 256).alias("payload_sha256"), F.crc32(F.substring("codes", -media.UNIT, media.UNIT)).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        (F.length(samples) / 2).cast("long").alias("pcm_samples"), F.sha2(samples, 256).alias("pcm_sha256"),
     )
 
 
@@ -73,10 +78,21 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of every whole text that strings of 400 bytes cover which stand elsewhere too."""
+    """Bytes of every whole text that strings of 400 bytes cover which stand elsewhere too; longest_shared: the longest run of bytes that matches of 256 or more cover."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = runindex.remove_repeats(docs)
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    longest = F.coalesce(F.array_max(F.transform("shared", lambda s: s["end"] - s["start"])), F.lit(0)).cast("long")
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), longest.alias("longest_shared"))
+
+
+def long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9_run_index without the lengths of shared runs, which SQL can't express."""
+    return op9_run_index(spark, sf_dir).drop("longest_shared")
+
+
+def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7_media that SQL can express: what was stored, as read back."""
+    return op7_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
 
 
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +104,5 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_paragraphs": op1_paragraphs, "op2_bpe": op2_bpe, "op3_graph_ann": op3_graph_ann, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_media": op7_media, "op4_quality": op4_quality, "op8_toxicity": op8_toxicity, "op9_run_index": op9_run_index, "op10_class_lm": op10_class_lm}
-ORACLE_SQL: dict[str, str] = {"op1_paragraphs": paragraphs.ORACLE, "op5_mixing": mixing.ORACLE, "op6_minhash": minhash.ORACLE, "op9_run_index": runindex.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_paragraphs": op1_paragraphs, "op2_bpe": op2_bpe, "op3_graph_ann": op3_graph_ann, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_media": op7_media, "op4_quality": op4_quality, "op8_toxicity": op8_toxicity, "op9_run_index": op9_run_index, "op10_class_lm": op10_class_lm, "long_repeats": long_repeats, "media_payload": media_payload}
+ORACLE_SQL: dict[str, str] = {"op1_paragraphs": paragraphs.ORACLE, "op5_mixing": mixing.ORACLE, "op6_minhash": minhash.ORACLE, "long_repeats": runindex.ORACLE, "media_payload": media.ORACLE}

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from binloom.llm import graphann, minhash, mixing, paragraphs, queries, runindex
+from binloom.llm import graphann, minhash, mixing, paragraphs, queries, runindex, textbytes
 from binloom.llm.components import components
 from binloom.session import table
 
@@ -142,28 +142,90 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def pieces_of(text):
+    """Paragraphs of a text: up to a sentence's mark and a space, or to the line's end."""
+    out = [""]
+    for i, c in enumerate(text):
+        out[-1] += c
+        if c in "\n。！？" or c == " " and i and text[i - 1] in ".!?":
+            out.append("")
+    return out
+
+
 def test_paragraphs(spark):
     rng = random.Random(6)
     line = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(4)) for _ in range(n))
-    shared = [line(60) for _ in range(5)] + [line(9)]
+    shared = [line(60) + ". " for _ in range(5)] + [line(9) + ". ", line(20) + "! " + line(31) + "? "]
     texts = {}
     for i in range(60):
-        parts = [line(rng.randint(1, 30)) for _ in range(rng.randint(1, 5))]
+        parts = [line(rng.randint(1, 30)) + rng.choice(["\n", " ", ". ", "。", ".", "  "]) for _ in range(rng.randint(1, 5))]
         for _ in range(rng.randint(0, 2)):
-            w = rng.choice(shared).split()
+            w = rng.choice(shared).split(" ")
             if rng.random() < 0.5:
-                w[rng.randrange(len(w))] = "other"
-            parts.insert(rng.randrange(len(parts) + 1), " ".join(w))
-        texts[i] = "\n".join(parts)
-    rows = [(i, t, "x") for i, t in texts.items()] + [(100, None, "x"), (101, "", "x"), (None, shared[0], "x")]
-    got = {r.doc_id: r for r in paragraphs.remove(spark.createDataFrame(rows, "doc_id long, text string, removed string")).collect()}
-    pieces = {(i, k): p for i, t in texts.items() for k, p in enumerate(t.split("\n"))}
-    want, _ = brute_groups(pieces, 5, least=5)
+                w[rng.randrange(len(w) - 1)] = "other"
+            parts.insert(rng.randrange(len(parts) + 1), ". " + " ".join(w))
+        texts[i] = "".join(parts)
+    texts[70] = texts[71] = line(30000)  # one paragraph of 30,000 words
+    texts[72] = "A. b.\n\n c!  d. " + shared[0]
+    rows = [(i, t, "x", 1, 2, 3) for i, t in texts.items()] + [(100, None, "x", 1, 2, 3), (101, "", "x", 1, 2, 3), (None, shared[0], "x", 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Removed string, _id int, key int, version int")
+    got = {r.doc_id: r for r in paragraphs.remove(df).collect()}
+    pieces = {(i, k): p for i, t in texts.items() for k, p in enumerate(pieces_of(t))}
+    least = paragraphs.LEAST_WORDS
+    want, sets = brute_groups(pieces, 5, least=least)
+    many = Counter(want[p] for p in pieces if sets[p])
     for i, t in texts.items():
         gone = sorted(k for (d, k), c in want.items() if d == i and c != (d, k))
-        assert got[i].removed == gone and got[i].kept_text == "\n".join(p for k, p in enumerate(t.split("\n")) if k not in gone)
-        assert got[i].kept_in == sorted({want[i, k][0] for k in gone})
+        assert got[i].removed == gone and got[i].kept_text == "".join(p for k, p in enumerate(pieces_of(t)) if k not in gone)
+        assert got[i].kept_in == sorted({want[i, k][0] for k in gone}) and (got[i]._id, got[i].key, got[i].version) == (1, 2, 3)
+        assert got[i].shared == sorted(k for (d, k), c in want.items() if d == i and many[c] > 1)
     assert got[100].kept_text is None and got[101].kept_text == "" and got[None].removed == [] and sum(len(r.removed) for r in got.values()) > 20
+    assert got[71].removed == [0] and got[71].kept_in == [70]
+    assert paragraphs.remove(df.limit(0)).count() == 0
+
+
+def test_passages_within_longer_lines(spark):
+    """A passage between other words of a line is found, wherever it stands, and nothing else."""
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    said = lambda n: " ".join(word() for _ in range(n))
+    passage = said(22) + ". " + said(7) + ", " + said(24) + "."
+    rows = [(i, f"{said(rng.randint(5, 90))}. {said(rng.randint(5, 90))}. {passage} {said(rng.randint(5, 150))}") for i in range(10)] + [(20 + i, said(200)) for i in range(5)]
+    got = {r.doc_id: r for r in paragraphs.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(got[i].shared) == 2 for i in range(10)) and all(got[i].shared == [] for i in range(20, 25))
+    assert all(len(got[i].removed) == 2 and got[i].kept_in == [0] for i in range(1, 10)) and got[0].removed == []
+
+
+def test_versions_of_one_id(spark):
+    """Rows that share an id only are grouped one by one."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    a, b, c = (" ".join(word() for _ in range(100)) for _ in range(3))
+    df = spark.createDataFrame([(1, a), (1, b), (2, b + " more"), (3, c), (2, c)], "id long, text string")
+    got = {(r.id, r.th): r.component for r in minhash.groups(df, minhash.Banding()).collect()}
+    th = {(r.id, r.text): r.th for r in df.withColumn("th", F.xxhash64("text")).collect()}
+    assert got == {(1, th[1, a]): 1, (1, th[1, b]): 1, (2, th[2, b + " more"]): 1, (3, th[3, c]): 2, (2, th[2, c]): 2}
+
+
+def test_hashes_of_alternating_words(spark):
+    """Words that collide in sums modulo a power of two, whatever the base, are told apart."""
+    w = "a"
+    for _ in range(12):
+        w += w.translate(str.maketrans("ab", "ba"))
+    other = w.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, f"one two three {w}"), (2, f"one two three {other}"), (3, f"one two three {w}")], "id long, text string")
+    assert {r.id: r.component for r in minhash.groups(df, minhash.Banding(words=4)).collect()} == {1: 1, 2: 2, 3: 1}
+    data = np.frombuffer((w + other).encode(), dtype=np.uint8)
+    hashes = textbytes.span_hash(textbytes.prefix_hash(data), np.array([0, len(w)]), np.array([len(w), 2 * len(w)]))
+    assert hashes[0] != hashes[1]
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 256, size=40000).astype(np.uint8)  # several blocks of prefix sums
+    data[30000:30500] = data[100:600]
+    h = textbytes.prefix_hash(data)
+    a = rng.integers(0, 480, size=200)
+    assert (textbytes.span_hash(h, 100 + a, 120 + a) == textbytes.span_hash(h, 30000 + a, 30020 + a)).all()
+    k = sum(int(textbytes.BYTE_VALUES[0][c]) * pow(textbytes.BASES[0], i, textbytes.PRIME) for i, c in enumerate(data[20000:20050].tolist())) % textbytes.PRIME
+    assert int(textbytes.span_residues(h, np.array([20000]), np.array([20050]))[0]) >> 31 == k
 
 
 def brute_repeats(texts, w):
@@ -185,7 +247,7 @@ def test_index_of_small_texts():
         base = bytes(rng.choice(b"ab") for _ in range(60))
         texts = [bytes(rng.choice(b"abc\0") for _ in range(rng.randint(0, 20))) + base[(a := rng.randrange(60)) : a + rng.randint(0, 50)] for _ in range(rng.randint(1, 8))]
         w = rng.randint(3, 14)
-        for t, spans, flags in zip(texts, runindex.RunIndex(texts).long_matches(w), brute_repeats(texts, w), strict=True):
+        for t, spans, flags in zip(texts, runindex.RunIndex(texts).long_matches(w)[0], brute_repeats(texts, w), strict=True):
             mine = bytearray(len(t))
             for a, b in zip(spans[0::2], spans[1::2], strict=True):
                 mine[a:b] = b"\1" * (b - a)
@@ -199,23 +261,40 @@ def test_long_repeats(spark, group):
     passage = [draw(rng.randint(30, 200)) for _ in range(6)]
     texts = ["".join(rng.choice([draw(rng.randint(0, 60)), (p := rng.choice(passage))[: rng.randint(20, len(p))]]) for _ in range(rng.randint(0, 5))) for _ in range(70)]
     texts += ["ab" * 300, "x" * 500, "xyz" * 200, "", passage[0], passage[0], "\x00" * 50 + passage[1]]
-    rows = [(i, t, "a") for i, t in enumerate(texts)] + [(3, texts[3], "a"), (500, None, "a"), (None, passage[2], "a")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(3)
-    found = runindex.remove_repeats(df, window=40, gram=8, shard_bytes=2000, group=group).collect()
-    assert len(found) == len(rows)
-    raw = [(t or "").encode() for _, t, _ in rows]
+    rows = [(i, t, "a", 1) for i, t in enumerate(texts)] + [(3, texts[3], "a", 1), (500, None, "a", 1), (None, passage[2], "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string, _i int").repartition(3)
+    df = df.withColumns({"_h": F.lit(2), "_g": F.lit(3), "_marks": F.lit(4), "data": F.lit(5), "marks": F.lit(6), "c0": F.lit(7)})
+    found = runindex.remove_repeats(df, window=40, short=24, gram=8, shard_bytes=2000, group=group).collect()
+    assert len(found) == len(rows) and {(r._i, r._h, r._g, r._marks, r.data, r.marks, r.c0) for r in found} == {(1, 2, 3, 4, 5, 6, 7)}
+    raw = [(t or "").encode() for _, t, _, _ in rows]
     flags = defaultdict(set)
-    for (i, t, _), f in zip(rows, brute_repeats(raw, 40), strict=True):
-        flags[i, t].add(f)
+    for (i, t, _, _), f, near in zip(rows, brute_repeats(raw, 40), brute_repeats(raw, 24), strict=True):
+        flags[i, t].add((f, near))
+    seen = total = 0
     for r in found:
-        (want,) = flags[r.doc_id, r.text]
+        ((want, near),) = flags[r.doc_id, r.text]
         data = (r.text or "").encode()
         spans = [(m.start(), m.end()) for m in re.finditer(b"\1+", want)]
         assert (r.n_bytes, [tuple(s) for s in r.spans]) == (len(data), spans)
         assert bytes(r.kept) == bytes(b for b, f in zip(data, want, strict=True) if not f)
+        shared = bytearray(len(data))
+        for a, b in r.shared:
+            shared[a:b] = b"\1" * (b - a)
+        assert all(n >= s >= w for n, s, w in zip(near, shared, want, strict=True))  # true matches only, and all of the long ones
+        seen, total = seen + sum(shared) - sum(want), total + sum(near) - sum(want)
+    assert group == 1 or seen > 0.3 * total
     assert runindex.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_long_repeats_of_one_very_long_text(spark):
+    rng = random.Random(18)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(400_000))
+    base = base[:99_999] + "!" + base[100_000:150_000] + "?" + base[150_001:]
+    rows = [(1, base[:300_000] + base[100_000:150_000] + base[300_000:]), (2, base[350_000:350_900] + "z" * 900), (3, base[:399])]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in runindex.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [(100_000, 150_000), (300_000, 350_000), (400_000, 400_900)], 2: [(0, 1800)], 3: []}
+
+
 def mix_by_hand(rows, weights=(5, 2, 1), share=1.5, most=2.0):
     size = defaultdict(int)
     for _, s, t in rows:
@@ -258,6 +337,14 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and {r.copies for r in mixing.mix(df.filter("doc_id = 2000")).collect()} == {0}
 
 
+def test_mixing_agrees_on_repeated_ids(spark):
+    """Rows of one id in one size class, differing in size or text only, in whatever order they come."""
+    rows = [(1, "s", " ".join(["w"] * (16 + i % 2)) + f" {i % 5}") for i in range(40)] + [(i, "s", "a b c") for i in range(2, 30)] + [(i, "t", "x") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = [Counter((r.row.doc_id, r.row.text, r.copies) for r in mixing.mix(df.repartition(n), carry=True).collect()) for n in (1, 7, 11)]
+    assert found[0] == found[1] == found[2]
+
+
 def exact_nearest(rows, queries_, most):
     good = [(i, np.array(v, dtype=np.float64)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(np.array(v) != 0)]
     out = {}

@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import io
 import math
 import random
 import re
+import wave
 import zlib
 from collections import Counter
 
@@ -29,13 +31,13 @@ def encoding():
 
 
 def test_ids_are_the_reference_ids(encoding):
-    encoder = bpe.loaded(open(PATH, "rb").read(), PATTERN)
+    encoder, tokens = bpe.loaded(open(PATH, "rb").read(), PATTERN), bpe.token_bytes(open(PATH, "rb").read())
     rng = random.Random(1)
     parts = ["a", "the", " ", "  ", "\n", "é", "1", "!", "ing", "'s", "ß", "中", "​", "\x1d", "🙂", "\r\n", "\x85", "zzzz"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 300))) for _ in range(150)] + ["", "a" * 700, " " * 400 + "x", "日本語" * 90]
     for text, ids in zip(texts, encoder.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == encoding.encode_ordinary(text)
-        assert encoder.decode(ids) == text.encode()
+        assert bpe.decoded(ids, tokens) == text.encode()
     for _ in range(40):
         word = "".join(rng.choice("etaonirsh") for _ in range(rng.randint(100, 500))).encode()
         assert encoder.vocabulary.merge_long(word) == encoder.vocabulary.merge_rows([word], 512)[0]
@@ -53,7 +55,9 @@ def test_bpe_rows(spark, encoding):
 def test_media_keeps_the_payload(spark):
     df = spark.createDataFrame([*ODD, (7, "x" * 63, "a", "b"), (8, "x" * 64, "a", "b"), (9, "x" * 65, "a", "b"), *((20 + i, f"text {i} " * i, "a", "b") for i in range(30))], SCHEMA)
     stored = media.store(df.withColumn("payload", media.payload(F.col("text"))), "payload", to="media")
-    rows = media.read(stored, with_pcm=True).collect()
+    back = media.read(stored.withColumns({"codes": F.lit(1), "Feature": F.lit(2)}), with_pcm=True)
+    rows = back.withColumn("samples", media.pcm_samples(F.col("pcm"))).collect()
+    assert media.read(stored.limit(0), with_pcm=True).count() == 0 == media.store(stored.limit(0), "payload").count()
     seen = set()
     for r in rows:
         raw = (r.text or "").encode()
@@ -61,7 +65,9 @@ def test_media_keeps_the_payload(spark):
         assert bytes(r.codes) == want == bytes(r.payload) and len(want) % 64 == 0
         name = r.feature.split(";")[0]
         seen.add(name)
-        assert len(r.pcm) == (8 if name == "adpcm" else 4) * len(want) and r.feature.endswith(f"{zlib.crc32(bytes(r.pcm)):08x}")
+        assert len(r.samples) == (8 if name == "adpcm" else 4) * len(want) and r.feature.endswith(f"{zlib.crc32(bytes(r.samples)):08x}")
+        with wave.open(io.BytesIO(bytes(r.pcm))) as w:
+            assert (w.getnchannels(), w.getsampwidth(), w.getframerate()) == (1, 2, 2 * media.RATE) and w.readframes(w.getnframes()) == bytes(r.samples)
     assert seen == set(media.TAGS)
     bad = spark.createDataFrame([(1, None), (2, bytearray(b"RIFF")), (3, bytearray(b"nothing" * 20)), (4, bytearray(media.wav("mulaw", b"x" * 64)[:-1]))], "id long, media binary")
     assert {(r.codes, r.feature) for r in media.read(bad).collect()} == {(None, None)}
@@ -83,7 +89,24 @@ def test_telephony_tables_and_adpcm():
                 index = max(0, min(88, index + int(media.CHANGES[code & 7])))
                 want.append(value)
         assert got.tolist() == want
-    assert media.resampled(np.array([0, 10, -3], dtype=np.int16)).tolist() == [0, 5, 10, 3, -3, -3]
+
+
+def test_resampling():
+    weights = media.HALF_BAND.tolist()
+    assert 2 * sum(weights) == media.UNITY and len(media.resampled(np.zeros(0, dtype=np.int16))) == 0
+    rng = np.random.default_rng(1)
+    pcm = rng.integers(-32768, 32768, size=50).astype(np.int16)
+    at = lambda i: int(pcm[min(max(i, 0), 49)])
+    slow = []
+    for i in range(50):
+        value = (sum(w * (at(i - k) + at(i + 1 + k)) for k, w in enumerate(weights)) + media.UNITY // 2) // media.UNITY
+        slow += [at(i), max(-32768, min(32767, value))]
+    assert media.resampled(pcm).tolist() == slow
+    t = np.arange(400)
+    for hertz in (300, 1000, 2500):  # tones below the band's edge stay as they are
+        tone = lambda x, f=hertz: 20000 * np.sin(2 * np.pi * f * x / media.RATE)
+        off = media.resampled(np.rint(tone(t)).astype(np.int16)) - tone(np.arange(800) / 2)
+        assert np.abs(off[40:-40]).max() < 200
 
 
 def words_of(text):
