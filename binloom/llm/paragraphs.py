@@ -1,7 +1,7 @@
 """Substring dedup by paragraphs: MinHash banding, verification, removal by components.
 
 A paragraph is a piece of a line: it ends after a sentence's mark that a space follows, or
-with the line (CUT). So a passage that is copied into the middle of another text, within a
+with the line. So a passage that is copied into the middle of another text, within a
 line or over several, brings whole paragraphs with it, and where it stands does not matter.
 Paragraphs of LEAST_WORDS words or more, a third of a passage of 50 words, are grouped by
 the similarity of their word shingles; of each group the one with the least (id, number)
@@ -18,57 +18,126 @@ are documents of their own. Rows without id are left alone. Columns named as a r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from binloom.llm import minhash
+from binloom.llm import minhash, textbytes
 
-#: Where one paragraph ends and the next begins.
-CUT = r"(?<=[.!?] |[\n。！？])"
 LEAST_WORDS = 16
 BANDING = minhash.Banding(words=5, percent=80, bands=10, rows=2, least_words=LEAST_WORDS)
+#: Sentence marks that a space must follow, and marks that end a paragraph by themselves, the line's end among them.
+SPACED, ALONE = ".!?", "\n。！？"
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where paragraphs end that another follows in the same text, an empty one if it ends there."""
+    if not len(data):
+        return np.zeros(0, dtype=np.int64)
+    last = np.zeros(len(data), dtype=bool)  # of a paragraph's bytes
+    mark = np.zeros(256, dtype=bool)
+    mark[[ord(c) for c in SPACED]] = True
+    last[1:] = (data[1:] == 32) & mark[data[:-1]]
+    inner = offsets[:-1][np.diff(offsets) > 0]
+    last[inner] = False  # a text's first byte follows nothing
+    for c in ALONE:
+        code = c.encode()
+        hit = data[len(code) - 1 :] == code[-1]
+        for k in range(len(code) - 1):
+            hit &= data[k : len(data) - len(code) + 1 + k] == code[k]
+        last[len(code) - 1 :] |= hit
+    return np.flatnonzero(last) + 1
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of all paragraphs with bytes, end to end, and of each its document, its number there and its words."""
+    cut = cuts(data, offsets)
+    bounds = np.unique(np.concatenate([offsets, cut]))
+    n = len(bounds) - 1
+    doc = np.searchsorted(offsets, bounds[:-1], "right") - 1
+    number = np.searchsorted(cut, bounds[:-1], "right") - np.searchsorted(cut, offsets[doc], "right")
+    return bounds, doc, number, np.bincount(textbytes.words(data, bounds)[2], minlength=n)[:n]
+
+
+def items(docs: DataFrame, doc_id: str, text: str, least_words: int) -> DataFrame:
+    """id (doc_id, number, and version, the hash of the whole text) and text of each paragraph of least_words words or more."""
+    whole = F.col(f"`{text}`")
+    rows = docs.filter(F.col(f"`{doc_id}`").isNotNull() & whole.isNotNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(whole).alias("version"), whole.alias("text"))
+    names = ["doc_id", "number", "version"]
+    kind = rows.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("id", T.StructType([T.StructField(n, t) for n, t in zip(names, (kind, T.IntegerType(), T.LongType()), strict=True)])), T.StructField("text", T.StringType())])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in textbytes.chunks(batch, "text"):
+                bounds, doc, number, words = pieces(data, offsets)
+                some = np.flatnonzero(words >= max(1, least_words))
+                raw, own = data.tobytes(), pa.array(doc[some])
+                found = [raw[a:b] for a, b in zip(bounds[some].tolist(), bounds[some + 1].tolist(), strict=True)]
+                ids = pa.StructArray.from_arrays([part.column("doc_id").take(own), pa.array(number[some].astype(np.int32)), part.column("version").take(own)], names=names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(found, type=pa.string())], names=schema.names)
 
-def cut(text: Column) -> Column:
-    """The paragraphs of a text; joined end to end they are the text again."""
-    return F.split(text, CUT)
+    return rows.mapInArrow(textbytes.trimmed(run), schema)
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", banding: minhash.Banding = BANDING, owner: str = "query") -> DataFrame:
     """id of each paragraph (doc_id, number, and version, the hash of the whole text), n (its shingles) and component: the id of its group's first."""
-    whole = F.col(f"`{text}`")
-    pieces = docs.filter(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(whole).alias("version"), cut(whole).alias("pieces"))
-    items = pieces.select("doc_id", "version", F.posexplode("pieces").alias("number", "text"))
-    spaces = F.length("text") - F.length(F.translate("text", " \t\n\v\f\r", ""))
-    items = items.filter(spaces >= banding.least_words - 1).select(F.struct("doc_id", "number", "version").alias("id"), "text")
-    return minhash.groups(items, banding, owner)
+    return minhash.groups(items(docs, doc_id, text, banding.least_words), banding, owner)
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", banding: minhash.Banding = BANDING, owner: str = "query") -> DataFrame:
-    """The rows with four more columns.
+    """The rows with six more columns.
 
     removed: numbers of removed paragraphs; shared: numbers of all paragraphs that have their
     like elsewhere, those that stay included; kept_in: ids of documents that keep the like of
-    the removed ones; kept_text.
+    the removed ones; kept_text; n_paragraphs; shared_words: words of the shared paragraphs.
     """
     found = grouped(docs, doc_id, text, banding, owner).filter("n > 0").select("id", "component").distinct()
     several = found.groupBy("component").agg(F.count("*").alias("m")).filter("m > 1").select("component")
     gone = F.col("id") != F.col("component")
     lists = [F.sort_array(F.collect_set(x)).alias(name) for x, name in ((F.when(gone, F.col("id.number")), "removed"), (F.col("id.number"), "shared"), (F.when(gone, F.col("component.doc_id")), "kept_in"))]
     by_doc = found.join(several, "component").groupBy(F.col("id.doc_id").alias("key"), "id.version").agg(*lists)
-    new = ["removed", "shared", "kept_in", "kept_text"]
-    old = [F.col(f"`{c}`").alias(c) for c in docs.columns if c.lower() not in new]
-    rows = docs.select(F.struct(*old).alias("row"))
-    rows = rows.join(by_doc, F.col("row")[doc_id].eqNullSafe(F.col("key")) & (F.xxhash64(F.col("row")[text]) == F.col("version")), "left")
-    listed = {name: F.coalesce(name, F.array().cast(by_doc.schema[name].dataType)) for name in new[:3]}
-    whole = F.col("row")[text]
-    kept = F.array_join(F.filter(cut(whole), lambda _, i: ~F.array_contains(listed["removed"], i)), "")
-    return rows.select("row.*", *[c.alias(name) for name, c in listed.items()], F.when(F.size(listed["removed"]) == 0, whole).otherwise(kept).alias("kept_text"))
+    new = [T.StructField("removed", T.ArrayType(T.IntegerType())), T.StructField("shared", T.ArrayType(T.IntegerType())), T.StructField("kept_in", by_doc.schema["kept_in"].dataType), T.StructField("kept_text", T.StringType()), T.StructField("n_paragraphs", T.LongType()), T.StructField("shared_words", T.LongType())]
+    fields = [f for f in docs.schema.fields if f.name.lower() not in {n.name for n in new}]
+    whole = F.col(f"`{text}`")
+    carried = [F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)]  # names of our own, whatever the table's are
+    rows = docs.select(*carried, F.col(f"`{doc_id}`").alias("own_id"), whole.alias("whole"))
+    rows = rows.join(by_doc, F.col("own_id").eqNullSafe(F.col("key")) & (F.xxhash64("whole") == F.col("version")), "left")
+    listed = [F.coalesce(n.name, F.array().cast(n.dataType)).alias(n.name) for n in new[:3]]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in textbytes.chunks(batch, "whole"):
+                bounds, doc, number, words = pieces(data, offsets)
+                first = np.searchsorted(doc, np.arange(part.num_rows))
+
+                def at(name: str, first: np.ndarray = first, part: pa.RecordBatch = part) -> np.ndarray:
+                    own = part.column(name)
+                    return np.repeat(first, own.value_lengths().to_numpy()) + own.flatten().to_numpy()
+
+                shared = np.zeros(len(doc), dtype=np.int64)
+                shared[at("shared")] = 1
+                stays = np.ones(len(doc), dtype=bool)
+                stays[at("removed")] = False
+                left = np.repeat(stays, np.diff(bounds))
+                raw, ends = data[left].tobytes(), np.r_[0, np.cumsum(left)][offsets].tolist()
+                valid = part.column("whole").is_valid().to_numpy(zero_copy_only=False)
+                kept = [raw[a:b] if v else None for a, b, v in zip(ends[:-1], ends[1:], valid.tolist(), strict=True)]
+                cut = cuts(data, offsets)
+                count = np.where(valid, 1 + np.searchsorted(cut, offsets[1:], "right") - np.searchsorted(cut, offsets[:-1], "right"), 0)
+                more = [part.column(n.name) for n in new[:3]] + [pa.array(kept, type=pa.string()), pa.array(count), pa.array(np.bincount(doc, weights=words * shared, minlength=part.num_rows).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([part.column(f"c{i}") for i in range(len(fields))] + more, names=[f.name for f in fields + new])
+
+    return rows.select(*[f"c{i}" for i in range(len(fields))], "whole", *listed).mapInArrow(textbytes.trimmed(run), T.StructType([*fields, *new]))
 
 
 #: The same in DuckDB's SQL: all pairs of paragraphs that share a shingle.
 ORACLE = rf"""
-with recursive docs as (select doc_id, string_split(regexp_replace(text, '([.!?] |[\n。！？])', '\1' || chr(1), 'g'), chr(1)) as p from documents),
+with recursive docs as (select doc_id, string_split(regexp_replace(text, '([{SPACED}] |[\n。！？])', '\1' || chr(1), 'g'), chr(1)) as p from documents),
 paras as (select doc_id, unnest(range(len(p))) as number, unnest(p) as text from docs),
 words as (
   select doc_id * 1000000 + number as id,

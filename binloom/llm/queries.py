@@ -17,12 +17,7 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of every whole text that other documents, or the same one, hold already; shared: those that stay are counted too."""
     found = paragraphs.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    pieces = paragraphs.cut(F.col("text"))
-    words = F.aggregate(F.filter(pieces, lambda _, i: F.array_contains("shared", i)), F.lit(0).cast("long"), lambda a, p: a + mixing.word_count(p))
-    return found.select(
-        "doc_id", F.coalesce(F.size(pieces), F.lit(0)).cast("long").alias("n_paragraphs"), F.size("removed").cast("long").alias("n_removed"), "removed", "kept_in",
-        F.size("shared").cast("long").alias("n_shared"), F.when(F.size("shared") > 0, words).otherwise(0).alias("shared_words"), F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
-    )
+    return found.select("doc_id", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"), "removed", "kept_in", F.size("shared").cast("long").alias("n_shared"), "shared_words", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
