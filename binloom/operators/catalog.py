@@ -101,8 +101,9 @@ class Database:
         self.table(table).filter(condition).createOrReplaceTempView(name)
 
     def create_top_view(self, name: str, table: str, column: str, n: int) -> None:
-        """A view of the n rows with the least values of a column."""
-        self.table(table).orderBy(F.col(column).asc()).limit(n).createOrReplaceTempView(name)
+        """A view of the n rows with the least values of a column, of equal ones those whose other columns are least."""
+        df = self.table(table)
+        df.orderBy(F.col(column).asc(), *[c for c in df.columns if c != column]).limit(n).createOrReplaceTempView(name)
 
     def drop_view(self, name: str) -> None:
         """A view that doesn't exist raises."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,7 +94,7 @@ def compare_once(assigned: DataFrame, scaffolds: DataFrame, by: Kmers, distance:
     return compare(unassigned(scaffolds.select("scaffold", "sequence"), assigned, "scaffold"), references, by, distance, ratio, largest)
 
 
-def compare_all(assigned: DataFrame, scaffolds: DataFrame, by: Kmers, distance: float = 0.003, ratio: float = 0.8, largest: float | None = None, mode: str = "intent", rounds: int = 20) -> DataFrame:
+def compare_all(assigned: DataFrame, scaffolds: DataFrame, by: Kmers, distance: float = 0.003, ratio: float = 0.8, largest: float | None = None, mode: str = "intent", rounds: int | None = None) -> DataFrame:
     """Comparisons repeated with what the last one assigned, until nothing new is; assigned scaffolds count at distance 0.
 
     mode "compat" makes one pass and keeps the rows that weren't assigned.
@@ -102,7 +103,7 @@ def compare_all(assigned: DataFrame, scaffolds: DataFrame, by: Kmers, distance:
     if mode == "compat":
         return table.unionByName(compare_once(table, scaffolds, by, distance, ratio, largest))
     table = written(table)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):  # each one assigns a scaffold more at least
         new = written(compare_once(table, scaffolds, by, distance, ratio, largest).filter(F.col("genus") != NOT_ASSIGNED))
         if new.isEmpty():
             break

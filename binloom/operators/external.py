@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import subprocess
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from binloom.operators.catalog import Database
+from binloom.operators.relational import exactly_one, of_markers
+from binloom.sources import files
 
 
 def parallel(rows: DataFrame, key: str, value: str, function: Callable[[object], str | None]) -> DataFrame:
@@ -46,3 +52,27 @@ def blast(sequences: DataFrame, database: str, program: str = "blastp", evalue:
 
     rows = sequences.repartition(batches, key) if batches else sequences
     return parallel(rows, key, sequence, search)
+
+
+def searched(results: DataFrame, key: str = "gene_id", n: int = 5) -> DataFrame:
+    """key and hits of the searches of blast() that ended well, as a table of results holds them."""
+    return results.filter("ok").select(key, files.hits_of_xml(F.col("value"), n).alias("hits"))
+
+
+def search_markers(db: Database, markers: DataFrame, databases: str, genes: str = "Genes", sequences: str = "Sequences", **options: object) -> DataFrame:
+    """key, ok, value and error of a search of each marker gene's sequence in its family's database, the file of that name in a folder.
+
+    Tables that are missing, no markers, and families without database raise before anything runs. Genes
+    with no sequence or several are left out.
+    """
+    for name in (genes, sequences):
+        db.exists(name, raise_error=True)
+    families = sorted(r.cog_id for r in markers.select("cog_id").distinct().collect())  # a list given by hand
+    if not families:
+        raise ValueError("there are no markers")
+    there = db.spark.read.format("binaryFile").option("pathGlobFilter", "*.phr").load(databases).select(F.regexp_extract("path", r"([^/]+)\.phr$", 1).alias("cog_id"))
+    if missing := sorted(set(families) - {r.cog_id for r in there.collect()}):
+        raise ValueError(f"there is no database of {', '.join(missing)}")
+    rows = exactly_one(of_markers(db.table(genes).select("gene_id", "cog_id"), markers, "cog_id"), db.table(sequences).select("gene_id", "sequence"), "gene_id")
+    parts = [blast(rows.filter(F.col("cog_id") == c), f"{databases.removeprefix('file://')}/{c}", **options) for c in families]
+    return reduce(DataFrame.unionByName, parts)

@@ -100,6 +100,13 @@ def folded_counts(counts: str, by: Kmers) -> F.Column:
     return F.array(*[sum((F.col(counts)[i] for i in places[1:]), F.col(counts)[places[0]]) for places in folded_places(by)])
 
 
+def folded_spectra(df: DataFrame, sequence: str, by: Kmers, to: str = "spectrum", strict: bool = True) -> DataFrame:
+    """The rows with one more column: frequencies of the classes of a k-mer and its reversal; NULL where no k-mer is known."""
+    rows = counted(df, sequence, by, "_counts", strict)
+    total = F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.withColumn(to, F.when(total > 0, F.transform(folded_counts("_counts", by), lambda x: x / total))).drop("_counts")
+
+
 def ranked(df: DataFrame, kmer: str, by: Kmers) -> DataFrame:
     return df.withColumn("rank", kmer_rank(F.col(kmer), by))
 

@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from binloom.operators.assign import relabelled
 from binloom.schema import NOT_ASSIGNED
 
-#: The colour of points without a label, and those of the labels in turn.
+#: The colour of points without a label, and those of the labels, which begin with the second.
 GRAY = "gainsboro"
-PALETTE = ("red", "blue", "green", "orange", "purple", "brown", "magenta", "cyan", "olive", "navy", "teal", "gold")
+PALETTE = (
+    "red", "blue", "green", "orange", "yellow", "purple", "DarkOrchid", "olive", "salmon", "brown", "MediumPurple", "LightCoral", "gold", "pink", "cyan", "BurlyWood",
+    "chocolate", "crimson", "deeppink", "black", "aquamarine", "aqua", "Darkorange", "darkmagenta", "lightgreen", "greenyellow", "indigo", "lime", "MidnightBlue", "SaddleBrown", "indianred", "khaki",
+)
+#: Dots an inch, height and width in inches of a figure.
+DPI, HEIGHT, WIDTH = 900, 4, 8
 #: The source that counts if several are asked for.
 ORDER = ("kmeans", "lbl", "dpgmm", "km_lbl", "blast", "ext")
 
 
-def plot_points(scaffolds: DataFrame, labels: DataFrame | None, dpi: float = 100, height: float = 8, width: float = 8) -> DataFrame:
+def plot_points(scaffolds: DataFrame, labels: DataFrame | None, dpi: float = DPI, height: float = HEIGHT, width: float = WIDTH, palette: Sequence[str] = PALETTE, strict: bool = False) -> DataFrame:
     """scaffold, x (coverage), y (GC), size, label and color of each scaffold with a label.
 
     Points without label are gray and come first; the other labels have colours by name, in turn.
+    With strict, as many labels as scaffolds are needed.
     """
+    if strict and labels is not None and (a := scaffolds.count()) != (b := labels.count()):
+        raise ValueError(f"there are {a} scaffolds and {b} labels")
     rows = scaffolds.select("scaffold", F.col("coverage").alias("x"), F.col("GC").alias("y"), "length")
     top = rows.agg(F.max("length").alias("_top"))
     rows = rows.join(F.broadcast(top)).withColumn("size", F.col("length") * 8e-6 * dpi**2 * height * width / F.col("_top")).drop("_top", "length")
@@ -28,7 +38,7 @@ def plot_points(scaffolds: DataFrame, labels: DataFrame | None, dpi: float = 100
     rows = rows.join(labels.select("scaffold", F.col("label").cast("string").alias("label")), "scaffold")
     distinct = rows.select("label").distinct()
     ranked = distinct.filter(F.col("label") != NOT_ASSIGNED).withColumn("_rank", F.row_number().over(Window.orderBy("label")))
-    color = F.element_at(F.array(*[F.lit(c) for c in PALETTE]), (F.col("_rank") % len(PALETTE) + 1).cast("int"))
+    color = F.element_at(F.array(*[F.lit(c) for c in palette]), (F.col("_rank") % len(palette) + 1).cast("int"))
     return rows.join(ranked.select(F.col("label").alias("_label"), color.alias("color")), F.col("label") == F.col("_label"), "left").drop("_label").withColumn("color", F.coalesce("color", F.lit(GRAY)))
 
 

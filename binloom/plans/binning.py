@@ -142,3 +142,15 @@ def run_binning(scaffolds: DataFrame, assigned: DataFrame, settings: Binning | N
         current = spread(labels)
     log.info("binning ended")
     return current
+
+
+def store_labels(db: Database, labels: DataFrame, column: str = "label", scaffolds: str = "Scaffolds") -> None:
+    """Keep the current labels in a column of the scaffolds; those without a label get NO_INDEX."""
+    rows = db.table(scaffolds)
+    kept = labels.select("scaffold", F.col("label").cast("long").alias(column))
+    db.replace(scaffolds, with_label(rows.drop(column), kept, "scaffold", column, NO_INDEX))
+
+
+def current_labels(db: Database, column: str = "label", scaffolds: str = "Scaffolds") -> DataFrame:
+    """scaffold and label as store_labels() kept them."""
+    return db.table(scaffolds).select("scaffold", F.col(column).alias("label"))

@@ -8,22 +8,34 @@ describe a gene.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom.functions import arrays, names, sequences
 from binloom.functions.sequences import Kmers
 from binloom.operators import assign, cluster, compare, kmercount, labelspread, matrix, neighbours, relational, report
+from binloom.operators.catalog import Database
 from binloom.plans import binning
 from binloom.schema import NOT_ASSIGNED
-from binloom.session import table
+from binloom.session import shared_folder, table
+from binloom.sources import files, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder for the files of one query, below the shared one."""
+    return f"{shared_folder(spark)}/binloom-{spark.sparkContext.applicationId}-query-{uuid.uuid4().hex}"
+
+
+def database(spark: SparkSession) -> Database:
+    return Database(spark, folder(spark))
+
+
 def query(sql: str | None = None) -> Callable[[Callable], Callable]:
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
@@ -161,7 +173,10 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select c_custkey, c_acctbal from customer order by c_acctbal, c_custkey limit 50")
 def topn_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").orderBy(F.col("c_acctbal").asc(), "c_custkey").limit(50)
+    db = database(spark)
+    db.replace("Accounts", table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"))
+    db.create_top_view("least_accounts", "Accounts", "c_acctbal", 50)
+    return db.table("least_accounts")
 
 
 @query("select distinct source, lang from documents")
@@ -184,7 +199,9 @@ def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select count(*) n from lineitem")
 def table_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"))
+    db = database(spark)
+    db.replace("Lines", table(spark, sf_dir, "lineitem").select("l_orderkey"))
+    return spark.createDataFrame([(db.count("Lines"),)], "n long")
 
 
 @query("select c_custkey, c_nationkey, case when c_nationkey = 3 and c_mktsegment = 'BUILDING' then 'OTHER' else c_mktsegment end c_mktsegment from customer")
@@ -197,11 +214,23 @@ def column_sqrt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.square_root(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice")
 
 
+def gene_lines(events: DataFrame, kind: Column, cluster: Column, evalue: Column) -> DataFrame:
+    """Rows of a gene table from events: each user a gene, with a first row that names its scaffold."""
+    fields = lambda *f: F.split(F.concat_ws("\t", *[F.coalesce(x.cast("string"), F.lit("")) for x in f]), "\t")  # a line, as a file has it
+    user, none = F.col("user_id"), F.lit("")
+    rows = events.select(F.col("event_id").alias("pos"), fields(user, none, kind, cluster, none, evalue).alias("f"))
+    return rows.unionByName(events.select("user_id").distinct().select(F.lit(-1).cast("long").alias("pos"), fields(user, none, F.lit("scaffold"), none, F.concat(F.lit("s"), user), none).alias("f")))
+
+
 @query("select user_id, coalesce(arg_max(value, event_id) filter (where event_type = 'purchase'), -1) purchase, coalesce(arg_max(value, event_id) filter (where event_type = 'click'), -1) click, coalesce(arg_max(props, event_id) filter (where event_type = 'error'), 'NULL_ST') error from events group by 1")
 def gene_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = lambda column, kind: F.max_by(F.when(F.col("event_type") == kind, F.col(column)), F.when(F.col("event_type") == kind, F.col("event_id")))
-    rows = table(spark, sf_dir, "events").groupBy("user_id")
-    return rows.agg(F.coalesce(last("value", "purchase"), F.lit(-1.0)).alias("purchase"), F.coalesce(last("value", "click"), F.lit(-1.0)).alias("click"), F.coalesce(last("props", "error"), F.lit("NULL_ST")).alias("error"))
+    """Purchases as a gene's COG, clicks as its pfam; errors as the COG of a second table."""
+    events = table(spark, sf_dir, "events")
+    value = F.col("value").cast("string")
+    numbers = files.folded_genes(gene_lines(events, F.when(F.col("event_type") == "purchase", "COG1").when(F.col("event_type") == "click", "pfam1"), F.lit(""), value), skip_first_row=False)
+    texts = files.folded_genes(gene_lines(events, F.when(F.col("event_type") == "error", "COG1"), F.col("props"), F.lit("1")), skip_first_row=False)
+    rows = numbers.select("gene_id", F.col("cog_Evalue").alias("purchase"), F.col("pfam_Evalue").alias("click")).join(texts.select("gene_id", F.col("cog_description").alias("error")), "gene_id")
+    return rows.select(F.col("gene_id").cast("long").alias("user_id"), "purchase", "click", "error")
 
 
 @query("""with h as (select l_orderkey, l_partkey, l_extendedprice, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) rn from lineitem)
@@ -350,7 +379,142 @@ def plot_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scaffolds = docs.select(F.col("doc_id").alias("scaffold"), F.col("n_chars").alias("coverage"), F.length("text").cast("long").alias("GC"), F.col("n_chars").alias("length"))
     labels = docs.select(F.col("doc_id").alias("scaffold"), F.when(F.col("lang") == "en", NOT_ASSIGNED).otherwise(F.col("lang")).alias("label"))
-    return report.plot_points(scaffolds, labels).withColumn("size", F.round("size", 9))
+    return report.plot_points(scaffolds, labels, dpi=100, height=8, width=8).withColumn("size", F.round("size", 9))
+
+
+# Sources, sinks and the catalog: written to the shared folder and read back.
+
+
+@query("""with h as (select l_orderkey scaffold, lower(replace(n_name, ' ', '_')) genus, l_extendedprice bits, p_type from lineitem join part on p_partkey = l_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey)
+ select scaffold, genus, round(sum(bits), 2) bits from h where p_type in ('PROMO', 'SMALL') group by 1, 2""")
+def gene_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line item a gene of its part's family, with one hit."""
+    lines, suppliers, nations, parts = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "part"))
+    gene = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    genes = lines.join(parts.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).select(gene.alias("gene_id"), F.col("p_type").alias("cog_id"), F.col("l_orderkey").alias("scaffold"))
+    named = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat(F.lit("gi|1| x ["), F.translate("n_name", " ", "_"), F.lit(" sp]")).alias("title"))
+    hit = F.struct("title", F.lit(0.0).alias("evalue"), F.col("l_extendedprice").alias("score"), F.col("l_extendedprice").alias("bits"))
+    results = lines.join(named, F.col("l_suppkey") == F.col("s_suppkey")).select(gene.alias("gene_id"), F.array(hit).alias("hits"))
+    markers = spark.createDataFrame([("PROMO",), ("SMALL",), ("PROMO",)], "cog_id string")
+    return assign.score_sums(assign.gene_hits(genes, results, markers)).withColumn("bits", F.round("bits", 2))
+
+
+@query("""with k as (select user_id, event_type, value, row_number() over (partition by user_id, event_type order by event_id desc) rn from events)
+ select cast(u.user_id as varchar) gene_id, 't' || u.user_id locus_tag, 's' || u.user_id scaffold, coalesce(round(max(case when event_type = 'purchase' then value end), 6), -1.0) cog, coalesce(round(max(case when event_type = 'click' then value end), 6), -1.0) pfam
+ from (select distinct user_id from events) u left join k on k.user_id = u.user_id and rn = 1 group by u.user_id""")
+def gene_table_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gene table as a file with a header, written in order, read by lines and folded."""
+    events = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "purchase", "COG0001").when(F.col("event_type") == "click", "pfam00001").otherwise("note")
+    text = lambda c: c.cast("string")
+    tag, none = F.concat(F.lit("t"), F.col("user_id")), F.lit(None).cast("string")
+    rows = events.select(F.col("event_id").alias("place"), text(F.col("user_id")).alias("gene_oid"), tag.alias("Locus Tag"), kind.alias("Source"), F.lit("d").alias("Cluster Information"), none.alias("Gene Information"), text(F.col("value")).alias("E-value"))
+    users = events.select("user_id").distinct().withColumn("place", F.lit(-1).cast("long"))
+    named = users.select("place", text(F.col("user_id")).alias("gene_oid"), tag.alias("Locus Tag"), F.lit("Scaffold").alias("Source"), none.alias("Cluster Information"), F.concat(F.lit("s"), "user_id").alias("Gene Information"), none.alias("E-value"))
+    path = folder(spark)
+    sinks.write_rows(rows.unionByName(named).repartitionByRange(4, "place").sortWithinPartitions("place").drop("place"), path, "\t", header=True)
+    found = files.genes(spark, path, skip_first_row=False)
+    return found.select("gene_id", "locus_tag", "scaffold", F.round("cog_Evalue", 6).alias("cog"), F.round("pfam_Evalue", 6).alias("pfam"))
+
+
+LETTERS = "with d as (select doc_id, lang, source, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') s from documents)\n"
+
+
+@query(LETTERS + "select cast(doc_id as varchar) scaffold_id, 'sg4i_' || doc_id scaffold, md5(s) digest, cast(len(s) as bigint) length, case when len(s) > 0 then (len(s) - len(replace(replace(s, 'G', ''), 'C', ''))) / len(s) end gc from d")
+def scaffold_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, letters = folder(spark), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
+    header = F.concat(F.col("doc_id").cast("string"), F.lit(" sg4i_"), "doc_id", F.lit(" assembly"))
+    table(spark, sf_dir, "documents").select(sinks.as_fasta(header, letters, 60)).write.text(path)
+    return files.scaffolds(spark, path).select("scaffold_id", "scaffold", F.md5(F.col("sequence").cast("binary")).alias("digest"), "length", F.col("GC").alias("gc"))
+
+
+@query(LETTERS + "select cast(doc_id as varchar) gene_id, 'sg4i_' || doc_id locus_tag, 'of ' || lang description, md5(s) digest from d")
+def protein_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, letters = folder(spark), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
+    header = F.concat(F.col("doc_id").cast("string"), F.lit(" sg4i_"), "doc_id", F.lit(" of "), "lang", F.lit(" [Some organism (v2)]"))
+    table(spark, sf_dir, "documents").select(sinks.as_fasta(header, letters)).write.text(path)
+    return files.proteins(spark, path).select("gene_id", "locus_tag", "description", F.md5(F.col("sequence").cast("binary")).alias("digest"))
+
+
+@query(LETTERS + "select lang || '' cog_id, cast(count(*) as bigint) records, cast(sum(len(s)) as bigint) letters from d where lang in ('en', 'de') group by 1")
+def family_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of records for each marker family, read back by family."""
+    path, docs = folder(spark), table(spark, sf_dir, "documents")
+    genes = docs.select(F.col("doc_id").alias("gene_id"), F.col("lang").alias("cog_id"))
+    sequences_ = docs.select(F.col("doc_id").alias("gene_id"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "").alias("sequence"))
+    sinks.write_family_fasta(genes, sequences_, spark.createDataFrame([("en",), ("de",), ("en",), ("none",)], "cog_id string"), path)
+    rows = files.fasta(spark, path)
+    return rows.groupBy(F.split("header", ",")[1].alias("cog_id")).agg(F.count("*").alias("records"), F.sum(F.length("sequence")).cast("long").alias("letters"))
+
+
+@query("select 'sg4i_' || c_custkey scaffold, c_acctbal coverage from customer")
+def coverage_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, customers = folder(spark), table(spark, sf_dir, "customer")
+    sinks.write_rows(customers.select("c_custkey", "c_acctbal"), path, header=True)
+    scaffolds = customers.select(F.concat(F.lit("sg4i_"), "c_custkey").alias("scaffold"))
+    return relational.updated(scaffolds, files.coverage(spark, path), "scaffold", "coverage", "pos")
+
+
+@query("select distinct p_type cog_id from part")
+def marker_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark)
+    sinks.write_rows(table(spark, sf_dir, "part").select("p_type", "p_name"), path, " ", header=True)
+    return files.markers(spark, path, " ", header=True)
+
+
+@query("select cast(p_partkey as varchar) cog_id, lower(p_name) as name from part")
+def cog_name_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark)
+    sinks.write_rows(table(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("p_name")), path, "\t", header=True)
+    return files.cog_names(spark, path)
+
+
+@query("select list_transform(embedding, lambda x: round(x::double, 6)) as row from embeddings")
+def matrix_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark)
+    sinks.write_matrix(table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("row")), "row", path)
+    return files.matrix(spark, path).select(F.transform("row", lambda x: F.round(x, 6)).alias("row"))
+
+
+@query("""with s as (select s_nationkey, s_suppkey, s_acctbal, row_number() over (partition by s_nationkey order by s_suppkey) k from supplier)
+ select cast(n_nationkey as bigint) nation, cast(count(s_suppkey) as int) hits, coalesce(string_agg('gi|' || s_suppkey || ' x [' || n_name || ' sp]', ';' order by k), '') titles, round(coalesce(sum(s_acctbal), 0.0), 2) bits from nation left join s on s_nationkey = n_nationkey and k <= 5 group by n_nationkey""")
+def blast_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search's XML for each nation, a file each; its suppliers are the hits."""
+    path, suppliers = folder(spark), table(spark, sf_dir, "supplier")
+    rows = table(spark, sf_dir, "nation").join(suppliers.select("s_nationkey", "s_suppkey", "s_acctbal"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    by_nation = rows.groupBy("n_nationkey", "n_name").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", F.col("s_acctbal").cast("string").alias("bits")))).alias("h"))
+    hit = "<Hit><Hit_num>%d</Hit_num><Hit_id>gi|%d</Hit_id><Hit_def>x [%s sp]</Hit_def><Hit_hsps><Hsp><Hsp_bit-score>%s</Hsp_bit-score><Hsp_score>9</Hsp_score><Hsp_evalue>0.5</Hsp_evalue></Hsp></Hit_hsps></Hit>"
+    made = F.transform(F.filter("h", lambda x: x["s_suppkey"].isNotNull()), lambda x, i: F.format_string(hit, i + 1, x["s_suppkey"], F.col("n_name"), x["bits"]))
+    page = F.concat(F.lit("<BlastOutput><BlastOutput_iterations><Iteration><Iteration_iter-num>1</Iteration_iter-num><Iteration_hits>"), F.array_join(made, ""), F.lit("</Iteration_hits></Iteration></BlastOutput_iterations></BlastOutput>"))
+    by_nation.select(F.col("n_nationkey").alias("nation"), page.alias("value")).repartition("nation").write.partitionBy("nation").text(path)
+    found = files.blast_xml(spark, path)
+    return found.select(F.regexp_extract("file", "nation=([0-9]+)", 1).cast("long").alias("nation"), F.size("hits").alias("hits"), F.array_join(F.transform("hits", lambda h: h["title"]), ";").alias("titles"), F.round(F.aggregate("hits", F.lit(0.0), lambda a, h: a + h["bits"]), 2).alias("bits"))
+
+
+@query("select c_custkey as id, c_mktsegment as segment, case when c_mktsegment = 'BUILDING' then 0.5 end as share from customer where c_nationkey = 3 union all select s_suppkey, 'supplier', null from supplier where s_nationkey = 3")
+def database_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declared table, filled twice, widened, updated, narrowed and seen through a view."""
+    db = database(spark)
+    db.create("Accounts", ["id", "nation", "segment"], ["int", "int", "str"])
+    db.store("Accounts", table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")))
+    db.store("Accounts", table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("segment")))
+    db.add_columns("Accounts", {"share": "float", "note": "str"})
+    db.update("Accounts", {"share": 0.5}, {"segment": "BUILDING"})
+    db.drop_columns("Accounts", ["note"])
+    db.create_view("accounts_of_3", "Accounts", {"nation": 3})
+    return db.sql("select id, segment, share from accounts_of_3")
+
+
+@query(PAIRS + """, u as (select doc_id, least(kmer, reverse(kmer)) kmer, sum(n) n from k group by 1, 2), l as (select unnest(['A', 'C', 'G', 'T']) x), a as (select u.x || v.x kmer from l u, l v where u.x <= v.x), t as (select doc_id, sum(n) s from k group by 1)
+ select t.doc_id, list(round(coalesce(n, 0) / s, 9) order by a.kmer) spectrum from t cross join a left join u on u.doc_id = t.doc_id and u.kmer = a.kmer group by 1""")
+def kmer_unique_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kmercount.folded_spectra(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", Kmers(2), strict=False).filter("spectrum is not null")
+    return rows.select("doc_id", F.transform("spectrum", lambda x: F.round(x, 9)).alias("spectrum"))
+
+
+@query("with l as (select unnest(['A', 'C', 'G', 'T']) x) select a.x || b.x || c.x kmer from l a, l b, l c where a.x <= c.x")
+def kmer_without_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmercount.without_reversed(kmercount.all_kmers(spark, Kmers(3)).select("kmer"))
 
 
 # Iterative operators, which SQL can't express.
@@ -362,17 +526,17 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.kmeans(features(spark, sf_dir), 10, starts=3)
+    return cluster.kmeans(features(spark, sf_dir), 10)
 
 
 @query()
 def gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.gaussian_mixture(features(spark, sf_dir), 3, rounds=5)
+    return cluster.gaussian_mixture(features(spark, sf_dir), 3)
 
 
 @query()
 def dirichlet_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.dirichlet_mixture(features(spark, sf_dir), 10, rounds=10)
+    return cluster.dirichlet_mixture(features(spark, sf_dir), 10)
 
 
 @query()
@@ -384,7 +548,7 @@ def complete_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def label_spread_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir)
-    return labelspread.propagate(rows, rows.filter("label < 5"), alpha=0.8, rounds=10)
+    return labelspread.propagate(rows, rows.filter("label < 5"), alpha=0.8)
 
 
 @query()

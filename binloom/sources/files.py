@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import logging
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from binloom.functions.sequences import gc_fraction
 from binloom.schema import NULL_TEXT
 
+log = logging.getLogger(__name__)
+
 #: Headers of the protein and scaffold files.
 PROTEIN_HEADER = r"^([0-9]+)\s+(sg4i_[0-9]+)\s+(.*)\s+(\[.*\])"
 SCAFFOLD_HEADER = r"^(.+?)\s+(.+?)\s+(.+)"
@@ -37,10 +41,20 @@ def scaffolds(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(part(1).alias("scaffold_id"), part(2).alias("scaffold"), "sequence", F.length("sequence").cast("long").alias("length"), gc_fraction(F.col("sequence")).alias("GC"))
 
 
+def lines(spark: SparkSession, path: str, separator: str, fields: int) -> DataFrame:
+    """pos and f (the fields) of each line of files with a header; pos orders the lines as they stand in the files.
+
+    Files are split between tasks: a line's place is its file, the split's start and the line's number in it.
+    """
+    schema = T.StructType([T.StructField(f"f{k}", T.StringType()) for k in range(fields)])
+    rows = spark.read.csv(path, sep=separator, header=True, schema=schema, quote="", escape="")
+    pos = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return rows.select(pos.alias("pos"), F.array(*[F.coalesce(f"f{k}", F.lit("")) for k in range(fields)]).alias("f"))
+
+
 def gene_rows(spark: SparkSession, path: str) -> DataFrame:
     """pos and the six fields of each row of a gene table; the header is left out."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).filter("pos > 0 and line <> ''")
-    return lines.select("pos", F.split("line", "\t").alias("f"))
+    return lines(spark, path, "\t", 6)
 
 
 def folded_genes(rows: DataFrame, skip_first_row: bool = True) -> DataFrame:
@@ -79,11 +93,17 @@ def genes(spark: SparkSession, path: str, skip_first_row: bool = True) -> DataFr
     return folded_genes(gene_rows(spark, path), skip_first_row)
 
 
+def warn_without_cog(rows: DataFrame) -> int:
+    """How many genes have no COG; a warning says so."""
+    n = rows.filter(F.col("cog_id") == NULL_TEXT).count()
+    if n:
+        log.warning("%d genes have no COG", n)
+    return n
+
+
 def coverage(spark: SparkSession, path: str, prefix: str = SCAFFOLD_PREFIX) -> DataFrame:
     """scaffold, coverage and pos of a coverage file with a header; a value that is no number raises."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).filter("pos > 0 and line <> ''")
-    cells = F.split("line", ",")
-    return rows.select(F.concat(F.lit(prefix), cells[0]).alias("scaffold"), cells[1].cast("double").alias("coverage"), "pos")
+    return lines(spark, path, ",", 2).select(F.concat(F.lit(prefix), F.col("f")[0]).alias("scaffold"), F.col("f")[1].cast("double").alias("coverage"), "pos")
 
 
 def markers(spark: SparkSession, path: str, separator: str = " ", header: bool = False) -> DataFrame:
@@ -101,15 +121,31 @@ def cog_names(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col(rows.columns[0]).alias("cog_id"), F.lower(rows.columns[1]).alias("name"))
 
 
+HSP = T.StructType([T.StructField("Hsp_bit-score", T.DoubleType()), T.StructField("Hsp_score", T.DoubleType()), T.StructField("Hsp_evalue", T.DoubleType())])
+HIT = T.StructType([T.StructField("Hit_num", T.LongType()), T.StructField("Hit_id", T.StringType()), T.StructField("Hit_def", T.StringType()), T.StructField("Hit_hsps", T.StructType([T.StructField("Hsp", T.ArrayType(HSP))]))])
+ITERATION = T.StructType([T.StructField("Iteration_iter-num", T.LongType()), T.StructField("Iteration_hits", T.StructType([T.StructField("Hit", T.ArrayType(HIT))]))])
+HITS = "array<struct<title:string,evalue:double,score:double,bits:double>>"
+
+
+def first_of(hits: Column, n: int) -> Column:
+    """The first n hits by their numbers, each by its first alignment; none is an empty array."""
+    best = lambda h: h["Hit_hsps"]["Hsp"][0]
+    made = F.transform(F.slice(F.array_sort(hits), 1, n), lambda h: F.struct(F.concat_ws(" ", h["Hit_id"], h["Hit_def"]).alias("title"), best(h)["Hsp_evalue"].alias("evalue"), best(h)["Hsp_score"].alias("score"), best(h)["Hsp_bit-score"].alias("bits")))
+    return F.coalesce(made, F.array().cast(HITS))
+
+
+def hits_of_xml(xml: Column, n: int = 5) -> Column:
+    """The first n hits of the first query in a search's XML, as blast_xml reads them from files; NULL for NULL."""
+    whole = T.StructType([T.StructField("BlastOutput_iterations", T.StructType([T.StructField("Iteration", T.ArrayType(ITERATION))]))])
+    first = F.array_sort(F.from_xml(xml, whole)["BlastOutput_iterations"]["Iteration"])[0]
+    return F.when(xml.isNotNull(), first_of(first["Iteration_hits"]["Hit"], n))
+
+
 def blast_xml(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
     """file and hits (title, evalue, score, bits; the first n of a file's first query, by their first alignment)."""
-    hsp = T.StructType([T.StructField("Hsp_bit-score", T.DoubleType()), T.StructField("Hsp_score", T.DoubleType()), T.StructField("Hsp_evalue", T.DoubleType())])
-    hit = T.StructType([T.StructField("Hit_num", T.LongType()), T.StructField("Hit_id", T.StringType()), T.StructField("Hit_def", T.StringType()), T.StructField("Hit_hsps", T.StructType([T.StructField("Hsp", T.ArrayType(hsp))]))])
-    schema = T.StructType([T.StructField("Iteration_iter-num", T.LongType()), T.StructField("Iteration_hits", T.StructType([T.StructField("Hit", T.ArrayType(hit))]))])
-    rows = spark.read.format("xml").option("rowTag", "Iteration").schema(schema).load(path).withColumn("file", F.input_file_name())
+    rows = spark.read.format("xml").option("rowTag", "Iteration").schema(ITERATION).load(path).withColumn("file", F.input_file_name())
     first = rows.groupBy("file").agg(F.min_by("Iteration_hits.Hit", "`Iteration_iter-num`").alias("hits"))
-    made = F.transform(F.slice(F.array_sort("hits"), 1, n), lambda h: F.struct(F.concat_ws(" ", h["Hit_id"], h["Hit_def"]).alias("title"), h["Hit_hsps"]["Hsp"][0]["Hsp_evalue"].alias("evalue"), h["Hit_hsps"]["Hsp"][0]["Hsp_score"].alias("score"), h["Hit_hsps"]["Hsp"][0]["Hsp_bit-score"].alias("bits")))
-    return first.select("file", F.coalesce(made, F.array().cast("array<struct<title:string,evalue:double,score:double,bits:double>>")).alias("hits"))
+    return first.select("file", first_of(F.col("hits"), n).alias("hits"))
 
 
 def matrix(spark: SparkSession, path: str) -> DataFrame:

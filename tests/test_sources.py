@@ -5,7 +5,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from binloom.functions import names
-from binloom.operators import relational
+from binloom.operators import external, relational, report
+from binloom.operators.catalog import Database
+from binloom.plans import binning
 from binloom.sources import files, sinks
 
 GENES = """gene_oid\tLocus Tag\tSource\tCluster Information\tGene Information\tE-value
@@ -92,3 +94,71 @@ def test_keywords(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "nr")).filter("match_id = 'z'").count() == 2
     with pytest.raises(ValueError, match="needs an id"):
         relational.first_match(df, F.col("text"), ["a"], [])
+
+
+def test_hits_of_xml_text(spark):
+    hit = "<Hit><Hit_num>{0}</Hit_num><Hit_id>gi|{0}</Hit_id><Hit_def>x [A b]</Hit_def><Hit_hsps><Hsp><Hsp_bit-score>{1}</Hsp_bit-score><Hsp_score>9</Hsp_score><Hsp_evalue>0.5</Hsp_evalue></Hsp><Hsp><Hsp_bit-score>1</Hsp_bit-score></Hsp></Hit_hsps></Hit>"
+    page = lambda n: f"<BlastOutput><BlastOutput_iterations><Iteration><Iteration_iter-num>1</Iteration_iter-num><Iteration_hits>{''.join(hit.format(i, 100 - i) for i in range(1, n + 1))}</Iteration_hits></Iteration></BlastOutput_iterations></BlastOutput>"
+    rows = spark.createDataFrame([("a", True, page(8)), ("b", True, page(0)), ("c", True, page(1)), ("d", False, None)], "gene_id string, ok boolean, value string")
+    got = {r.gene_id: r.hits for r in external.searched(rows).collect()}
+    assert set(got) == {"a", "b", "c"} and got["b"] == [] and [h.bits for h in got["a"]] == [99.0, 98.0, 97.0, 96.0, 95.0]
+    assert got["c"][0].title == "gi|1 x [A b]"
+
+
+def test_search_of_markers(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    markers = spark.createDataFrame([("COG1",), ("COG2",)], "cog_id string")
+    with pytest.raises(ValueError, match="no table Genes"):
+        external.search_markers(db, markers, str(tmp_path))
+    db.replace("Genes", spark.createDataFrame([("1", "COG1"), ("2", "COG2"), ("3", "COG1"), ("4", "COG9")], "gene_id string, cog_id string"))
+    with pytest.raises(ValueError, match="no table Sequences"):
+        external.search_markers(db, markers, str(tmp_path))
+    db.replace("Sequences", spark.createDataFrame([("1", "MK"), ("2", "ML"), ("3", "MM"), ("3", "MN"), ("4", "MO")], "gene_id string, sequence string"))
+    with pytest.raises(ValueError, match="no markers"):
+        external.search_markers(db, markers.limit(0), str(tmp_path))
+    (tmp_path / "COG1.phr").write_text("x")
+    with pytest.raises(ValueError, match="no database of COG2"):
+        external.search_markers(db, markers, str(tmp_path))
+    (tmp_path / "COG2.phr").write_text("x")
+    program = tmp_path / "search"
+    program.write_text('#!/bin/sh\ncat > /dev/null\necho "$2"\n')
+    program.chmod(0o755)
+    found = external.search_markers(db, markers, str(tmp_path), program=str(program))
+    assert sorted((r.gene_id, r.ok, r.value.strip().rsplit("/", 1)[-1]) for r in found.collect()) == [("1", True, "COG1"), ("2", True, "COG2")]
+
+
+def test_lines_keep_their_places(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("id,cov\r\n" + "".join(f"c{i},{i}\r\n" for i in range(5000)) + '"q",1\n')
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.lines(spark, str(tmp_path / "c.csv"), ",", 2).orderBy("pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+    assert len({r.pos.block for r in rows}) > 5 and [r.f[0] for r in rows] == [f"c{i}" for i in range(5000)] + ['"q"']
+
+
+def test_warning_of_genes_without_cog(spark, caplog):
+    rows = spark.createDataFrame([("1", "COG1"), ("2", "NULL_ST")], "gene_id string, cog_id string")
+    assert files.warn_without_cog(rows) == 1 and "1 genes have no COG" in caplog.text
+    assert files.warn_without_cog(rows.limit(0)) == 0
+
+
+def test_colours_and_counts_of_points(spark):
+    n = len(report.PALETTE) + 3
+    scaffolds = spark.range(n + 1).select(F.col("id").alias("scaffold"), F.lit(1.0).alias("coverage"), F.lit(0.5).alias("GC"), (F.col("id") + 1).alias("length"))
+    labels = spark.range(n).select(F.col("id").alias("scaffold"), F.format_string("l%03d", "id").alias("label"))
+    got = {r.label: r for r in report.plot_points(scaffolds, labels).collect()}
+    assert [got[f"l{i:03d}"].color for i in range(n)] == [report.PALETTE[(i + 1) % len(report.PALETTE)] for i in range(n)]
+    assert got["l000"].size == pytest.approx(8e-6 * 900**2 * 4 * 8 / (n + 1))
+    with pytest.raises(ValueError, match="scaffolds and"):
+        report.plot_points(scaffolds, labels, strict=True)
+
+
+def test_labels_kept_with_scaffolds(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    db.replace("Scaffolds", spark.createDataFrame([("a", 1.0), ("b", 2.0)], "scaffold string, coverage double"))
+    for label in (4, 5):
+        binning.store_labels(db, spark.createDataFrame([("a", label)], "scaffold string, label int"))
+        assert {r.scaffold: r.label for r in binning.current_labels(db).collect()} == {"a": label, "b": -1}
+    assert db.columns("Scaffolds") == ["scaffold", "coverage", "label"]
