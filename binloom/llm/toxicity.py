@@ -6,7 +6,8 @@ may replace, for a word's edge where it is a separator, or for nothing. Viterbi'
 finds the likeliest letters and edges under a character bigram model of all documents, with
 a channel cost for each change. Tokens and runs of spaced letters may have any length.
 
-Plain words and restored ones are then looked up, whole and by their first bytes, among
+Words with accented Latin letters are read without the accents as well. Plain words and
+restored ones are then looked up, whole and by their first bytes, among
 features that toxic training texts have and others lack. Between letters that separators
 part, the likeliest edges may be wrong, so words from any separator to any other are looked
 up as well, and those that say most without overlap are taken. What a text's strongest
@@ -14,12 +15,14 @@ features say goes through a logistic regression.
 
 The character model counts all documents; the features and the regression come from a
 sample of at most BOUND labelled documents. Nulls and empty texts hold no features and get
-the score of a text without any.
+the score of a text without any. Rows are scored one by one, equal texts alike; an empty
+table gives no rows; a column named as the score is replaced, others may have any name.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -164,6 +167,24 @@ def compact(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return textbytes.LOWER[data[keep]], np.r_[0, np.cumsum(keep)][offsets]
 
 
+#: The letter without its accent of each two-byte code that begins with ACCENTED, by its second byte; 0 for other letters.
+ACCENTED = 0xC3
+UNACCENTED = np.zeros(256, dtype=np.uint8)
+for _b in range(0x80, 0xC0):
+    _plain = unicodedata.normalize("NFD", chr(_b + 0x40))[0].lower()
+    UNACCENTED[_b] = ord(_plain) if "a" <= _plain <= "z" else 0
+
+
+def unaccented(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes without accents on Latin letters, their offsets, and where a letter has lost one."""
+    if not len(data):
+        return data, offsets, np.zeros(0, dtype=bool)
+    hit = np.flatnonzero((data[:-1] == ACCENTED) & (UNACCENTED[data[1:]] > 0))
+    out, changed, keep = data.copy(), np.zeros(len(data), dtype=bool), np.ones(len(data), dtype=bool)
+    out[hit + 1], changed[hit + 1], keep[hit] = UNACCENTED[data[hit + 1]], True, False
+    return out[keep], np.r_[0, np.cumsum(keep)][offsets], changed[keep]
+
+
 def disguised(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Distinct disguised tokens of each document, and their documents."""
     if not len(data):
@@ -272,9 +293,14 @@ def document_words(data: np.ndarray, offsets: np.ndarray, restorer: Restorer, ke
     words = parted(restorer(tokens), none if keys is None else keys, none if values is None else values)
     said, token_doc = [w.encode() for own in words for w in own], np.repeat(token_doc, [len(own) for own in words])
     more, edges = lowered(said)
-    both = np.concatenate([plain, more])
-    starts, ends = np.r_[starts, edges[:-1] + len(plain)].astype(np.int64), np.r_[ends, edges[1:] + len(plain)].astype(np.int64)
-    doc = np.r_[doc, token_doc].astype(np.int64)
+    bare, bare_at, changed = unaccented(plain, at)
+    a, b, bare_doc = textbytes.words(bare, bare_at)
+    marks = np.r_[0, np.cumsum(changed)]
+    lost = marks[b] > marks[a]
+    both, past = np.concatenate([plain, more, bare]), len(plain) + len(more)
+    starts = np.r_[starts, edges[:-1] + len(plain), a[lost] + past].astype(np.int64)
+    ends = np.r_[ends, edges[1:] + len(plain), b[lost] + past].astype(np.int64)
+    doc = np.r_[doc, token_doc, bare_doc[lost]].astype(np.int64)
     some = ends > starts
     starts, ends, doc = starts[some], ends[some], doc[some]
     _, first, back = np.unique(textbytes.span_hash(textbytes.prefix_hash(both), starts, ends), return_index=True, return_inverse=True)
