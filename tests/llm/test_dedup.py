@@ -429,3 +429,44 @@ def test_pipeline_stages(spark):
             assert after.same.all() and len(after) == len(before)
         kept[name] = len(after)
     assert corpus_pipeline.run(spark, FOLDER).count() == kept["bpe"]
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, ids that recur, columns with names that the stages use."""
+    rng = random.Random(20)
+    said = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    long, twin = said(30_000), said(90)
+    texts = [(1, twin, "en", "s"), (1, twin, "en", "s"), (1, said(80), "en", "s"), (2, twin + " more", "de", None), (3, None, None, "t"), (4, "", "en", "t"), (None, said(70), None, None), (None, None, None, None), (5, long, "en", "u"), (6, "x y z", "en", "u"), (7, " \t\n", "en", "u")]
+    rows = [(i, t, lang, source, None if t is None else len(t), "k", 1, 2.0, "m", 3, b"w", 4) for i, t, lang, source in texts]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, _id int, score double, row string, size int, spans binary, toxicity0 int")
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    docs = odd_documents(spark)
+    extra = docs.columns[5:]
+    texts = Counter((r.doc_id, r.text) for r in docs.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, FOLDER)
+        found, empty = out.collect(), stage(spark, docs.limit(0), FOLDER)
+        assert empty.count() == 0 and empty.schema.names == out.schema.names
+        if name == "bpe":
+            assert all(r.same for r in found) and len(found) == docs.count()
+            continue
+        assert out.columns == docs.columns and {tuple(r[c] for c in extra) for r in found} == {("k", 1, 2.0, "m", 3, b"w", 4)}
+        now = Counter((r.doc_id, r.text) for r in found)
+        if name == "toxicity":
+            assert now == texts  # nothing here is toxic
+        if name == "near-dedup":
+            gone = texts - now
+            assert {i for i, _ in gone} == {1, 2} and sum(gone.values()) == 2  # one of the equal rows, and the near copy
+        if name == "suffix-array dedup":
+            assert sum(now.values()) == docs.count() and now == Counter((r.doc_id, r.text) for r in docs.collect())  # no repeats are left
+        docs = spark.createDataFrame(found, out.schema)
+
+
+def test_repeats_stage_on_equal_rows(spark):
+    """Equal rows are repeats of each other: both become empty."""
+    text = "".join(random.Random(3).choice("abc ") for _ in range(500))
+    docs = spark.createDataFrame([(1, text, "en", "s", 500), (1, text, "en", "s", 500), (2, text[:450] + "é" * 100, "en", None, 550)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.remove_repeats(spark, docs, FOLDER).collect()
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in found) == Counter({(1, "", 0): 2, (2, "é" * 100, 100): 1})

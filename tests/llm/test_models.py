@@ -240,6 +240,9 @@ def test_disguises_of_any_length(spark):
         "on er th stup" + "i" * 60 + "d an": True,
         "on er " + ".".join(["therin", "anones"] * 5) + ".stupid.an": True,
         "an " + "e r o n " * 12 + "s t u p i d": True,
+        "on er st\u00fapid th": True,
+        "on er W\u00d3RTHLESS th": True,
+        "an \u00e9r \u00f3n th\u00edn": False,
         "an er 1 2 3 4 5 on th": False,
         "on a e i o an er": False,
         "an " + "e r o n " * 12 + "th in": False,
@@ -290,3 +293,77 @@ def test_remainder_is_that_of_the_id_as_text(spark):
     df = spark.range(50).withColumnRenamed("id", "doc_id")
     assert all(r[1] == zlib.crc32(str(r[0]).encode()) % 7 for r in df.select("doc_id", classlm.remainder(F.col("doc_id"), 7)).collect())
     assert hashlib.sha256(b"").hexdigest() == df.select(F.sha2(F.lit(b""), 256)).first()[0]
+
+
+def test_likeliest_letters_against_all_paths():
+    """decoded() against every way to read a short token."""
+    rng = np.random.default_rng(7)
+    bigrams = np.log(rng.dirichlet(np.full(toxicity.SYMBOLS, 0.3), size=toxicity.SYMBOLS) + 1e-9)
+
+    def best(token):
+        found = [(-np.inf, "")]
+
+        def read(k, state, total, said):
+            if k == len(token):
+                found.append((total + bigrams[state, 0], said))
+                return
+            c = token[k]
+            if "a" <= c <= "z":
+                ways, drop, kept = [(ord(c) - 96, 0.0, c)], toxicity.LOST, said
+            elif c in toxicity.STANDS_FOR:
+                ways, drop, kept = [(ord(x) - 96, toxicity.REPLACED, x) for x in toxicity.STANDS_FOR[c]], toxicity.DROPPED, said
+            else:
+                ways, drop, kept = [(0, toxicity.SEPARATOR, " ")], toxicity.SEPARATOR, said + "\0"
+            for to, cost, letter in ways:
+                read(k + 1, to, total + bigrams[state, to] + cost, said + letter)
+            read(k + 1, state, total + drop, kept)
+
+        read(0, 0, 0.0, "")
+        return max(found)[1]
+
+    pick = random.Random(8)
+    tokens = []
+    while len(tokens) < 60:
+        t = "".join(pick.choice("abel1@!|.-") for _ in range(pick.randint(1, 8)))
+        if all(x != y for x, y in zip(t, t[1:], strict=False)) and any(c.isalpha() for c in t):
+            tokens.append(t)
+    assert toxicity.decoded(tokens, bigrams) == [best(t) for t in tokens]
+
+
+def test_word_vectors_by_hand(spark, monkeypatch):
+    """Word vectors and pooled features, token by token."""
+    monkeypatch.setattr(quality, "OWN", 6)
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["the", "a", "cat", "dog!", "x1", "\u00e9t\u00e9", *(f"rare{i}" for i in range(30))][: rng.choice([4, 36])]) for _ in range(rng.randint(0, 40))) for _ in range(25)] + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    split = [re.findall(r"[A-Za-z\u0080-\U0010ffff]+|[0-9]+|[^A-Za-z0-9\s\u0080-\U0010ffff]+", t or "") for t in texts]
+
+    def hashed(token):
+        data = np.frombuffer(token.encode(), dtype=np.uint8)
+        return textbytes.span_hash(textbytes.prefix_hash(data), np.array([0]), np.array([len(data)]))[0]
+
+    own = quality.own_tokens(df, "text")
+    count = Counter(w for s in split for w in s)
+    inside = {w for w in count if hashed(w) in own}
+    assert 0 < len(own) == len(inside) <= 6 and min(count[w] for w in inside) >= max(n for w, n in count.items() if w not in inside)
+    place = {w: list(own).index(hashed(w)) if w in inside else len(own) + int(hashed(w) % np.uint64(quality.BUCKETS)) for w in count}
+    table = np.zeros((len(own) + quality.BUCKETS, quality.DIMENSIONS))
+    for s in split:
+        for i, w in enumerate(s):
+            for j in range(max(0, i - quality.WINDOW), min(len(s), i + quality.WINDOW + 1)):
+                if j != i:
+                    drawn = int(textbytes.mix(np.array([hashed(s[j])]))[0])
+                    for k in range(quality.SIGNS):
+                        table[place[w], (drawn >> 16 * k) % quality.DIMENSIONS] += 1 - 2 * (drawn >> (16 * k + 12) & 1)
+    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+    vectors = quality.word_vectors(df, "text", own)
+    assert np.abs(vectors - table).max() < 1e-5
+    raw = [(t or "").encode() for t in texts]
+    got = quality.pooled(own, vectors, np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+    for s, row in zip(split, got, strict=True):
+        if not s:
+            assert not row.any()
+            continue
+        v = np.array([table[place[w]] for w in s])
+        want = [*v.mean(axis=0), *v.std(axis=0), sum(float(a @ b) for a, b in zip(v, v[1:], strict=False)) / len(s), sum(i >= 2 and s[i] in (s[i - 1], s[i - 2]) for i in range(len(s))) / len(s), math.log1p(len(s))]
+        assert np.allclose(row, want, atol=1e-3)
