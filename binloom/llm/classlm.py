@@ -52,7 +52,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Hash, shape and document of each word, A-Z in lower case."""
     low = textbytes.LOWER[data]
     starts, ends, doc = textbytes.words(low, offsets)
-    word = textbytes.span_hash(textbytes.prefix_hash(low), starts, ends)
+    word = textbytes.word_hash(low, starts, ends)
     tail = np.zeros(len(starts), dtype=np.uint64)  # the last three bytes, as a number
     for k in (3, 2, 1):
         tail = (tail << np.uint64(8)) | np.where(ends - k >= starts, low[np.maximum(ends - k, 0)], 0).astype(np.uint64) if len(starts) else tail

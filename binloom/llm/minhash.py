@@ -60,7 +60,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, banding: Banding) -> lis
     """
     low = textbytes.LOWER[data]
     starts, ends, doc = textbytes.words(low, offsets)
-    word = textbytes.span_hash(textbytes.prefix_hash(low), starts, ends)
+    word = textbytes.word_hash(low, starts, ends)
     gram = textbytes.gram_hash(word, banding.words)
     stop = np.searchsorted(doc, np.arange(len(offsets)), "left")
     out = []

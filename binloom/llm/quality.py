@@ -54,7 +54,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     cuts = np.flatnonzero(edge)
     solid = kind[cuts[:-1]] > 0
     starts, ends = cuts[:-1][solid], cuts[1:][solid]
-    return textbytes.span_hash(textbytes.prefix_hash(data), starts, ends), np.searchsorted(offsets, starts, "right") - 1
+    return textbytes.word_hash(data, starts, ends), np.searchsorted(offsets, starts, "right") - 1
 
 
 def own_tokens(docs: DataFrame, text: str) -> np.ndarray:

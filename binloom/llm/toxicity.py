@@ -153,11 +153,10 @@ def lowered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each word, hashes of it and of its beginnings: a row for each kind, 0 where it is too short."""
-    h = textbytes.prefix_hash(data)
-    rows = [textbytes.span_hash(h, starts, ends)]
+    rows = [textbytes.word_hash(data, starts, ends)]
     for k in STEMS:
         cut = starts + k
-        rows.append(np.where(cut < ends, textbytes.mix(textbytes.span_hash(h, starts, np.minimum(cut, ends)) + np.uint64(k)), np.uint64(0)))
+        rows.append(np.where(cut < ends, textbytes.mix(textbytes.word_hash(data, starts, np.minimum(cut, ends)) + np.uint64(k)), np.uint64(0)))
     return np.stack(rows)
 
 
@@ -303,7 +302,7 @@ def document_words(data: np.ndarray, offsets: np.ndarray, restorer: Restorer, ke
     doc = np.r_[doc, token_doc, bare_doc[lost]].astype(np.int64)
     some = ends > starts
     starts, ends, doc = starts[some], ends[some], doc[some]
-    _, first, back = np.unique(textbytes.span_hash(textbytes.prefix_hash(both), starts, ends), return_index=True, return_inverse=True)
+    _, first, back = np.unique(textbytes.word_hash(both, starts, ends), return_index=True, return_inverse=True)
     return word_features(both, starts[first], ends[first]), back, doc
 
 
