@@ -216,8 +216,8 @@ def test_hashes_of_alternating_words(spark):
     df = spark.createDataFrame([(1, f"one two three {w}"), (2, f"one two three {other}"), (3, f"one two three {w}")], "id long, text string")
     assert {r.id: r.component for r in minhash.groups(df, minhash.Banding(words=4)).collect()} == {1: 1, 2: 2, 3: 1}
     data = np.frombuffer((w + other).encode(), dtype=np.uint8)
-    hashes = textbytes.span_hash(textbytes.prefix_hash(data), np.array([0, len(w)]), np.array([len(w), 2 * len(w)]))
-    assert hashes[0] != hashes[1]
+    for hashes in (textbytes.span_hash(textbytes.prefix_hash(data), np.array([0, len(w)]), np.array([len(w), 2 * len(w)])), textbytes.word_hash(data, np.array([0, len(w)]), np.array([len(w), 2 * len(w)]))):
+        assert hashes[0] != hashes[1]
     rng = np.random.default_rng(5)
     data = rng.integers(0, 256, size=40000).astype(np.uint8)  # several blocks of prefix sums
     data[30000:30500] = data[100:600]
@@ -431,6 +431,21 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() == kept["bpe"]
 
 
+def test_word_hashes():
+    rng = random.Random(21)
+    found = {bytes(rng.choice(b"ab\0\xff") for _ in range(rng.randint(0, 150))) for _ in range(3000)} | {b"a" * n for n in range(70)} | {b"\0" * n for n in range(70)}
+    spans = [w for w in sorted(found) for _ in (0, 1)]
+    rng.shuffle(spans)
+    parts = [bytes(rng.choice(b"xyz") for _ in range(rng.randint(0, 9))) for _ in spans]
+    data = np.frombuffer(b"".join(p + w for p, w in zip(parts, spans, strict=True)), dtype=np.uint8)
+    ends = np.cumsum([len(p) + len(w) for p, w in zip(parts, spans, strict=True)])
+    hashes = textbytes.word_hash(data, ends - [len(w) for w in spans], ends).tolist()
+    by_word = defaultdict(set)
+    for w, h in zip(spans, hashes, strict=True):
+        by_word[w].add(h)
+    assert all(len(x) == 1 for x in by_word.values()) and len(set(hashes)) == len(found)
+
+
 def odd_documents(spark):
     """Nulls in every column, empty and very long texts, repeated rows, ids that recur, columns with names that the stages use."""
     rng = random.Random(20)

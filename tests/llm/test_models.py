@@ -340,7 +340,7 @@ def test_word_vectors_by_hand(spark, monkeypatch):
 
     def hashed(token):
         data = np.frombuffer(token.encode(), dtype=np.uint8)
-        return textbytes.span_hash(textbytes.prefix_hash(data), np.array([0]), np.array([len(data)]))[0]
+        return textbytes.word_hash(data, np.array([0]), np.array([len(data)]))[0]
 
     own = quality.own_tokens(df, "text")
     count = Counter(w for s in split for w in s)
