@@ -390,7 +390,7 @@ def plot_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gene_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line item a gene of its part's family, with one hit."""
     lines, suppliers, nations, parts = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "part"))
-    gene = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    gene = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")  # no shorter one tells all rows apart
     genes = lines.join(parts.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).select(gene.alias("gene_id"), F.col("p_type").alias("cog_id"), F.col("l_orderkey").alias("scaffold"))
     named = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat(F.lit("gi|1| x ["), F.translate("n_name", " ", "_"), F.lit(" sp]")).alias("title"))
     hit = F.struct("title", F.lit(0.0).alias("evalue"), F.col("l_extendedprice").alias("score"), F.col("l_extendedprice").alias("bits"))
