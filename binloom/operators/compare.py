@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from binloom.functions.arrays import l1
 from binloom.functions.sequences import Kmers
-from binloom.operators.kmercount import concatenated, spectra
+from binloom.operators.kmercount import joined_spectra, spectra
 from binloom.operators.relational import unassigned
 from binloom.schema import NOT_ASSIGNED
 from binloom.session import written
@@ -80,7 +80,11 @@ def selected(nearest: DataFrame, name: str, largest: float, ratio: float) -> Dat
 
 def compare(queries: DataFrame, references: DataFrame, by: Kmers, distance: float = 0.003, ratio: float = 0.8, largest: float | None = None) -> DataFrame:
     """scaffold, genus and distance of each (scaffold, sequence) against (genus, sequence); two references at least."""
-    known = spectra(references, "sequence", by)
+    return compare_spectra(queries, spectra(references, "sequence", by), by, distance, ratio, largest)
+
+
+def compare_spectra(queries: DataFrame, known: DataFrame, by: Kmers, distance: float = 0.003, ratio: float = 0.8, largest: float | None = None) -> DataFrame:
+    """The same against (genus, spectrum), which are read more than once."""
     if known.select("genus").limit(2).count() < 2:
         raise ValueError("two references are needed")
     found = nearest(spectra(queries, "sequence", by, strict=False).select("scaffold", "spectrum"), known, "scaffold", "spectrum", "genus")
@@ -90,8 +94,9 @@ def compare(queries: DataFrame, references: DataFrame, by: Kmers, distance: floa
 def compare_once(assigned: DataFrame, scaffolds: DataFrame, by: Kmers, distance: float = 0.003, ratio: float = 0.8, largest: float | None = None) -> DataFrame:
     """The comparison of scaffolds that aren't assigned yet with the joined sequences of each genus that is."""
     real = assigned.filter(F.col("genus") != NOT_ASSIGNED)
-    references = concatenated(real.select("scaffold", "genus").join(scaffolds.select("scaffold", "sequence"), "scaffold"), "genus", "scaffold", "sequence")
-    return compare(unassigned(scaffolds.select("scaffold", "sequence"), assigned, "scaffold"), references, by, distance, ratio, largest)
+    named = real.select("scaffold", "genus").join(scaffolds.select("scaffold", "sequence"), "scaffold")
+    known = written(joined_spectra(named, "genus", "scaffold", "sequence", by))
+    return compare_spectra(unassigned(scaffolds.select("scaffold", "sequence"), assigned, "scaffold"), known, by, distance, ratio, largest)
 
 
 def compare_all(assigned: DataFrame, scaffolds: DataFrame, by: Kmers, distance: float = 0.003, ratio: float = 0.8, largest: float | None = None, mode: str = "intent", rounds: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from binloom.functions.sequences import Kmers
 from binloom.operators import assign, cluster, compare, labelspread, matrix
 from binloom.operators.catalog import Database
-from binloom.operators.kmercount import spectra
+from binloom.operators.kmercount import joined_spectra, spectra
 from binloom.operators.relational import updated, with_label
 from binloom.schema import NO_INDEX, NOT_ASSIGNED
 from binloom.session import written
@@ -60,9 +60,8 @@ def design(db: Database, kind: str = "coverage") -> DataFrame:
     if kind != "genus":
         return matrix.spectrum_coverage(scaffolds, logarithm=kind == "log")
     named = db.table("ScaffoldsAssignments").join(scaffolds.select("scaffold", "sequence"), "scaffold")
-    from_genus = compare.concatenated(named, "genus", "scaffold", "sequence")
     k = next(k for k in range(1, 13) if 4**k == scaffolds.select(F.size("spectrum")).first()[0])
-    return matrix.genus_distance_coverage(scaffolds, spectra(from_genus, "sequence", Kmers(k)))
+    return matrix.genus_distance_coverage(scaffolds, joined_spectra(named, "genus", "scaffold", "sequence", Kmers(k)))
 
 
 def kmeans(db: Database, n: int) -> None:

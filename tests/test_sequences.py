@@ -81,3 +81,21 @@ def test_distances_and_codecs(spark):
     df = spark.createDataFrame([([0.5, 0.25, 0.25], [0.25, 0.25, 0.5])], "a array<double>, b array<double>")
     row = df.select(arrays.l1(F.col("a"), F.col("b")), arrays.l2(F.col("a"), F.col("b")), arrays.euclidean(F.col("a"), F.col("b")), arrays.l1(F.col("a"), F.col("a")), arrays.argmax(F.col("b")), arrays.decode_spectrum(arrays.encode_spectrum(F.col("a")))).first()
     assert row[0] == 0.5 and row[1] == 0.125 and abs(row[2] - 0.125**0.5) < 1e-15 and row[3] == 0 and row[4] == 2 and row[5] == [0.5, 0.25, 0.25]
+
+
+@pytest.mark.parametrize("k", [1, 2, 4])
+def test_joined_spectra_are_those_of_the_joined_texts(spark, k):
+    rng = random.Random(k)
+    rows = [(rng.choice("ab"), i, "".join(rng.choices("ACGTN", k=rng.choice([0, 1, 2, 3, 5, 40])))) for i in range(120)]
+    df = spark.createDataFrame([*rows, ("a", 500, None), ("c", 1, "AC"), ("c", 2, ""), ("c", 3, "G"), ("c", 4, "T")], "g string, i long, s string")
+    by = Kmers(k)
+    want = {r.g: r.spectrum for r in kmercount.spectra(kmercount.concatenated(df, "g", "i", "s"), "s", by).collect()}
+    got = {r.g: r.spectrum for r in kmercount.joined_spectra(df.repartition(5), "g", "i", "s", by).collect()}
+    assert got == want and set(got) == set("abc")
+
+
+def test_joined_spectra_of_short_texts_raise(spark):
+    df = spark.createDataFrame([("a", 1, "AC"), ("b", 1, "ACGT")], "g string, i long, s string")
+    with pytest.raises(PySparkException, match="fewer than 4 letters"):
+        kmercount.joined_spectra(df, "g", "i", "s", Kmers(4)).collect()
+    assert kmercount.joined_spectra(df.limit(0), "g", "i", "s", Kmers(4)).count() == 0
