@@ -1,4 +1,4 @@
-"""Queries of the ten operators, and the SQL of those that SQL can express."""
+"""Queries of the twelve operators, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm import bpe, classlm, graphann, media, minhash, mixing, paragraphs, quality, runindex, toxicity
+from binloom.llm import bpe, classlm, graphann, hardneg, langid, media, minhash, mixing, paragraphs, quality, runindex, toxicity
 from binloom.session import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -99,5 +99,18 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_paragraphs": op1_paragraphs, "op2_bpe": op2_bpe, "op3_graph_ann": op3_graph_ann, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_media": op7_media, "op4_quality": op4_quality, "op8_toxicity": op8_toxicity, "op9_run_index": op9_run_index, "op10_class_lm": op10_class_lm, "long_repeats": long_repeats, "media_payload": media_payload}
-ORACLE_SQL: dict[str, str] = {"op1_paragraphs": paragraphs.ORACLE, "op5_mixing": mixing.ORACLE, "op6_minhash": minhash.ORACLE, "long_repeats": runindex.ORACLE, "media_payload": media.ORACLE}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each vector whose id is divisible by 100; every seventh label is another than its vector's."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hardneg.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the texts of ids that aren't held out."""
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), classlm.remainder(F.col("doc_id"), 3) == 1
+    model = langid.fit(docs.filter(~held_out), public_tokenizers.path(TOKENIZER))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_paragraphs": op1_paragraphs, "op2_bpe": op2_bpe, "op3_graph_ann": op3_graph_ann, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_media": op7_media, "op4_quality": op4_quality, "op8_toxicity": op8_toxicity, "op9_run_index": op9_run_index, "op10_class_lm": op10_class_lm, "op11_hard_negatives": op11_hard_negatives, "op12_language": op12_language, "long_repeats": long_repeats, "media_payload": media_payload}
+ORACLE_SQL: dict[str, str] = {"op1_paragraphs": paragraphs.ORACLE, "op5_mixing": mixing.ORACLE, "op6_minhash": minhash.ORACLE, "op11_hard_negatives": hardneg.ORACLE, "long_repeats": runindex.ORACLE, "media_payload": media.ORACLE}
