@@ -54,7 +54,8 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
 def first_match(rows: DataFrame, text: Column, descriptions: list[str], ids: list[str]) -> DataFrame:
     """Rows with the number and id of the first description all of whose words the text has; others have NULL.
 
-    Words are split at single spaces, in lower case. Descriptions are a parameter list of the plan.
+    Words are split at single spaces, in lower case. Descriptions are a short parameter list, which the plan holds;
+    descriptions.first_matches takes a table of them.
     """
     if not descriptions:
         raise ValueError("no descriptions are given")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from binloom.functions import arrays, names, sequences
 from binloom.functions.sequences import Kmers
-from binloom.operators import assign, cluster, compare, kmercount, labelspread, matrix, neighbours, relational, report
+from binloom.operators import assign, cluster, compare, descriptions, kmercount, labelspread, matrix, neighbours, relational, report
 from binloom.operators.catalog import Database
 from binloom.plans import binning
 from binloom.schema import NOT_ASSIGNED
@@ -166,6 +166,28 @@ def keyword_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"match": F.coalesce("match", F.lit(-1)), "match_id": F.coalesce("match_id", F.lit(""))})
 
 
+#: First and last words of the descriptions that each document gives.
+SLICES = [(1, 2), (3, 5), (6, 7), (8, 11), (12, 13)]
+
+
+def cut_descriptions(docs: DataFrame) -> DataFrame:
+    """place, id and description: a few words from the beginning of each text, five times over."""
+    words = F.split("text", " ")
+    cut = F.array(*[F.struct((F.col("doc_id") * len(SLICES) + k).alias("place"), F.array_join(F.slice(words, a, b - a + 1), " ").alias("description")) for k, (a, b) in enumerate(SLICES)])
+    return docs.select(F.explode(cut).alias("d")).select("d.place", F.concat(F.lit("D"), "d.place").alias("id"), "d.description").filter("description <> ''")
+
+
+@query(f"""with c as (select doc_id * {len(SLICES)} + k place, array_to_string(string_split(text, ' ')[a:b], ' ') description from documents, (values {", ".join(str((k, *x)) for k, x in enumerate(SLICES))}) t(k, a, b)),
+ s as (select place, unnest(list_distinct(string_split(lower(description), ' '))) word, len(list_distinct(string_split(lower(description), ' '))) n from c where description <> ''),
+ x as (select doc_id, unnest(list_distinct(string_split(lower(text), ' '))) word from documents),
+ m as (select doc_id, place from s join x on x.word = s.word group by doc_id, place, n having count(*) = n), f as (select doc_id, min(place) place from m group by 1)
+ select d.doc_id, place as match, 'D' || place match_id from documents d left join f on f.doc_id = d.doc_id""")
+def description_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first description of all documents' that each document has the words of."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return descriptions.first_matches(docs, "doc_id", "text", cut_descriptions(docs)).select("doc_id", "match", "match_id")
+
+
 @query("select item_id, list_filter(string_split(text, ' '), lambda w: w not in ('the', 'for', 'of')) words from benchmark")
 def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", names.meaningful(F.split("text", " ")).alias("words"))
