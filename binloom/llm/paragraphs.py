@@ -1,17 +1,19 @@
 """Substring dedup by paragraphs: MinHash banding, verification, removal by components.
 
-A paragraph is a piece of a line: it ends after a sentence's mark that a space follows, or
-with the line. So a passage that is copied into the middle of another text, within a
-line or over several, brings whole paragraphs with it, and where it stands does not matter.
-Paragraphs of LEAST_WORDS words or more, a third of a passage of 50 words, are grouped by
-the similarity of their word shingles; of each group the one with the least (id, number)
-stays and the others are removed from their documents. Shorter ones are left alone: headings,
-greetings and licence lines recur without being copied passages.
+A paragraph is a stretch of words that the words themselves delimit, whatever the lines and
+marks: a text is cut before each word whose value, drawn from it and the next word, is the
+least among the NEAR words on either side. So paragraphs have more than NEAR words, 20 on
+average, unless the text has fewer, and a passage copied into another text is cut there at
+the same words, but for NEAR + 1 at its ends: it brings whole paragraphs with it wherever
+it stands. Every word is in a paragraph, and every paragraph counts.
+
+Paragraphs are grouped by the similarity of their word shingles; of each group the one with
+the least (id, number) stays and the others are removed from their documents.
 
 BANDING has two rows a band: random paragraphs share almost no shingles, so selective
 bands aren't needed, and of pairs at the least similarity one in 28,000 shares no bucket.
 
-Null texts have no paragraphs and stay null, an empty text is one empty paragraph. Equal
+Null texts have no paragraphs and stay null, a text without words is one paragraph, which is like no other. Equal
 rows are one document: what is removed is removed from each; rows that share only their id
 are documents of their own. Rows without id are left alone. Columns named as a result's are replaced, others are kept whatever their name.
 """
@@ -28,29 +30,45 @@ from pyspark.sql import types as T
 
 from binloom.llm import minhash, textbytes
 
-LEAST_WORDS = 16
-BANDING = minhash.Banding(words=5, percent=80, bands=10, rows=2, least_words=LEAST_WORDS)
-#: Sentence marks that a space must follow, and marks that end a paragraph by themselves, the line's end among them.
-SPACED, ALONE = ".!?", "\n。！？"
+BANDING = minhash.Banding(words=5, percent=80, bands=10, rows=2)
+#: Words on either side among which a paragraph's first word has the least value; fixed values: what a word's and the next one's sum of bytes, each times its place, are multiplied by, and the modulus.
+NEAR, FACTORS, MODULUS = 9, (7919, 104_729), 1_000_003
+#: Words whose bytes are summed at a time.
+SUMMED = 1 << 17
+
+
+def byte_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each word the sum of its bytes in lower case, each times its place in the word, modulo MODULUS."""
+    out = np.zeros(len(starts), dtype=np.int64)
+    for at in range(0, len(starts), SUMMED):
+        s, e = starts[at : at + SUMMED], ends[at : at + SUMMED]
+        part = textbytes.LOWER[data[s[0] : e[-1]]].astype(np.int64)
+        plain = np.r_[0, np.cumsum(part)]
+        part *= np.arange(len(part))
+        placed = np.r_[0, np.cumsum(part)]
+        s, e = s - s[0], e - s[0]
+        out[at : at + SUMMED] = (placed[e] - placed[s] - (s - 1) * (plain[e] - plain[s])) % MODULUS
+    return out
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where paragraphs end that another follows in the same text, an empty one if it ends there."""
-    if not len(data):
+    """Where paragraphs begin that another precedes in the same text."""
+    starts, ends, doc = textbytes.words(data, offsets)
+    n = len(starts)
+    if not n:
         return np.zeros(0, dtype=np.int64)
-    last = np.zeros(len(data), dtype=bool)  # of a paragraph's bytes
-    mark = np.zeros(256, dtype=bool)
-    mark[[ord(c) for c in SPACED]] = True
-    last[1:] = (data[1:] == 32) & mark[data[:-1]]
-    inner = offsets[:-1][np.diff(offsets) > 0]
-    last[inner] = False  # a text's first byte follows nothing
-    for c in ALONE:
-        code = c.encode()
-        hit = data[len(code) - 1 :] == code[-1]
-        for k in range(len(code) - 1):
-            hit &= data[k : len(data) - len(code) + 1 + k] == code[k]
-        last[len(code) - 1 :] |= hit
-    return np.flatnonzero(last) + 1
+    own = byte_sums(data, starts, ends)
+    after = np.zeros(n, dtype=np.int64)
+    after[:-1] = np.where(doc[1:] == doc[:-1], own[1:], 0)
+    value = (own * FACTORS[0] + after * FACTORS[1]) % MODULUS
+    before, behind = np.full(n, MODULUS), np.full(n, MODULUS)
+    for k in range(1, min(NEAR, n - 1) + 1):
+        same = doc[k:] == doc[:-k]
+        np.minimum(before[k:], np.where(same, value[:-k], MODULUS), out=before[k:])
+        np.minimum(behind[:-k], np.where(same, value[k:], MODULUS), out=behind[:-k])
+    count = np.bincount(doc, minlength=len(offsets) - 1)
+    place = np.arange(n) - (np.cumsum(count) - count)[doc]
+    return starts[(value < before) & (value <= behind) & (place > NEAR) & (place < count[doc] - NEAR)]
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,14 +155,21 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", banding:
 
 #: The same in DuckDB's SQL: all pairs of paragraphs that share a shingle.
 ORACLE = rf"""
-with recursive docs as (select doc_id, string_split(regexp_replace(text, '([{SPACED}] |[\n。！？])', '\1' || chr(1), 'g'), chr(1)) as p from documents),
-paras as (select doc_id, unnest(range(len(p))) as number, unnest(p) as text from docs),
-words as (
-  select doc_id * 1000000 + number as id,
-         list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as a
-  from paras),
+with recursive split as (select doc_id, text, regexp_extract_all(text, '(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') as t from documents),
+placed as (select doc_id, len(t) as n, unnest(range(len(t))) as i, unnest(t) as raw from split),
+lower_words as (select *, translate(regexp_replace(raw, '[\x20\x09-\x0D]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w from placed),
+sums as (select w, list_sum(list_transform(range(octet_length(encode(w))), lambda j: (j + 1) * cast('0x' || hex(encode(w))[2 * j + 1:2 * j + 2] as bigint))) % {MODULUS} as s from (select distinct w from lower_words)),
+valued as (select l.*, (s * {FACTORS[0]} + coalesce(lead(s) over (partition by doc_id order by i), 0) * {FACTORS[1]}) % {MODULUS} as v from lower_words l join sums on sums.w = l.w),
+cut as (
+  select *, i > {NEAR} and i < n - {NEAR} and v < min(v) over (partition by doc_id order by i rows between {NEAR} preceding and 1 preceding)
+         and v <= min(v) over (partition by doc_id order by i rows between 1 following and {NEAR} following) as first
+  from valued),
+numbered as (select *, cast(sum(case when first then 1 else 0 end) over (partition by doc_id order by i) as bigint) as number from cut),
+units as (select doc_id, number, string_agg(raw, '' order by i) as text, list(w order by i) as a from numbered group by 1, 2),
+docs as (select s.doc_id, s.text, case when count(u.text) > 0 then list(u.text order by u.number) when s.text is not null then [s.text] end as p from split s left join units u on u.doc_id = s.doc_id group by 1, 2),
+words as (select doc_id * 1000000 + number as id, a from units),
 sizes as (select id, len(a) as w from words),
-sets as (select id, list_distinct(list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' '))) as g from words where len(a) >= {LEAST_WORDS}),
+sets as (select id, case when len(a) >= 5 then list_distinct(list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' '))) else [array_to_string(a, ' ')] end as g from words),
 grams as (select id, unnest(g) as g from sets),
 pairs as (select x.id as a, y.id as b, count(*) as k from grams x join grams y on x.g = y.g and x.id < y.id group by 1, 2),
 links as (select a, b from pairs join sets s on s.id = a join sets t on t.id = b where 100 * k >= 80 * (len(s.g) + len(t.g) - k)),

@@ -143,13 +143,13 @@ def test_components(spark):
 
 
 def pieces_of(text):
-    """Paragraphs of a text: up to a sentence's mark and a space, or to the line's end."""
-    out = [""]
-    for i, c in enumerate(text):
-        out[-1] += c
-        if c in "\n。！？" or c == " " and i and text[i - 1] in ".!?":
-            out.append("")
-    return out
+    """Paragraphs of a text: cut before each word whose value is the least of its neighbours' on either side."""
+    spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    near, (p, q), m = paragraphs.NEAR, paragraphs.FACTORS, paragraphs.MODULUS
+    sums = [sum((j + 1) * c for j, c in enumerate(re.sub("[A-Z]", lambda x: x[0].lower(), text[a:b]).encode())) for a, b in spans]
+    value = [(x * p + y * q) % m for x, y in zip(sums, [*sums[1:], 0], strict=True)] if sums else []
+    at = [spans[i][0] for i, v in enumerate(value) if near < i < len(value) - near and v < min(value[i - near : i]) and v <= min(value[i + 1 : i + near + 1])]
+    return [text[a:b] for a, b in zip([0, *at], [*at, len(text)], strict=True)]
 
 
 def test_paragraphs(spark):
@@ -171,8 +171,7 @@ def test_paragraphs(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, Removed string, _id int, key int, version int")
     got = {r.doc_id: r for r in paragraphs.remove(df).collect()}
     pieces = {(i, k): p for i, t in texts.items() for k, p in enumerate(pieces_of(t))}
-    least = paragraphs.LEAST_WORDS
-    want, sets = brute_groups(pieces, 5, least=least)
+    want, sets = brute_groups(pieces, 5)
     many = Counter(want[p] for p in pieces if sets[p])
     for i, t in texts.items():
         gone = sorted(k for (d, k), c in want.items() if d == i and c != (d, k))
@@ -180,20 +179,30 @@ def test_paragraphs(spark):
         assert got[i].kept_in == sorted({want[i, k][0] for k in gone}) and (got[i]._id, got[i].key, got[i].version) == (1, 2, 3)
         assert got[i].shared == sorted(k for (d, k), c in want.items() if d == i and many[c] > 1)
     assert got[100].kept_text is None and got[101].kept_text == "" and got[None].removed == [] and sum(len(r.removed) for r in got.values()) > 20
-    assert got[71].removed == [0] and got[71].kept_in == [70]
+    assert len(got[71].removed) > 1000 and got[71].kept_in == [70] and got[71].kept_text == "" and got[70].removed == []
+    assert min(len(words_of(p)) for (i, k), p in pieces.items() if (i, 1) in pieces) > paragraphs.NEAR
     assert paragraphs.remove(df.limit(0)).count() == 0
 
 
-def test_passages_within_longer_lines(spark):
-    """A passage between other words of a line is found, wherever it stands, and nothing else."""
+def test_passages_within_longer_texts(spark):
+    """A passage is found wherever it stands, whatever its marks: in short sentences, without any, over lines; nothing else is."""
     rng = random.Random(16)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
     said = lambda n: " ".join(word() for _ in range(n))
-    passage = said(22) + ". " + said(7) + ", " + said(24) + "."
-    rows = [(i, f"{said(rng.randint(5, 90))}. {said(rng.randint(5, 90))}. {passage} {said(rng.randint(5, 150))}") for i in range(10)] + [(20 + i, said(200)) for i in range(5)]
+    passages = [f() for f in (lambda: ". ".join(said(12) for _ in range(6)), lambda: said(60), lambda: "\n".join(said(9) for _ in range(7))) for _ in range(4)]
+    rows = [(100 * k + i, f"{said(rng.randint(5, 90))} {said(rng.randint(5, 90))}. {p} {said(rng.randint(5, 150))}") for k, p in enumerate(passages) for i in range(10)]
+    rows += [(5000 + i, said(200)) for i in range(50)]
     got = {r.doc_id: r for r in paragraphs.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(len(got[i].shared) == 2 for i in range(10)) and all(got[i].shared == [] for i in range(20, 25))
-    assert all(len(got[i].removed) == 2 and got[i].kept_in == [0] for i in range(1, 10)) and got[0].removed == []
+    for k in range(len(passages)):
+        assert all(got[100 * k + i].removed and set(got[100 * k + i].kept_in) <= set(range(100 * k, 100 * k + i)) for i in range(1, 10)) and got[100 * k].removed == []
+    assert all(got[5000 + i].shared == [] for i in range(50))
+
+
+def test_sums_of_long_texts():
+    data = np.frombuffer(b"Ab " * 200_000 + b"x" * 300_000 + b" ab", dtype=np.uint8)
+    starts, ends, _ = textbytes.words(data, np.array([0, len(data)]))
+    got = paragraphs.byte_sums(data, starts, ends)
+    assert set(got[:-2].tolist()) == {97 + 2 * 98} == {int(got[-1])} and got[-2] == 120 * (300_000 * 300_001 // 2) % paragraphs.MODULUS
 
 
 def test_versions_of_one_id(spark):
