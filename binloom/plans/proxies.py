@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from binloom.functions import arrays, names, sequences
 from binloom.functions.sequences import Kmers
-from binloom.operators import assign, cluster, compare, descriptions, kmercount, labelspread, matrix, neighbours, relational, report
+from binloom.operators import assign, cluster, compare, descriptions, kmercount, labelspread, matrix, neighbours, relational, report, search
 from binloom.operators.catalog import Database
 from binloom.plans import binning
 from binloom.schema import NOT_ASSIGNED
@@ -421,6 +421,23 @@ def gene_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.score_sums(assign.gene_hits(genes, results, markers)).withColumn("bits", F.round("bits", 2))
 
 
+@query()
+def alignment_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local alignments of the benchmark's passages with all documents, text as sequences of letters."""
+    found = search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text", evalue=1e-9)
+    return found.select(F.col("query").alias("item_id"), F.col("target").alias("doc_id"), "score", "q_start", "q_end", "t_start", "t_end")
+
+
+@query()
+def searched_genus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages as genes, four to a scaffold, searched in all documents; a hit's organism is its document's source and language."""
+    docs = table(spark, sf_dir, "documents")
+    genes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("gene_id"), F.lit("COG1").alias("cog_id"), F.floor(F.col("item_id") / 4).alias("scaffold"), F.col("text").alias("sequence"))
+    titles = docs.select(F.col("doc_id").alias("target"), F.concat(F.lit("passage ["), F.coalesce("source", F.lit("none")), F.lit(" "), F.coalesce("lang", F.lit("und")), F.lit("]")).alias("title"))
+    results = search.hit_lists(search.search(genes, docs, "gene_id", "sequence", "doc_id", "text", evalue=1e-9), titles)
+    return assign.best_group(assign.score_sums(assign.gene_hits(genes, results, genes.select("cog_id").distinct()))).withColumn("bits", F.round("bits", 6))
+
+
 @query("""with k as (select user_id, event_type, value, row_number() over (partition by user_id, event_type order by event_id desc) rn from events)
  select cast(u.user_id as varchar) gene_id, 't' || u.user_id locus_tag, 's' || u.user_id scaffold, coalesce(round(max(case when event_type = 'purchase' then value end), 6), -1.0) cog, coalesce(round(max(case when event_type = 'click' then value end), 6), -1.0) pfam
  from (select distinct user_id from events) u left join k on k.user_id = u.user_id and rn = 1 group by u.user_id""")
