@@ -87,6 +87,39 @@ def test_neighbours_in_blocks(spark):
     assert all([got[i][k] for k in range(1, 8)] == np.argsort(d[i], kind="stable")[:7].tolist() for i in range(150))
 
 
+def test_neighbours_of_equal_rows(spark):
+    """Copies, ties, strings as keys, few rows, none."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(90, 2)) * 10)  # whole numbers, so that ties are exact
+    x[30:70] = x[3]
+    names = [f"k{i:02d}" for i in rng.permutation(90)]
+    df = spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, x, strict=True)] + [("none", None)], "id string, v array<double>")
+    for itself in (True, False):
+        got = {}
+        for r in neighbours.nearest(df, "id", "v", 5, itself=itself, block=8).collect():
+            got.setdefault(r.src, {})[r["rank"]] = (r.dst, round(r.distance, 9))
+        for i, n in enumerate(names):
+            far = sorted((round(float(np.sqrt(((x[i] - x[j]) ** 2).sum())), 9), names[j]) for j in range(90) if itself or j != i)[:5]
+            assert [got[n][k] for k in range(1, 6)] == [(m, d) for d, m in far]
+        assert set(got) == set(names)
+    few = df.filter("id = 'none' or id < 'k03'")
+    assert neighbours.nearest(few, "id", "v", 7).count() == 9 and neighbours.nearest(df.limit(0), "id", "v", 7).count() == 0
+
+
+def test_neighbours_visit_few_rings(spark):
+    """Of rows that lie in clumps each visits a few rings, whatever their number."""
+    rng = np.random.default_rng(4)
+    share = []
+    for clumps in (8, 32):
+        centers = rng.normal(size=(clumps, 6)) * 50
+        x = centers[np.arange(clumps * 64) % clumps] + rng.normal(size=(clumps * 64, 6))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, vector array<double>")
+        located, pivots, rings = neighbours.rings_of(df, 16)
+        going = neighbours.visits(located.withColumn("bound", F.lit(3.0)), pivots, rings)
+        share.append((going.select(F.avg(F.size("entries"))).first()[0], len(rings["cell"])))
+    assert share[1][1] > 3 * share[0][1] and share[1][0] < 2 * share[0][0] and share[1][0] < 0.25 * share[1][1]
+
+
 def test_complete_linkage(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(80, 3))
