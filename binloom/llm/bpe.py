@@ -210,7 +210,7 @@ def loaded(ranks: bytes, pattern: str) -> Encoder:
 def _mapped(df: DataFrame, column: str, to: str, kind: str, tokenizer: str, pattern: str) -> DataFrame:
     with open(tokenizer, "rb") as f:  # here on the driver: executors need no such file
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
-    kept = [f for f in df.schema.fields if f.name != to]
+    kept = [f for f in df.schema.fields if f.name.lower() != to.lower()]
     schema = T.StructType([*kept, T.StructField(to, T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def _mapped(df: DataFrame, column: str, to: str, kind: str, tokenizer: str, patt
                 columns = [part.column(f.name) for f in kept] + [pa.array(made, type=pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(*[f"`{f.name}`" for f in kept] if column != to else "*").mapInArrow(textbytes.trimmed(run), schema)
+    return df.select(*[f"`{f.name}`" for f in kept] if column.lower() != to.lower() else "*").mapInArrow(textbytes.trimmed(run), schema)
 
 
 def encode(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling.
 
 Every document of a source is expected target / source_size times. Documents are ordered
-within their source by size class, then by a hash of their id; expected copies are summed
+within their source by size class, then by a hash of their id and text; expected copies are summed
 along that order from one offset drawn for the source, and a document is emitted once for
 each integer that its own step crosses. Sizes thus spread evenly over what is kept, and
 the words taken from a source stay within about a document's size of the target.
@@ -13,7 +13,7 @@ hundred classes at most, a class BUCKETS buckets.
 Everything here is DataFrame code. Null and blank texts have size 0 and are taken with
 their own class; a null source is a source like the others, sorted last; rows of one
 id are separate rows, in the order of their sizes and of their texts' hashes, so that
-only equal rows tie; an empty table gives no rows. Other columns may have any name.
+only equal rows tie and lie in one bucket; ids may have any type; an empty table gives no rows. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1024
@@ -66,9 +67,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     With carry, a struct column "row" holds all columns of the documents as well.
     """
     named = F.when(F.col(source).isNull(), F.lit("null")).otherwise(F.concat(F.lit("s:"), F.col(source).cast("string")))
-    mark = F.expr(f"(pmod(coalesce(_id, -1), {MODULUS}) * {MULTIPLY} + {ADD}) % {MODULUS}")
+    whole = isinstance(docs.schema[doc_id].dataType, IntegralType)
+    number = F.pmod(F.coalesce(F.col("_id").cast("long") if whole else F.xxhash64("_id"), F.lit(-1)), F.lit(MODULUS)) + F.conv(F.substring("_text_hash", 1, 8), 16, 10).cast("long")
+    mark = (F.pmod(number, F.lit(MODULUS)) * MULTIPLY + ADD) % MODULUS
     carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry
-    sized = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_raw"), named.alias("_source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("_text_hash"), *carried)
+    sized = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_raw"), named.alias("_source"), word_count(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_text_hash"), *carried)
     sized = sized.withColumn("_class", size_class(F.col("size"))).withColumn("_mark", mark)
     sized = sized.withColumn("_bucket", (F.col("_mark") / (MODULUS // BUCKETS)).cast("int"))
     buckets = sized.groupBy("_source", "_class", "_bucket").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
@@ -99,7 +102,7 @@ def emitted(docs: DataFrame, **options: object) -> DataFrame:
 ORACLE = f"""
 with sized as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
-         ((coalesce(doc_id, -1) % {MODULUS} + {MODULUS}) % {MODULUS} * {MULTIPLY} + {ADD}) % {MODULUS} as mark
+         (((coalesce(doc_id, -1) % {MODULUS} + {MODULUS}) % {MODULUS} + cast('0x' || substr(md5(coalesce(text, '')), 1, 8) as bigint)) % {MODULUS} * {MULTIPLY} + {ADD}) % {MODULUS} as mark
   from documents),
 classed as (
   select *, case when size < 1 then 0 else len(bin(size)) * 8 + ((size * 8) >> (len(bin(size)) - 1)) end as class from sized),

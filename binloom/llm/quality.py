@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
     """The rows with the score as one more column."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema.fields if f.name != to]
+    kept = [f for f in docs.schema.fields if f.name.lower() != to.lower()]
     schema = T.StructType([*kept, T.StructField(to, T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

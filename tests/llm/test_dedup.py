@@ -346,6 +346,15 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and {r.copies for r in mixing.mix(df.filter("doc_id = 2000")).collect()} == {0}
 
 
+def test_mixing_of_ids_of_any_type(spark):
+    rows = [(f"id {i % 40}", "a", "w " * (i % 7)) for i in range(80)] + [(None, None, "w")] * 3
+    df = spark.createDataFrame(rows, "doc_id string, source string, text string")
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and sorted(map(repr, got)) == sorted(map(repr, mixing.mix(df.repartition(3)).collect()))
+    marks = mixing.mix(spark.createDataFrame([(None, "a", f"w{i}") for i in range(500)], "doc_id int, source string, text string"))
+    assert marks.agg(F.sum("copies")).first()[0] == 750
+
+
 def test_mixing_agrees_on_repeated_ids(spark):
     """Rows of one id in one size class, differing in size or text only, in whatever order they come."""
     rows = [(1, "s", " ".join(["w"] * (16 + i % 2)) + f" {i % 5}") for i in range(40)] + [(i, "s", "a b c") for i in range(2, 30)] + [(i, "t", "x") for i in range(50)]

@@ -52,6 +52,17 @@ def test_bpe_rows(spark, encoding):
     assert bpe.encode(df.limit(0), PATH, PATTERN).count() == 0
 
 
+def test_results_named_as_columns_in_other_case(spark):
+    """A column that differs from a result in case only is replaced."""
+    docs = spark.createDataFrame([(1, "a good text", "x", "y"), (2, None, "x", "y")], "doc_id long, text string, IDS string, Score string")
+    coded = bpe.encode(docs, PATH, PATTERN)
+    assert coded.columns == ["doc_id", "text", "Score", "ids"] and coded.count() == 2
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    for kind in (quality, toxicity):
+        found = kind.score(docs, kind.fit(docs, labels))
+        assert found.columns == ["doc_id", "text", "IDS", "score"] and all(0 <= r.score <= 1 for r in found.select("score").collect())
+
+
 def test_media_keeps_the_payload(spark):
     df = spark.createDataFrame([*ODD, (7, "x" * 63, "a", "b"), (8, "x" * 64, "a", "b"), (9, "x" * 65, "a", "b"), *((20 + i, f"text {i} " * i, "a", "b") for i in range(30))], SCHEMA)
     stored = media.store(df.withColumn("payload", media.payload(F.col("text"))), "payload", to="media")
