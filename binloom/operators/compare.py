@@ -11,7 +11,7 @@ from binloom.functions.sequences import Kmers
 from binloom.operators.kmercount import joined_spectra, spectra
 from binloom.operators.relational import unassigned
 from binloom.schema import NOT_ASSIGNED
-from binloom.session import written
+from binloom.session import discard, written
 
 #: Bytes of reference vectors up to which they are sent to all tasks; beyond, queries are dealt out with each block of references.
 SENT_BYTES, BLOCK_ROWS = 64 << 20, 4096
@@ -111,6 +111,8 @@ def compare_all(assigned: DataFrame, scaffolds: DataFrame, by: Kmers, distance:
     for _ in itertools.count() if rounds is None else range(rounds):  # each one assigns a scaffold more at least
         new = written(compare_once(table, scaffolds, by, distance, ratio, largest).filter(F.col("genus") != NOT_ASSIGNED))
         if new.isEmpty():
+            discard(new)
             break
-        table = written(table.unionByName(new))
+        last, table = table, written(table.unionByName(new))
+        discard(last, new)
     return table

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from binloom.operators.neighbours import nearest
 from binloom.schema import NO_INDEX
-from binloom.session import written
+from binloom.session import discard, written
 
 NEIGHBOURS, ROUNDS, TOLERANCE, LOOK = 7, 30, 1e-3, 5
 
@@ -44,15 +44,19 @@ def spread(edges: DataFrame, start: DataFrame, alpha: float = 1.0, rounds: int =
     edges, start = written(edges), written(start)
     weights = start
     for k in range(1, rounds + 1):
-        new = written(step(edges, weights, start, alpha).filter("weight > 0"))
+        last, new = weights, written(step(edges, weights, start, alpha).filter("weight > 0"))
+        weights = new
         if k % LOOK:
-            weights = new
+            if last is not start:
+                discard(last)
             continue
-        old = weights.select("node", "label", F.col("weight").alias("before"))
+        old = last.select("node", "label", F.col("weight").alias("before"))
         change = new.join(old, ["node", "label"], "full").agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))))).first()[0]
-        weights = new
+        if last is not start:
+            discard(last)
         if (change or 0.0) < tolerance:
             break
+    discard(edges)
     total = weights.groupBy("node").agg(F.sum("weight").alias("_sum"))
     return weights.join(total, "node").select("node", "label", F.try_divide("weight", "_sum").alias("weight"))
 

@@ -14,7 +14,7 @@ from binloom.operators.catalog import Database
 from binloom.operators.kmercount import joined_spectra, spectra
 from binloom.operators.relational import updated, with_label
 from binloom.schema import NO_INDEX, NOT_ASSIGNED
-from binloom.session import written
+from binloom.session import discard, written
 from binloom.sources import files
 
 log = logging.getLogger(__name__)
@@ -130,15 +130,18 @@ def run_binning(scaffolds: DataFrame, assigned: DataFrame, settings: Binning | N
     features = written(matrix.spectrum_coverage(scaffolds, logarithm=True))
     edges = written(labelspread.graph(labelspread.nearest(features, "scaffold", "features", labelspread.NEIGHBOURS)))
     spread = lambda labels: written(labelspread.labelled(labelspread.spread(edges, labelspread.seeds(labels, "scaffold", "label"), settings.alpha), features, "scaffold", NO_INDEX))
-    labels = written(initial_bins(scaffolds, assigned, settings))
+    kept = labels = written(initial_bins(scaffolds, assigned, settings))
     current = spread(labels)
     for _ in range(settings.rounds):
         last = labels.agg(F.max("label")).first()[0] or 0
         labels, split = split_bins(scaffolds, current, settings, max(0, last))
         if not split:
             break
-        labels = written(labels)
+        last_labels, last_spread = kept, current
+        kept = labels = written(labels)
         current = spread(labels)
+        discard(last_labels, last_spread)
+    discard(features, edges, kept)
     log.info("binning ended")
     return current
 

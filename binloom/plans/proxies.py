@@ -8,7 +8,6 @@ describe a gene.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,20 +19,15 @@ from binloom.operators import assign, cluster, compare, descriptions, kmercount,
 from binloom.operators.catalog import Database
 from binloom.plans import binning
 from binloom.schema import NOT_ASSIGNED
-from binloom.session import shared_folder, table
+from binloom.session import new_folder, table
 from binloom.sources import files, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder for the files of one query, below the shared one."""
-    return f"{shared_folder(spark)}/binloom-{spark.sparkContext.applicationId}-query-{uuid.uuid4().hex}"
-
-
 def database(spark: SparkSession) -> Database:
-    return Database(spark, folder(spark))
+    return Database(spark, new_folder(spark))
 
 
 def query(sql: str | None = None) -> Callable[[Callable], Callable]:
@@ -450,7 +444,7 @@ def gene_table_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events.select(F.col("event_id").alias("place"), text(F.col("user_id")).alias("gene_oid"), tag.alias("Locus Tag"), kind.alias("Source"), F.lit("d").alias("Cluster Information"), none.alias("Gene Information"), text(F.col("value")).alias("E-value"))
     users = events.select("user_id").distinct().withColumn("place", F.lit(-1).cast("long"))
     named = users.select("place", text(F.col("user_id")).alias("gene_oid"), tag.alias("Locus Tag"), F.lit("Scaffold").alias("Source"), none.alias("Cluster Information"), F.concat(F.lit("s"), "user_id").alias("Gene Information"), none.alias("E-value"))
-    path = folder(spark)
+    path = new_folder(spark)
     sinks.write_rows(rows.unionByName(named).repartitionByRange(4, "place").sortWithinPartitions("place").drop("place"), path, "\t", header=True)
     found = files.genes(spark, path, skip_first_row=False)
     return found.select("gene_id", "locus_tag", "scaffold", F.round("cog_Evalue", 6).alias("cog"), F.round("pfam_Evalue", 6).alias("pfam"))
@@ -461,7 +455,7 @@ LETTERS = "with d as (select doc_id, lang, source, regexp_replace(coalesce(text,
 
 @query(LETTERS + "select cast(doc_id as varchar) scaffold_id, 'sg4i_' || doc_id scaffold, md5(s) digest, cast(len(s) as bigint) length, case when len(s) > 0 then (len(s) - len(replace(replace(s, 'G', ''), 'C', ''))) / len(s) end gc from d")
 def scaffold_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, letters = folder(spark), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
+    path, letters = new_folder(spark), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
     header = F.concat(F.col("doc_id").cast("string"), F.lit(" sg4i_"), "doc_id", F.lit(" assembly"))
     table(spark, sf_dir, "documents").select(sinks.as_fasta(header, letters, 60)).write.text(path)
     return files.scaffolds(spark, path).select("scaffold_id", "scaffold", F.md5(F.col("sequence").cast("binary")).alias("digest"), "length", F.col("GC").alias("gc"))
@@ -469,7 +463,7 @@ def scaffold_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LETTERS + "select cast(doc_id as varchar) gene_id, 'sg4i_' || doc_id locus_tag, 'of ' || lang description, md5(s) digest from d")
 def protein_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, letters = folder(spark), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
+    path, letters = new_folder(spark), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
     header = F.concat(F.col("doc_id").cast("string"), F.lit(" sg4i_"), "doc_id", F.lit(" of "), "lang", F.lit(" [Some organism (v2)]"))
     table(spark, sf_dir, "documents").select(sinks.as_fasta(header, letters)).write.text(path)
     return files.proteins(spark, path).select("gene_id", "locus_tag", "description", F.md5(F.col("sequence").cast("binary")).alias("digest"))
@@ -478,7 +472,7 @@ def protein_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(LETTERS + "select lang || '' cog_id, cast(count(*) as bigint) records, cast(sum(len(s)) as bigint) letters from d where lang in ('en', 'de') group by 1")
 def family_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of records for each marker family, read back by family."""
-    path, docs = folder(spark), table(spark, sf_dir, "documents")
+    path, docs = new_folder(spark), table(spark, sf_dir, "documents")
     genes = docs.select(F.col("doc_id").alias("gene_id"), F.col("lang").alias("cog_id"))
     sequences_ = docs.select(F.col("doc_id").alias("gene_id"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "").alias("sequence"))
     sinks.write_family_fasta(genes, sequences_, spark.createDataFrame([("en",), ("de",), ("en",), ("none",)], "cog_id string"), path)
@@ -488,7 +482,7 @@ def family_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select 'sg4i_' || c_custkey scaffold, c_acctbal coverage from customer")
 def coverage_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, customers = folder(spark), table(spark, sf_dir, "customer")
+    path, customers = new_folder(spark), table(spark, sf_dir, "customer")
     sinks.write_rows(customers.select("c_custkey", "c_acctbal"), path, header=True)
     scaffolds = customers.select(F.concat(F.lit("sg4i_"), "c_custkey").alias("scaffold"))
     return relational.updated(scaffolds, files.coverage(spark, path), "scaffold", "coverage", "pos")
@@ -496,21 +490,21 @@ def coverage_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select distinct p_type cog_id from part")
 def marker_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = folder(spark)
+    path = new_folder(spark)
     sinks.write_rows(table(spark, sf_dir, "part").select("p_type", "p_name"), path, " ", header=True)
     return files.markers(spark, path, " ", header=True)
 
 
 @query("select cast(p_partkey as varchar) cog_id, lower(p_name) as name from part")
 def cog_name_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = folder(spark)
+    path = new_folder(spark)
     sinks.write_rows(table(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("p_name")), path, "\t", header=True)
     return files.cog_names(spark, path)
 
 
 @query("select list_transform(embedding, lambda x: round(x::double, 6)) as row from embeddings")
 def matrix_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = folder(spark)
+    path = new_folder(spark)
     sinks.write_matrix(table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("row")), "row", path)
     return files.matrix(spark, path).select(F.transform("row", lambda x: F.round(x, 6)).alias("row"))
 
@@ -519,7 +513,7 @@ def matrix_file(spark: SparkSession, sf_dir: str) -> DataFrame:
  select cast(n_nationkey as bigint) nation, cast(count(s_suppkey) as int) hits, coalesce(string_agg('gi|' || s_suppkey || ' x [' || n_name || ' sp]', ';' order by k), '') titles, round(coalesce(sum(s_acctbal), 0.0), 2) bits from nation left join s on s_nationkey = n_nationkey and k <= 5 group by n_nationkey""")
 def blast_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search's XML for each nation, a file each; its suppliers are the hits."""
-    path, suppliers = folder(spark), table(spark, sf_dir, "supplier")
+    path, suppliers = new_folder(spark), table(spark, sf_dir, "supplier")
     rows = table(spark, sf_dir, "nation").join(suppliers.select("s_nationkey", "s_suppkey", "s_acctbal"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
     by_nation = rows.groupBy("n_nationkey", "n_name").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", F.col("s_acctbal").cast("string").alias("bits")))).alias("h"))
     hit = "<Hit><Hit_num>%d</Hit_num><Hit_id>gi|%d</Hit_id><Hit_def>x [%s sp]</Hit_def><Hit_hsps><Hsp><Hsp_bit-score>%s</Hsp_bit-score><Hsp_score>9</Hsp_score><Hsp_evalue>0.5</Hsp_evalue></Hsp></Hit_hsps></Hit>"

@@ -73,17 +73,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, owner: str = "query") -> str:
+    """A name of its own for a table or files in the shared folder, which go when the session stops or, if nothing stops it, when the program ends."""
+    context = spark.sparkContext
+    path = f"{shared_folder(spark)}/binloom-{context.applicationId}-{owner}-{uuid.uuid4().hex}"
+    if not getattr(context, "_binloom_leaving", False):
+        context._binloom_leaving, stop = True, context.stop
+
+        def clear() -> None:
+            if context._jsc is not None:  # not stopped yet
+                with contextlib.suppress(Exception):
+                    delete_written(spark, "*")
+
+        def leave() -> None:
+            clear()
+            stop()
+
+        context.stop = leave
+        atexit.register(clear)
+    return path
+
+
 def written(df: DataFrame, owner: str = "query") -> DataFrame:
     """The same rows, written once as Parquet in the shared folder and read again: cuts the lineage.
 
-    discard() and delete_written() remove such tables; what is left goes with the application.
+    discard() and delete_written() remove such tables; what is left goes when the session stops.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    path = f"{shared_folder(spark)}/binloom-{context.applicationId}-{owner}-{uuid.uuid4().hex}"
-    if not getattr(context, "_binloom_leaving", False):
-        context._binloom_leaving = True
-        atexit.register(_leave, spark)
+    path = new_folder(spark, owner)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_binloom_path"] = path
@@ -108,8 +125,3 @@ def delete_written(spark: SparkSession, owner: str) -> None:
     """Remove all tables that written() made for this owner in this application."""
     _delete(spark, f"{shared_folder(spark)}/binloom-{spark.sparkContext.applicationId}-{owner}-*")
 
-
-def _leave(spark: SparkSession) -> None:
-    if spark.sparkContext._jsc is not None:  # not stopped yet
-        with contextlib.suppress(Exception):
-            delete_written(spark, "*")

@@ -1,5 +1,10 @@
 """Readers and writers, on small files written here."""
 
+import subprocess
+import sys
+import time
+from pathlib import Path
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -162,3 +167,28 @@ def test_labels_kept_with_scaffolds(spark, tmp_path):
         binning.store_labels(db, spark.createDataFrame([("a", label)], "scaffold string, label int"))
         assert {r.scaffold: r.label for r in binning.current_labels(db).collect()} == {"a": label, "b": -1}
     assert db.columns("Scaffolds") == ["scaffold", "coverage", "label"]
+
+
+def test_nothing_stays_in_the_shared_folder(tmp_path):
+    """Tables of a session that was stopped, and of a program that ended without stopping its own, are gone."""
+    body = f"""
+from pyspark.sql import SparkSession
+from binloom.plans import proxies
+from binloom.session import written
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "{tmp_path.as_uri()}").getOrCreate()
+written(spark.range(5)).count()
+proxies.database(spark).replace("Numbers", spark.range(3))
+import os, sys
+assert len([n for n in os.listdir("{tmp_path}") if n.startswith("binloom-")]) == 2
+if sys.argv[1] == "stop":
+    spark.stop()
+    assert not [n for n in os.listdir("{tmp_path}") if n.startswith("binloom-")]
+"""
+    for how in ("stop", "leave"):
+        done = subprocess.run([sys.executable, "-c", body, how], capture_output=True, text=True, timeout=120, check=False, cwd=Path(__file__).resolve().parent.parent)
+        assert done.returncode == 0, done.stderr[-1500:]
+        for _ in range(50):
+            if not (left := list(tmp_path.glob("binloom-*"))):
+                break
+            time.sleep(0.2)
+        assert not left
