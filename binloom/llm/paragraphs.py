@@ -10,8 +10,8 @@ it stands. Every word is in a paragraph, and every paragraph counts.
 Paragraphs are grouped by the similarity of their word shingles; of each group the one with
 the least (id, number) stays and the others are removed from their documents.
 
-BANDING has two rows a band: random paragraphs share almost no shingles, so selective
-bands aren't needed, and of pairs at the least similarity one in 28,000 shares no bucket.
+BANDING has one row a band: random paragraphs share almost no shingles, so selective
+bands aren't needed, and of pairs at the least similarity one in 15,000 shares no bucket.
 
 Null texts have no paragraphs and stay null, a text without words is one paragraph, which is like no other. Equal
 rows are one document: what is removed is removed from each; rows that share only their id
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from binloom.llm import minhash, textbytes
 
-BANDING = minhash.Banding(words=5, percent=80, bands=10, rows=2)
+BANDING = minhash.Banding(words=5, percent=80, bands=6, rows=1)
 #: Words on either side among which a paragraph's first word has the least value; fixed values: what a word's and the next one's sum of bytes, each times its place, are multiplied by, and the modulus.
 NEAR, FACTORS, MODULUS = 9, (7919, 104_729), 1_000_003
 #: Words whose bytes are summed at a time.
