@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -15,17 +18,134 @@ from binloom.session import written
 #: Rows that complete linkage takes at once; its memory grows with their square. Rows of a block of a larger group.
 LINKED, BLOCK = 8192, 2048
 STARTS = 10
+#: Distances that k-means holds at once.
+CELLS = 1 << 21
 
 
 def _vectors(df: DataFrame, key: str, features: str) -> DataFrame:
     return df.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("_vector"))
 
 
-def kmeans(df: DataFrame, n: int, key: str = "scaffold", features: str = "features", seed: int = 1, starts: int = STARTS) -> DataFrame:
-    """key and cluster (from 0): of several starts the one with the least cost."""
-    rows = written(_vectors(df, key, features))
-    best = min((KMeans(k=n, featuresCol="_vector", predictionCol="cluster", seed=seed + i).fit(rows) for i in range(starts)), key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).select(key, F.col("cluster").cast("long").alias("cluster"))
+def _sums(rows: DataFrame, find: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> np.ndarray:
+    """The sum of what find makes of each batch's vectors and row numbers, width numbers: one aggregation of a row a task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                total += find(_matrix(batch.column("x")), batch.column("row").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([total])], names=["part"])
+
+    out = rows.select("x", "row").mapInArrow(run, "part array<double>").select(F.posexplode("part").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    total = np.zeros(width)
+    total[out["i"].to_numpy()] = out["v"].to_numpy()
+    return total
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and squared distance of each row's nearest center."""
+    own, far, step = np.zeros(len(x), dtype=np.int64), np.zeros(len(x)), max(1, CELLS // len(centers))
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        d = np.maximum((part**2).sum(axis=1)[:, None] + (centers**2).sum(axis=1)[None] - 2 * part @ centers.T, 0)
+        own[at : at + step] = d.argmin(axis=1)
+        far[at : at + step] = np.take_along_axis(d, own[at : at + step, None], 1)[:, 0]
+    return own, far
+
+
+def seeded_centers(rows: DataFrame, n: int, starts: int, seed: int, over: int = 2, steps: int = 5) -> np.ndarray:
+    """[start, center, dimension]: centers drawn by their squared distance to those before, a few at a time.
+
+    Each step is one pass: every start draws about over * n rows by their share of its cost, with numbers
+    that hash the row, so that how tasks are cut doesn't matter. What was drawn, some (steps * over + 1) * n rows a start,
+    is weighed by the rows nearest to it in one more pass and reduced to n centers on the driver.
+    """
+
+    def unit(row: np.ndarray, start: int, step: int) -> np.ndarray:
+        x = row.astype(np.uint64) + np.uint64((seed * 1_000_003 + start * 1009 + step) * 0x9E3779B97F4A7C15 % (1 << 64))
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+
+    def drawn(keep: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> list[np.ndarray]:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x, row = _matrix(batch.column("x")), batch.column("row").to_numpy()
+                    for s in range(starts):
+                        at = np.flatnonzero(keep(x, row, s))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s)), pa.array(row[at]), batch.column("x").take(pa.array(at))], names=["start", "row", "x"])
+
+        out = rows.select("x", "row").mapInArrow(run, "start long, row long, x array<double>").toPandas().sort_values(["start", "row"])
+        return [np.array(out["x"][out["start"] == s].tolist(), dtype=np.float64) for s in range(starts)]
+
+    first = rows.agg(*[F.min_by("x", F.xxhash64("row", F.lit(seed), F.lit(s))).alias(f"s{s}") for s in range(starts)]).first()
+    chosen = [np.array([first[s]], dtype=np.float64) for s in range(starts)]
+    for step in range(steps):
+        cost = _sums(rows, lambda x, _, c=chosen: np.array([_nearest(x, c[s])[1].sum() for s in range(starts)]), starts)
+        new = drawn(lambda x, row, s, c=chosen, cost=cost, step=step: unit(row, s, step) * cost[s] < over * n * _nearest(x, c[s])[1])
+        chosen = [np.concatenate([c, a]) if len(a) else c for c, a in zip(chosen, new, strict=True)]
+    size = max(map(len, chosen))
+
+    def weights(x: np.ndarray, _: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(_nearest(x, c)[0], minlength=size) for c in chosen])
+
+    weight = _sums(rows, weights, starts * size).reshape(starts, size)
+    out = []
+    for s, c in enumerate(chosen):
+        rng, w = np.random.default_rng(seed + s), weight[s, : len(c)]
+        picked = [c[rng.choice(len(c), p=w / w.sum())]]
+        while len(picked) < n:
+            d = _nearest(c, np.array(picked))[1] * w
+            picked.append(c[rng.choice(len(c), p=d / d.sum())] if d.sum() > 0 else c[len(picked) % len(c)])
+        m = np.array(picked)
+        for _ in range(20):
+            own = _nearest(c, m)[0]
+            heavy = np.bincount(own, weights=w, minlength=n)
+            m = np.where(heavy[:, None] > 0, np.stack([np.bincount(own, weights=w * c[:, k], minlength=n) for k in range(c.shape[1])], axis=1) / np.maximum(heavy, 1e-300)[:, None], m)
+        out.append(m)
+    return np.stack(out)
+
+
+def kmeans(df: DataFrame, n: int, key: str = "scaffold", features: str = "features", seed: int = 1, starts: int = STARTS, rounds: int = 100, tolerance: float = 1e-8) -> DataFrame:
+    """key and cluster (from 0): of several starts the one with the least cost.
+
+    All starts go forward together: a round is one pass over the rows, whatever their number. A start
+    ends when its cost falls by less than the tolerance's share. Rows without features are left out.
+    """
+    rows = written(df.filter(F.col(features).isNotNull()).select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x")).withColumn("row", F.xxhash64("key")))
+    kind = rows.schema["key"].dataType.simpleString()
+    if rows.isEmpty():
+        return rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("cluster"))
+    centers = seeded_centers(rows, n, starts, seed)
+    dim, last, best = centers.shape[2], np.full(starts, np.inf), centers
+    for _ in range(rounds):
+        def moved(x: np.ndarray, _: np.ndarray, at: np.ndarray = centers) -> np.ndarray:
+            out = []
+            for s in range(starts):
+                own, far = _nearest(x, at[s])
+                out += [np.stack([np.bincount(own, weights=x[:, k], minlength=n) for k in range(dim)], axis=1).ravel(), np.bincount(own, minlength=n), far.sum()[None]]
+            return np.concatenate(out)
+
+        found = _sums(rows, moved, starts * (n * dim + n + 1)).reshape(starts, -1)
+        sums, count, cost = found[:, : n * dim].reshape(starts, n, dim), found[:, n * dim : -1], found[:, -1]
+        best = centers
+        if (last - cost <= tolerance * np.maximum(cost, 1e-300)).all():
+            break
+        last = cost
+        centers = np.where(count[:, :, None] > 0, sums / np.maximum(count, 1)[:, :, None], centers)
+    chosen = best[int(cost.argmin())]
+
+    def labels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(_nearest(_matrix(batch.column("x")), chosen)[0])], names=["key", "cluster"])
+
+    return rows.mapInArrow(labels, f"key {kind}, cluster long").withColumnRenamed("key", key)
 
 
 def gaussian_mixture(df: DataFrame, n: int, key: str = "scaffold", features: str = "features", seed: int = 1, rounds: int = 30, starts: int = 3) -> DataFrame:

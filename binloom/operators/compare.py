@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import itertools
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binloom.functions.arrays import l1
 from binloom.functions.sequences import Kmers
-from binloom.operators.kmercount import joined_spectra, spectra
+from binloom.operators.kmercount import cells, ends, joined_spectra, of_cells, seams, spectra
 from binloom.operators.relational import unassigned
 from binloom.schema import NOT_ASSIGNED
 from binloom.session import discard, written
 
+log = logging.getLogger(__name__)
+
 #: Bytes of reference vectors up to which they are sent to all tasks; beyond, queries are dealt out with each block of references.
 SENT_BYTES, BLOCK_ROWS = 64 << 20, 4096
 
@@ -102,17 +106,40 @@ def compare_once(assigned: DataFrame, scaffolds: DataFrame, by: Kmers, distance:
 def compare_all(assigned: DataFrame, scaffolds: DataFrame, by: Kmers, distance: float = 0.003, ratio: float = 0.8, largest: float | None = None, mode: str = "intent", rounds: int | None = None) -> DataFrame:
     """Comparisons repeated with what the last one assigned, until nothing new is; assigned scaffolds count at distance 0.
 
+    A genus keeps its k-mer counts and the ends of its sequences from round to round. A round counts
+    the sequences just assigned, adds them, and compares the scaffolds that are left by the spectra
+    that were made of them once, so it reads fewer rows than the one before.
+
     mode "compat" makes one pass and keeps the rows that weren't assigned.
     """
     table = assigned.select("scaffold", "genus", F.lit(0.0).alias("distance"))
     if mode == "compat":
         return table.unionByName(compare_once(table, scaffolds, by, distance, ratio, largest))
     table = written(table)
-    for _ in itertools.count() if rounds is None else range(rounds):  # each one assigns a scaffold more at least
-        new = written(compare_once(table, scaffolds, by, distance, ratio, largest).filter(F.col("genus") != NOT_ASSIGNED))
+    sequences = scaffolds.select("scaffold", "sequence")
+    left = written(spectra(unassigned(sequences, table, "scaffold"), "sequence", by, strict=False))
+    named = table.filter(F.col("genus") != NOT_ASSIGNED).select("scaffold", "genus").join(sequences, "scaffold")
+    counts = tips = None
+    for k in itertools.count() if rounds is None else range(rounds):  # each one assigns a scaffold more at least
+        rows = named.filter(F.col("sequence").isNotNull()).select(F.col("genus").alias("_key"), F.col("scaffold").alias("_at"), F.col("sequence").alias("_text"))
+        parts = [cells(rows, by), ends(rows, by)]
+        old = counts, tips
+        if counts is not None:
+            parts = [counts.unionByName(parts[0]).groupBy("_key", "_place").agg(F.sum("_n").alias("_n")), tips.unionByName(parts[1])]
+        counts, tips = written(parts[0]), written(parts[1])
+        known = written(of_cells(counts.unionByName(cells(seams(tips, by), by)) if by.k > 1 else counts, "genus", by))
+        if known.limit(2).count() < 2:
+            raise ValueError("two references are needed")
+        found = selected(nearest(left.select("scaffold", "spectrum"), known, "scaffold", "spectrum", "genus"), "genus", absolute_threshold(by, distance) if largest is None else largest, ratio)
+        new = written(found.filter(F.col("genus") != NOT_ASSIGNED))
+        discard(known, *[t for t in old if t is not None])
         if new.isEmpty():
             discard(new)
             break
-        last, table = table, written(table.unionByName(new))
-        discard(last, new)
+        log.info("round %d: %d scaffolds were left, %d are assigned", k, left.count(), new.count())
+        before = [table, left]
+        named = written(new.select("scaffold", "genus").join(left.select("scaffold", "sequence"), "scaffold"))
+        table, left = written(table.unionByName(new)), written(unassigned(left, new, "scaffold"))
+        discard(new, *before)
+    discard(left, counts, tips)
     return table

@@ -129,27 +129,42 @@ def concatenated(df: DataFrame, key: str, order: str, sequence: str) -> DataFram
     return df.filter(F.col(sequence).isNotNull()).groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x[sequence]), "").alias(sequence))
 
 
+def cells(rows: DataFrame, by: Kmers) -> DataFrame:
+    """_key, _place and _n: k-mers of all sequences of a key, counted where they are; from (_key, _text). A key without any has one row without place."""
+    found = counted(rows.select("_key", "_text"), "_text", by, "_counts", strict=False).select("_key", F.posexplode_outer("_counts").alias("_place", "_n"))
+    return found.groupBy("_key", "_place").agg(F.sum("_n").alias("_n"))
+
+
+def ends(rows: DataFrame, by: Kmers) -> DataFrame:
+    """_key, _at, _head and _tail: the first and last k - 1 letters of each sequence; from (_key, _at, _text)."""
+    span = F.lit(by.k - 1)
+    return rows.filter(F.length("_text") > 0).select("_key", "_at", F.left(F.col("_text"), span).alias("_head"), F.right(F.col("_text"), span).alias("_tail"))
+
+
+def seams(found: DataFrame, by: Kmers) -> DataFrame:
+    """_key and _text: the letters around each place where two sequences of a key meet, as far as a k-mer reaches; sequences at one place come by their first letters."""
+    so_far = Window.partitionBy("_key").orderBy("_at", "_head", "_tail").rowsBetween(-(by.k - 1), -1)
+    context = F.right(F.array_join(F.collect_list("_tail").over(so_far), ""), F.lit(by.k - 1))
+    return found.select("_key", F.concat(context, F.col("_head")).alias("_text"))
+
+
+def of_cells(counts: DataFrame, key: str, by: Kmers, to: str = "spectrum") -> DataFrame:
+    """key and the k-mer frequencies of summed cells; a key whose sequences have fewer than k letters together raises."""
+    sums = counts.groupBy("_key", "_place").agg(F.sum("_n").alias("_n"))
+    found = sums.groupBy("_key").agg(F.array_sort(F.collect_list(F.when(F.col("_place").isNotNull(), F.struct("_place", "_n")))).alias("_cells"))
+    whole = F.when(F.size("_cells") > 0, F.transform("_cells", lambda c: c["_n"])).otherwise(F.raise_error(F.lit(f"a sequence has fewer than {by.k} letters")))
+    total = F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select(F.col("_key").alias(key), whole.alias("_counts")).select(key, F.when(total > 0, F.transform("_counts", lambda x: x / total)).alias(to))
+
+
 def joined_spectra(df: DataFrame, key: str, order: str, sequence: str, by: Kmers, to: str = "spectrum") -> DataFrame:
     """key and the k-mer frequencies of its sequences end to end, by order: spectra() of concatenated(), without building the texts.
 
-    Each sequence is counted where it is. What spans an end is in the last k - 1 letters so far
-    and the first k - 1 of the next sequence, so only those pass through the window of a key.
-    Sequences at the same place come by their first letters. A key whose sequences have fewer
-    than k letters together raises; NULL and empty sequences count nothing.
+    Each sequence is counted where it is; only the ends of sequences pass through the window of a key.
+    A key whose sequences have fewer than k letters together raises; NULL and empty sequences count nothing.
     """
-    span = by.k - 1
-    known = df.filter(F.col(sequence).isNotNull())
-    rows = known.select(F.col(key).alias("_key"), F.col(sequence).alias("_text"))
-    if span:
-        ends = known.filter(F.length(sequence) > 0).select(
-            F.col(key).alias("_key"), F.col(order).alias("_at"), F.left(F.col(sequence), F.lit(span)).alias("_head"), F.right(F.col(sequence), F.lit(span)).alias("_tail")
-        )
-        so_far = Window.partitionBy("_key").orderBy("_at", "_head", "_tail").rowsBetween(-span, -1)
-        context = F.right(F.array_join(F.collect_list("_tail").over(so_far), ""), F.lit(span))
-        rows = rows.unionByName(ends.select("_key", F.concat(context, F.col("_head")).alias("_text")))
-    cells = counted(rows, "_text", by, "_counts", strict=False).select("_key", F.posexplode_outer("_counts").alias("_place", "_n"))
-    sums = cells.groupBy("_key", "_place").agg(F.sum("_n").alias("_n"))
-    found = sums.groupBy("_key").agg(F.array_sort(F.collect_list(F.when(F.col("_place").isNotNull(), F.struct("_place", "_n")))).alias("_cells"))
-    counts = F.when(F.size("_cells") > 0, F.transform("_cells", lambda c: c["_n"])).otherwise(F.raise_error(F.lit(f"a sequence has fewer than {by.k} letters")))
-    total = F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select(F.col("_key").alias(key), counts.alias("_counts")).select(key, F.when(total > 0, F.transform("_counts", lambda x: x / total)).alias(to))
+    rows = df.filter(F.col(sequence).isNotNull()).select(F.col(key).alias("_key"), F.col(order).alias("_at"), F.col(sequence).alias("_text"))
+    counts = cells(rows, by)
+    if by.k > 1:
+        counts = counts.unionByName(cells(seams(ends(rows, by), by), by))
+    return of_cells(counts, key, by, to)

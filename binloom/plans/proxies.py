@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from binloom.functions import arrays, names, sequences
 from binloom.functions.sequences import Kmers
-from binloom.operators import assign, cluster, compare, descriptions, kmercount, labelspread, matrix, neighbours, relational, report, search
+from binloom.operators import assign, cluster, compare, descriptions, kmercount, labelspread, matrix, neighbours, relational, report, search, sparse
 from binloom.operators.catalog import Database
 from binloom.plans import binning
 from binloom.schema import NOT_ASSIGNED
@@ -95,9 +95,9 @@ def unassigned_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.unassigned(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("select c_custkey, c_name, coverage from customer left join (select o_custkey, max_by(o_totalprice, o_orderkey) coverage from orders where o_orderstatus = 'F' and o_totalprice > 200000 group by 1) on o_custkey = c_custkey")
+@query("select c_custkey, c_name, coverage from customer left join (select o_custkey, max_by(o_totalprice, o_orderkey) coverage from orders group by 1) on o_custkey = c_custkey")
 def coverage_left_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' and o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("coverage"), "o_orderkey")
+    values = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("coverage"), "o_orderkey")
     return relational.updated(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), values, "c_custkey", "coverage", "o_orderkey")
 
 
@@ -112,12 +112,12 @@ def label_default_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.with_label(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id", "quality")
 
 
-@query("""with v as (select p_brand, n_name genus, sum(l_extendedprice) bits from part join lineitem on l_partkey = p_partkey join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey where l_shipdate < timestamp '1993-01-01' and p_type = 'PROMO' group by 1, 2),
+@query("""with v as (select p_brand, n_name genus, sum(l_extendedprice) bits from part join lineitem on l_partkey = p_partkey join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey group by 1, 2),
  b as (select p_brand, genus from (select *, row_number() over (partition by p_brand order by bits desc, genus) rn from v) where rn = 1)
  select p_partkey scaffold, part.p_brand as cluster, coalesce(genus, 'not assigned') genus from part left join b on b.p_brand = part.p_brand""")
 def cluster_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    found = lines.filter("l_shipdate < timestamp '1993-01-01'").join(parts.filter("p_type = 'PROMO'").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    found = lines.join(parts.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
     suppliers = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
     found = found.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").alias("scaffold"), F.col("n_name").alias("genus"), F.col("l_extendedprice").alias("bits"))
     return assign.cluster_votes(parts.select(F.col("p_partkey").alias("scaffold"), F.col("p_brand").alias("cluster")), found)
@@ -207,10 +207,10 @@ def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.united([a, b])
 
 
-@query("select n_nationkey as k from nation where n_nationkey not in (select c_nationkey from customer where c_acctbal < -900) union all select c_nationkey from (select distinct c_nationkey from customer where c_acctbal < -900) where c_nationkey not in (select n_nationkey from nation)")
+@query("select s_suppkey as k from supplier where s_suppkey not in (select c_custkey from customer) union all select c_custkey from customer where c_custkey not in (select s_suppkey from supplier)")
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
-    return relational.differing(a, table(spark, sf_dir, "customer").filter("c_acctbal < -900").select(F.col("c_nationkey").alias("k")).distinct())
+    keys = [table(spark, sf_dir, t).select(F.col(c).alias("k")) for t, c in (("supplier", "s_suppkey"), ("customer", "c_custkey"))]
+    return relational.differing(*keys)
 
 
 @query("select count(*) n from lineitem")
@@ -297,10 +297,40 @@ def kmer_unique_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmercount.folded_histogram(table(spark, sf_dir, "documents"), "doc_id", "text", Kmers(2))
 
 
-@query("with l as (select unnest(['A', 'C', 'G', 'T']) x, unnest([0, 1, 2, 3]) i) select a.x || b.x || c.x kmer, cast(a.i * 16 + b.i * 4 + c.i as bigint) rank, a.x <= c.x first from l a, l b, l c")
+@query("""with c as (select string_split(translate(text, 'acgt', 'ACGT'), '') a, doc_id from documents), p as (select doc_id, unnest(a) x, generate_subscripts(a, 1) i from c),
+ w as (select x || lead(x) over o || lead(x, 2) over o kmer from p window o as (partition by doc_id order by i)), n as (select kmer, count(*) n from w where regexp_full_match(kmer, '[ACGT]{3}') group by 1),
+ l as (select unnest(['A', 'C', 'G', 'T']) x, unnest([0, 1, 2, 3]) i)
+ select a.x || b.x || c.x kmer, cast(a.i * 16 + b.i * 4 + c.i as bigint) rank, a.x <= c.x first, coalesce(n, 0) n from l a cross join l b cross join l c left join n on n.kmer = a.x || b.x || c.x""")
 def kmer_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 3-mers with their ranks, and how often all documents hold each."""
     by = Kmers(3)
-    return kmercount.ranked(kmercount.all_kmers(spark, by).drop("rank"), "kmer", by).select("kmer", "rank", (F.col("kmer") <= F.reverse("kmer")).alias("first"))
+    held = kmercount.histogram(table(spark, sf_dir, "documents"), "doc_id", "text", by).groupBy("kmer").agg(F.sum("n").alias("n"))
+    rows = kmercount.all_kmers(spark, by).drop("rank").join(held, "kmer", "left")
+    return kmercount.ranked(rows, "kmer", by).select("kmer", "rank", (F.col("kmer") <= F.reverse("kmer")).alias("first"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+LONG = """with t as (select 'd' kind, doc_id as id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') s from documents union all select 'b', item_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') from benchmark),
+ r as (select kind, id, unnest(regexp_extract_all(s, '[A-Z]{10,}')) r from t), w as (select kind, id, r[i:i + 9] kmer from (select kind, id, r, unnest(range(1, len(r) - 8)) i from r)),
+ k as (select kind, id, kmer, count(*) n from w group by 1, 2, 3), f as (select *, n / sum(n) over (partition by kind, id) freq from k)
+"""
+
+
+def long_kmers(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    return sparse.spectra(table(spark, sf_dir, name), key, "text", Kmers(10, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+
+
+@query(LONG + "select id doc_id, kmer, n, round(freq, 9) freq from f where kind = 'd'")
+def kmer10_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra of 10-mers over 26 letters, which no dense vector could hold."""
+    return long_kmers(spark, sf_dir, "documents", "doc_id").withColumn("freq", F.round("freq", 9))
+
+
+@query(LONG + """, d as (select a.id doc_id, b.id item_id, round(2 - 2 * sum(least(a.freq, b.freq)), 9) distance from f a join f b on a.kmer = b.kmer where a.kind = 'd' and b.kind = 'b' group by 1, 2),
+ o as (select *, row_number() over (partition by doc_id order by distance, item_id) rn, lead(distance) over (partition by doc_id order by distance, item_id) as second from d)
+ select doc_id, item_id, distance, second from o where rn = 1""")
+def kmer10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passage nearest to each document by 10-mers."""
+    return sparse.nearest(long_kmers(spark, sf_dir, "documents", "doc_id"), long_kmers(spark, sf_dir, "benchmark", "item_id"), "doc_id", "item_id")
 
 
 @query("select p_brand genus, cast(len(string_agg(p_name, '' order by p_partkey)) as int) length, md5(string_agg(p_name, '' order by p_partkey)) digest from part group by 1")
@@ -545,9 +575,11 @@ def kmer_unique_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.transform("spectrum", lambda x: F.round(x, 9)).alias("spectrum"))
 
 
-@query("with l as (select unnest(['A', 'C', 'G', 'T']) x) select a.x || b.x || c.x kmer from l a, l b, l c where a.x <= c.x")
+@query(PAIRS + "select kmer, cast(sum(n) as bigint) n from k where kmer <= reverse(kmer) group by 1")
 def kmer_without_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmercount.without_reversed(kmercount.all_kmers(spark, Kmers(3)).select("kmer"))
+    """2-mers of all documents that don't come after their reversal."""
+    counts = kmercount.histogram(table(spark, sf_dir, "documents"), "doc_id", "text", Kmers(2))
+    return kmercount.without_reversed(counts).groupBy("kmer").agg(F.sum("n").alias("n"))
 
 
 # Iterative operators, which SQL can't express.
@@ -584,12 +616,29 @@ def label_spread_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelspread.propagate(rows, rows.filter("label < 5"), alpha=0.8)
 
 
-@query()
+@query("""with t as (select 'd' kind, cast(doc_id as varchar) id, text from documents where doc_id not in (select doc_id from labels) union all select 'g', lang, string_agg(text, '' order by doc_id) from documents where doc_id in (select doc_id from labels) group by lang),
+ p as (select kind, id, unnest(a) x, generate_subscripts(a, 1) i from (select kind, id, string_split(translate(text, 'acgt', 'ACGT'), '') a from t)),
+ w as (select kind, id, x || lead(x) over o || lead(x, 2) over o kmer from p window o as (partition by kind, id order by i)),
+ k as (select kind, id, kmer, count(*) n from w where regexp_full_match(kmer, '[ACGT]{3}') group by 1, 2, 3), f as (select kind, id, kmer, n / sum(n) over (partition by kind, id) freq from k),
+ l as (select unnest(['A', 'C', 'G', 'T']) x), a as (select u.x || v.x || w.x kmer from l u, l v, l w),
+ s as (select g.kind, g.id, list(coalesce(freq, 0) order by a.kmer) v from (select distinct kind, id from f) g cross join a left join f on f.kind = g.kind and f.id = g.id and f.kmer = a.kmer group by 1, 2),
+ m as (select d.id, b.id genus, list_sum(list_transform(list_zip(d.v, b.v), lambda z: abs(z[1] - z[2]))) distance from s d, s b where d.kind = 'd' and b.kind = 'g'),
+ r as (select *, row_number() over (partition by id order by distance, genus) rn, lead(distance) over (partition by id order by distance, genus) as second from m),
+ y as (select id, genus, distance, distance <= 0.768 and distance / second <= 0.8 good from r where rn = 1)
+ select doc_id scaffold, case when good then genus else 'not assigned' end genus, case when good then round(distance, 6) else -1.0 end distance from documents left join y on id = cast(doc_id as varchar) where doc_id not in (select doc_id from labels)""")
 def kmer_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without a label against the joined texts of each language's labelled ones, by 3-mers."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("scaffold"), F.col("text").alias("sequence"), F.col("lang").alias("genus"))
     assigned = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("scaffold")).distinct(), "scaffold", "left_semi").select("scaffold", "genus")
-    return compare.compare_once(assigned, docs, Kmers(3))
+    return compare.compare_once(assigned, docs, Kmers(3)).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def kmer_compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, repeated with what each round assigns."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("scaffold"), F.col("text").alias("sequence"), F.col("lang").alias("genus"))
+    assigned = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("scaffold")).distinct(), "scaffold", "left_semi").select("scaffold", "genus")
+    return compare.compare_all(assigned, docs, Kmers(3)).withColumn("distance", F.round("distance", 6))
 
 
 @query()

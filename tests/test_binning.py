@@ -6,6 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from binloom.functions.sequences import Kmers
@@ -57,6 +59,29 @@ def test_comparison_reuses_what_it_assigned(spark):
         compare.compare_once(assigned.limit(1), scaffolds, Kmers(2))
 
 
+def test_rounds_equal_full_recounts(spark, caplog):
+    """Counts and seams kept from round to round give what counting everything again gives, and fewer rows are left each time."""
+    caplog.set_level("INFO")
+    rng = np.random.default_rng(11)
+
+    def said(n, bias):
+        return "".join(rng.choice(list("ACGTN"), p=bias, size=n))
+
+    biases = [[0.6, 0.2, 0.1, 0.09, 0.01], [0.1, 0.1, 0.6, 0.19, 0.01], [0.2, 0.3, 0.1, 0.39, 0.01]]
+    mixed = [[a * (1 - t) + b * t for a, b in zip(biases[0], biases[1], strict=True)] for t in (0.1, 0.2, 0.3, 0.4, 0.5)]
+    rows = [(i, said(int(rng.integers(1, 90)), [*biases, *mixed][i % 8])) for i in range(60)] + [(70, None), (71, ""), (72, "A")]
+    scaffolds = spark.createDataFrame(rows, "scaffold long, sequence string")
+    assigned = spark.createDataFrame([(0, "x"), (1, "y"), (2, "z"), (8, "x"), (59, "not assigned"), (99, "x")], "scaffold long, genus string")
+    got = {tuple(r) for r in compare.compare_all(assigned, scaffolds, Kmers(2), largest=0.6, ratio=0.9).collect()}
+    table = assigned.withColumn("distance", F.lit(0.0))
+    while new := compare.compare_once(table, scaffolds, Kmers(2), largest=0.6, ratio=0.9).filter("genus <> 'not assigned'").collect():
+        table = spark.createDataFrame([tuple(r) for r in table.collect()] + [tuple(r) for r in new], "scaffold long, genus string, distance double")
+    rounded = lambda rows: {(s, g, round(d, 9)) for s, g, d in rows}
+    assert rounded(got) == rounded({tuple(r) for r in table.collect()}) and len(got) > len(assigned.collect())
+    left = [r.args[1] for r in caplog.records if r.name == "binloom.operators.compare"]
+    assert len(left) > 1 and left == sorted(left, reverse=True)
+
+
 def test_references_in_blocks_give_the_same(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, [float(i % 7), float(i)]) for i in range(40)], "id long, v array<double>")
     refs = spark.createDataFrame([(f"r{i}", [float(i), 0.0]) for i in range(9)], "name string, v array<double>")
@@ -120,6 +145,24 @@ def test_neighbours_visit_few_rings(spark):
     assert share[1][1] > 3 * share[0][1] and share[1][0] < 2 * share[0][0] and share[1][0] < 0.25 * share[1][1]
 
 
+def test_kmeans_against_many_fits(spark):
+    """The cost is that of the best of ten fits of Spark's own, to a ten-thousandth at worst, and reruns agree however rows are dealt."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12, 5))[rng.integers(0, 12, 600)] * 4 + rng.normal(size=(600, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(700, None)], "scaffold long, features array<double>")
+
+    def cost(rows):
+        label = np.array([r.cluster for r in sorted(rows, key=lambda r: r.scaffold)])
+        return sum(((x[label == k] - x[label == k].mean(axis=0)) ** 2).sum() for k in np.unique(label))
+
+    got = cluster.kmeans(df, 12).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in cluster.kmeans(df.repartition(7), 12).collect()} and len(got) == 600
+    vectors = df.filter("features is not null").select(array_to_vector("features").alias("v")).cache()
+    assert cost(got) <= min(KMeans(k=12, featuresCol="v", seed=s).fit(vectors).summary.trainingCost for s in range(10)) * (1 + 1e-4)
+    few = df.filter("scaffold < 2")
+    assert cluster.kmeans(few, 4).count() == 2 and cluster.kmeans(df.limit(0), 4).count() == 0
+
+
 def test_complete_linkage(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(80, 3))
