@@ -15,6 +15,10 @@ class Kmers:
     k: int = 4
     alphabet: str = "ACGT"
 
+    def __post_init__(self) -> None:
+        if self.k < 1 or not (self.alphabet.isascii() and self.alphabet.isalnum()) or len(set(self.alphabet.upper())) < len(self.alphabet):
+            raise ValueError("an alphabet has different ASCII letters and digits, and k-mers have a letter at least")
+
     @property
     def size(self) -> int:
         """Length of a spectrum."""

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import subprocess
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binloom.operators.catalog import Database
@@ -36,13 +35,14 @@ def failed(results: DataFrame) -> DataFrame:
     return results.filter("not ok").drop("value")
 
 
-def blast(sequences: DataFrame, database: str, program: str = "blastp", evalue: float = 0.001, key: str = "gene_id", sequence: str = "sequence", batches: int | None = None) -> DataFrame:
+def blast(sequences: DataFrame, database: str | Column, program: str = "blastp", evalue: float = 0.001, key: str = "gene_id", sequence: str = "sequence", batches: int | None = None) -> DataFrame:
     """key, ok, value (the program's XML) and error of a search of each sequence.
 
-    The program and its database have to be on every executor. An empty sequence, and any message of the program, is a failure.
+    The program and its database, one for all or a column's, have to be on every executor. An empty sequence, and any message of the program, is a failure.
     """
 
-    def search(text: object) -> str:
+    def search(task: object) -> str:
+        database, _, text = str(task).partition("\n")
         if not text:
             raise ValueError("the sequence is empty")
         done = subprocess.run([program, "-db", database, "-evalue", str(evalue), "-outfmt", "5"], input=f">query\n{text}\n", capture_output=True, text=True, check=False)
@@ -51,7 +51,8 @@ def blast(sequences: DataFrame, database: str, program: str = "blastp", evalue:
         return done.stdout
 
     rows = sequences.repartition(batches, key) if batches else sequences
-    return parallel(rows, key, sequence, search)
+    task = F.concat(F.lit(database) if isinstance(database, str) else database, F.lit("\n"), F.coalesce(F.col(sequence), F.lit("")))
+    return parallel(rows.select(key, task.alias("task")), key, "task", search)
 
 
 def searched(results: DataFrame, key: str = "gene_id", n: int = 5) -> DataFrame:
@@ -74,5 +75,4 @@ def search_markers(db: Database, markers: DataFrame, databases: str, genes: str
     if missing := sorted(set(families) - {r.cog_id for r in there.collect()}):
         raise ValueError(f"there is no database of {', '.join(missing)}")
     rows = exactly_one(of_markers(db.table(genes).select("gene_id", "cog_id"), markers, "cog_id"), db.table(sequences).select("gene_id", "sequence"), "gene_id")
-    parts = [blast(rows.filter(F.col("cog_id") == c), f"{databases.removeprefix('file://')}/{c}", **options) for c in families]
-    return reduce(DataFrame.unionByName, parts)
+    return blast(rows, F.concat(F.lit(f"{databases.removeprefix('file://')}/"), "cog_id"), **options)

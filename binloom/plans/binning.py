@@ -20,10 +20,11 @@ from binloom.sources import files
 log = logging.getLogger(__name__)
 
 
-def create_database(db: Database, genes: str | None = None, proteins: str | None = None, scaffolds: str | None = None, coverage: str | None = None, skip_first_row: bool = True) -> None:
+def create_database(db: Database, genes: str | None = None, proteins: str | None = None, scaffolds: str | None = None, coverage: str | None = None, skip_first_row: bool = True, paragraphs: bool = False) -> None:
     """Tables from those files that are given, in this order; other tables stay."""
     if genes:
-        db.replace("Genes", files.genes(db.spark, genes, skip_first_row))
+        db.replace("Genes", files.genes(db.spark, genes, skip_first_row, paragraphs))
+        files.warn_without_cog(db.table("Genes"))
     if proteins:
         db.replace("Sequences", files.proteins(db.spark, proteins))
     if scaffolds:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,29 +57,49 @@ def gene_rows(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path, "\t", 6)
 
 
-def folded_genes(rows: DataFrame, skip_first_row: bool = True) -> DataFrame:
+def gene_paragraphs(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of gene_rows() with paragraph: its file and number there, counted by the rows without id before it.
+
+    Each split of a file counts its own; the sums of the splits before it, a row a split, make the number
+    the same wherever splits fall, within a paragraph too. Lines are read as text, since blank ones count.
+    """
+    pos = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    rows = spark.read.text(path).select(pos.alias("pos"), F.split(F.regexp_replace("value", "\r$", ""), "\t").alias("f"))
+    ends = (F.coalesce(F.try_element_at("f", F.lit(1)), F.lit("")) == "").cast("long")
+    split = [F.col("pos.file").alias("_file"), F.col("pos.block").alias("_block")]
+    marked = rows.select("*", *split, ends.alias("_ends"))
+    in_split = Window.partitionBy("_file", "_block").orderBy("pos.line")
+    own = F.sum("_ends").over(in_split)
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = marked.groupBy("_file", "_block").agg(F.sum("_ends").alias("_n")).select("_file", "_block", before.alias("_before"))
+    numbered = marked.withColumns({"_own": own, "_line": F.row_number().over(in_split)}).join(splits, ["_file", "_block"])
+    return numbered.filter("_block > 0 or _line > 1").select("pos", "f", F.struct(F.col("_file").alias("file"), (F.col("_before") + F.col("_own")).alias("number")).alias("paragraph"))
+
+
+def folded_genes(rows: DataFrame, skip_first_row: bool = True, paragraphs: bool = False) -> DataFrame:
     """A row for each gene from the rows that describe it; of several rows of a kind the last counts.
 
-    Rows of a gene are those with its id. With skip_first_row the first of them only names the gene.
+    Rows of a gene are those with its id, or with paragraphs on, given rows of gene_paragraphs(), those up to a row without id, whose first names
+    the gene: two paragraphs of one id are two genes. With skip_first_row the first row only names the gene.
     A gene without scaffold raises.
     """
     field = lambda k: F.coalesce(F.try_element_at("f", F.lit(k + 1)), F.lit(""))
-    named = rows.select("pos", *[field(k).alias(c) for k, c in enumerate(("gene_id", "tag", "kind", "cluster", "info", "evalue"))]).filter("gene_id <> ''")
-    named = named.withColumn("low", F.lower("kind"))
-    first = named.groupBy("gene_id").agg(F.min("pos").alias("first"), F.min_by("tag", "pos").alias("locus_tag"))
-    used = named.join(first.select("gene_id", "first"), "gene_id").filter(F.col("pos") > F.col("first")) if skip_first_row else named
+    named = rows.select("pos", *[field(k).alias(c) for k, c in enumerate(("gene_id", "tag", "kind", "cluster", "info", "evalue"))], *["paragraph"] * paragraphs).filter("gene_id <> ''")
+    named = named.withColumns({"low": F.lower("kind"), "own": F.col("paragraph" if paragraphs else "gene_id")})
+    first = named.groupBy("own").agg(F.min("pos").alias("first"), F.min_by("tag", "pos").alias("locus_tag"), F.min_by("gene_id", "pos").alias("gene_id"))
+    used = named.join(first.select("own", "first"), "own").filter(F.col("pos") > F.col("first")) if skip_first_row else named
     cog, pfam = F.col("kind").startswith("COG") & (F.col("kind") != "COG_category"), F.col("low").startswith("pfam")
     last = lambda column, where: F.max_by(F.when(where, column), F.when(where, F.col("pos")))
     number = lambda column, pattern: F.try_to_number(F.regexp_extract(column, pattern, 1), F.lit("9999999999")).cast("long")
     is_ = lambda name: F.col("low") == name
     place = r"^([0-9]+)\.+([0-9]+)\(([+-])\)"
     info = lambda name: last(F.col("info"), is_(name))
-    out = used.groupBy("gene_id").agg(
+    out = used.groupBy("own").agg(
         last(F.col("kind"), cog).alias("cog_id"), last(F.col("cluster"), cog).alias("cog_description"), last(F.col("evalue"), cog).alias("cog_Evalue"), info("scaffold").alias("scaffold"),
         last(F.col("kind"), pfam).alias("pfam"), last(F.col("cluster"), pfam).alias("pfam_description"), last(F.col("evalue"), pfam).alias("pfam_Evalue"),
         info("dna_length").alias("dna"), info("protein_length").alias("protein"), info("coordinates").alias("at"), info("gc").alias("gc"),
     )
-    out = first.join(out, "gene_id", "left")
+    out = first.join(out, "own", "left")
     return out.select(
         "gene_id", "locus_tag", F.coalesce("cog_id", F.lit(NULL_TEXT)).alias("cog_id"), F.coalesce("cog_description", F.lit(NULL_TEXT)).alias("cog_description"), F.coalesce(F.col("cog_Evalue").cast("double"), F.lit(-1.0)).alias("cog_Evalue"),
         F.coalesce("scaffold", F.raise_error(F.concat(F.lit("gene without scaffold: "), "gene_id"))).alias("scaffold"),
@@ -89,8 +109,8 @@ def folded_genes(rows: DataFrame, skip_first_row: bool = True) -> DataFrame:
     )
 
 
-def genes(spark: SparkSession, path: str, skip_first_row: bool = True) -> DataFrame:
-    return folded_genes(gene_rows(spark, path), skip_first_row)
+def genes(spark: SparkSession, path: str, skip_first_row: bool = True, paragraphs: bool = False) -> DataFrame:
+    return folded_genes(gene_paragraphs(spark, path) if paragraphs else gene_rows(spark, path), skip_first_row, paragraphs)
 
 
 def warn_without_cog(rows: DataFrame) -> int:

@@ -99,3 +99,9 @@ def test_joined_spectra_of_short_texts_raise(spark):
     with pytest.raises(PySparkException, match="fewer than 4 letters"):
         kmercount.joined_spectra(df, "g", "i", "s", Kmers(4)).collect()
     assert kmercount.joined_spectra(df.limit(0), "g", "i", "s", Kmers(4)).count() == 0
+
+
+def test_alphabets_are_checked():
+    for k, alphabet in ((2, "AC?"), (2, "AaC"), (0, "AC"), (2, ""), (2, "A]C"), (2, "Aé")):
+        with pytest.raises(ValueError, match="alphabet"):
+            Kmers(k, alphabet)

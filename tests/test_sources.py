@@ -44,6 +44,28 @@ def test_gene_rows_fold(spark, tmp_path):
         files.genes(spark, str(tmp_path / "h.tsv")).collect()
 
 
+def test_gene_paragraphs(spark, tmp_path, caplog):
+    """Two paragraphs of one id stay two, wherever files are cut; folded by id they are one."""
+    blank = "\t" * 5 + "\n"
+    gene = lambda i, n, more="": f"{i}\tt{n}\tCOG_category\tx\t\t\n{i}\tt{n}\tscaffold\t\tc{n}\t\n{more}"
+    body = "".join(gene(f"g{n % 40}", n, f"g{n % 40}\tt{n}\tCOG{n:04d}\td\t\t1e-{n % 30}\n" if n % 3 else "") + blank for n in range(120))
+    (tmp_path / "g.tsv").write_text(GENES.splitlines()[0] + "\n" + body)
+    (tmp_path / "h.tsv").write_text(GENES.splitlines()[0] + "\n" + gene("g1", 500))
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    try:
+        for size in ("700", "2000", small):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found.append(sorted((r.gene_id, r.locus_tag, r.scaffold, r.cog_id) for r in files.genes(spark, str(tmp_path / "*.tsv"), paragraphs=True).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+    assert found[0] == found[1] == found[2] == sorted([(f"g{n % 40}", f"t{n}", f"c{n}", f"COG{n:04d}" if n % 3 else "NULL_ST") for n in range(120)] + [("g1", "t500", "c500", "NULL_ST")])
+    assert files.genes(spark, str(tmp_path / "g.tsv")).count() == 40
+    db = Database(spark, str(tmp_path / "db"))
+    binning.create_database(db, genes=str(tmp_path / "g.tsv"), paragraphs=True)
+    assert db.count("Genes") == 120 and "40 genes have no COG" in caplog.text
+
+
 def test_fasta(spark, tmp_path):
     (tmp_path / "p.faa").write_text(">11 sg4i_0001 some enzyme [An organism (v2)]\nMKV\nLLA\n>12 sg4i_0002 other [B c]\nMM\n")
     assert [tuple(r) for r in files.proteins(spark, str(tmp_path / "p.faa")).orderBy("gene_id").collect()] == [("11", "sg4i_0001", "some enzyme", "MKVLLA"), ("12", "sg4i_0002", "other", "MM")]
