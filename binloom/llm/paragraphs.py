@@ -7,7 +7,8 @@ average, unless the text has fewer, and a passage copied into another text is cu
 the same words, but for NEAR + 1 at its ends: it brings whole paragraphs with it wherever
 it stands. Every word is in a paragraph, and every paragraph counts.
 
-Paragraphs are grouped by the similarity of their word shingles; of each group the one with
+Paragraphs that share no shingle of their prefix with another have their like nowhere and
+leave first. The others are grouped by the similarity of their word shingles; of each group the one with
 the least (id, number) stays and the others are removed from their documents.
 
 BANDING has one row a band: random paragraphs share almost no shingles, so selective
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from binloom.llm import minhash, textbytes
+from binloom.session import discard, written
 
 BANDING = minhash.Banding(words=5, percent=80, bands=6, rows=1)
 #: Words on either side among which a paragraph's first word has the least value; fixed values: what a word's and the next one's sum of bytes, each times its place, are multiplied by, and the modulus.
@@ -81,10 +83,44 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return bounds, doc, number, np.bincount(textbytes.words(data, bounds)[2], minlength=n)[:n]
 
 
-def items(docs: DataFrame, doc_id: str, text: str, least_words: int) -> DataFrame:
-    """id (doc_id, number, and version, the hash of the whole text) and text of each paragraph of least_words words or more."""
+def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, version (the hash of the whole text) and text of the documents that can have paragraphs."""
     whole = F.col(f"`{text}`")
-    rows = docs.filter(F.col(f"`{doc_id}`").isNotNull() & whole.isNotNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(whole).alias("version"), whole.alias("text"))
+    return docs.filter(F.col(f"`{doc_id}`").isNotNull() & whole.isNotNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(whole).alias("version"), whole.alias("text"))
+
+
+def likely(docs: DataFrame, doc_id: str, text: str, banding: minhash.Banding, owner: str) -> DataFrame:
+    """doc_id, version and numbers of the paragraphs that share a shingle of their prefix with another.
+
+    A prefix is the least few of a set's hashes: as many as two sets can't both lack of each other if they are similar
+    enough, so a paragraph that is left out here has its like nowhere.
+    """
+    rows = named(docs, doc_id, text)
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["version"], T.StructField("number", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in textbytes.chunks(batch, "text"):
+                bounds, doc, number, words = pieces(data, offsets)
+                some = np.flatnonzero(words >= max(1, banding.least_words))
+                sets = minhash.shingle_sets(data, bounds, banding)
+                least = [sets[i][: len(sets[i]) - -(-banding.percent * len(sets[i]) // 100) + 1] for i in some.tolist()]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in least])].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *least]).view(np.int64)))
+                own = pa.array(doc[some])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(own), part.column("version").take(own), pa.array(number[some].astype(np.int32)), lists], names=schema.names)
+
+    units = written(rows.mapInArrow(textbytes.trimmed(run), schema).withColumn("unit", F.monotonically_increasing_id()), owner)
+    keys = units.select("unit", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    found = keys.join(shared, "key", "left_semi").select("unit").distinct()
+    numbers = written(units.drop("keys").join(found, "unit", "left_semi").groupBy("doc_id", "version").agg(F.collect_set("number").alias("numbers")), owner)
+    discard(units)
+    return numbers
+
+
+def items(docs: DataFrame, doc_id: str, text: str, numbers: DataFrame) -> DataFrame:
+    """id (doc_id, number and version) and text of each paragraph with one of its document's numbers."""
+    rows = named(docs, doc_id, text).join(numbers, ["doc_id", "version"])
     names = ["doc_id", "number", "version"]
     kind = rows.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("id", T.StructType([T.StructField(n, t) for n, t in zip(names, (kind, T.IntegerType(), T.LongType()), strict=True)])), T.StructField("text", T.StringType())])
@@ -92,8 +128,9 @@ def items(docs: DataFrame, doc_id: str, text: str, least_words: int) -> DataFram
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in textbytes.chunks(batch, "text"):
-                bounds, doc, number, words = pieces(data, offsets)
-                some = np.flatnonzero(words >= max(1, least_words))
+                bounds, doc, number, _ = pieces(data, offsets)
+                first, wanted = np.searchsorted(doc, np.arange(part.num_rows)), part.column("numbers")
+                some = np.sort(np.repeat(first, wanted.value_lengths().to_numpy()) + wanted.flatten().to_numpy())
                 raw, own = data.tobytes(), pa.array(doc[some])
                 found = [raw[a:b] for a, b in zip(bounds[some].tolist(), bounds[some + 1].tolist(), strict=True)]
                 ids = pa.StructArray.from_arrays([part.column("doc_id").take(own), pa.array(number[some].astype(np.int32)), part.column("version").take(own)], names=names)
@@ -103,8 +140,11 @@ def items(docs: DataFrame, doc_id: str, text: str, least_words: int) -> DataFram
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", banding: minhash.Banding = BANDING, owner: str = "query") -> DataFrame:
-    """id of each paragraph (doc_id, number, and version, the hash of the whole text), n (its shingles) and component: the id of its group's first."""
-    return minhash.groups(items(docs, doc_id, text, banding.least_words), banding, owner)
+    """id of each paragraph that may have its like (doc_id, number, and version, the hash of the whole text), n (its shingles) and component: the id of its group's first."""
+    numbers = likely(docs, doc_id, text, banding, owner)
+    found = written(items(docs, doc_id, text, numbers), owner)
+    discard(numbers)
+    return minhash.groups(found, banding, owner)
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", banding: minhash.Banding = BANDING, owner: str = "query") -> DataFrame:

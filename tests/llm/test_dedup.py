@@ -198,6 +198,17 @@ def test_passages_within_longer_texts(spark):
     assert all(got[5000 + i].shared == [] for i in range(50))
 
 
+def test_prefixes_keep_all_that_have_their_like(spark):
+    """Every paragraph with a like at 0.8 is kept by the shared prefixes, and most others are not."""
+    texts = near_copies(120, seed=8)
+    got = {(r.doc_id, n) for r in paragraphs.likely(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text", paragraphs.BANDING, "query").collect() for n in r.numbers}
+    units = {(i, k): p for i, t in texts.items() for k, p in enumerate(pieces_of(t))}
+    want, sets = brute_groups(units, 5)
+    many = Counter(want[u] for u in units if sets[u])
+    like = {u for u in units if sets[u] and many[want[u]] > 1}
+    assert like <= got < {u for u in units if sets[u]}
+
+
 def test_sums_of_long_texts():
     data = np.frombuffer(b"Ab " * 200_000 + b"x" * 300_000 + b" ab", dtype=np.uint8)
     starts, ends, _ = textbytes.words(data, np.array([0, len(data)]))
