@@ -11,8 +11,8 @@ Paragraphs that share no shingle of their prefix with another have their like no
 leave first. The others are grouped by the similarity of their word shingles; of each group the one with
 the least (id, number) stays and the others are removed from their documents.
 
-BANDING has one row a band: random paragraphs share almost no shingles, so selective
-bands aren't needed, and of pairs at the least similarity one in 15,000 shares no bucket.
+BANDING has two rows a band: random paragraphs share almost no shingles, so selective
+bands aren't needed, and of pairs at the least similarity one in 28,000 shares no bucket.
 
 Null texts have no paragraphs and stay null, a text without words is one paragraph, which is like no other. Equal
 rows are one document: what is removed is removed from each; rows that share only their id
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from binloom.llm import minhash, textbytes
 from binloom.session import discard, written
 
-BANDING = minhash.Banding(words=5, percent=80, bands=6, rows=1)
+BANDING = minhash.Banding(words=5, percent=80, bands=10, rows=2)
 #: Words on either side among which a paragraph's first word has the least value; fixed values: what a word's and the next one's sum of bytes, each times its place, are multiplied by, and the modulus.
 NEAR, FACTORS, MODULUS = 9, (7919, 104_729), 1_000_003
 #: Words whose bytes are summed at a time.
@@ -53,12 +53,12 @@ def byte_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where paragraphs begin that another precedes in the same text."""
+def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where paragraphs begin that another precedes in the same text, and where all words begin."""
     starts, ends, doc = textbytes.words(data, offsets)
     n = len(starts)
     if not n:
-        return np.zeros(0, dtype=np.int64)
+        return starts, starts
     own = byte_sums(data, starts, ends)
     after = np.zeros(n, dtype=np.int64)
     after[:-1] = np.where(doc[1:] == doc[:-1], own[1:], 0)
@@ -70,17 +70,38 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         np.minimum(behind[:-k], np.where(same, value[k:], MODULUS), out=behind[:-k])
     count = np.bincount(doc, minlength=len(offsets) - 1)
     place = np.arange(n) - (np.cumsum(count) - count)[doc]
-    return starts[(value < before) & (value <= behind) & (place > NEAR) & (place < count[doc] - NEAR)]
+    return starts[(value < before) & (value <= behind) & (place > NEAR) & (place < count[doc] - NEAR)], starts
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bounds of all paragraphs with bytes, end to end, and of each its document, its number there and its words."""
-    cut = cuts(data, offsets)
+    cut, starts = cuts(data, offsets)
     bounds = np.unique(np.concatenate([offsets, cut]))
-    n = len(bounds) - 1
     doc = np.searchsorted(offsets, bounds[:-1], "right") - 1
     number = np.searchsorted(cut, bounds[:-1], "right") - np.searchsorted(cut, offsets[doc], "right")
-    return bounds, doc, number, np.bincount(textbytes.words(data, bounds)[2], minlength=n)[:n]
+    return bounds, doc, number, np.diff(np.searchsorted(starts, bounds))
+
+
+def prefixes(data: np.ndarray, bounds: np.ndarray, banding: minhash.Banding) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles in each paragraph's prefix, end to end, and of each its paragraph: of n distinct ones the least n - (least overlap) + 1."""
+    low = textbytes.LOWER[data]
+    starts, ends, own = textbytes.words(low, bounds)
+    word, size = textbytes.word_hash(low, starts, ends), banding.words
+    count = np.bincount(own, minlength=len(bounds) - 1)
+    whole = np.flatnonzero(own[size - 1 :] == own[: len(own) - size + 1]) if len(own) >= size else np.zeros(0, dtype=np.int64)
+    gram, unit = textbytes.gram_hash(word, size)[whole], own[whole]
+    short, first = np.flatnonzero((count > 0) & (count < size)), np.cumsum(count) - count
+    alone = [textbytes.mix(textbytes.gram_hash(word[first[i] : first[i] + count[i]], int(count[i])) + np.uint64(count[i])) for i in short.tolist()]  # the whole sequence is the one shingle
+    gram, unit = np.concatenate([gram, *alone]), np.concatenate([unit, short])
+    order = np.lexsort((gram, unit))
+    gram, unit = gram[order], unit[order]
+    new = np.ones(len(gram), dtype=bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (unit[1:] != unit[:-1])
+    gram, unit = gram[new], unit[new]
+    n = np.bincount(unit, minlength=len(count))
+    place = np.arange(len(unit)) - (np.cumsum(n) - n)[unit]
+    keep = place < (n - -(-banding.percent * n // 100) + 1)[unit]
+    return gram[keep], unit[keep]
 
 
 def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -102,10 +123,10 @@ def likely(docs: DataFrame, doc_id: str, text: str, banding: minhash.Banding, ow
         for batch in batches:
             for part, data, offsets in textbytes.chunks(batch, "text"):
                 bounds, doc, number, words = pieces(data, offsets)
-                some = np.flatnonzero(words >= max(1, banding.least_words))
-                sets = minhash.shingle_sets(data, bounds, banding)
-                least = [sets[i][: len(sets[i]) - -(-banding.percent * len(sets[i]) // 100) + 1] for i in some.tolist()]
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in least])].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *least]).view(np.int64)))
+                gram, unit = prefixes(data, bounds, banding)
+                gram, unit = (x[words[unit] >= max(1, banding.least_words)] for x in (gram, unit))
+                some = np.unique(unit)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[np.searchsorted(unit, some), len(unit)].astype(np.int32)), pa.array(gram.view(np.int64)))
                 own = pa.array(doc[some])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(own), part.column("version").take(own), pa.array(number[some].astype(np.int32)), lists], names=schema.names)
 
@@ -185,7 +206,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", banding:
                 raw, ends = data[left].tobytes(), np.r_[0, np.cumsum(left)][offsets].tolist()
                 valid = part.column("whole").is_valid().to_numpy(zero_copy_only=False)
                 kept = [raw[a:b] if v else None for a, b, v in zip(ends[:-1], ends[1:], valid.tolist(), strict=True)]
-                cut = cuts(data, offsets)
+                cut, _ = cuts(data, offsets)
                 count = np.where(valid, 1 + np.searchsorted(cut, offsets[1:], "right") - np.searchsorted(cut, offsets[:-1], "right"), 0)
                 more = [part.column(n.name) for n in new[:3]] + [pa.array(kept, type=pa.string()), pa.array(count), pa.array(np.bincount(doc, weights=words * shared, minlength=part.num_rows).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([part.column(f"c{i}") for i in range(len(fields))] + more, names=[f.name for f in fields + new])
