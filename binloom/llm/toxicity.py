@@ -6,8 +6,10 @@ may replace, for a word's edge where it is a separator, or for nothing. Viterbi'
 finds the likeliest letters and edges under a character bigram model of all documents, with
 a channel cost for each change. Tokens and runs of spaced letters may have any length.
 
-Words with accented Latin letters are read without the accents as well. Plain words and
-restored ones are then looked up, whole and by their first bytes, among
+Words with letters outside ASCII are read as they look as well: without accents and
+invisible characters, wide and styled letters as plain ones, look-alikes of other scripts as
+Latin ones; so is v twice as w. Two words are also looked up as one, where neither of them
+says anything and not both are usual in clean texts (`worth less`). Plain words and restored ones are then looked up, whole and by their first bytes, among
 features that toxic training texts have and others lack. Between letters that separators
 part, the likeliest edges may be wrong, so words from any separator to any other are looked
 up as well, and those that say most without overlap are taken. What a text's strongest
@@ -37,6 +39,8 @@ from binloom.llm import learning, textbytes
 BOUND = 40_000
 #: Toxic texts of the sample that must hold a feature; bytes of a word's beginnings that are features.
 SUPPORT, STEMS = 3, (4, 5, 6)
+#: Words of clean texts that are known as words of their own, the most frequent ones.
+USUAL = 200_000
 #: Characters of the lattice: 0 is a word's edge, 1-26 a-z, 27 a byte outside ASCII.
 SYMBOLS, OTHER = 28, 27
 #: Letters that a character may stand for besides itself.
@@ -166,22 +170,60 @@ def compact(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return textbytes.LOWER[data[keep]], np.r_[0, np.cumsum(keep)][offsets]
 
 
-#: The letter without its accent of each two-byte code that begins with ACCENTED, by its second byte; 0 for other letters.
-ACCENTED = 0xC3
-UNACCENTED = np.zeros(256, dtype=np.uint8)
-for _b in range(0x80, 0xC0):
-    _plain = unicodedata.normalize("NFD", chr(_b + 0x40))[0].lower()
-    UNACCENTED[_b] = ord(_plain) if "a" <= _plain <= "z" else 0
+#: Latin letters that letters of other scripts look like, and letters without a decomposition.
+LOOKS_LIKE = {
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
+    "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w",
+    "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ŧ": "t", "ɡ": "g", "ɑ": "a", "ƒ": "f",
+}
+DOUBLE_V = ord("v")
 
 
-def unaccented(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes without accents on Latin letters, their offsets, and where a letter has lost one."""
-    if not len(data):
-        return data, offsets, np.zeros(0, dtype=bool)
-    hit = np.flatnonzero((data[:-1] == ACCENTED) & (UNACCENTED[data[1:]] > 0))
-    out, changed, keep = data.copy(), np.zeros(len(data), dtype=bool), np.ones(len(data), dtype=bool)
-    out[hit + 1], changed[hit + 1], keep[hit] = UNACCENTED[data[hit + 1]], True, False
-    return out[keep], np.r_[0, np.cumsum(keep)][offsets], changed[keep]
+def plain_letters(token: str) -> str:
+    """The token in letters of one script: compatible forms decomposed, marks and invisible characters dropped, look-alikes replaced."""
+    letters = (c for c in unicodedata.normalize("NFKD", token).lower() if unicodedata.category(c) not in ("Mn", "Me", "Cf"))
+    return "".join(LOOKS_LIKE.get(c, c) for c in letters)
+
+
+def seen(token: bytes) -> bytes:
+    """The token in lower-case letters as it looks, empty if that is no Latin word."""
+    out = plain_letters(token.decode(errors="replace")).replace("vv", "w")
+    return out.encode() if out.isascii() and out.isalpha() else b""
+
+
+def look_alikes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """What words with letters outside ASCII, or v twice, look like, where that is a Latin word, and their documents."""
+    spot = data >= 128
+    spot[:-1] |= (data[:-1] == DOUBLE_V) & (data[1:] == DOUBLE_V)
+    marks = np.r_[0, np.cumsum(spot)]
+    raw, found, docs = data.tobytes(), [], []
+    known: dict[bytes, bytes] = {}
+    for i in np.flatnonzero(marks[ends] > marks[starts]).tolist():
+        word = raw[starts[i] : ends[i]]
+        if word not in known:
+            known[word] = seen(word)
+        if known[word]:
+            found.append(known[word])
+            docs.append(int(doc[i]))
+    return found, np.array(docs, dtype=np.int64)
+
+
+def rejoined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, keys: np.ndarray, values: np.ndarray, usual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that a white space parts: hashes of the joined neighbours that have a value while neither of them has and not both are usual words, and their documents."""
+    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    if len(starts) < 2 or not len(keys):
+        return none
+    solid = ~textbytes.SPACE[data]
+    at = np.r_[0, np.cumsum(solid)]
+    first, last, low = at[starts], at[ends], data[solid]
+    pair = np.flatnonzero((doc[1:] == doc[:-1]) & (last[1:] - first[:-1] <= JOINED))
+    joined = textbytes.word_hash(low, first[pair], last[pair + 1])
+    good = look_up(keys, values, joined) > 0
+    pair, joined = pair[good], joined[good]
+    sides = [look_up(keys, values, word_features(data, starts[pair + k], ends[pair + k])).max(axis=0, initial=0.0) for k in (0, 1)]
+    known = [np.isin(textbytes.word_hash(data, starts[pair + k], ends[pair + k]), usual) for k in (0, 1)]
+    apart = (sides[0] <= 0) & (sides[1] <= 0) & ~(known[0] & known[1])
+    return joined[apart], doc[pair[apart]]
 
 
 def disguised(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -202,8 +244,9 @@ def disguised(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndar
     raw = data.tobytes()
     for i in odd.tolist():
         t = raw[starts[i] : ends[i]].decode(errors="replace")
-        if DISGUISED.search(t):
-            found[int(doc[i]), t] = None
+        for t in (t,) if t.isascii() else (t, plain_letters(t)):
+            if DISGUISED.search(t):
+                found[int(doc[i]), t] = None
     # letters spaced out one by one: at least three tokens of one letter, or what may stand for one, in a row
     row = np.flatnonzero(single[:-2] & single[1:-1] & single[2:] & (doc[:-2] == doc[2:])) if len(single) > 2 else np.zeros(0, dtype=np.int64)
     if len(row):
@@ -280,7 +323,7 @@ def parted(said: list[str], keys: np.ndarray, values: np.ndarray) -> list[list[s
     return usual
 
 
-def document_words(data: np.ndarray, offsets: np.ndarray, restorer: Restorer, keys: np.ndarray | None = None, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def document_words(data: np.ndarray, offsets: np.ndarray, restorer: Restorer, keys: np.ndarray | None = None, values: np.ndarray | None = None, usual: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of the distinct words of a chunk (a column each), and word and document of each occurrence, restored words included.
 
     With the features' values, restored tokens are parted by them where they hold several words.
@@ -289,21 +332,24 @@ def document_words(data: np.ndarray, offsets: np.ndarray, restorer: Restorer, ke
     starts, ends, doc = textbytes.words(plain, at)
     tokens, token_doc = disguised(data, offsets)
     none = np.zeros(0, dtype=np.uint64)
-    words = parted(restorer(tokens), none if keys is None else keys, none if values is None else values)
+    keys, values, usual = (none if x is None else x for x in (keys, values, usual))
+    words = parted(restorer(tokens), keys, values)
     said, token_doc = [w.encode() for own in words for w in own], np.repeat(token_doc, [len(own) for own in words])
-    more, edges = lowered(said)
-    bare, bare_at, changed = unaccented(plain, at)
-    a, b, bare_doc = textbytes.words(bare, bare_at)
-    marks = np.r_[0, np.cumsum(changed)]
-    lost = marks[b] > marks[a]
-    both, past = np.concatenate([plain, more, bare]), len(plain) + len(more)
-    starts = np.r_[starts, edges[:-1] + len(plain), a[lost] + past].astype(np.int64)
-    ends = np.r_[ends, edges[1:] + len(plain), b[lost] + past].astype(np.int64)
-    doc = np.r_[doc, token_doc, bare_doc[lost]].astype(np.int64)
+    alike, alike_doc = look_alikes(plain, starts, ends, doc)
+    parts, part_doc = rejoined(plain, starts, ends, doc, keys, values, usual)
+    more, edges = lowered(said + alike)
+    both = np.concatenate([plain, more])
+    starts = np.r_[starts, edges[:-1] + len(plain)].astype(np.int64)
+    ends = np.r_[ends, edges[1:] + len(plain)].astype(np.int64)
+    doc = np.r_[doc, token_doc, alike_doc].astype(np.int64)
     some = ends > starts
     starts, ends, doc = starts[some], ends[some], doc[some]
     _, first, back = np.unique(textbytes.word_hash(both, starts, ends), return_index=True, return_inverse=True)
-    return word_features(both, starts[first], ends[first]), back, doc
+    features = word_features(both, starts[first], ends[first])
+    if len(parts):  # whole words only: their beginnings say nothing
+        features = np.concatenate([features, np.concatenate([parts[None], np.zeros((len(STEMS), len(parts)), dtype=np.uint64)])], axis=1)
+        back, doc = np.r_[back, np.arange(features.shape[1] - len(parts), features.shape[1])], np.r_[doc, part_doc]
+    return features, back, doc
 
 
 def doc_features(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple[np.ndarray, np.ndarray]:
@@ -326,9 +372,9 @@ def look_up(keys: np.ndarray, values: np.ndarray, features: np.ndarray) -> np.nd
     return np.where(keys[at] == features, values[at], 0.0)
 
 
-def numbers(data: np.ndarray, offsets: np.ndarray, restorer: Restorer, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+def numbers(data: np.ndarray, offsets: np.ndarray, restorer: Restorer, keys: np.ndarray, values: np.ndarray, usual: np.ndarray | None = None) -> np.ndarray:
     """A row of NUMBERS for each document: its strongest word, strong words, their sum, and both by length."""
-    features, word, doc = document_words(data, offsets, restorer, keys, values)
+    features, word, doc = document_words(data, offsets, restorer, keys, values, usual)
     n = len(offsets) - 1
     out = np.zeros((n, NUMBERS))
     if not len(doc):
@@ -349,9 +395,26 @@ class Model:
     bigrams: np.ndarray
     keys: np.ndarray
     values: np.ndarray
+    usual: np.ndarray  # hashes of usual words
     regression: learning.Logistic
 
 
+def usual_words(rows: DataFrame) -> np.ndarray:
+    """Hashes, in order, of the words in most of these texts: in SUPPORT of them, and USUAL words."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in textbytes.chunks(batch, "_text"):
+                plain, at = compact(data, offsets)
+                starts, ends, doc = textbytes.words(plain, at)
+                word, back = np.unique(textbytes.word_hash(plain, starts, ends), return_inverse=True)
+                own = np.unique(back * len(at) + doc) // len(at)  # once a text
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.bincount(own, minlength=len(word)))], names=["word", "n"])
+
+    counts = rows.mapInArrow(textbytes.trimmed(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return np.sort(counts.filter(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "word").limit(USUAL).select("word").toArrow()["word"].to_numpy().view(np.uint64))
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = BOUND) -> Model:
     """The model; labels holds only the rows that may be learned from.
 
@@ -370,7 +433,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     found = rows.filter("_label = 1").mapInArrow(textbytes.trimmed(toxic_features), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     candidates = np.sort(found.filter(F.col("n") >= SUPPORT).select("feature").toArrow()["feature"].to_numpy().view(np.uint64))
-    sent = context.broadcast(candidates)
+    usual = usual_words(rows.filter("_label = 0"))
+    sent, known = context.broadcast(candidates), context.broadcast(usual)
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, keys = Restorer(bigrams), sent.value
@@ -407,14 +471,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         restorer = Restorer(bigrams)
         for batch in batches:
             for part, data, offsets in textbytes.chunks(batch, "_text"):
-                x = numbers(data, offsets, restorer, sent.value, part_values.value)
+                x = numbers(data, offsets, restorer, sent.value, part_values.value, known.value)
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), type=pa.list_(pa.float64())), part.column("_label")], names=["x", "y"])
 
     fitted = rows.filter("_fold = 3").mapInArrow(textbytes.trimmed(summed), "x array<double>, y int").toArrow()
     x, y = np.array(fitted["x"].to_pylist(), dtype=np.float64).reshape(-1, NUMBERS), fitted["y"].to_numpy()
     order = np.lexsort((*x.T, y))  # so that the fit doesn't depend on the order in which tasks end
     used = every > 0
-    return Model(bigrams, candidates[used], every[used], learning.Logistic(x[order], y[order]))
+    return Model(bigrams, candidates[used], every[used], usual, learning.Logistic(x[order], y[order]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
@@ -428,7 +492,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
         restorer = Restorer(m.bigrams)
         for batch in batches:
             for part, data, offsets in textbytes.chunks(batch, text):
-                got = m.regression.predict(numbers(data, offsets, restorer, m.keys, m.values)).round(10)  # the same in every batch
+                got = m.regression.predict(numbers(data, offsets, restorer, m.keys, m.values, m.usual)).round(10)  # the same in every batch
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + [pa.array(got)], names=schema.names)
 
     return docs.mapInArrow(textbytes.trimmed(run), schema)

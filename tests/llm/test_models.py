@@ -378,3 +378,20 @@ def test_word_vectors_by_hand(spark, monkeypatch):
         v = np.array([table[place[w]] for w in s])
         want = [*v.mean(axis=0), *v.std(axis=0), sum(float(a @ b) for a, b in zip(v, v[1:], strict=False)) / len(s), sum(i >= 2 and s[i] in (s[i - 1], s[i - 2]) for i in range(len(s))) / len(s), math.log1p(len(s))]
         assert np.allclose(row, want, atol=1e-3)
+
+
+def test_look_alikes_and_parted_words(spark):
+    """Accents, marks, invisible, wide and foreign letters, v twice, and a white space inside are seen through; two usual words are not joined."""
+    docs, labels = labelled(spark)
+    usual = [(1000 + i, "on the worth less er in th an es") for i in range(60)]
+    docs = docs.union(spark.createDataFrame(usual, docs.schema))
+    labels = labels.union(spark.createDataFrame([(i, 1, 0) for i, _ in usual], labels.schema))
+    tox = toxicity.fit(docs, labels)
+    forms = ["worthless", "wōrthless", "wórthless", "wоrthlеss", "ｗｏｒthless", "wor​thless", "wor­thless", "vvorthless", "wor thless", "w orthless", "wоrth1ess"]
+    clean = ["worth less", "wor er thless", "thе оn", "savvy er", "́", "​"]
+    rows = spark.createDataFrame([(i, f"the on er {f} in an es") for i, f in enumerate(forms + clean)], "doc_id long, text string")
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(rows, tox).collect()}
+    assert [f for i, f in enumerate(forms) if not got[i]] == []
+    assert [f for i, f in enumerate(clean) if got[len(forms) + i]] == []
+    assert toxicity.seen("straße".encode()) == b"" and toxicity.seen("но!".encode()) == b""
+    assert len(toxicity.usual_words(docs.limit(0).select(F.col("text").alias("_text")))) == 0
