@@ -34,6 +34,8 @@ from binloom.session import discard, written
 HELD = 1 << 16
 #: Rows of a block of buckets that are checked as a whole; members of a bucket above which intersections come from a matrix product; its columns.
 BLOCK, FEW, COLUMNS = 1024, 32, 4096
+#: Elements of the sets of pairs that are compared at once.
+PAIRED = 1 << 18
 #: Bytes of text whose sets are held at once.
 CHUNK = 1 << 19
 
@@ -53,26 +55,57 @@ class Banding:
         return (1 - similarity**self.rows) ** self.bands
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, banding: Banding) -> list[np.ndarray]:
-    """For each document the sorted distinct hashes of its shingles.
+def ordered(own: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Order by document, then by hash: one sort of both in 64 bits, and of the whole hashes where that leaves hashes open."""
+    free = max(int(own.max(initial=0)), 1).bit_length()
+    key = own.astype(np.uint64) << np.uint64(64 - free) | gram >> np.uint64(free)
+    order = np.argsort(key)
+    key, then = key[order], gram[order]
+    return order if not ((key[1:] == key[:-1]) & (then[1:] < then[:-1])).any() else np.lexsort((gram, own))
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, banding: Banding) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each document's shingles in order, end to end, and where each document's begin (one more than documents).
 
     A-Z are taken in lower case. A text of fewer words than a shingle has its whole sequence as one.
     """
-    low = textbytes.LOWER[data]
+    low, size, n = textbytes.LOWER[data], banding.words, len(offsets) - 1
     starts, ends, doc = textbytes.words(low, offsets)
     word = textbytes.word_hash(low, starts, ends)
-    gram = textbytes.gram_hash(word, banding.words)
-    stop = np.searchsorted(doc, np.arange(len(offsets)), "left")
-    out = []
-    for i in range(len(offsets) - 1):
-        a, b = int(stop[i]), int(stop[i + 1])
-        if b - a < max(1, banding.least_words):
-            out.append(np.zeros(0, dtype=np.uint64))
-        elif b - a < banding.words:
-            out.append(textbytes.mix(textbytes.gram_hash(word[a:b], b - a) + np.uint64(b - a)))
-        else:
-            out.append(np.unique(gram[a : b - banding.words + 1]))
-    return out
+    count = np.bincount(doc, minlength=n)
+    enough = count >= max(1, banding.least_words)
+    whole = np.flatnonzero((doc[size - 1 :] == doc[: len(doc) - size + 1]) & enough[doc[size - 1 :]]) if len(doc) >= size else np.zeros(0, dtype=np.int64)
+    gram, own = textbytes.gram_hash(word, size)[whole], doc[whole]
+    first, alone, short = np.cumsum(count) - count, [], []
+    for k in range(1, size):
+        some = np.flatnonzero((count == k) & enough)
+        if len(some):  # the whole sequence is the one shingle
+            sequences = word[(first[some][:, None] + np.arange(k)).ravel()]
+            alone.append(textbytes.mix(textbytes.gram_hash(sequences, k)[::k] + np.uint64(k)))
+            short.append(some)
+    gram, own = np.concatenate([gram, *alone]), np.concatenate([own, *short])
+    order = ordered(own, gram)
+    gram, own = gram[order], own[order]
+    new = np.ones(len(gram), dtype=bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])
+    return gram[new], np.r_[0, np.cumsum(np.bincount(own[new], minlength=n))]
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, banding: Banding) -> list[np.ndarray]:
+    """For each document the sorted distinct hashes of its shingles."""
+    gram, at = shingles(data, offsets, banding)
+    bounds = at.tolist()
+    return [gram[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def common(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of each document of one side, how many shingles it shares with the document of the same place of the other; both as shingles() gives them."""
+    n = len(left[1]) - 1
+    own = np.concatenate([np.repeat(np.arange(n), np.diff(at)) for _, at in (left, right)])
+    gram = np.concatenate([left[0], right[0]])
+    order = ordered(own, gram)
+    gram, own = gram[order], own[order]
+    return np.bincount(own[1:][(gram[1:] == gram[:-1]) & (own[1:] == own[:-1])], minlength=n)
 
 
 def _least(values: np.ndarray, places: np.ndarray, given: np.ndarray) -> None:
@@ -168,12 +201,9 @@ def linked(pairs: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in textbytes.chunks(batch, "ta", CHUNK):
-                left = shingle_sets(data, offsets, banding)
-                right = shingle_sets(*textbytes.joined(part.column("tb")), banding)
-                good = []
-                for x, y in zip(left, right, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(100 * both >= banding.percent * (len(x) + len(y) - both) and len(x) > 0)
+                left, right = shingles(data, offsets, banding), shingles(*textbytes.joined(part.column("tb")), banding)
+                both, x, y = common(left, right), np.diff(left[1]), np.diff(right[1])
+                good = (100 * both >= banding.percent * (x + y - both)) & (x > 0)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(good))
 
     return rows.select("a", "b", "ta", "tb").mapInArrow(textbytes.trimmed(run), "a long, b long")
@@ -199,36 +229,72 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+class Groups:
+    """Groups that links join, by the least number of each."""
+
+    def __init__(self, n: int) -> None:
+        self.parent = list(range(n))
+
+    def find(self, g: int) -> int:
+        while self.parent[g] != g:
+            self.parent[g] = self.parent[self.parent[g]]
+            g = self.parent[g]
+        return g
+
+    def join(self, g: int, h: int) -> bool:
+        """Whether they were apart."""
+        g, h = self.find(g), self.find(h)
+        self.parent[max(g, h)] = min(g, h)
+        return g != h
+
+
 def bridges(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Pairs that are similar enough and join the groups of a bucket: as many as there are groups to join, not all."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets])
-    parent = {int(g): int(g) for g in group}
+    size, both = np.array([len(s) for s in sets]), intersections(sets)
+    near = (100 * both >= percent * (size[:, None] + size[None] - both)) & (group[:, None] != group[None])
+    joined = Groups(int(group.max()) + 1)
+    return [(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(near))), strict=True) if joined.join(int(group[i]), int(group[j]))]
 
-    def find(g: int) -> int:
-        while parent[g] != g:
-            parent[g] = parent[parent[g]]
-            g = parent[g]
-        return g
 
-    if n > FEW:
-        both = intersections(sets)
-        near = (100 * both >= percent * (size[:, None] + size[None] - both)) & (group[:, None] != group[None])
-        pairs = zip(*(x.tolist() for x in np.nonzero(np.triu(near))), strict=True)
-    else:
-        pairs = ((i, j) for i in range(n) for j in range(i + 1, n) if group[i] != group[j] and 100 * min(size[i], size[j]) >= percent * max(size[i], size[j]))
-    out = []
-    for i, j in pairs:
-        a, b = find(int(group[i])), find(int(group[j]))
-        if a == b:
+def small_bridges(sets: list[np.ndarray], group: np.ndarray, key: np.ndarray, member: np.ndarray, percent: int) -> set[tuple[int, int]]:
+    """The same for all buckets of at most FEW members at once: key and member (a place in sets) of each row, by key.
+
+    A pair is compared once, in however many buckets it meets, and not at all if its groups are joined by then.
+    """
+    n, size = len(key), np.array([len(s) for s in sets], dtype=np.int64)
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count = np.diff(np.r_[new, n])
+    within, left = np.arange(n) - np.repeat(new, count), np.repeat(count, count)
+    met = []
+    for k in range(1, FEW):
+        i = np.flatnonzero((left <= FEW) & (within + k < left))
+        if not len(i):
+            break
+        a, b = member[i], member[i + k]
+        near = (group[a] != group[b]) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
+        met.append(np.minimum(a, b)[near] * len(sets) + np.maximum(a, b)[near])
+    pairs = np.unique(np.concatenate(met)) if met else np.zeros(0, dtype=np.int64)
+    found: set[tuple[int, int]] = set()
+    if not len(pairs):
+        return found
+    joined, flat, at = Groups(int(group.max()) + 1), np.concatenate(sets), np.r_[0, np.cumsum(size)]
+
+    def side(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.r_[0, np.cumsum(size[some])]
+        return flat[np.arange(ends[-1]) + np.repeat(at[some] - ends[:-1], size[some])], ends
+
+    a, b = pairs // len(sets), pairs % len(sets)
+    block = np.cumsum(size[a] + size[b]) // PAIRED
+    for rows in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(block)) + 1):
+        apart = [joined.find(g) != joined.find(h) for g, h in zip(group[a[rows]].tolist(), group[b[rows]].tolist(), strict=True)]
+        rows = rows[np.array(apart)]
+        if not len(rows):
             continue
-        if n <= FEW:
-            k = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * k < percent * (size[i] + size[j] - k):
-                continue
-        parent[max(a, b)] = min(a, b)
-        out.append((i, j))
-    return out
+        x, y = a[rows], b[rows]
+        both = common(side(x), side(y))
+        near = 100 * both >= percent * (size[x] + size[y] - both)
+        found.update((i, j) for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True) if joined.join(int(group[i]), int(group[j])))
+    return found
 
 
 def bucket_links(left: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
@@ -245,12 +311,15 @@ def bucket_links(left: DataFrame, texts: DataFrame, banding: Banding) -> DataFra
         key, component = table["key"].to_numpy(), table["component"].to_numpy()
         nodes, first, where = np.unique(table["node"].to_numpy(), return_index=True, return_inverse=True)
         sets: list[np.ndarray] = []
-        for at in range(0, len(first), FEW):
-            sets += shingle_sets(*textbytes.joined(table["text"].take(pa.array(first[at : at + FEW]))), banding)
+        for batch in table.select(["text"]).take(pa.array(first)).to_batches():
+            for _, data, offsets in textbytes.chunks(batch, "text", CHUNK):
+                sets += shingle_sets(data, offsets, banding)
         group = np.unique(component, return_inverse=True)[1]
-        found: set[tuple[int, int]] = set()
         order = np.argsort(key, kind="stable")
-        for rows_ in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        found = small_bridges(sets, group[first], key[order], where[order], banding.percent)
+        bounds = np.r_[0, np.flatnonzero(np.diff(key[order])) + 1, len(order)]
+        for k in np.flatnonzero(np.diff(bounds) > FEW).tolist():
+            rows_ = order[bounds[k] : bounds[k + 1]]
             if len(np.unique(group[rows_])) > 1:
                 found.update((int(where[rows_[i]]), int(where[rows_[j]])) for i, j in bridges([sets[d] for d in where[rows_]], group[rows_], banding.percent))
         a, b = (nodes[np.array([p[k] for p in sorted(found)], dtype=np.int64)] for k in (0, 1))

@@ -36,7 +36,7 @@ BANDING = minhash.Banding(words=5, percent=80, bands=10, rows=2)
 #: Words on either side among which a paragraph's first word has the least value; fixed values: what a word's and the next one's sum of bytes, each times its place, are multiplied by, and the modulus.
 NEAR, FACTORS, MODULUS = 9, (7919, 104_729), 1_000_003
 #: Words whose bytes are summed at a time.
-SUMMED = 1 << 17
+SUMMED = 1 << 13
 
 
 def byte_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -62,45 +62,35 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     own = byte_sums(data, starts, ends)
     after = np.zeros(n, dtype=np.int64)
     after[:-1] = np.where(doc[1:] == doc[:-1], own[1:], 0)
-    value = (own * FACTORS[0] + after * FACTORS[1]) % MODULUS
-    before, behind = np.full(n, MODULUS), np.full(n, MODULUS)
-    for k in range(1, min(NEAR, n - 1) + 1):
-        same = doc[k:] == doc[:-k]
-        np.minimum(before[k:], np.where(same, value[:-k], MODULUS), out=before[k:])
-        np.minimum(behind[:-k], np.where(same, value[k:], MODULUS), out=behind[:-k])
+    value = ((own * FACTORS[0] + after * FACTORS[1]) % MODULUS).astype(np.int32)
+    if n <= 2 * NEAR:
+        return starts[:0], starts
     count = np.bincount(doc, minlength=len(offsets) - 1)
     place = np.arange(n) - (np.cumsum(count) - count)[doc]
-    return starts[(value < before) & (value <= behind) & (place > NEAR) & (place < count[doc] - NEAR)], starts
+    inner = np.flatnonzero((place > NEAR) & (place < count[doc] - NEAR))  # both sides are of the same text
+    least, span = value, 1  # of each stretch of span words
+    while 2 * span <= NEAR:
+        least, span = np.minimum(least[:-span], least[span:]), 2 * span
+    least = np.minimum(least[: n - NEAR + 1], least[NEAR - span :])
+    inner = inner[(value[inner] < least[inner - NEAR]) & (value[inner] <= least[inner + 1])]
+    return starts[inner], starts
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bounds of all paragraphs with bytes, end to end, and of each its document, its number there and its words."""
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of all paragraphs with bytes, end to end, of each its document, its number there and its words, and where those begin that another precedes."""
     cut, starts = cuts(data, offsets)
     bounds = np.unique(np.concatenate([offsets, cut]))
     doc = np.searchsorted(offsets, bounds[:-1], "right") - 1
     number = np.searchsorted(cut, bounds[:-1], "right") - np.searchsorted(cut, offsets[doc], "right")
-    return bounds, doc, number, np.diff(np.searchsorted(starts, bounds))
+    return bounds, doc, number, np.diff(np.searchsorted(starts, bounds)), cut
 
 
 def prefixes(data: np.ndarray, bounds: np.ndarray, banding: minhash.Banding) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles in each paragraph's prefix, end to end, and of each its paragraph: of n distinct ones the least n - (least overlap) + 1."""
-    low = textbytes.LOWER[data]
-    starts, ends, own = textbytes.words(low, bounds)
-    word, size = textbytes.word_hash(low, starts, ends), banding.words
-    count = np.bincount(own, minlength=len(bounds) - 1)
-    whole = np.flatnonzero(own[size - 1 :] == own[: len(own) - size + 1]) if len(own) >= size else np.zeros(0, dtype=np.int64)
-    gram, unit = textbytes.gram_hash(word, size)[whole], own[whole]
-    short, first = np.flatnonzero((count > 0) & (count < size)), np.cumsum(count) - count
-    alone = [textbytes.mix(textbytes.gram_hash(word[first[i] : first[i] + count[i]], int(count[i])) + np.uint64(count[i])) for i in short.tolist()]  # the whole sequence is the one shingle
-    gram, unit = np.concatenate([gram, *alone]), np.concatenate([unit, short])
-    order = np.lexsort((gram, unit))
-    gram, unit = gram[order], unit[order]
-    new = np.ones(len(gram), dtype=bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (unit[1:] != unit[:-1])
-    gram, unit = gram[new], unit[new]
-    n = np.bincount(unit, minlength=len(count))
-    place = np.arange(len(unit)) - (np.cumsum(n) - n)[unit]
-    keep = place < (n - -(-banding.percent * n // 100) + 1)[unit]
+    gram, at = minhash.shingles(data, bounds, banding)
+    n = np.diff(at)
+    unit = np.repeat(np.arange(len(n)), n)
+    keep = np.arange(len(unit)) - at[unit] < (n - -(-banding.percent * n // 100) + 1)[unit]
     return gram[keep], unit[keep]
 
 
@@ -122,9 +112,8 @@ def likely(docs: DataFrame, doc_id: str, text: str, banding: minhash.Banding, ow
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in textbytes.chunks(batch, "text"):
-                bounds, doc, number, words = pieces(data, offsets)
+                bounds, doc, number, _, _ = pieces(data, offsets)
                 gram, unit = prefixes(data, bounds, banding)
-                gram, unit = (x[words[unit] >= max(1, banding.least_words)] for x in (gram, unit))
                 some = np.unique(unit)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[np.searchsorted(unit, some), len(unit)].astype(np.int32)), pa.array(gram.view(np.int64)))
                 own = pa.array(doc[some])
@@ -149,7 +138,7 @@ def items(docs: DataFrame, doc_id: str, text: str, numbers: DataFrame) -> DataFr
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in textbytes.chunks(batch, "text"):
-                bounds, doc, number, _ = pieces(data, offsets)
+                bounds, doc, number, _, _ = pieces(data, offsets)
                 first, wanted = np.searchsorted(doc, np.arange(part.num_rows)), part.column("numbers")
                 some = np.sort(np.repeat(first, wanted.value_lengths().to_numpy()) + wanted.flatten().to_numpy())
                 raw, own = data.tobytes(), pa.array(doc[some])
@@ -191,7 +180,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", banding:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in textbytes.chunks(batch, "whole"):
-                bounds, doc, number, words = pieces(data, offsets)
+                bounds, doc, _, words, cut = pieces(data, offsets)
                 first = np.searchsorted(doc, np.arange(part.num_rows))
 
                 def at(name: str, first: np.ndarray = first, part: pa.RecordBatch = part) -> np.ndarray:
@@ -206,7 +195,6 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", banding:
                 raw, ends = data[left].tobytes(), np.r_[0, np.cumsum(left)][offsets].tolist()
                 valid = part.column("whole").is_valid().to_numpy(zero_copy_only=False)
                 kept = [raw[a:b] if v else None for a, b, v in zip(ends[:-1], ends[1:], valid.tolist(), strict=True)]
-                cut, _ = cuts(data, offsets)
                 count = np.where(valid, 1 + np.searchsorted(cut, offsets[1:], "right") - np.searchsorted(cut, offsets[:-1], "right"), 0)
                 more = [part.column(n.name) for n in new[:3]] + [pa.array(kept, type=pa.string()), pa.array(count), pa.array(np.bincount(doc, weights=words * shared, minlength=part.num_rows).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([part.column(f"c{i}") for i in range(len(fields))] + more, names=[f.name for f in fields + new])
