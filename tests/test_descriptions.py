@@ -54,3 +54,15 @@ def test_records_split_by_description(spark, tmp_path):
     back = files.fasta(spark, str(tmp_path / "out"))
     assert sorted((r.header[:1], r.sequence) for r in back.collect()) == [("1", "MKV"), ("2", "MMM"), ("4", "MA")]
     assert sorted(p.name for p in (tmp_path / "out").glob("match_id=*")) == ["match_id=COG1", "match_id=COG2"]
+
+
+def test_matched_texts_meet_no_later_descriptions(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randint(0, 60)}" for _ in range(rng.randint(1, 9))) for _ in range(200)]
+    listed = [(i // 2, f"d{i}", " ".join(f"w{rng.randint(0, 60)}" for _ in range(rng.randint(1, 3)))) for i in range(150)]
+    asked, whole = [], descriptions.first_of_chunk
+    monkeypatch.setattr(descriptions, "first_of_chunk", lambda texts, chunk, owner: asked.append((texts.count(), chunk.count())) or whole(texts, chunk, owner))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").repartition(3)
+    got = descriptions.first_matches(rows, "doc", "text", spark.createDataFrame(listed, "place int, id string, description string").repartition(5), first=4)
+    assert [(r.match, r.match_id) for r in got.orderBy("doc").collect()] == by_hand(texts, listed)
+    assert [n for _, n in asked[:2]] == [4, 32] and [n for n, _ in asked] == sorted({n for n, _ in asked}, reverse=True)
