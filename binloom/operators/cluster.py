@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from binloom.operators.components import components
-from binloom.session import written
+from binloom.session import discard, written
 
 #: Rows that complete linkage takes at once; its memory grows with their square. Rows of a block of a larger group.
-LINKED, BLOCK = 8192, 2048
+LINKED, BLOCK = 4096, 2048
 STARTS = 10
 #: Distances that k-means holds at once.
 CELLS = 1 << 21
@@ -287,10 +287,73 @@ def close_links(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray
     return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
-def _linked_parts(rows: DataFrame, by: list[str], key: str, threshold: float, linked: int) -> DataFrame:
+def close_pairs(x: np.ndarray, other: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x and of other within the threshold, and their distances."""
+    own, size, a, b, far = (x**2).sum(axis=1), (other**2).sum(axis=1), [], [], []
+    for at in range(0, len(x), 512):
+        d = np.sqrt(np.maximum(own[at : at + 512, None] + size[None] - 2 * x[at : at + 512] @ other.T, 0))
+        i, j = np.nonzero(d <= threshold)
+        a, b, far = [*a, i + at], [*b, j], [*far, d[i, j]]
+    return np.concatenate(a), np.concatenate(b), np.concatenate(far)
+
+
+def _pairs_within(rows: DataFrame, threshold: float) -> DataFrame:
+    """a, b and d of all pairs of rows of a part within the threshold, in both directions; from (_part, _row, _x, _size: the part's rows)."""
+    blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
+    dealt = rows.withColumn("_own", F.pmod(F.xxhash64("_row"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("_part", "_row", "_x", "_own", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"))
+    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.float64())])
+
+    def pairs(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("_row")
+        lo, own, row = table["_lo"][0].as_py(), table["_own"].to_numpy(), table["_row"].to_numpy()
+        x = _matrix(table["_x"].combine_chunks())
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == table["_hi"][0].as_py())
+        if not len(left) or not len(right):
+            return kinds.empty_table()
+        a, b, d = close_pairs(x[left], x[right], threshold)
+        a, b = row[left[a]], row[right[b]]
+        good = (a < b) | (table["_hi"][0].as_py() != lo)
+        a, b, d = a[good], b[good], d[good]
+        return pa.table([np.r_[a, b], np.r_[b, a], np.r_[d, d]], schema=kinds)
+
+    return dealt.groupBy("_part", "_lo", "_hi").applyInArrow(pairs, "a long, b long, d double")
+
+
+def linked_by_rounds(rows: DataFrame, threshold: float) -> DataFrame:
+    """_row and _head (a row of its cluster) of complete linkage within each part of any size; from (_part, _row, _x, _size).
+
+    Only clusters all of whose rows lie within the threshold of each other can merge, so a table of such pairs
+    of clusters is enough. In a round all clusters that are each other's nearest merge, which gives the clusters of
+    merging one pair after the other, since no merge brings clusters closer; a pair stays if all
+    its parts' pairs are there, at the largest of their distances. Equal distances go by the rows.
+    """
+    edges, heads = written(_pairs_within(rows, threshold)), written(rows.select("_row", F.col("_row").alias("_head")))
+    while True:
+        order = F.struct("d", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+        near = edges.groupBy("a").agg(F.min(order).alias("e")).select("a", "e.lo", "e.hi")
+        merged = written(near.groupBy("lo", "hi").agg(F.count("*").alias("n")).filter("n = 2").select("lo", "hi"))  # chosen from both ends
+        if merged.isEmpty():
+            discard(edges, merged)
+            return heads
+        new = merged.select(F.col("hi").alias("_from"), F.col("lo").alias("_to"))
+        two = merged.select("lo", F.lit(2).alias("_two"))
+        last = edges, heads
+        heads = written(heads.join(new, F.col("_head") == F.col("_from"), "left").select("_row", F.coalesce("_to", "_head").alias("_head")))
+        for c in ("a", "b"):
+            edges = edges.join(new, F.col(c) == F.col("_from"), "left").withColumn(c, F.coalesce("_to", c)).drop("_from", "_to")
+        sums = edges.filter("a <> b").groupBy("a", "b").agg(F.max("d").alias("d"), F.count("*").alias("n"))
+        for c in ("a", "b"):
+            sums = sums.join(two.withColumnRenamed("lo", "_lo"), F.col(c) == F.col("_lo"), "left").withColumn(f"_{c}", F.coalesce("_two", F.lit(1))).drop("_lo", "_two")
+        edges = written(sums.filter("n = _a * _b").select("a", "b", "d"))
+        discard(*last, merged)
+
+
+def _linked_parts(rows: DataFrame, by: list[str], key: str, threshold: float, linked: int, refuse: bool = False) -> DataFrame:
     """Complete linkage of groups of any size, given as (group, key, _x, _row, _n: the group's rows), by components of the pairs within the threshold.
 
     No merge below the cut leaves a component. Blocks of a group meet each other, so that every pair is looked at.
+    Components of more than linked rows are clustered by rounds over all tasks, or refused.
     """
     kind = {c: rows.schema[c].dataType.simpleString() for c in [*by, key]}
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
@@ -303,7 +366,15 @@ def _linked_parts(rows: DataFrame, by: list[str], key: str, threshold: float, li
         return pd.DataFrame({"a": row[a], "b": row[b]})
 
     found = components(written(dealt.groupBy(*by, "_lo", "_hi").applyInPandas(links, "a long, b long")))
-    placed = rows.join(found, F.col("_row") == F.col("node"), "left").withColumn("_part", F.coalesce("component", "_row"))
+    placed = written(rows.join(found, F.col("_row") == F.col("node"), "left").withColumn("_part", F.coalesce("component", "_row")).select(*by, key, "_x", "_row", "_part"))
+    over = written(placed.groupBy("_part").agg(F.count("*").alias("_size")).filter(F.col("_size") > linked))
+    large = None
+    if not refuse and not over.isEmpty():
+        first = linked_by_rounds(placed.join(F.broadcast(over), "_part").select("_part", "_row", "_x", "_size"), threshold)
+        large = placed.select(*by, key, "_row").join(first, "_row")
+        head = F.min_by("_row", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_row"))  # the first row of a cluster is its head
+        large = large.join(large.groupBy("_head").agg(head.alias("_least")), "_head").select(*by, key, "_row", F.col("_least").alias("_head"))
+        placed = placed.join(F.broadcast(over.select("_part")), "_part", "left_anti")
     bins = max(1, -(-rows.count() // BLOCK))
     placed = placed.select(*by, key, "_x", "_row", "_part", F.pmod(F.xxhash64("_part"), F.lit(bins)).alias("_bin"))
 
@@ -319,7 +390,8 @@ def _linked_parts(rows: DataFrame, by: list[str], key: str, threshold: float, li
         frame["_head"] = head
         return frame[[*by, key, "_row", "_head"]]
 
-    clusters = written(placed.groupBy("_bin").applyInPandas(run, ", ".join(f"`{c}` {kind[c]}" for c in [*by, key]) + ", _row long, _head long"))
+    clusters = placed.groupBy("_bin").applyInPandas(run, ", ".join(f"`{c}` {kind[c]}" for c in [*by, key]) + ", _row long, _head long")
+    clusters = written(clusters if large is None else clusters.unionByName(large))
     # clusters are numbered in order of their first rows: places in a sorted table, counted from the group's first
     heads = clusters.filter("_row = _head").orderBy(*by, F.col(key).asc_nulls_last(), "_row").select(*by, F.col("_head").alias("_first"), F.monotonically_increasing_id().alias("_at"))
     heads = written(heads).withColumn("_slice", F.shiftright("_at", 33))
@@ -335,14 +407,15 @@ def _linked_parts(rows: DataFrame, by: list[str], key: str, threshold: float, li
     return clusters.join(named, F.col("_head") == F.col("_first")).select(*by, key, "cluster")
 
 
-def complete_linkage(df: DataFrame, threshold: float, key: str = "scaffold", features: str = "features", group: str | None = None, limit: int | None = None, linked: int = LINKED) -> DataFrame:
+def complete_linkage(df: DataFrame, threshold: float, key: str = "scaffold", features: str = "features", group: str | None = None, limit: int | None = None, linked: int | None = None, at_once: int | None = None) -> DataFrame:
     """key, the group if there is one, and cluster (from 1): clusters whose rows all lie within the threshold of each other.
 
-    A group of up to linked rows is clustered as a whole, a larger one by components of its
-    pairs within the threshold, which gives the same clusters. Only a single component of more than
-    linked rows raises: it needs memory for all its pairs. With a limit, groups are always
-    clustered as a whole, and one of more rows raises.
+    A group of up to at_once rows (LINKED) is clustered as a whole, a larger one by components of its
+    pairs within the threshold, and a component of more rows by rounds of merges over all tasks, which
+    gives the same clusters. With linked, which then stands for at_once, such a component raises
+    instead. With a limit, groups are always clustered as a whole, and one of more rows raises.
     """
+    refuse, linked = linked is not None, linked or at_once or LINKED
     by = [group] if group else []
     rows = df.select(*by, key, F.col(features).cast("array<double>").alias("_x"))
 
@@ -364,7 +437,7 @@ def complete_linkage(df: DataFrame, threshold: float, key: str = "scaffold", fea
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    parts = _linked_parts(written(rows.join(F.broadcast(large), same).select(*by, key, "_x", "_row", "_n")), by, key, threshold, linked)
+    parts = _linked_parts(written(rows.join(F.broadcast(large), same).select(*by, key, "_x", "_row", "_n")), by, key, threshold, linked, refuse)
     if not by:
         return parts
     whole = rows.join(F.broadcast(large), same, "left_anti").drop("_row").groupBy(*by).applyInPandas(run, schema)

@@ -304,3 +304,13 @@ def test_spectra_of_a_stream(spark, tmp_path):
     perrow.append_to(rows, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
     got = {r.id: r.spectrum for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got[2] is None and abs(sum(got[1]) - 1) < 1e-12
+
+
+def test_complete_linkage_of_one_large_component(spark, monkeypatch):
+    """A component of more rows than are taken at once, by rounds over all tasks: the clusters of taking it whole."""
+    monkeypatch.setattr(cluster, "BLOCK", 32)
+    x = np.random.default_rng(8).normal(size=(300, 3))
+    df = spark.createDataFrame([(f"s{i:03}", v.tolist(), i % 2) for i, v in enumerate(x)] + [("t", [9.0] * 3, 1), ("u", [9.0] * 3, 1)], "scaffold string, features array<double>, label int").repartition(5)
+    for group in (None, "label"):
+        whole = sorted(tuple(r) for r in cluster.complete_linkage(df, 1.2, group=group).collect())
+        assert sorted(tuple(r) for r in cluster.complete_linkage(df, 1.2, group=group, at_once=20).collect()) == whole and len(whole) == 302
