@@ -53,3 +53,9 @@ def decode_hits(titles: Column, evalues: Column, scores: Column, bits: Column) -
 
 def first_hits(hits: Column, n: int = 5) -> Column:
     return F.slice(hits, 1, n)
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded half away from zero, with its sign where nothing else is left: F.round makes 0 of -0.0000001, not -0."""
+    r = F.round(x, digits)
+    return F.when((r == 0) & x.cast("string").startswith("-"), -r).otherwise(r)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from binloom.functions import names
 from binloom.operators import external, relational, report
 from binloom.operators.catalog import Database
-from binloom.plans import binning
+from binloom.plans import binning, proxies
 from binloom.sources import files, sinks
 
 GENES = """gene_oid\tLocus Tag\tSource\tCluster Information\tGene Information\tE-value
@@ -214,3 +214,10 @@ if sys.argv[1] == "stop":
                 break
             time.sleep(0.2)
         assert not left
+
+
+def test_matrix_keeps_the_sign_of_small_numbers(spark, tmp_path):
+    """-2e-7 rounds to -0, as in the SQL."""
+    spark.createDataFrame([([-2e-7, 2e-7, -0.5, -0.0000005],)], "embedding array<double>").write.mode("overwrite").parquet(str(tmp_path / "embeddings.parquet"))
+    row = proxies.matrix_file(spark, str(tmp_path)).first().row
+    assert [str(x) for x in row] == ["-0.0", "0.0", "-0.5", "-1e-06"]
