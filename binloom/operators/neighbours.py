@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from binloom.session import discard, written
 
 #: Rows of a block, about; most pivots; rings of a cell; queries that a block meets at once.
-BLOCK, PIVOTS, RINGS, QUERIES = 2048, 1024, 4, 8192
+BLOCK, PIVOTS, RINGS, QUERIES = 16384, 1024, 4, 32768
+#: Rows of a block among which a first bound is sought.
+FIRST = 2048
 #: What rounding may add to a distance, relative to the lengths that it is made of.
 SLACK = 1e-6
 
@@ -43,6 +45,41 @@ def nodes_of(rows: DataFrame, keep: int) -> DataFrame:
     return least.groupBy("vector").agg(F.array_sort(F.collect_list("key")).alias("keys")).select(F.col("keys")[0].alias("node"), "vector", "keys")
 
 
+def nearest_of(x: np.ndarray, y: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of x, row of y and distance of the k nearest of y to each row of x within its bound, equal distances by the row of y.
+
+    Single precision leaves out what is farther than the bound by more than its rounding, or than the k-th
+    of the first rows where there is no bound; the rest, a few of each row, is measured in double precision.
+    """
+    middle = y.mean(axis=0)
+    near_x, near_y = x - middle, y - middle
+    size, far = (near_y**2).sum(axis=1), (near_x**2).sum(axis=1)
+    kind = np.float32 if max(size.max(initial=0), far.max(initial=0)) < 1e30 else np.float64
+    slack = 8 * (x.shape[1] + 8) * np.finfo(kind).eps * (far + size.max(initial=0)) + 4 * np.finfo(kind).tiny
+    low_y, low_size = np.ascontiguousarray(near_y.astype(kind).T), size.astype(kind)
+    out: tuple[list, list, list] = [], [], []
+    for at in range(0, len(x), 256):
+        part, own, room = x[at : at + 256], far[at : at + 256], slack[at : at + 256]
+        d = low_size - 2 * (near_x[at : at + 256].astype(kind) @ low_y)
+        limit = bound[at : at + 256] ** 2 * (1 + SLACK) - own + room
+        open_ = np.flatnonzero(np.isinf(limit))
+        if len(open_) and len(y) > k:
+            some = d[open_, : max(FIRST, k + 1)]
+            limit[open_] = np.partition(some, k - 1, axis=1)[:, k - 1] + 2 * room[open_]
+        flat = np.flatnonzero(d <= limit[:, None].astype(kind))
+        row, to = flat // len(y), flat % len(y)
+        exact = np.empty(len(row))
+        for i in range(0, len(row), 1 << 16):
+            exact[i : i + (1 << 16)] = np.sqrt(((part[row[i : i + (1 << 16)]] - y[to[i : i + (1 << 16)]]) ** 2).sum(axis=1))
+        order = np.lexsort((to, exact, row))
+        row, to, exact = row[order], to[order], exact[order]
+        first = np.searchsorted(row, np.arange(len(part)))
+        good = (np.arange(len(row)) - first[row] < k) & (exact <= bound[at + row])
+        for held, found in zip(out, (row[good] + at, to[good], exact[good]), strict=True):
+            held.append(found)
+    return tuple(np.concatenate(held) for held in out)
+
+
 def searched(left: DataFrame, right: DataFrame, by: list[str], k: int, kind: str) -> DataFrame:
     """src, dst and distance of the k nearest of each group's nodes to each of its queries, within a query's bound."""
     key_type = pa.string() if kind == "string" else pa.int64()
@@ -54,17 +91,8 @@ def searched(left: DataFrame, right: DataFrame, by: list[str], k: int, kind: str
         x, y = matrix(asked["vector"]), matrix(there["vector"])
         a, b, bound = asked["node"].to_numpy(), there["node"].to_numpy(), asked["bound"].to_numpy()
         order = np.argsort(b, kind="stable")
-        b, y = b[order], y[order]
-        out = []
-        for at in range(0, len(x), 256):
-            part = x[at : at + 256]
-            some = np.argsort(distances(part, y), axis=1, kind="stable")[:, : k + 8]
-            exact = np.sqrt(((part[:, None] - y[some]) ** 2).sum(axis=2))
-            best = np.lexsort((some, exact), axis=1)[:, :k]
-            d, to = np.take_along_axis(exact, best, 1), np.take_along_axis(some, best, 1)
-            good = d <= bound[at : at + 256, None]
-            out.append((np.repeat(a[at : at + 256], good.sum(axis=1)), b[to[good]], d[good]))
-        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], schema=schema)
+        row, to, d = nearest_of(x, y[order], bound, k)
+        return pa.table([a[row], b[order][to], d], schema=schema)
 
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, f"src {kind}, dst {kind}, distance double")
 

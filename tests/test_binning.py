@@ -314,3 +314,16 @@ def test_complete_linkage_of_one_large_component(spark, monkeypatch):
     for group in (None, "label"):
         whole = sorted(tuple(r) for r in cluster.complete_linkage(df, 1.2, group=group).collect())
         assert sorted(tuple(r) for r in cluster.complete_linkage(df, 1.2, group=group, at_once=20).collect()) == whole and len(whole) == 302
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e4])
+def test_nearest_of_bounded_and_unbounded_rows(shift):
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(size=(300, 16)) + shift, rng.normal(size=(3000, 16)) + shift
+    y[9] = y[4]
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    for bound in (np.inf, 3.2):
+        order = np.argsort(d, axis=1, kind="stable")[:, :7]
+        want = [(i, j, d[i, j]) for i in range(300) for j in order[i].tolist() if d[i, j] <= bound]
+        row, to, far = neighbours.nearest_of(x, y, np.full(300, bound), 7)
+        assert list(zip(row.tolist(), to.tolist(), strict=True)) == [w[:2] for w in want] and np.allclose(far, [w[2] for w in want])
