@@ -327,3 +327,19 @@ def test_nearest_of_bounded_and_unbounded_rows(shift):
         want = [(i, j, d[i, j]) for i in range(300) for j in order[i].tolist() if d[i, j] <= bound]
         row, to, far = neighbours.nearest_of(x, y, np.full(300, bound), 7)
         assert list(zip(row.tolist(), to.tolist(), strict=True)) == [w[:2] for w in want] and np.allclose(far, [w[2] for w in want])
+
+
+@pytest.mark.parametrize("alpha", [1.0, 0.7, 0.05])
+def test_spreading_by_blocks_of_labels(spark, monkeypatch, alpha):
+    """Blocks of labels give what joins round by round give, wherever these stop."""
+    monkeypatch.setattr(labelspread, "WIDE", 3)
+    monkeypatch.setattr(labelspread, "MOVED", 64)
+    df = blobs(spark, apart=3.0)
+    labels = df.filter("cast(substr(scaffold, 2) as int) % 4 = 0").selectExpr("scaffold", "concat('g', cast(substr(scaffold, 2) as int) % 11) as label")
+    edges, start = labelspread.graph(neighbours.nearest(df, "scaffold", "features")), labelspread.seeds(labels, "scaffold", "label")
+    joined, dealt = (sorted(tuple(r) for r in labelspread.best_labels(edges, start, df, "scaffold", "none", alpha, sent=n).collect()) for n in (0, 10**6))
+    assert [r[0] for r in joined] == [r[0] for r in dealt] and np.allclose([r[2] for r in joined], [r[2] for r in dealt])
+    weights = {(r.node, r.label): r.weight for r in labelspread.spread(edges, start, alpha).collect()}
+    for a, b in zip(joined, dealt, strict=True):  # with alpha 1 several labels come to the same weight
+        assert a[1] == b[1] or abs(weights[a[0], a[1]] - weights[b[0], b[1]]) < 1e-9
+    assert alpha == 1 or len({r[1] for r in dealt}) > 5
