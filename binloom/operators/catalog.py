@@ -70,11 +70,15 @@ class Database:
     # definition and changes
     def create(self, name: str, columns: list[str], types: list[str]) -> None:
         """An empty table with columns of the types "int", "float" and "str"."""
-        self._store(name, self.spark.createDataFrame([], T.StructType([T.StructField(c, schema.SCALARS[t]) for c, t in zip(columns, types, strict=True)])), "errorifexists")
+        self._store(name, self._empty(T.StructType([T.StructField(c, schema.SCALARS[t]) for c, t in zip(columns, types, strict=True)])), "errorifexists")
 
     def create_known(self, name: str) -> None:
         """One of the engine's own tables, empty, in place of any other."""
-        self._store(name, self.spark.createDataFrame([], schema.TABLES[name]), "overwrite")
+        self._store(name, self._empty(schema.TABLES[name]), "overwrite")
+
+    def _empty(self, kinds: T.StructType) -> DataFrame:
+        """No rows, made without Python workers, which createDataFrame() starts."""
+        return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kinds])
 
     def store(self, name: str, rows: DataFrame) -> None:
         """Append rows, cast to the table's types; a value that can't be cast raises, no rows change nothing."""
