@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from binloom.functions.sequences import Kmers, folded, kmer_rank, kmers
 
-#: Cells of the counts that a batch holds at once.
-CELLS = 1 << 22
+#: Cells of the counts that a batch holds at once, and letters, whose codes, ranks and rows take some 40 bytes each.
+CELLS, LETTERS = 1 << 22, 1 << 18
 
 
 def histogram(df: DataFrame, key: str, sequence: str, by: Kmers) -> DataFrame:
@@ -37,6 +37,16 @@ def frequencies(counts: DataFrame, key: str) -> DataFrame:
     return counts.join(total, key).withColumn("freq", F.try_divide("n", "_total")).drop("_total")
 
 
+def _letters_at_once(data: np.ndarray, offsets: np.ndarray, by: Kmers) -> np.ndarray:
+    """The same as _count_batch, over LETTERS letters at a time; pieces overlap by k - 1 letters, so that each k-mer is in one."""
+    out = np.zeros((len(offsets) - 1, by.size), dtype=np.int64)
+    for at in range(0, max(0, len(data) - by.k + 1), LETTERS):
+        to = min(len(data), at + LETTERS + by.k - 1)
+        low, high = np.searchsorted(offsets, at, "right") - 1, np.searchsorted(offsets, to, "left")
+        out[low:high] += _count_batch(data[at:to], np.clip(offsets[low : high + 1], at, to) - at, by)
+    return out
+
+
 def _count_batch(data: np.ndarray, offsets: np.ndarray, by: Kmers) -> np.ndarray:
     n, k = len(by.alphabet), by.k
     rows = len(offsets) - 1
@@ -75,7 +85,7 @@ def counted(df: DataFrame, sequence: str, by: Kmers, to: str = "counts", strict:
                 if strict and any(t is not None and len(t) < by.k for t in texts):
                     raise ValueError(f"a sequence has fewer than {by.k} letters")
                 offsets = np.cumsum([0, *(len(t or b"") for t in texts)])
-                found = _count_batch(np.frombuffer(b"".join(t or b"" for t in texts), dtype=np.uint8), offsets, by)
+                found = _letters_at_once(np.frombuffer(b"".join(t or b"" for t in texts), dtype=np.uint8), offsets, by)
                 vectors = pa.array([None if t is None or len(t) < by.k else v for t, v in zip(texts, found, strict=True)], type=pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + [vectors], names=schema.names)
 

@@ -105,3 +105,40 @@ def test_alphabets_are_checked():
     for k, alphabet in ((2, "AC?"), (2, "AaC"), (0, "AC"), (2, ""), (2, "A]C"), (2, "Aé")):
         with pytest.raises(ValueError, match="alphabet"):
             Kmers(k, alphabet)
+
+
+def test_counts_of_long_texts_hold_few_letters_at_once(monkeypatch):
+    """Pieces of a batch give the counts of the whole, and its memory doesn't grow with the letters."""
+    import tracemalloc
+
+    import numpy as np
+
+    from binloom.functions.sequences import Kmers
+    from binloom.operators import kmercount
+
+    rng = np.random.default_rng(4)
+    data = np.frombuffer(b"ACGTNacgt", dtype=np.uint8)[rng.integers(0, 9, 3000)]
+    offsets = np.r_[0, 0, np.sort(rng.integers(0, 3000, 40)), 3000, 3000]
+    for k in (1, 2, 5):
+        for letters in (1, 7, 100, 10_000):
+            monkeypatch.setattr(kmercount, "LETTERS", letters)
+            assert (kmercount._letters_at_once(data, offsets, Kmers(k)) == kmercount._count_batch(data, offsets, Kmers(k))).all()
+    monkeypatch.setattr(kmercount, "LETTERS", 1 << 18)
+    large = np.resize(data, 1 << 23)
+    tracemalloc.start()
+    kmercount._letters_at_once(large, np.array([0, len(large)]), Kmers(2))
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
+
+
+def test_empty_tables_need_no_python(spark, tmp_path):
+    from binloom.operators.catalog import Database
+
+    db = Database(spark, tmp_path.as_uri())
+    db.create("t", ["a", "b"], ["int", "str"])
+    assert [(c, t) for c, t in db.types("t").items()][0][0] == "a" and db.count("t") == 0
+    from binloom import schema
+    from pyspark.sql import types as T
+
+    plan = db._empty(T.StructType([T.StructField("a", schema.SCALARS["int"])]))._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "Python" not in plan
