@@ -38,7 +38,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -210,10 +210,15 @@ def runs(keyed: DataFrame, window: int, gram: int) -> DataFrame:
     return keyed.mapInArrow(textbytes.trimmed(run), schema)
 
 
+def document() -> Column:
+    """The key of a document, from (_id, _h): structs with null ids are equal, so one shuffle serves grouping and joining."""
+    return F.struct("_id", "_h").alias("_key")
+
+
 def contexts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """anchor, ctx, several, contexts (of the anchor), place (of a document's byte) and the bytes of each wanted context."""
-    by_doc = wanted.groupBy("_id", "_h").agg(F.collect_list(F.struct("anchor", "ctx", "several", "contexts", "start", "length")).alias("parts")).withColumnsRenamed({"_id": "_i", "_h": "_g"})
-    rows = keyed.dropDuplicates(["_id", "_h"]).join(by_doc, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_h").eqNullSafe(F.col("_g"))).select("_text", "parts", F.xxhash64("_id", "_h").alias("own"))
+    by_doc = wanted.groupBy(document()).agg(F.collect_list(F.struct("anchor", "ctx", "several", "contexts", "start", "length")).alias("parts"))
+    rows = keyed.select(document(), "_text").join(by_doc, "_key").dropDuplicates(["_key"]).select("_text", "parts", F.xxhash64("_key._id", "_key._h").alias("own"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,12 +279,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     short = min(short, window)
     data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     keyed = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(data).alias("_h"), data.alias("_text"))
-    every = written(runs(keyed, window, gram), owner)
+    anchor = Window.partitionBy("anchor")
+    every = written(runs(keyed, window, gram).withColumn("places", F.sum("times").over(anchor)).filter("places > 1").drop("places"), owner)
     pairs = every.groupBy("anchor", "ctx").agg(F.sum("times").alias("n"), F.min(F.struct("_id", "_h", "start", "length")).alias("x"))
-    pairs = written(pairs, owner)
-    anchors = pairs.groupBy("anchor").agg(F.sum("n").alias("places"), F.count("*").alias("contexts")).filter("places > 1")
-    kept = written(pairs.join(anchors, "anchor").select("anchor", "ctx", (F.col("n") > 1).alias("several"), "contexts", "x.*"), owner)
-    discard(pairs)
+    kept = written(pairs.select("anchor", "ctx", (F.col("n") > 1).alias("several"), F.count("*").over(anchor).alias("contexts"), "x.*"), owner)
     found = written(contexts(keyed, kept.filter("contexts > 1")), owner)
     none = F.lit(None).cast("array<int>")
     marks = indexed_matches(found.filter(F.col("contexts") <= group), window, short, shard_bytes, owner)
@@ -292,14 +295,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     discard(kept, found)
     whole = F.array(F.lit(0), F.col("reach"))
     marked = F.struct("start", F.coalesce("spans", whole).alias("spans"), F.coalesce("short_spans", whole).alias("short_spans"))
-    spans = every.join(marks, ["anchor", "ctx"]).groupBy("_id", "_h").agg(F.collect_set(marked).alias("marks"))
+    spans = every.join(marks, ["anchor", "ctx"]).groupBy(document()).agg(F.collect_set(marked).alias("marks"))
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     new = [T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType()), T.StructField("shared", span)]
     fields = [f for f in docs.schema.fields if f.name.lower() not in {n.name for n in new}]
     carried = [F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)]  # names of our own, whatever the table's are
-    rows = docs.select(*carried, F.col(f"`{doc_id}`").alias("own_id"), data.alias("data"))
-    rows = rows.join(spans, F.col("own_id").eqNullSafe(F.col("_id")) & (F.xxhash64("data") == F.col("_h")), "left")
+    own = F.struct(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(data).alias("_h")).alias("_key")
+    here = next((f"c{i}" for i, f in enumerate(fields) if f.name.lower() == text.lower()), None)
+    rows = docs.select(*carried, own, *([] if here else [F.col(f"`{text}`").alias("own_text")])).join(spans, "_key", "left")
+    rows = rows.withColumn("data", F.coalesce(F.col(here or "own_text"), F.lit("")).cast("binary"))  # after the shuffle, which moves a text once
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -306,6 +306,25 @@ def test_long_repeats(spark, group):
     assert runindex.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_runs_that_stand_once_are_not_written_and_texts_move_once(spark, monkeypatch):
+    rng = random.Random(28)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(3000))) for i in range(20)]
+    rows.append((20, rows[0][1][:700] + "".join(rng.choice("abcdefgh ") for _ in range(700))))
+    made, whole = [], runindex.written
+
+    def noted(df, owner="query"):
+        made.append(whole(df, owner))
+        return made[-1]
+
+    monkeypatch.setattr(runindex, "written", noted)
+    found = runindex.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    every = next(t for t in made if "reach" in t.columns)
+    assert {r._id for r in every.select("_id").distinct().collect()} == {0, 20}
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in found.collect() if r.spans} == {0: [(0, 700)], 20: [(0, 700)]}
+    plan = runindex.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_key") <= 2 and plan.count("Exchange hashpartitioning") <= 4
+
+
 def test_long_repeats_of_one_very_long_text(spark):
     rng = random.Random(18)
     base = "".join(rng.choice("abcdefgh ") for _ in range(400_000))
