@@ -40,8 +40,8 @@ NEVER, NOTHING = np.int32(2**31 - 1), np.int32(-1)
 #: Bucket edges in bytes. Longer matches use the heap.
 BUCKETS = (4, 8, 16, 32, 64, 128)
 LONGEST = BUCKETS[-1]
-#: Cells of one matrix, and distinct units that a worker remembers.
-CELLS, REMEMBERED = 1 << 18, 250_000
+#: Cells of one matrix, distinct units that a worker remembers, and text bytes that it encodes at a time.
+CELLS, REMEMBERED, AT_ONCE = 1 << 18, 250_000, 1 << 18
 
 
 class Vocabulary:
@@ -186,8 +186,14 @@ class Encoder:
 
 def token_bytes(ranks: bytes) -> list[bytes]:
     """The bytes of each id, all that decoding needs."""
-    by_rank = {int(r): base64.b64decode(t) for t, r in (line.split() for line in ranks.splitlines() if line)}
-    return [by_rank.get(i, b"") for i in range(max(by_rank) + 1)]
+    return _by_rank({base64.b64decode(t): int(r) for t, r in (line.split() for line in ranks.splitlines() if line)})
+
+
+def _by_rank(by_bytes: dict[bytes, int]) -> list[bytes]:
+    out = [b""] * (max(by_bytes.values()) + 1)
+    for token, rank in by_bytes.items():
+        out[rank] = token
+    return out
 
 
 def decoded(ids: bytes | None, tokens: list[bytes]) -> bytes:
@@ -207,29 +213,39 @@ def loaded(ranks: bytes, pattern: str) -> Encoder:
     return _loaded[key]
 
 
-def _mapped(df: DataFrame, column: str, to: str, kind: str, tokenizer: str, pattern: str) -> DataFrame:
+def _mapped(df: DataFrame, column: str, to: dict[str, str], tokenizer: str, pattern: str) -> DataFrame:
+    """to: the names of the new columns, "ids" of the texts in the column, what is "decoded" from them (without "ids", from the column), or both."""
     with open(tokenizer, "rb") as f:  # here on the driver: executors need no such file
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
-    kept = [f for f in df.schema.fields if f.name.lower() != to.lower()]
-    schema = T.StructType([*kept, T.StructField(to, T.BinaryType())])
+    taken = {name.lower() for name in to.values()}
+    kept = [f for f in df.schema.fields if f.name.lower() not in taken]
+    schema = T.StructType([*kept, *[T.StructField(name, T.BinaryType()) for name in to.values()]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tokens = (loaded(ranks.value, pattern), []) if kind == "encode" else (None, token_bytes(ranks.value))
+        encoder = loaded(ranks.value, pattern) if "ids" in to else None
+        if "decoded" in to:
+            tokens = _by_rank(encoder.vocabulary.by_bytes) if encoder else token_bytes(ranks.value)
         for batch in batches:
-            for part, _, _ in textbytes.chunks(batch, column):
-                values = part.column(column).to_pylist()
-                made = encoder.encode(values) if encoder else [decoded(v, tokens) for v in values]
-                columns = [part.column(f.name) for f in kept] + [pa.array(made, type=pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            for part, _, _ in textbytes.chunks(batch, column, AT_ONCE):
+                ids = part.column(column).to_pylist()
+                if encoder:
+                    ids = encoder.encode(ids)
+                made = [pa.array(ids if what == "ids" else [decoded(v, tokens) for v in ids], type=pa.binary()) for what in to]
+                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + made, names=schema.names)
 
-    return df.select(*[f"`{f.name}`" for f in kept] if column.lower() != to.lower() else "*").mapInArrow(textbytes.trimmed(run), schema)
+    return df.select(*[f"`{f.name}`" for f in kept] if column.lower() not in taken else "*").mapInArrow(textbytes.trimmed(run), schema)
 
 
 def encode(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
     """The rows with one more column: the ids of the text. A column of that name is replaced."""
-    return _mapped(docs, text, to, "encode", tokenizer, pattern)
+    return _mapped(docs, text, {"ids": to}, tokenizer, pattern)
 
 
 def decode(rows: DataFrame, tokenizer: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """The rows with one more column: the bytes that the ids stand for. A column of that name is replaced."""
-    return _mapped(rows, ids, to, "decode", tokenizer, pattern)
+    return _mapped(rows, ids, {"decoded": to}, tokenizer, pattern)
+
+
+def encode_decode(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", ids: str = "ids", to: str = "decoded") -> DataFrame:
+    """The rows with two more columns, the ids of the text and the bytes decoded from them: decode() of encode() by one Python worker a task, not two."""
+    return _mapped(docs, text, {"ids": ids, "decoded": to}, tokenizer, pattern)

@@ -61,7 +61,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and short texts stay as they are. Rows equal in id and text are repeats of each other
     and both lose what they share; a document of which nothing is left stays as an empty text.
     """
-    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
     found = runindex.remove_repeats(rows, owner=_owner(spark, sf_dir))
     left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
     changed = F.size("spans") > 0
@@ -79,7 +79,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The number and digest of each document's ids, the digest of the text decoded from them, and whether that is the text. A null text has no ids."""
     _owner(spark, sf_dir)
     path, pattern = public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
-    back = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern), path, pattern)
+    back = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), path, pattern)
     text = F.coalesce("text", F.lit("")).cast("binary")
     return back.select(
         "doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == text).alias("same")

@@ -16,6 +16,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from binloom.llm import bpe, classlm, learning, media, queries, quality, textbytes, toxicity
 
 PATH, PATTERN = public_tokenizers.path(queries.TOKENIZER), public_tokenizers.PATTERN
@@ -52,6 +53,16 @@ def test_bpe_rows(spark, encoding):
     assert bpe.encode(df.limit(0), PATH, PATTERN).count() == 0
 
 
+def test_ids_and_what_they_decode_to_by_one_worker_a_task(spark):
+    df = spark.createDataFrame(ODD, SCHEMA)
+    both = bpe.encode_decode(df, PATH, PATTERN, to="score")
+    want = bpe.decode(bpe.encode(df, PATH, PATTERN), PATH, PATTERN, to="score")
+    assert both.columns == want.columns and sorted(map(str, both.collect())) == sorted(map(str, want.collect()))
+    stage = corpus_pipeline.tokenize(spark, df.selectExpr("doc_id", "text", "'en' as lang", "ids as source"), "unused")
+    assert all(r.same for r in stage.collect())
+    assert stage._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_results_named_as_columns_in_other_case(spark):
     """A column that differs from a result in case only is replaced."""
     docs = spark.createDataFrame([(1, "a good text", "x", "y"), (2, None, "x", "y")], "doc_id long, text string, IDS string, Score string")
