@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from binloom.functions.arrays import l1
 from binloom.functions.sequences import Kmers
-from binloom.operators.kmercount import cells, ends, joined_spectra, of_cells, seams, spectra
+from binloom.operators.kmercount import cells, joined_spectra, of_cells, profiles, seams, spectra, summed
 from binloom.operators.relational import unassigned
 from binloom.schema import NOT_ASSIGNED
 from binloom.session import discard, written
@@ -106,9 +106,10 @@ def compare_once(assigned: DataFrame, scaffolds: DataFrame, by: Kmers, distance:
 def compare_all(assigned: DataFrame, scaffolds: DataFrame, by: Kmers, distance: float = 0.003, ratio: float = 0.8, largest: float | None = None, mode: str = "intent", rounds: int | None = None) -> DataFrame:
     """Comparisons repeated with what the last one assigned, until nothing new is; assigned scaffolds count at distance 0.
 
-    A genus keeps its k-mer counts and the ends of its sequences from round to round. A round counts
-    the sequences just assigned, adds them, and compares the scaffolds that are left by the spectra
-    that were made of them once, so it reads fewer rows than the one before.
+    Each sequence is read once, where it is, for its counts, its spectrum and its ends; no text is
+    shuffled or written. A genus keeps its k-mer counts and the ends of its sequences from round to
+    round. A round adds the counts of the sequences just assigned, and compares the scaffolds that
+    are left by their spectra, so it reads fewer rows than the one before.
 
     mode "compat" makes one pass and keeps the rows that weren't assigned.
     """
@@ -116,13 +117,13 @@ def compare_all(assigned: DataFrame, scaffolds: DataFrame, by: Kmers, distance:
     if mode == "compat":
         return table.unionByName(compare_once(table, scaffolds, by, distance, ratio, largest))
     table = written(table)
-    sequences = scaffolds.select("scaffold", "sequence")
-    left = written(spectra(unassigned(sequences, table, "scaffold"), "sequence", by, strict=False))
-    named = table.filter(F.col("genus") != NOT_ASSIGNED).select("scaffold", "genus").join(sequences, "scaffold")
+    every = written(profiles(scaffolds.select("scaffold", "sequence"), "sequence", by))
+    left = written(unassigned(every, table, "scaffold"))
+    named = table.filter(F.col("genus") != NOT_ASSIGNED).select("scaffold", "genus").join(every, "scaffold")
     counts = tips = None
     for k in itertools.count() if rounds is None else range(rounds):  # each one assigns a scaffold more at least
-        rows = named.filter(F.col("sequence").isNotNull()).select(F.col("genus").alias("_key"), F.col("scaffold").alias("_at"), F.col("sequence").alias("_text"))
-        parts = [cells(rows, by), ends(rows, by)]
+        rows = named.filter(F.col("_head").isNotNull()).select(F.col("genus").alias("_key"), F.col("scaffold").alias("_at"), "_counts", "_head", "_tail")
+        parts = [summed(rows, by), rows.filter(F.length("_head") > 0).select("_key", "_at", "_head", "_tail")]
         old = counts, tips
         if counts is not None:
             parts = [counts.unionByName(parts[0]).groupBy("_key", "_place").agg(F.sum("_n").alias("_n")), tips.unionByName(parts[1])]
@@ -138,8 +139,8 @@ def compare_all(assigned: DataFrame, scaffolds: DataFrame, by: Kmers, distance:
             break
         log.info("round %d: %d scaffolds were left, %d are assigned", k, left.count(), new.count())
         before = [table, left]
-        named = written(new.select("scaffold", "genus").join(left.select("scaffold", "sequence"), "scaffold"))
+        named = written(new.select("scaffold", "genus").join(left.drop("spectrum"), "scaffold"))
         table, left = written(table.unionByName(new)), written(unassigned(left, new, "scaffold"))
         discard(new, *before)
-    discard(left, counts, tips)
+    discard(every, left, counts, tips)
     return table

@@ -50,22 +50,24 @@ def _letters_at_once(data: np.ndarray, offsets: np.ndarray, by: Kmers) -> np.nda
 def _count_batch(data: np.ndarray, offsets: np.ndarray, by: Kmers) -> np.ndarray:
     n, k = len(by.alphabet), by.k
     rows = len(offsets) - 1
-    digit = np.full(256, -1, dtype=np.int64)
+    digit = np.full(256, -1, dtype=np.int8)
     for i, a in enumerate(by.alphabet):
         digit[[ord(a), ord(a.lower())]] = i
     out = np.zeros((rows, by.size), dtype=np.int64)
     m = len(data) - k + 1
     if m <= 0:
         return out
-    code = digit[data]
-    rank, good = np.zeros(m, dtype=np.int64), np.ones(m, dtype=bool)
-    for j in range(k):
-        part = code[j : j + m]
-        good &= part >= 0
-        rank = rank * n + part
+    known = digit[data] >= 0
+    good = known[:m].copy()
+    for j in range(1, k):
+        good &= known[j : j + m]
+    at = np.flatnonzero(good)  # ranks only where all letters are known
     row = np.repeat(np.arange(rows), np.diff(offsets))
-    good &= row[:m] == row[k - 1 :]
-    return np.bincount(row[:m][good] * by.size + rank[good], minlength=rows * by.size).reshape(rows, by.size)
+    at = at[row[at] == row[at + k - 1]]
+    rank = np.zeros(len(at), dtype=np.int64)
+    for j in range(k):
+        rank = rank * n + digit[data[at + j]]
+    return np.bincount(row[at] * by.size + rank, minlength=rows * by.size).reshape(rows, by.size)
 
 
 def counted(df: DataFrame, sequence: str, by: Kmers, to: str = "counts", strict: bool = True) -> DataFrame:
@@ -73,8 +75,13 @@ def counted(df: DataFrame, sequence: str, by: Kmers, to: str = "counts", strict:
 
     A sequence with fewer letters than k raises, or with strict off has a NULL vector, as a NULL sequence has.
     """
-    kept = [f for f in df.schema.fields if f.name != to]
-    schema = T.StructType([*kept, T.StructField(to, T.ArrayType(T.LongType()))])
+    return _vectors(df, sequence, by, {"counts": to}, strict)
+
+
+def _vectors(df: DataFrame, sequence: str, by: Kmers, to: dict[str, str], strict: bool) -> DataFrame:
+    """to: names of the new columns, of "counts", of "shares" (counts by their sum, NULL where it is 0), or of both."""
+    kept = [f for f in df.schema.fields if f.name not in to.values()]
+    schema = T.StructType([*kept, *[T.StructField(name, T.ArrayType(T.LongType() if what == "counts" else T.DoubleType())) for what, name in to.items()]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,17 +93,29 @@ def counted(df: DataFrame, sequence: str, by: Kmers, to: str = "counts", strict:
                     raise ValueError(f"a sequence has fewer than {by.k} letters")
                 offsets = np.cumsum([0, *(len(t or b"") for t in texts)])
                 found = _letters_at_once(np.frombuffer(b"".join(t or b"" for t in texts), dtype=np.uint8), offsets, by)
-                vectors = pa.array([None if t is None or len(t) < by.k else v for t, v in zip(texts, found, strict=True)], type=pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + [vectors], names=schema.names)
+                short = np.array([t is None or len(t) < by.k for t in texts], dtype=bool)
+                vectors = []
+                for what in to:
+                    if what == "counts":
+                        vectors.append(pa.array([None if s else v for s, v in zip(short, found, strict=True)], type=pa.list_(pa.int64())))
+                    else:
+                        total = found.sum(axis=1)
+                        shares = found / np.maximum(total, 1)[:, None]
+                        vectors.append(pa.array([None if s else v for s, v in zip(short | (total == 0), shares, strict=True)], type=pa.list_(pa.float64())))
+                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + vectors, names=schema.names)
 
     return df.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
 
 
 def spectra(df: DataFrame, sequence: str, by: Kmers, to: str = "spectrum", strict: bool = True) -> DataFrame:
     """The rows with one more column: k-mer frequencies; NULL where no k-mer is known."""
-    rows = counted(df, sequence, by, "_counts", strict)
-    total = F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.withColumn(to, F.when(total > 0, F.transform("_counts", lambda x: x / total))).drop("_counts")
+    return _vectors(df, sequence, by, {"shares": to}, strict)
+
+
+def profiles(df: DataFrame, sequence: str, by: Kmers) -> DataFrame:
+    """Counts, spectrum, and _head and _tail, the first and last k - 1 letters, in place of the sequence; all NULL where it is, and without the first two where it has fewer letters than k."""
+    rows = _vectors(df, sequence, by, {"counts": "_counts", "shares": "spectrum"}, strict=False)
+    return rows.select("*", F.left(F.col(sequence), F.lit(by.k - 1)).alias("_head"), F.right(F.col(sequence), F.lit(by.k - 1)).alias("_tail")).drop(sequence)
 
 
 def folded_places(by: Kmers) -> list[list[int]]:
@@ -112,9 +131,9 @@ def folded_counts(counts: str, by: Kmers) -> F.Column:
 
 def folded_spectra(df: DataFrame, sequence: str, by: Kmers, to: str = "spectrum", strict: bool = True) -> DataFrame:
     """The rows with one more column: frequencies of the classes of a k-mer and its reversal; NULL where no k-mer is known."""
-    rows = counted(df, sequence, by, "_counts", strict)
-    total = F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.withColumn(to, F.when(total > 0, F.transform(folded_counts("_counts", by), lambda x: x / total))).drop("_counts")
+    rows = counted(df, sequence, by, "_counts", strict).withColumn("_total", F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x))
+    total = F.col("_total")  # a column of its own: within the lambda it would be summed again for each class
+    return rows.withColumn(to, F.when(total > 0, F.transform(folded_counts("_counts", by), lambda x: x / total))).drop("_counts", "_total")
 
 
 def ranked(df: DataFrame, kmer: str, by: Kmers) -> DataFrame:
@@ -141,8 +160,26 @@ def concatenated(df: DataFrame, key: str, order: str, sequence: str) -> DataFram
 
 def cells(rows: DataFrame, by: Kmers) -> DataFrame:
     """_key, _place and _n: k-mers of all sequences of a key, counted where they are; from (_key, _text). A key without any has one row without place."""
-    found = counted(rows.select("_key", "_text"), "_text", by, "_counts", strict=False).select("_key", F.posexplode_outer("_counts").alias("_place", "_n"))
-    return found.groupBy("_key", "_place").agg(F.sum("_n").alias("_n"))
+    return summed(counted(rows.select("_key", "_text"), "_text", by, "_counts", strict=False), by)
+
+
+def summed(rows: DataFrame, by: Kmers) -> DataFrame:
+    """cells() from (_key, _counts): a batch's vectors of one key are added before they become rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded, vectors = batch.column("_key").dictionary_encode(null_encoding="encode"), batch.column("_counts")
+            full, code = vectors.is_valid().to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+            sums = np.zeros((len(coded.dictionary), by.size), dtype=np.int64)
+            np.add.at(sums, code[full], vectors.flatten().to_numpy().reshape(-1, by.size))
+            none, some = np.setdiff1d(code, code[full]), np.unique(code[full])  # keys without a vector have one row without place
+            keys = pa.array(np.r_[np.repeat(some, by.size), none])
+            place = pa.array([*np.tile(np.arange(by.size), len(some)).tolist(), *[None] * len(none)], type=pa.int32())
+            n = pa.array([*sums[some].ravel().tolist(), *[None] * len(none)], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(keys), place, n], names=["_key", "_place", "_n"])
+
+    schema = T.StructType([rows.schema["_key"], T.StructField("_place", T.IntegerType()), T.StructField("_n", T.LongType())])
+    return rows.select("_key", "_counts").mapInArrow(run, schema).groupBy("_key", "_place").agg(F.sum("_n").alias("_n"))
 
 
 def ends(rows: DataFrame, by: Kmers) -> DataFrame:

@@ -82,6 +82,17 @@ def test_rounds_equal_full_recounts(spark, caplog):
     assert len(left) > 1 and left == sorted(left, reverse=True)
 
 
+def test_rounds_write_no_sequences(spark, monkeypatch):
+    """Sequences are read once for their counts and ends; what rounds write and shuffle doesn't grow with their lengths."""
+    made, whole = [], compare.written
+    monkeypatch.setattr(compare, "written", lambda df, *owner: made.append(df.columns) or whole(df, *owner))
+    scaffolds = spark.createDataFrame([("a", "AAAAAAAAAC"), ("b", "GGGGGGGGGT"), ("c", "AAAAAAAACC"), ("d", "NNNN"), ("e", None), ("f", "")], "scaffold string, sequence string")
+    assigned = spark.createDataFrame([("a", "x"), ("b", "y"), ("e", "x")], "scaffold string, genus string")
+    got = {r.scaffold: r.genus for r in compare.compare_all(assigned, scaffolds, Kmers(2), largest=1.0).collect()}
+    assert got == {"a": "x", "b": "y", "c": "x", "e": "x"}
+    assert made and not any("sequence" in columns for columns in made)
+
+
 def test_references_in_blocks_give_the_same(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, [float(i % 7), float(i)]) for i in range(40)], "id long, v array<double>")
     refs = spark.createDataFrame([(f"r{i}", [float(i), 0.0]) for i in range(9)], "name string, v array<double>")
