@@ -27,6 +27,12 @@ not a match of SHORT with themselves, suffixes are compared only if their places
 (of suffixes that share a long match and stand side by side at different places, one at
 least is of each place).
 
+Passages of some number of words can be removed besides: the same index, over texts in which
+CODE bytes of its hash stand for each word, finds the strings of so many words that stand
+elsewhere, however few bytes they have and whatever white space parts their words. There
+words are told apart by 32 bits, so a passage may reach one word too far with a chance of
+2^-32 at either end.
+
 Null and empty texts hold no bytes. Texts below WINDOW bytes have no repeats. Rows that
 agree in id and text are places of their own that hold the same spans. An empty table
 gives no rows. Columns of any name are kept, but for those of the results.
@@ -46,6 +52,8 @@ from binloom.llm import textbytes
 from binloom.session import discard, written
 
 WINDOW, SHORT, GRAM = 400, 256, 32
+#: Bytes that stand for a word where passages are told by words.
+CODE = 4
 #: Bytes of the contexts of a shard, about; contexts of one anchor that a shard takes at most (its arrays take some 100 bytes for each byte of text).
 SHARD_BYTES, GROUP = 1 << 18, 2048
 #: Shards of a task, one after the other.
@@ -210,6 +218,20 @@ def runs(keyed: DataFrame, window: int, gram: int) -> DataFrame:
     return keyed.mapInArrow(textbytes.trimmed(run), schema)
 
 
+def word_codes(keyed: DataFrame) -> DataFrame:
+    """(_id, _h, _text) with CODE bytes of each word's hash, one after the other, for the text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in textbytes.chunks(batch, "_text"):
+                starts, ends, doc = textbytes.words(data, offsets)
+                codes = textbytes.word_hash(data, starts, ends).astype("<u4")  # the low bits
+                at = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32) * np.int32(CODE)
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_h"), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(at), pa.py_buffer(codes)])], names=["_id", "_h", "_text"])
+
+    return keyed.select("_id", "_h", "_text").mapInArrow(textbytes.trimmed(run), T.StructType([keyed.schema["_id"], T.StructField("_h", T.LongType()), T.StructField("_text", T.BinaryType())]))
+
+
 def document() -> Column:
     """The key of a document, from (_id, _h): structs with null ids are equal, so one shuffle serves grouping and joining."""
     return F.struct("_id", "_h").alias("_key")
@@ -271,14 +293,8 @@ def counted_matches(found: DataFrame, window: int) -> DataFrame:
     return rows.filter("not several").join(again, "window").groupBy("anchor", "ctx").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + window))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, short: int = SHORT, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, group: int = GROUP, owner: str = "query") -> DataFrame:
-    """The rows with n_bytes, spans (maximal removed byte ranges), kept (the other bytes) and shared (maximal ranges of matches seen of at least short bytes) as more columns.
-
-    Columns of those names are replaced.
-    """
-    short = min(short, window)
-    data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    keyed = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(data).alias("_h"), data.alias("_text"))
+def marked(keyed: DataFrame, window: int, short: int, gram: int, shard_bytes: int, group: int, owner: str) -> DataFrame:
+    """_key of a document and mark (start of a run in it, spans and short_spans from there), from (_id, _h, _text)."""
     anchor = Window.partitionBy("anchor")
     every = written(runs(keyed, window, gram).withColumn("places", F.sum("times").over(anchor)).filter("places > 1").drop("places"), owner)
     pairs = every.groupBy("anchor", "ctx").agg(F.sum("times").alias("n"), F.min(F.struct("_id", "_h", "start", "length")).alias("x"))
@@ -294,8 +310,24 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marks = written(marks, owner)
     discard(kept, found)
     whole = F.array(F.lit(0), F.col("reach"))
-    marked = F.struct("start", F.coalesce("spans", whole).alias("spans"), F.coalesce("short_spans", whole).alias("short_spans"))
-    spans = every.join(marks, ["anchor", "ctx"]).groupBy(document()).agg(F.collect_set(marked).alias("marks"))
+    return every.join(marks, ["anchor", "ctx"]).select(document(), F.struct("start", F.coalesce("spans", whole).alias("spans"), F.coalesce("short_spans", whole).alias("short_spans")).alias("mark"))
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, short: int = SHORT, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, group: int = GROUP, owner: str = "query", words: int = 0) -> DataFrame:
+    """The rows with n_bytes, spans (maximal removed byte ranges), kept (the other bytes) and shared (maximal ranges of matches seen of at least short bytes) as more columns.
+
+    With words, passages of so many words that stand elsewhere too are removed as well, and shared. Columns of those names are replaced.
+    """
+    short = min(short, window)
+    data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    keyed = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(data).alias("_h"), data.alias("_text"))
+    found = marked(keyed, window, short, gram, shard_bytes, group, owner)
+    lists = [F.collect_set("mark").alias("marks")]
+    if words:
+        passages = marked(word_codes(keyed), words * CODE, words * CODE, min(gram, words * CODE), shard_bytes, group, owner)
+        found = found.withColumn("passage", F.lit(None).cast(found.schema["mark"].dataType)).unionByName(passages.select("_key", F.lit(None).cast(found.schema["mark"].dataType).alias("mark"), F.col("mark").alias("passage")))
+        lists.append(F.collect_set("passage").alias("passages"))
+    spans = found.groupBy("_key").agg(*lists)
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     new = [T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType()), T.StructField("shared", span)]
@@ -311,8 +343,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for part, data, offsets in textbytes.chunks(batch, "data", 1 << 19):
                 base = offsets[:-1] + np.arange(part.num_rows)  # a place for each document's end
                 marks = part.column("marks").to_pylist()
-                gone, gone_spans = marked_spans(marks, "spans", base, len(data) + part.num_rows)
-                _, shared = marked_spans(marks, "short_spans", base, len(data) + part.num_rows)
+                more = passage_turns(part.column("passages").to_pylist(), data, offsets) if words else 0
+                gone, gone_spans = marked_spans(turns(marks, "spans", base, len(data) + part.num_rows) + more, base)
+                _, shared = marked_spans(turns(marks, "short_spans", base, len(data) + part.num_rows) + more, base)
                 inside = np.ones(len(gone), dtype=bool)
                 inside[base + np.diff(offsets)] = False
                 left = ~gone[inside]
@@ -321,17 +354,39 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 kept_bytes = pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], type=pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(f"c{i}") for i in range(len(fields))] + [pa.array(np.diff(offsets)), gone_spans, kept_bytes, shared], names=[f.name for f in fields + new])
 
-    return rows.select(*[f"c{i}" for i in range(len(fields))], "data", "marks").mapInArrow(textbytes.trimmed(run), T.StructType([*fields, *new]))
+    return rows.select(*[f"c{i}" for i in range(len(fields))], "data", "marks", *["passages"][: bool(words)]).mapInArrow(textbytes.trimmed(run), T.StructType([*fields, *new]))
 
 
-def marked_spans(marks: list, name: str, base: np.ndarray, size: int) -> tuple[np.ndarray, pa.ListArray]:
-    """A flag for each of size places, and for each document, beginning at base, the maximal runs of flagged ones."""
+def turns(marks: list, name: str, base: np.ndarray, size: int) -> np.ndarray:
+    """At each of size places, and one more, how many marked spans of the documents, beginning at base, start there, less those that end."""
     turn = np.zeros(size + 1, dtype=np.int32)
     for b, own in zip(base.tolist(), marks, strict=True):
         for m in own or []:
             at = np.array(m[name], dtype=np.int64) + (b + m["start"])
             np.add.at(turn, at[0::2], 1)
             np.add.at(turn, at[1::2], -1)
+    return turn
+
+
+def passage_turns(marks: list, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The turns of texts for marks in the codes of their words: a passage goes from its first whole word to its last."""
+    turn = np.zeros(len(data) + len(offsets), dtype=np.int32)
+    if not any(marks):
+        return turn
+    starts, ends, doc = textbytes.words(data, offsets)
+    first = np.searchsorted(doc, np.arange(len(offsets)))
+    base = first[:-1] * CODE + np.arange(len(marks))
+    _, spans = marked_spans(turns(marks, "spans", base, len(starts) * CODE + len(marks)), base)
+    own = np.repeat(np.arange(len(marks)), np.diff(spans.offsets.to_numpy()))
+    a, b = -(-spans.flatten().field("start").to_numpy() // CODE) + first[own], spans.flatten().field("end").to_numpy() // CODE + first[own]
+    own, a, b = own[a < b], a[a < b], b[a < b]
+    np.add.at(turn, starts[a] + own, 1)
+    np.add.at(turn, ends[b - 1] + own, -1)
+    return turn
+
+
+def marked_spans(turn: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """A flag for each place, and for each document, beginning at base, the maximal runs of flagged ones."""
     gone = np.cumsum(turn[:-1]) > 0
     edge = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
     from_, to = edge[0::2], edge[1::2]

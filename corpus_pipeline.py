@@ -18,6 +18,9 @@ from binloom.llm import bpe, classlm, minhash, mixing, runindex, toxicity
 from binloom.llm.queries import TOKENIZER
 from binloom.session import delete_written, discard, ship, table, written
 
+#: Words of the passages that the repeats stage removes, however few bytes they have.
+PASSAGE = 50
+
 
 def _owner(spark: SparkSession, sf_dir: str) -> str:
     """Intermediate tables of the stage before, over the same folder, are no longer read once this one begins."""
@@ -56,13 +59,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without what strings of 400 bytes cover that stand elsewhere; characters cut in half go too.
+    """All documents, without what strings of 400 bytes or of PASSAGE words cover that stand elsewhere; characters cut in half go too.
 
     Null and short texts stay as they are. Rows equal in id and text are repeats of each other
     and both lose what they share; a document of which nothing is left stays as an empty text.
     """
     rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
-    found = runindex.remove_repeats(rows, owner=_owner(spark, sf_dir))
+    found = runindex.remove_repeats(rows, owner=_owner(spark, sf_dir), words=PASSAGE)
     left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
     changed = F.size("spans") > 0
     new = {"text": F.when(changed, left).otherwise(F.col("text")), "n_chars": F.when(changed, F.length(left).cast("long")).otherwise(F.col("row.n_chars"))}

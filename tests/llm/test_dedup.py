@@ -325,6 +325,55 @@ def test_runs_that_stand_once_are_not_written_and_texts_move_once(spark, monkeyp
     assert plan.count("Exchange hashpartitioning(_key") <= 2 and plan.count("Exchange hashpartitioning") <= 4
 
 
+@pytest.mark.parametrize("group", [runindex.GROUP, 1])
+def test_passages_of_words(spark, group):
+    """Passages of so many words that start elsewhere too go, whatever white space parts the words, beside the long strings."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    said = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    shared = [said(rng.randint(5, 30)) for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        words = said(rng.randint(0, 40))
+        for _ in range(rng.randint(0, 2)):
+            words += rng.choice(shared) + said(rng.randint(0, 30))
+        texts.append("".join(w + rng.choice([" ", " ", "\n", "\t "]) for w in words))
+    texts += ["a " * 50, "é é é\n" * 9, "", None, " \n ", said(1)[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = runindex.remove_repeats(df, window=60, short=60, gram=8, shard_bytes=2000, group=group, words=8).collect()
+    raw = [(t or "").encode() for t in texts]
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in raw]
+    key = lambda i, k: tuple(raw[i][a:b] for a, b in places[i][k : k + 8])
+    seen = Counter(key(i, k) for i in range(len(raw)) for k in range(len(places[i]) - 7))
+    assert len(found) == len(texts)
+    want = brute_repeats(raw, 60)
+    short_ones = 0
+    for r in found:
+        flags = bytearray(want[r.doc_id])
+        for k in range(len(places[r.doc_id]) - 7):
+            if seen[key(r.doc_id, k)] > 1:
+                a, b = places[r.doc_id][k][0], places[r.doc_id][k + 7][1]
+                flags[a:b] = b"\1" * (b - a)
+        short_ones += flags != want[r.doc_id]
+        assert [tuple(x) for x in r.spans] == [m.span() for m in re.finditer(b"\1+", flags)]
+        assert bytes(r.kept) == bytes(b for b, f in zip(raw[r.doc_id], flags, strict=True) if not f)
+    assert short_ones > 10
+
+
+def test_repeats_stage_removes_passages_over_50_words(spark):
+    """Passages of 51 words and about 300 bytes that stand in several documents are gone from each; documents without any stay as they are."""
+    rng = random.Random(10)
+    said = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    passages = [said(51) for _ in range(8)]
+    assert all(250 < len(p) < 400 for p in passages)
+    own = [(said(rng.randint(20, 60)), said(rng.randint(20, 60))) for _ in range(40)]
+    texts = [f"{a} {passages[i % 8]} {b}" if i < 32 else f"{a} {said(51)} {b}" for i, (a, b) in enumerate(own)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.remove_repeats(spark, docs, FOLDER).collect()}
+    want = [f"{a}  {b}" if i < 32 else texts[i] for i, (a, b) in enumerate(own)]
+    assert got == {i: (t, len(t)) for i, t in enumerate(want)}
+
+
 def test_long_repeats_of_one_very_long_text(spark):
     rng = random.Random(18)
     base = "".join(rng.choice("abcdefgh ") for _ in range(400_000))
