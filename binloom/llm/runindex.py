@@ -275,22 +275,51 @@ def indexed_matches(found: DataFrame, window: int, short: int, shard_bytes: int,
 
 
 def counted_matches(found: DataFrame, window: int) -> DataFrame:
-    """anchor, ctx and spans for anchors with very many contexts: each window is counted by its hash."""
+    """anchor, ctx and spans for anchors with very many contexts: each window is counted by its hash.
+
+    What stands at two places within a chunk is marked there. Only the other windows are sought by
+    their hash, and what very many contexts share is one row of each chunk, not one of each context.
+    """
+    schema = pa.schema([("window", pa.int64()), ("told", pa.bool_()), ("lo", pa.int64()), ("hi", pa.int64()), ("any", pa.bool_()), ("anchor", pa.int64()), ("ctx", pa.int64()), ("spans", pa.list_(pa.int32()))])
+
+    def rows_of(n: int, **columns: pa.Array | np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def spans_of(starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array((2 * offsets).astype(np.int32)), pa.array(np.stack([starts, ends], axis=1).astype(np.int32).ravel()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in textbytes.chunks(batch, "bytes", 1 << 18):
+                anchor, ctx, several = part.column("anchor").to_numpy(), part.column("ctx").to_numpy(), part.column("several").to_numpy(zero_copy_only=False)
                 h = textbytes.prefix_hash(data)
                 room = np.maximum(np.diff(offsets) - window + 1, 0)
                 row = np.repeat(np.arange(part.num_rows), room)
+                if not len(row):
+                    continue
                 at = np.arange(len(row)) - np.repeat(np.cumsum(room) - room, room)
-                start = offsets[row] + at
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("anchor").take(take), part.column("ctx").take(take), part.column("several").take(take), pa.array(at.astype(np.int32)), pa.array(part.column("place").to_numpy()[row] + at), pa.array(textbytes.span_hash(h, start, start + window).view(np.int64))], names=["anchor", "ctx", "several", "at", "place", "window"])
-
-    rows = found.mapInArrow(textbytes.trimmed(run), "anchor long, ctx long, several boolean, at int, place long, window long")
-    again = rows.groupBy("window").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.max("several").alias("any")).filter("lo <> hi or any").select("window")
-    return rows.filter("not several").join(again, "window").groupBy("anchor", "ctx").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + window))).alias("spans"))
+                start, place = offsets[row] + at, part.column("place").to_numpy()[row] + at
+                hashes = textbytes.span_hash(h, start, start + window).view(np.int64)
+                order = np.argsort(hashes)
+                first = np.flatnonzero(np.r_[True, hashes[order[1:]] != hashes[order[:-1]]])
+                lo, hi, any_ = (f.reduceat(x[order], first) for f, x in ((np.minimum, place), (np.maximum, place), (np.logical_or, several[row])))
+                again = (lo != hi) | any_
+                hit = np.empty(len(row), dtype=bool)
+                hit[order] = np.repeat(again, np.diff(np.r_[first, len(row)]))
+                n = int(again.sum())
+                yield rows_of(n, window=hashes[order[first[again]]], told=np.zeros(n, dtype=bool), lo=lo[again], hi=hi[again], any=any_[again])
+                k = np.flatnonzero(~hit)
+                yield rows_of(len(k), window=hashes[k], told=np.zeros(len(k), dtype=bool), lo=place[k], hi=place[k], any=np.zeros(len(k), dtype=bool), anchor=anchor[row[k]], ctx=ctx[row[k]], spans=spans_of(at[k], at[k] + window, np.arange(len(k) + 1)))
+                hit &= ~several[row]
+                new = np.r_[True, row[1:] != row[:-1]]
+                from_, to = np.flatnonzero(hit & (new | ~np.r_[False, hit[:-1]])), np.flatnonzero(hit & np.r_[new[1:] | ~hit[1:], True])
+                k, begin = np.unique(row[from_], return_index=True)
+                yield rows_of(len(k), window=ctx[k], told=np.ones(len(k), dtype=bool), anchor=anchor[k], ctx=ctx[k], spans=spans_of(at[from_], at[to] + window, np.r_[begin, len(from_)]))
+
+    rows = found.mapInArrow(textbytes.trimmed(run), "window long, told boolean, lo long, hi long, any boolean, anchor long, ctx long, spans array<int>")
+    same = Window.partitionBy("window", "told")
+    again = F.col("told") | (F.min("lo").over(same) != F.max("hi").over(same)) | F.max("any").over(same)
+    return rows.withColumn("again", again).filter("again and anchor is not null").groupBy("anchor", "ctx").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def marked(keyed: DataFrame, window: int, short: int, gram: int, shard_bytes: int, group: int, owner: str) -> DataFrame:

@@ -65,7 +65,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     and both lose what they share; a document of which nothing is left stays as an empty text.
     """
     rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
-    found = runindex.remove_repeats(rows, owner=_owner(spark, sf_dir), words=PASSAGE)
+    found = runindex.remove_repeats(rows, short=runindex.WINDOW, owner=_owner(spark, sf_dir), words=PASSAGE)
     left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
     changed = F.size("spans") > 0
     new = {"text": F.when(changed, left).otherwise(F.col("text")), "n_chars": F.when(changed, F.length(left).cast("long")).otherwise(F.col("row.n_chars"))}

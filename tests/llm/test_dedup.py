@@ -325,6 +325,28 @@ def test_runs_that_stand_once_are_not_written_and_texts_move_once(spark, monkeyp
     assert plan.count("Exchange hashpartitioning(_key") <= 2 and plan.count("Exchange hashpartitioning") <= 4
 
 
+def test_windows_of_crowded_anchors_meet_once_a_chunk(spark):
+    """A passage within very many contexts is counted without a row for each window of each of them."""
+    rng = random.Random(29)
+    draw = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    passage = draw(60)
+    texts = [draw(20) + passage[rng.randint(0, 30) :] + draw(20) for _ in range(400)] + [draw(70), draw(19), b""]
+    rows = [(7, i, i % 50 == 3, i * 1000, t) for i, t in enumerate(texts)]
+    wanted = brute_repeats(texts, 25)
+    for n in (1, 5, 403):  # chunks
+        df = spark.createDataFrame(rows, "anchor long, ctx long, several boolean, place long, bytes binary").repartition(n)
+        found = runindex.counted_matches(df, 25)
+        got = {r.ctx: bytearray(len(texts[r.ctx])) for r in found.collect()}
+        for r in found.collect():
+            for a, b in zip(r.spans[0::2], r.spans[1::2], strict=True):
+                got[r.ctx][a:b] = b"\1" * (b - a)
+        assert got == {i: f for i, f in enumerate(wanted) if any(f) and i % 50 != 3}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("MapInArrow") <= 2
+    found = runindex.counted_matches(spark.createDataFrame(rows, "anchor long, ctx long, several boolean, place long, bytes binary").coalesce(1), 25)
+    assert found.filter(F.size("spans") == 2).count() > 350  # whole runs, not windows one by one
+
+
 @pytest.mark.parametrize("group", [runindex.GROUP, 1])
 def test_passages_of_words(spark, group):
     """Passages of so many words that start elsewhere too go, whatever white space parts the words, beside the long strings."""
