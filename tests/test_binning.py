@@ -340,6 +340,56 @@ def test_nearest_of_bounded_and_unbounded_rows(shift):
         assert list(zip(row.tolist(), to.tolist(), strict=True)) == [w[:2] for w in want] and np.allclose(far, [w[2] for w in want])
 
 
+def test_weights_are_moved_along_edges(monkeypatch):
+    """Hubs, nodes without edges, blocks of any width: the sums that a dense matrix gives."""
+    rng = np.random.default_rng(5)
+    for n, m, width, room, hub in ((50, 300, 3, 64, 20), (300, 5000, 7, 64, 20), (1000, 4000, 64, 1 << 14, 64), (10, 0, 4, 64, 64), (5, 200, 2, 8, 3)):
+        monkeypatch.setattr(labelspread, "MOVED", room)
+        monkeypatch.setattr(labelspread, "HUB", hub)
+        src, dst, w = rng.integers(0, n, m), rng.integers(0, n, m) * rng.integers(0, 2, m), rng.random(m)
+        dense = np.zeros((n, n))
+        np.add.at(dense, (dst, src), w)
+        graph, f = labelspread.Graph(src, dst, w, n, width), rng.random((n, width))
+        for part in (f, np.ascontiguousarray(f[:, :2])):
+            out = np.full_like(part, np.nan)
+            graph.move(part[graph.order], out, 0.9)
+            assert np.allclose(out[graph.place], 0.9 * dense @ part)
+
+
+def test_shares_of_labels_have_a_partition_each(spark, monkeypatch):
+    """The graph is sent to shares of many blocks of labels, not to each block, and no two shares wait for one task."""
+    monkeypatch.setattr(labelspread, "WIDE", 1)
+    monkeypatch.setattr(labelspread, "SHARES", 1)
+    made, whole = [], labelspread.written
+    monkeypatch.setattr(labelspread, "written", lambda df, *a: made.append(whole(df, *a)) or made[-1])
+    df = blobs(spark, apart=3.0)
+    labels = df.selectExpr("scaffold", "concat('g', cast(substr(scaffold, 2) as int) % 40) as label")
+    found = labelspread.propagate(df, labels, alpha=0.5)
+    assert found.count() == df.count()
+    shares = spark.sparkContext.defaultParallelism
+    rows = [t for t in made if "total" in t.columns][-1].filter("kind = 0")  # the last of two, if the first went on for too many rounds
+    assert rows.count() <= shares * df.count()
+    for n in (1, 7, shares, 24):
+        keys = spark.createDataFrame([(k,) for k in labelspread.partition_keys(spark, n)], "k int")
+        assert sorted(r.p for r in keys.repartition(n, "k").select(F.spark_partition_id().alias("p")).collect()) == list(range(n))
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_small_groups_are_clustered_together(spark, monkeypatch, kind):
+    """Many groups, null among them, are handed over by few calls and clustered each by itself."""
+    monkeypatch.setattr(cluster, "BIN", 40)
+    rng = np.random.default_rng(6)
+    rows = [(f"s{i:04}", None if i % 61 == 0 else int(i % 50) + (1 << 60), rng.normal(size=2).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "scaffold string, bin long, features array<double>").withColumn("bin", F.col("bin").cast(kind))
+    found = cluster.complete_linkage(df, 1.0, group="bin")
+    assert "_bin" in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.scaffold: (r.bin, r.cluster) for r in found.collect()}
+    for b in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == b]
+        want = cluster.linkage_clusters(np.array([r[2] for r in own]), 1.0)
+        assert {s: got[s] for s, _, _ in own} == {r[0]: (b if b is None or kind == "long" else str(b), int(c)) for r, c in zip(own, want, strict=True)}
+
+
 @pytest.mark.parametrize("alpha", [1.0, 0.7, 0.05])
 def test_spreading_by_blocks_of_labels(spark, monkeypatch, alpha):
     """Blocks of labels give what joins round by round give, wherever these stop."""
